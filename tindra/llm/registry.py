@@ -5,13 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tindra.llm import packing, token_files
-from tindra.llm.shared import table
+from tindra.llm import packing, quality, token_files, toxicity
+from tindra.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _with_decision(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out("doc_id", 4, 2))
+    return _with_decision(toxicity.score(docs, model), 4, 2)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 5, 0))
+    return _with_decision(quality.score(docs, forest), 5, 0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -21,7 +38,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_packing": op5_packing, "op7_token_files": op7_token_files}
+    return {"op1_toxicity": op1_toxicity, "op4_quality": op4_quality, "op5_packing": op5_packing, "op7_token_files": op7_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
