@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tindra.llm import packing, quality, token_files, toxicity
+from tindra.llm import embeddings, near_copies, packing, quality, token_files, toxicity
 from tindra.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op4_quality": op4_quality, "op5_packing": op5_packing, "op7_token_files": op7_token_files}
+    return {"op1_toxicity": op1_toxicity, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op9_embedding_near_dedup": op9_embedding_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
