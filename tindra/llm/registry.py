@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tindra.llm import embeddings, near_copies, packing, quality, token_files, toxicity
+from tindra.llm import embeddings, near_copies, packing, quality, token_files, toxicity, warc
 from tindra.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op9_embedding_near_dedup": op9_embedding_near_dedup}
+    return {"op1_toxicity": op1_toxicity, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:

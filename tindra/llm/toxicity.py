@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tindra.llm import kernel, shared
 
-TRAIN_DOCS = 9000  # bound of the labelled sample
+TRAIN_DOCS = 6000  # bound of the labelled sample
 TRAIN_CHARS = 200_000  # longer texts are not sampled for training (they are scored like all others)
 CUT = 0.3
 SLOTS, PREFIX_SLOTS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 14, 16, 8, (1, 2, 3)
