@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tindra.llm import embeddings, near_copies, packing, quality, token_files, toxicity, warc
+from tindra.llm import decontamination, embeddings, near_copies, packing, quality, token_files, toxicity, warc
 from tindra.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_decision(toxicity.score(docs, model), 4, 2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 5, 0))
@@ -50,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
