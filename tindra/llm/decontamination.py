@@ -260,3 +260,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
 
     found = [one(ix) for ix in shards(items, item_id, item_text)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with all their columns; narrow, no shuffle."""
+    spark = docs.sparkSession
+
+    def without(kept: DataFrame, ix: Index) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(ix)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in kernel.slices(batch, text_column):
+                    clean = np.ones(piece.num_rows, bool)
+                    clean[[row[0] for row in matches(shipped.value, piece.column(text_column))]] = False
+                    yield piece.filter(pa.array(clean))
+
+        return kept.mapInArrow(run, kept.schema)
+
+    return reduce(without, shards(items, item_id, item_text), docs)

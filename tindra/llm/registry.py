@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tindra.llm import decontamination, embeddings, near_copies, packing, quality, token_files, toxicity, warc
+from tindra.llm import decontamination, embeddings, near_copies, packing, pii, quality, secret_scan, token_files, toxicity, warc
 from tindra.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_kinds")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 5, 0))
@@ -41,6 +45,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return scanned.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -54,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_pii_surrogates": op3_pii_surrogates, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_secret_scan": op8_secret_scan, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -296,16 +296,13 @@ def _scored(picked: DataFrame, scorer) -> DataFrame:
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def flag(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with the column ``toxic_score`` added (overwritten if there)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("toxic_score")
-    schema = base.schema
-    out = schema.add("toxic_score", "double") if "toxic_score" not in schema.fieldNames() else schema
+def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``CUT``, with all their columns; narrow, no shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in kernel.slices(batch, text_column):
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(shipped.value.score(hashed(piece.column(text_column))), pa.float64())], names=[*piece.schema.names, "toxic_score"])
+                yield piece.filter(pa.array(shipped.value.score(hashed(piece.column(text_column))) < CUT))
 
-    return base.mapInArrow(run, out)
+    return docs.mapInArrow(run, docs.schema)
