@@ -52,11 +52,10 @@ def lon_lat(blob: bytes | None) -> tuple[float | None, float | None]:
         return None, None
 
 
-@F.pandas_udf("lon double, lat double")
 def _points(blobs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([lon_lat(x) for x in blobs], columns=["lon", "lat"], dtype="float64")
 
 
 def point(blob: Column) -> Column:
     """struct<lon, lat> of a geometry column."""
-    return _points(blob)
+    return F.pandas_udf(_points, "lon double, lat double")(blob)

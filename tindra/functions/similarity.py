@@ -19,27 +19,40 @@ def gestalt(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
+def gestalt_from(a: str | None, b: str | None, least: float) -> float:
+    """The ratio where it can reach ``least``, else 0: the cheap upper bounds come first."""
+    if not a or not b:
+        return 0.0
+    m = SequenceMatcher(None, a, b)
+    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+
+
 @F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([gestalt(x, y) for x, y in zip(a, b)], dtype="float64")
+def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([gestalt_from(x, y, z) for x, y, z in zip(a, b, least)], dtype="float64")
+
+
+def cleaned(name: Column) -> Column:
+    """The form in which names are compared: lower case, no outer white space, null as empty."""
+    return F.lower(text.strip(text.nonnull(name)))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Ratio of the names in lower case without outer white space; 0 where one is empty."""
-    return _ratio(F.lower(text.strip(text.nonnull(a))), F.lower(text.strip(text.nonnull(b))))
+def ratio(a: Column, b: Column, least: Column | float = 0.0) -> Column:
+    """Ratio of cleaned names; 0 where one is empty or the ratio is under ``least``."""
+    return _ratio(a, b, least if isinstance(least, Column) else F.lit(least))
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
     """What the ratio cannot exceed, from the lengths alone; JVM-side, for filters before the UDF."""
-    n, m = (F.length(F.lower(text.strip(text.nonnull(c)))) for c in (a, b))
-    return F.when(n + m > 0, 2 * F.least(n, m) / (n + m)).otherwise(0.0)
+    return F.coalesce(2 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(0.0))
 
 
-def name_match(a: Column, b: Column) -> Column:
+def name_match(a: Column, b: Column, least: Column | float = 0.0) -> Column:
     """1 where the shorter word list leads the longer, else the best of ratio and word overlap; for
-    names that are already normalised."""
+    names that are already normalised.  A ratio under ``least`` may count as 0."""
+    least = least if isinstance(least, Column) else F.lit(least)
     words = lambda c: F.filter(F.split(c, r"(?U)\s+", -1), lambda x: x != "")
     n = F.least(F.size(words(a)), F.size(words(b)))
     lead = (n > 0) & (F.slice(words(a), F.lit(1), n) == F.slice(words(b), F.lit(1), n))
     some = (text.nonnull(a) != "") & (text.nonnull(b) != "")
-    return F.when(some, F.when(lead, 1.0).otherwise(F.greatest(_ratio(a, b), text.token_jaccard(a, b)))).otherwise(0.0)
+    return F.when(some, F.when(lead, 1.0).otherwise(F.greatest(_ratio(a, b, least), text.token_jaccard(a, b)))).otherwise(0.0)

@@ -37,7 +37,8 @@ def contains_join(small: DataFrame, large: DataFrame, small_text: str, large_tex
     key = F.left(F.col(small_text), F.lit(GRAM))
     n = F.length(large_text)
     starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *(F.transform(starts, lambda i, k=k: F.substring(F.col(large_text), i, F.lit(k))) for k in range(1, GRAM + 1)))))
+    stretches = F.transform(starts, lambda i: F.transform(F.array(*map(F.lit, range(1, GRAM + 1))), lambda k: F.substring(F.col(large_text), i, k)))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(stretches)))
     spread = large.where(F.col(large_text).isNotNull()).withColumn("_gram", F.explode(grams))
     return small.where(F.col(small_text).isNotNull()).withColumn("_gram", key).join(spread, "_gram").drop("_gram").where(F.col(large_text).contains(F.col(small_text)))
 

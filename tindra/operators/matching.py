@@ -28,10 +28,12 @@ def fuzzy_candidates(incoming: DataFrame, catalogue: DataFrame, radius_m: float
     """Catalogue rows within the radius with the best of four name ratios at or over ``least``; rank 1
     is the best, ties in catalogue id order."""
     left, right = _sides(incoming, catalogue)
+    clean = lambda df, p: df.withColumns({f"{p}_{c}": similarity.cleaned(F.col(f"{p}_{c}")) for c in ("name", "name_eng")})
+    left, right = clean(left, "in"), clean(right, "db")
     pairs = radius_join(with_points(left, "in_gps", "in_lat", "in_lon"), right, radius_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"))
     names = [(F.col(a), F.col(b)) for a in ("in_name", "in_name_eng") for b in ("db_name", "db_name_eng")]
     bounded = pairs.where(F.greatest(*(similarity.ratio_bound(a, b) for a, b in names)) >= least)  # JVM-side, before the UDF
-    scored = bounded.withColumn("score", F.greatest(*(similarity.ratio(a, b) for a, b in names))).where(F.col("score") >= least)
+    scored = bounded.withColumn("score", F.greatest(*(similarity.ratio(a, b, least) for a, b in names))).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("in_id").orderBy(F.desc("score"), "db_id"))
     return scored.select("in_id", "db_id", F.floor("distance_m").cast("long").alias("metres"), "score", rank.alias("rank"))
 
@@ -48,12 +50,12 @@ def tiered_best(incoming: DataFrame, catalogue: DataFrame, near_m: float = 2000,
     left, right = norm(left, "in").where("in_norm <> ''"), norm(right, "db")
     lat, lon = geo.lenient_point(F.col("in_gps"))
     left = left.withColumns({"in_lat": lat, "in_lon": lon})
-    score = F.greatest(similarity.name_match(F.col("in_norm"), F.col("db_norm")), similarity.name_match(F.col("in_norm"), F.col("db_norm_eng")))
-    close = radius_join(left.where("in_lat IS NOT NULL"), right, far_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True).withColumn("score", score)
+    score = lambda least: F.greatest(*(similarity.name_match(F.col("in_norm"), F.col(c), least) for c in ("db_norm", "db_norm_eng")))
+    close = radius_join(left.where("in_lat IS NOT NULL"), right, far_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True).withColumn("score", score(F.when(F.col("distance_m") <= near_m, near_score).otherwise(far_score)))
     close = close.where(((F.col("distance_m") <= near_m) & (F.col("score") >= near_score)) | (F.col("score") >= far_score))
     keys = lambda *cols: F.explode(F.array_distinct(F.flatten(F.array(*(_name_keys(F.col(c)) for c in cols)))))
     nameless = left.where("in_lat IS NULL").withColumn("_k", keys("in_norm")).join(right.withColumn("_k", keys("db_norm", "db_norm_eng")), "_k").drop("_k").dropDuplicates(["in_id", "db_id"])
-    by_name = nameless.withColumn("score", score).where(F.col("score") >= no_point_score).withColumn("distance_m", F.lit(None).cast("double"))
+    by_name = nameless.withColumn("score", score(no_point_score)).where(F.col("score") >= no_point_score).withColumn("distance_m", F.lit(None).cast("double"))
     cols = ["in_id", "db_id", "distance_m", "score"]
     best = first_per_key(close.select(*cols).unionByName(by_name.select(*cols)), ["in_id"], [F.desc("score"), F.asc("db_id")])
     return best.select("in_id", "db_id", F.floor("distance_m").cast("long").alias("metres"), "score")

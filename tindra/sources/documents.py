@@ -10,13 +10,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 
 def items_document(spark: SparkSession, path: str, schema: str | StructType, member: str = "items") -> DataFrame:
     """Rows of a document ``{member: [...]}``."""
     inner = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = StructType().add(member, "array<" + inner.simpleString() + ">")
+    whole = StructType().add(member, ArrayType(inner))
     return spark.read.schema(whole).json(path, multiLine=True).select(F.explode(member).alias("r")).select("r.*")
 
 
@@ -29,7 +29,7 @@ def fenced_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of an array that may stand inside Markdown code fences."""
     texts = spark.read.text(path, wholetext=True)
     bare = F.regexp_replace(F.col("value"), r"^\s*```\w*\s*|\s*```\s*$", "")
-    return texts.select(F.explode(F.from_json(bare, f"array<struct<{', '.join(schema.split(', '))}>>" if ":" in schema else f"array<{StructType.fromDDL(schema).simpleString()}>")).alias("r")).select("r.*")
+    return texts.select(F.explode(F.from_json(bare, ArrayType(StructType.fromDDL(schema)))).alias("r")).select("r.*")
 
 
 def tagged_union(parts: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
