@@ -67,3 +67,31 @@ def test_external_stage(spark):
 
 def test_migrate(spark, tmp_path):
     assert changes.migrate(spark.range(7), str(tmp_path / "t")) == (7, 7)
+
+
+def test_sqlite(spark, tmp_path):
+    import sqlite3
+
+    from tindra.sources.sqlite import sqlite_table
+
+    path = str(tmp_path / "a.gpkg")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (name TEXT, geom BLOB, n INTEGER)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(f"n{i}", bytes([i]), i) for i in range(20)])
+    got = sqlite_table(spark, path, "t", "name string, geom binary", where="n >= 5", parts=4)
+    assert sorted((r.name, bytes(r.geom)) for r in got.collect()) == sorted((f"n{i}", bytes([i])) for i in range(5, 20))
+    assert got.rdd.getNumPartitions() == 4
+
+
+def test_article_of_english_wins(spark):
+    from tindra.operators import ingest
+
+    long = "x" * 120
+    rows = [(1, "B", 64.1, -21.0, "is", long), (2, "A", 64.1001, -21.0, "en", long), (3, "Near", 64.5, -21.0, "en", long), (4, "C", 65.0, -21.0, "is", "short"), (5, "Known", 66.0, -20.0, "is", long)]
+    articles = spark.createDataFrame(rows, "pageid long, title string, lat double, lon double, lang string, extract string")
+    known = spark.createDataFrame([("Known,-þjóðsaga", None), ("Near the hill", "64.501,-21.0")], "name string, gps string")
+    got = {r.id: (r.name, r.story_eng, r.char_count) for r in ingest.new_articles(articles, known).collect()}
+    assert got == {"en_2": ("A", long, 120)}
+    text = spark.createDataFrame([(1.0005, 2.5)], "a double, b double")
+    assert text.select(ingest.formatted_gps(F.col("a"), F.col("b"), 3)).first()[0] == "1.000, 2.500"
+    assert spark.sql("SELECT '2024-01-02 03:04:05' AS t UNION ALL SELECT '2024-01-02T03:04:05.123456' UNION ALL SELECT 'x'").select(ingest.last_changed(F.col("t")).isNotNull().alias("k")).where("k").count() == 2

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, geometry, html, speech, text
-from tindra.operators import catalogue, changes, geocoding, headings, joins, matching, order, summaries
+from tindra.operators import catalogue, changes, geocoding, headings, ingest, joins, matching, order, summaries
 from tindra.plans import catalog, samples
 from tindra.plans.catalog import areas, bridge, items, points, table
 
@@ -491,3 +491,47 @@ def wkb_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("normalise_speech")
 def normalise_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.sentences(spark, sf_dir).select("id", *(speech.spoken_icelandic(F.col("text"), e).alias(e) for e in ("local", "cloud")))
+
+
+# loading -------------------------------------------------------------------------------------------
+@query("story_links", "SELECT page_id, href, cast(min(p) AS bigint) AS first_pos FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) - 1 AS p FROM (SELECT page_id, regexp_extract_all(h, 'href=\"([^\"]*)\"', 1) AS l FROM (SELECT page_id, html || '<a href=\"./thjod.htm\"></a><a href=\"../up.htm\"></a><a href=\"s' || cast(page_id % 7 AS varchar) || '.htm\"></a><a href=\"t.htm\"></a><a href=\"t.htm\"></a>' AS h FROM pages) w) x) y WHERE href LIKE '%.htm' AND href NOT LIKE '%../%' AND href <> './thjod.htm' GROUP BY page_id, href")
+def story_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.concat(F.lit('<a href="./thjod.htm"></a><a href="../up.htm"></a><a href="s'), (F.col("page_id") % 7).cast("string"), F.lit('.htm"></a><a href="t.htm"></a><a href="t.htm"></a>'))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", more).alias("html"))
+    places = headings.page_links(pages, lambda h: h.endswith(".htm"))
+    return ingest.story_links(pages).join(places, ["page_id", "href"]).select("page_id", "href", "first_pos")
+
+
+@query("request_guards", "SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'empty' WHEN length(t) > 10000 THEN 'too long' END AS fault, starts_with(upper(trim(t)), '#REDIRECT') OR starts_with(upper(trim(t)), '#TILVÍSUN') AS redirect FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '  ' WHEN turn % 5 = 1 THEN repeat(text, 40) WHEN turn % 5 = 2 THEN ' #Redirect ' || text WHEN turn % 5 = 3 THEN '#tilvísun ' || text ELSE text END AS t FROM conversations) x")
+def request_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, body = F.col("turn") % 5, F.col("text")
+    t = F.when(turn == 0, "  ").when(turn == 1, F.repeat(body, F.lit(40))).when(turn == 2, F.concat(F.lit(" #Redirect "), body)).when(turn == 3, F.concat(F.lit("#tilvísun "), body)).otherwise(body)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
+    return rows.select("conv_id", "turn", ingest.request_fault(F.col("t")).alias("fault"), ingest.is_redirect(F.col("t")).alias("redirect"))
+
+
+@query("last_changed", "SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000000 AS seconds FROM events")
+def last_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts")
+    stored = F.when(F.col("event_id") % 2 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_seconds(ingest.last_changed(stored)).alias("seconds"))
+
+
+@query("new_articles")
+def new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shifted(spark, sf_dir).join(items(spark, sf_dir).select("id", F.col("story").alias("extract")), "id")
+    articles = rows.select(F.col("id").alias("pageid"), "title", "lat", "lon", F.when(F.col("lang") == "en", "en").otherwise("is").alias("lang"), "extract")
+    return ingest.new_articles(articles, items(spark, sf_dir).where("id % 3 > 0"))
+
+
+@query("points_in_disc")
+def points_in_disc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.points_in_disc(table(spark, sf_dir, "benchmark").select("item_id"), 64.9, -18.6, 50.0, 7)
+
+
+@query("feature_rows")
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blobs = samples.blobs(spark, sf_dir)
+    rows = blobs.select(F.concat(F.lit("Name "), F.col("id").cast("string")).alias("ornefni"), F.when(F.col("id") % 3 == 0, "Other").alias("tvinefni"), F.element_at(F.array(F.lit("dys"), F.lit("melur"), F.lit("x")), (F.col("id") % 3 + 1).cast("int")).alias("nafnberi"), F.lit(" A note. ").alias("ornefnalysing"), F.lit(None).cast("string").alias("tilvist"), F.lit("s").alias("heimild"), "geom")
+    meanings = spark.createDataFrame([("dys", "Upphækkuð gröf."), ("melur", "Gróðursnautt svæði.")], "nafnberi string, meaning string")
+    return ingest.feature_rows([rows.where("ornefni < 'Name 2'"), rows.where("ornefni >= 'Name 2'")], meanings)
