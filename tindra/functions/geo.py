@@ -27,21 +27,52 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
+def _bound(gps: Column, parse) -> Column:
+    """``parse`` of the squeezed text, which a one-element transform evaluates once."""
+    return F.get(F.transform(F.array(squeezed(gps)), parse), F.lit(0))
+
+
+def _pair(lat: Column, lon: Column) -> Column:
+    return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+
+def _lenient(g: Column) -> Column:
+    parts = F.split(g, ",", -1)
+    return _pair(_number(F.get(parts, F.lit(0))), _number(F.get(parts, F.lit(1))))
+
+
+def _strict(g: Column) -> Column:
+    return _pair(_number(F.substring_index(g, ",", 1)), _number(F.substr(g, F.instr(g, ",") + 1)))
+
+
+def _usable(p: Column, strict: bool) -> Column:
+    ok = p["lat"].isNotNull() & p["lon"].isNotNull() & ~F.isnan(p["lat"]) & ~F.isnan(p["lon"])
+    return ok & p["lat"].between(60, 70) & p["lon"].between(-30, -10) if strict else ok
+
+
 def lenient_point(gps: Column) -> tuple[Column, Column]:
     """Latitude and longitude from the first two comma-separated fields; nulls where either fails."""
-    parts = F.split(squeezed(gps), ",", -1)
-    lat, lon = _number(F.get(parts, F.lit(0))), _number(F.get(parts, F.lit(1)))
-    ok = lat.isNotNull() & lon.isNotNull()
-    return F.when(ok, lat), F.when(ok, lon)
+    p = _bound(gps, _lenient)
+    ok = _bound(gps, lambda g: _usable(_lenient(g), False))
+    return F.when(ok, p["lat"]), F.when(ok, p["lon"])
 
 
 def strict_point(gps: Column) -> tuple[Column, Column]:
     """Latitude and longitude split at the first comma only, within 60..70 N and 30..10 W."""
-    g = squeezed(gps)
-    at = F.instr(g, ",")
-    lat, lon = _number(F.substring_index(g, ",", 1)), _number(F.substr(g, at + 1))
-    ok = (at > 0) & lat.between(60, 70) & lon.between(-30, -10)
-    return F.when(ok, lat), F.when(ok, lon)
+    p = _bound(gps, _strict)
+    ok = _bound(gps, lambda g: (F.instr(g, ",") > 0) & _usable(_strict(g), True))
+    return F.when(ok, p["lat"]), F.when(ok, p["lon"])
+
+
+def with_point(df: DataFrame, gps: str, lat: str, lon: str, strict: bool = False, outer: bool = False) -> DataFrame:
+    """Rows with their parsed point; rows without one go, or stay with nulls if ``outer``.
+
+    The point comes out of a generator, so filters and joins on it see plain columns and the parsing
+    expression stands in the plan once."""
+    parse = (lambda g: F.when(F.instr(g, ",") > 0, _strict(g))) if strict else _lenient
+    found = F.filter(F.transform(F.array(squeezed(F.col(gps))), parse), lambda p: F.coalesce(_usable(p, strict), F.lit(False)))
+    made = df.withColumn("_point", (F.explode_outer if outer else F.explode)(found))
+    return made.withColumns({lat: F.col("_point.lat"), lon: F.col("_point.lon")}).drop("_point")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -67,10 +67,9 @@ def nearby(items: DataFrame, lat: float, lon: float, radius_m: float = 4000, mos
     """The nearest items by whole metres, ties by name; repeats of a name at one place count once.
 
     Repeats are collapsed before the distance test, as an item far away ends a run of repeats too."""
-    at_lat, at_lon = geo.lenient_point(F.col("gps"))
     name, gps = text.nonnull(F.col("name")), geo.squeezed(F.col("gps"))
-    rows = items.select("id", F.col("name").alias("_name"), name.alias("name"), gps.alias("gps"), text.nonnull(F.col("tag")).alias("tag"), geo.has_location(F.col("gps")).alias("_has"), at_lat.alias("_lat"), at_lon.alias("_lon"))
-    rows = rows.where(F.col("_has") & ~drafted(F.col("name")) & ~F.col("tag").contains(lodging) & F.col("_lat").isNotNull())
+    rows = items.where(geo.has_location(F.col("gps")) & ~drafted(F.col("name")) & ~text.nonnull(F.col("tag")).contains(lodging))
+    rows = geo.with_point(rows.select("id", F.col("name").alias("_name"), name.alias("name"), gps.alias("gps")), "gps", "_lat", "_lon")
     rows = collapse_repeats(rows, F.col("name"), (F.col("gps"),), (F.col("_name").asc_nulls_first(), F.asc("id")))
     metres = geo.haversine(F.col("_lat"), F.col("_lon"), F.lit(lat), F.lit(lon))
     near = rows.withColumn("_d", metres).where(F.col("_d") < radius_m)

@@ -11,17 +11,11 @@ from tindra.operators.joins import contains_join, radius_join
 from tindra.operators.order import first_per_key
 
 
-def with_points(df: DataFrame, gps: str, lat: str, lon: str, strict: bool = False) -> DataFrame:
-    """Rows whose coordinate text parses, with the point."""
-    a, b = (geo.strict_point if strict else geo.lenient_point)(F.col(gps))
-    return df.withColumns({lat: a, lon: b}).where(F.col(lat).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon))
-
-
 def _sides(incoming: DataFrame, catalogue: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both sides with distinct names: in_* and db_*."""
     named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "name_eng", "gps")))
     left, right = named(incoming, "in"), named(catalogue, "db")
-    return left, with_points(right, "db_gps", "db_lat", "db_lon", strict)
+    return left, geo.with_point(right, "db_gps", "db_lat", "db_lon", strict)
 
 
 def fuzzy_candidates(incoming: DataFrame, catalogue: DataFrame, radius_m: float = 1000, least: float = 0.65) -> DataFrame:
@@ -30,7 +24,7 @@ def fuzzy_candidates(incoming: DataFrame, catalogue: DataFrame, radius_m: float
     left, right = _sides(incoming, catalogue)
     clean = lambda df, p: df.withColumns({f"{p}_{c}": similarity.cleaned(F.col(f"{p}_{c}")) for c in ("name", "name_eng")})
     left, right = clean(left, "in"), clean(right, "db")
-    pairs = radius_join(with_points(left, "in_gps", "in_lat", "in_lon"), right, radius_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"))
+    pairs = radius_join(geo.with_point(left, "in_gps", "in_lat", "in_lon"), right, radius_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"))
     names = [(F.col(a), F.col(b)) for a in ("in_name", "in_name_eng") for b in ("db_name", "db_name_eng")]
     bounded = pairs.where(F.greatest(*(similarity.ratio_bound(a, b) for a, b in names)) >= least)  # JVM-side, before the UDF
     scored = bounded.withColumn("score", F.greatest(*(similarity.ratio(a, b, least) for a, b in names))).where(F.col("score") >= least)
@@ -48,8 +42,7 @@ def tiered_best(incoming: DataFrame, catalogue: DataFrame, near_m: float = 2000,
     right = right.where(F.col("db_name").isNotNull())
     norm = lambda df, p: df.withColumns({f"{p}_norm": text.place_name(F.col(f"{p}_name")), f"{p}_norm_eng": text.place_name(F.col(f"{p}_name_eng"))})
     left, right = norm(left, "in").where("in_norm <> ''"), norm(right, "db")
-    lat, lon = geo.lenient_point(F.col("in_gps"))
-    left = left.withColumns({"in_lat": lat, "in_lon": lon})
+    left = geo.with_point(left, "in_gps", "in_lat", "in_lon", outer=True)
     score = lambda least: F.greatest(*(similarity.name_match(F.col("in_norm"), F.col(c), least) for c in ("db_norm", "db_norm_eng")))
     close = radius_join(left.where("in_lat IS NOT NULL"), right, far_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True).withColumn("score", score(F.when(F.col("distance_m") <= near_m, near_score).otherwise(far_score)))
     close = close.where(((F.col("distance_m") <= near_m) & (F.col("score") >= near_score)) | (F.col("score") >= far_score))
@@ -78,7 +71,7 @@ def static_duplicates(incoming: DataFrame, catalogue: DataFrame) -> DataFrame:
     named = catalogue.select(text.catalogue_name(F.col("name")).alias("_name")).where("_name <> ''").distinct()
     rows = incoming.select(F.col("id").alias("in_id"), title.alias("in_title"), F.col("lat").alias("in_lat"), F.col("lon").alias("in_lon"))
     by_name = rows.join(named, F.col("in_title") == F.col("_name"), "left_semi").select("in_id")
-    points = with_points(catalogue.select(F.lower(text.nonnull(F.col("name"))).alias("db_name"), F.col("gps").alias("db_gps")), "db_gps", "db_lat", "db_lon").where(F.col("db_lat").between(63, 67))
+    points = geo.with_point(catalogue.select(F.lower(text.nonnull(F.col("name"))).alias("db_name"), F.col("gps").alias("db_gps")), "db_gps", "db_lat", "db_lon").where(F.col("db_lat").between(63, 67))
     close = radius_join(rows, points, 500, ("in_lat", "in_lon"), ("db_lat", "db_lon"))
     word = lambda c: F.get(text.leading_words(F.col(c), 1), F.lit(0))
     held = F.col("db_name").contains(F.col("in_title")) | F.col("in_title").contains(F.col("db_name"))
@@ -99,7 +92,7 @@ def greedy_same_place(incoming: DataFrame, catalogue: DataFrame, radius_m: float
     match is within the radius and equal in name or in English name.  Two empty English names are
     equal unless ``strict``.  Rows without a point take no part."""
     low = lambda c: F.lower(text.strip(text.nonnull(F.col(c))))
-    side = lambda df, p: with_points(df.select(F.col("id").alias(f"{p}_id"), low("name").alias(f"{p}_name"), low("name_eng").alias(f"{p}_eng"), F.col("gps").alias(f"{p}_gps")), f"{p}_gps", f"{p}_lat", f"{p}_lon")
+    side = lambda df, p: geo.with_point(df.select(F.col("id").alias(f"{p}_id"), low("name").alias(f"{p}_name"), low("name_eng").alias(f"{p}_eng"), F.col("gps").alias(f"{p}_gps")), f"{p}_gps", f"{p}_lat", f"{p}_lon")
     eng = F.col("a_eng") == F.col("b_eng")
     same = (F.col("a_name") == F.col("b_name")) | ((eng & (F.col("a_eng") != "")) if strict else eng)
     a = side(incoming, "a")

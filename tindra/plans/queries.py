@@ -153,9 +153,8 @@ _SHIFT = f"SELECT id, coalesce(name, '') AS title, {_LAT} + 0.001 AS lat, {_LON}
 
 
 def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lat, lon = geo.lenient_point(F.col("gps"))
-    rows = items(spark, sf_dir).where("id % 3 = 0").where(geo.has_location(F.col("gps")))
-    return rows.select("id", text.nonnull(F.col("name")).alias("title"), (lat + 0.001).alias("lat"), lon.alias("lon"), "lang").where("lat IS NOT NULL")
+    rows = geo.with_point(items(spark, sf_dir).where("id % 3 = 0").where(geo.has_location(F.col("gps"))), "gps", "lat", "lon")
+    return rows.select("id", text.nonnull(F.col("name")).alias("title"), (F.col("lat") + 0.001).alias("lat"), "lon", "lang")
 
 
 @query(
