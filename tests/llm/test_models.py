@@ -92,6 +92,23 @@ def test_leaks(spark):
     assert decontamination.find_leaks(df, bench.limit(0)).count() == 0 and decontamination.drop_leaks(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [480, 640, 1000, 2500])
+def test_long_items_are_leaks(spark, n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 7)))
+    item = [word() for _ in range(n)]
+    item[n * 2 // 3] += "."
+    filler = lambda k: [word() for _ in range(k)]
+    cut = n // 2
+    docs = [(1, item), (2, filler(700) + item + filler(700)), (3, filler(31) + item[:cut] + filler(n // 4) + item[cut:]), (4, filler(3 * n)), (5, filler(500) + item[: n // 3] + filler(500))]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "a short item of ten words that nothing here holds")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontamination.find_leaks(df, bench).collect()}
+    assert set(rows) == {1, 2, 3} and all(r.item_id == 7 for r in rows.values())
+    assert rows[1].overlap == rows[2].overlap == 1 and rows[3].overlap > 0.98
+    assert {r.doc_id for r in decontamination.drop_leaks(df, bench).collect()} == {4, 5}
+
+
 def test_retrieval_is_the_full_score():
     rng = np.random.default_rng(1)
     vocab = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(60)]

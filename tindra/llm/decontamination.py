@@ -13,7 +13,7 @@ passage is a query.  All passages of a slice run together, in the three steps of
 
 A retrieved pair is verified on word bigrams: of the item's question and of its answer (the last
 sentence; without several sentences the last third) the shares found in the passage and its
-neighbourhood.
+neighbourhood: a step, or the whole item's length if that is more, on both sides.
 
 Items come to the driver in shards of at most ``SHARD_CHARS`` characters; a larger benchmark takes
 more passes, so what a task receives is bounded.
@@ -61,6 +61,7 @@ class Index:
     post_impact: np.ndarray
     blocks: int
     item_of: list
+    words: list  # per segment, the length of its whole item
     question: list
     answer: list
 
@@ -85,21 +86,22 @@ def build(ids: list, texts: list[str]) -> Index | None:
     off, data = kernel.buffers(pa.array(texts, pa.string()))
     s, e, h = kernel.spans(off, data, kernel.WORDS)
     border = kernel.owners(off, s)
-    seg_words, item_of, question, answer = [], [], [], []
+    seg_words, item_of, words, question, answer = [], [], [], [], []
     raw = data.tobytes()
     for k in range(len(texts)):
         a, b = int(border[k]), int(border[k + 1])
         if a == b:
             continue
         ends = [j + 1 - a for j in range(a, b) if raw[e[j] : e[j] + 1] in (b".", b"?", b"!")]
-        q, r = split_item(texts[k], h[a:b], ends)
+        q, r = (bigrams(x) for x in split_item(texts[k], h[a:b], ends))
         for lo in range(a, b, SEGMENT):
             if lo > a and b - lo < SEGMENT // 4:
                 break  # a short rest is covered by the segment before
             seg_words.append(h[lo : min(b, lo + SEGMENT)])
             item_of.append(ids[k])
-            question.append(bigrams(q))
-            answer.append(bigrams(r))
+            words.append(b - a)
+            question.append(q)
+            answer.append(r)
     if not seg_words:
         return None
     n = len(seg_words)
@@ -140,7 +142,7 @@ def build(ids: list, texts: list[str]) -> Index | None:
         size *= 4
     return Index(
         max(64, min(SEGMENT, int(length.max()))), slots, terms, essential, np.searchsorted(term[start], np.arange(len(terms) + 1)), owner[start] // ITEMS_PER_BLOCK,
-        np.maximum.reduceat(impact, start), np.append(start, len(cell)), owner, impact, n // ITEMS_PER_BLOCK + 1, item_of, question, answer,
+        np.maximum.reduceat(impact, start), np.append(start, len(cell)), owner, impact, n // ITEMS_PER_BLOCK + 1, item_of, words, question, answer,
     )
 
 
@@ -213,7 +215,8 @@ def matches(ix: Index, texts: pa.Array) -> list[tuple]:
     for w, k, x in zip(win.tolist(), seg.tolist(), score.tolist()):
         d = int(np.searchsorted(base, w, "right")) - 1
         at = border[d] + (w - base[d]) * ix.step
-        around = h[max(border[d], at - ix.step) : min(border[d + 1], at + 3 * ix.step)]
+        margin = max(ix.step, ix.words[k])
+        around = h[max(border[d], at - margin) : min(border[d + 1], at + 2 * ix.step + margin)]
         near = np.concatenate((bigrams(around), kernel.mix(around)))  # a part of one word is its own gram
         q, a = (float(np.isin(part, near).mean()) if len(part) else 1.0 for part in (ix.question[k], ix.answer[k]))
         n_q, n_a = len(ix.question[k]), len(ix.answer[k])
