@@ -153,6 +153,24 @@ def test_secrets(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_trained_forms_are_found(spark):
+    forms = [f for f in secret_scan.labelled_findings(600, seed=5) if f["label"]]
+    said = [("password: ", "hunter2!x"), ('pwd = "', "S3cr&tPw"), ("api_key=", "Ab!9xQ"), ("SECRET_KEY = ", "QwErTyUiOpAsDfGh"), ("secret=", "".join(random.Random(2).choices("abcdefghijkmnopqrstuvwxyzABCDEFGH23456789", k=300)))]
+    cases = [(f["b"], f["v"], f["a"]) for f in forms] + [(f"so {b}", v, " after") for b, v in said]
+    df = spark.createDataFrame([(i, b + v + a) for i, (b, v, a) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    caught = 0
+    for i, (b, v, a) in enumerate(cases):
+        at = [f for f in got[i].findings if f.start == len(b)]
+        assert at and at[0].length == len(v) and at[0].digest == hashlib.sha256(v.encode()).hexdigest(), (b, v)
+        caught += at[0].secret
+        assert not at[0].secret or got[i].redacted == f"{b}[{at[0].kind.upper()}]{a}"
+    assert caught >= 0.95 * len(cases)
+    assert got[len(cases) - 1].findings[0].secret
+    plain = spark.createDataFrame([(1, "The author: Shakespeare; the authority = Parliament"), (2, "password: your_password_here1")], "doc_id long, text string")
+    assert all(r.redacted == r.text for r in secret_scan.scan(plain).collect())
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 * (x > 4)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
