@@ -230,6 +230,12 @@ def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.plain_markup(marked).alias("plain"))
 
 
+@query("strip_markup_whole")  # strip_markup's SQL holds a start of each text only
+def strip_markup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.expr(_MARKED.replace("bold", "\\'\\'bold\\'\\'").replace("substr(text, 81, 400)", "substr(text, 81)"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.plain_markup(marked).alias("plain"))
+
+
 @query("first_paragraph", "SELECT conv_id, turn, CASE WHEN length(p) > 120 THEN left(p, 120) || '...' ELSE p END AS first FROM (SELECT conv_id, turn, trim(split_part(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), chr(10) || chr(10), 1)) AS p FROM conversations) x")
 def first_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
