@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from tindra.operators import catalogue, changes, greedy, joins, matching
+from tindra.operators import catalogue, changes, greedy, ingest, joins, matching
 
 
 def metres(a, b, c, d):
@@ -135,3 +135,12 @@ def test_filters_reach_the_scan(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = docs.where(catalogue.not_tag(F.col("source"), "src7")).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "Or(IsNull(source),Not(EqualTo(source,src7)))" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_features_keep_every_meaning(spark):
+    n = 2500
+    point = F.lit(bytes.fromhex("4750000100000000" + "0101000000" + "00000000000035c0" + "0000000000005040"))  # -21 64
+    rows = spark.range(n).select(F.concat(F.lit("Name "), F.col("id")).alias("ornefni"), F.lit(None).cast("string").alias("tvinefni"), F.concat(F.lit("type"), F.col("id")).alias("nafnberi"), F.lit("A note.").alias("ornefnalysing"), F.lit(None).cast("string").alias("tilvist"), F.lit("s").alias("heimild"), point.alias("geom"))
+    meanings = spark.range(n).select(F.concat(F.lit("type"), F.col("id")).alias("nafnberi"), F.concat(F.lit("Meaning "), F.col("id"), F.lit(".")).alias("meaning"))
+    got = ingest.feature_rows([rows], meanings).select("name", "story").collect()
+    assert len(got) == n and all(f"meaning {r.name.split()[1]}." in r.story for r in got)
