@@ -1,11 +1,11 @@
-"""Near-duplicate texts: a MinHash LSH forest over word shingles, then exact verification.
+"""Near-duplicate texts: MinHash bands of fixed depths over word shingles, then exact verification.
 
 Texts with equal shingle sets (five words, folded case) are one node.  ``TREES`` tries hold the
 nodes' MinHash signatures; a tree's path is ``DEPTH`` minima.  Two nodes are candidates where they
-share a path prefix.  Matching starts at the full depth and shortens the prefix one step at a time
-until ``1 - (1 - s**depth) ** TREES``, the chance that a pair of the least wanted similarity s meets
-in some tree, reaches the target recall; sorted prefixes become equi-keys, so a trie level is an
-aggregation.  Every node links to the smallest node under its prefix (linear in the bucket); a link
+share a path prefix of a fixed depth: the full depth, or the deepest one at which ``1 - (1 -
+s**depth) ** TREES``, the chance that a pair of the least wanted similarity s meets in some tree,
+reaches the target recall.  Both depths follow from constants, so these are bands, equi-keys of an
+aggregation; no trie is descended and nothing hangs on what matched.  Every node links to the smallest node under its prefix (linear in the bucket); a link
 stays if the signatures estimate at least ``NEAR``.  Components of those links are the candidate
 groups, and all pairs inside a group are verified exactly on the shingle sets, block by block.
 
