@@ -125,6 +125,17 @@ def test_near_vectors_are_all_pairs(spark, monkeypatch, block):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [8, 32])
+def test_tables_reach_the_recall_in_few_dimensions(dim):
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, v = (unit(rng.standard_normal((3000, dim))) for _ in range(2))
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * unit(v - (v * a).sum(axis=1, keepdims=True) * a)
+    index = embeddings.learn(unit(rng.standard_normal((4096, dim))), 100_000)
+    label = np.zeros(3000, np.int64)
+    assert (index.keys(a, label) == index.keys(b, label)).any(axis=1).mean() >= 0.99
+
+
 def test_runs_cross_batches():
     import pyarrow as pa
 

@@ -55,8 +55,13 @@ def learn(sample: np.ndarray, largest: int, cosine: float = COSINE, recall: floa
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
+    bits = int(np.clip(np.ceil(np.log2(max(largest, 2))) + 3, 4, 48))
+    agree = 1 - np.arccos(cosine) / np.pi
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
+    few = 4 * bits > ROTATIONS * dim  # tables that share most of their bits add no recall: one bit each then
+    rotations = -(-bits * tables // dim) if few else ROTATIONS
     projections = []
-    for _ in range(ROTATIONS):
+    for _ in range(rotations):
         turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         v = sample @ axes
         for _ in range(STEPS):
@@ -65,9 +70,6 @@ def learn(sample: np.ndarray, largest: int, cosine: float = COSINE, recall: floa
         projections.append(axes @ turn)
     projection = np.hstack(projections)
     middle = np.median(sample @ projection, axis=0)
-    bits = int(np.clip(np.ceil(np.log2(max(largest, 2))) + 3, 4, min(48, projection.shape[1])))
-    agree = 1 - np.arccos(cosine) / np.pi
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
     places = np.stack([rng.permutation(projection.shape[1])[:bits] for _ in range(tables)])
     return Index(projection, middle, places)
 
