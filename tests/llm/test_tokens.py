@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tindra.llm import packing, token_files, tokens
+from tindra.llm import kernel, packing, token_files, tokens
 
-TEXTS = ["", "a<|endoftext|>b", "Don't \x01 J̌ ǰ ΣΑΣ İstanbul  x\x1cy 　z 12,5% ...", "Öl, ÄRGER. l'été!", "é" * 10, "x" * 3000, "a.\nb? c! " * 900, "µ ª, º. ×. ÷,", " \n\t"]
+TEXTS = ["", "a<|endoftext|>b", "Don't \x01 J̌ ǰ ΣΑΣ İstanbul  x\x1cy 　z 12,5% ...", "Öl, ÄRGER. l'été!", "é" * 10, "x" * 3000, "a.\nb? c! " * 900, "µ ª, º. ×. ÷,", " \n\t", "".join("ab"[bin(k).count("1") % 2] for k in range(1024)), "".join("ba"[bin(k).count("1") % 2] for k in range(1024))]
 ROWS = [(3, "b c."), (1, None), (2, ""), (2, ""), (None, "null id"), (9, "a.\nb? c! " * 900), *((10 + i, t) for i, t in enumerate(TEXTS))]
 
 
@@ -30,6 +30,28 @@ def test_ids_are_the_librarys(library):
     assert [ids[a:b].tolist() for a, b in zip(border, border[1:])] == [library(t) for t in TEXTS]
 
 
+def thue_morse(n):
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[k] for k in bits), "".join("ba"[k] for k in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_self_similar_words_keep_their_ids(library, n):
+    texts = [*thue_morse(n), f"{thue_morse(n)[1]} {thue_morse(n)[0]}"]
+    ids, border, _ = tokens.ChunkTokenizer(tokens.default_vocabulary()).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(border, border[1:])] == [library(t) for t in texts]
+
+
+def test_chunks_under_one_hash_keep_their_ids(library, monkeypatch):
+    true = kernel.word_hashes
+    monkeypatch.setattr(kernel, "word_hashes", lambda b, s, e, key=kernel._KEYS[0]: true(b, s, e, key) if key != kernel._KEYS[0] else true(b, s, e) % np.uint64(5))
+    texts = [" ".join(TEXTS), "one two three four five six seven eight nine ten and a considerably longer one"]
+    tok = tokens.ChunkTokenizer(tokens.default_vocabulary())
+    for _ in range(2):
+        ids, border, _ = tok.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(border, border[1:])] == [library(t) for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aB é.,'sÄ\n1J̌Σ中", max_size=30), max_size=6))
 def test_ids_of_any_text(texts):

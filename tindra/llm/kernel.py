@@ -4,10 +4,9 @@ Every text operator of this subpackage that runs in Python starts from the same
 arrays - the word starts, the word ends and a 64-bit hash of each word - which are computed from
 the UTF-8 buffer of an Arrow column without creating a Python object per word.
 
-The hash of a word is a polynomial in its bytes, relative to the word's start, so it does not
-depend on where the word stands.  It comes from a prefix sum over the buffer: with
-``C[i] = sum(b[j] * P**j for j < i)`` the word ``[s, e)`` hashes to ``(C[e] - C[s]) * P**-s``
-(arithmetic modulo 2**64, P odd), followed by a bit mixer.
+The hash of a word reads it eight bytes at a time, from its start, so it does not depend on where the
+word stands.  Every eight bytes go through a non-linear bit mixer with a key of their own before they
+are added up, so no arithmetic relation between the bytes of two words makes them meet.
 """
 
 from __future__ import annotations
@@ -19,26 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
+_KEYS = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))  # of the hash and of the check
+_CUT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_NEAR_CHUNKS = 8  # eights of a word that are read one after the other; the rest of longer words at once
 BLOCK = 1 << 20  # bytes hashed at once; a longer word makes its block longer
 SLICE = 1 << 22  # bytes of text that one slice of a batch holds, one longer text excepted
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK + 1)
-        out = []
-        for base in (_P, _PINV):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _powers = (out[0], out[1])
-    return _powers
-
-
 def word_table() -> np.ndarray:
     """Byte map of words: ASCII letters (folded to lower case), digits and all bytes of non-ASCII
     characters belong to words; 0 marks a separator."""
@@ -74,6 +59,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def word_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray, key: np.uint64 = _KEYS[0]) -> np.ndarray:
+    """Hashes of the words [s, e) of a byte buffer."""
+    padded = np.concatenate((b, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))
+    n = e - s
+    out = mix((eights[s] & _CUT[np.minimum(n, 8)]) ^ key) + n.astype(np.uint64) * np.uint64(_P)
+    for k in range(1, _NEAR_CHUNKS):
+        more = np.flatnonzero(n > 8 * k)
+        if not len(more):
+            break
+        at = s[more] + 8 * k
+        out[more] += mix((eights[at] & _CUT[np.minimum(n[more] - 8 * k, 8)]) ^ mix(np.array([key]) + np.uint64(k)))
+    far = np.flatnonzero(n > 8 * _NEAR_CHUNKS)
+    if len(far):
+        count = -(-n[far] // 8) - _NEAR_CHUNKS
+        k = ragged(np.full(len(far), _NEAR_CHUNKS), count)
+        own = np.repeat(far, count)
+        parts = mix((eights[s[own] + 8 * k] & _CUT[np.minimum(n[own] - 8 * k, 8)]) ^ mix(key + k.astype(np.uint64)))
+        out[far] += np.add.reduceat(parts, np.cumsum(count) - count)
+    return mix(out)
+
+
+def word_checks(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A second number per word, independent of its hash: the bytes themselves up to eight."""
+    padded = np.concatenate((b, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))
+    out = eights[s] & _CUT[np.minimum(e - s, 8)]
+    long = np.flatnonzero(e - s > 8)
+    if len(long):
+        out[long] = word_hashes(b, s[long], e[long], _KEYS[1])
+    return out
+
+
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (from 0) and bytes of a string column; null counts as the empty text."""
     if isinstance(arr, pa.ChunkedArray):
@@ -99,10 +117,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[p
         i = j
 
 
-def spans(off: np.ndarray, data: np.ndarray, lut: np.ndarray, hashes: bool = True, trim: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(off: np.ndarray, data: np.ndarray, lut: np.ndarray, hashes: bool = True, trim: bool = False, checks: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the runs that ``lut`` does not map to 0, within texts.
 
-    ``trim`` leaves a closing stop or comma out of a run that has a letter before it."""
+    ``trim`` leaves a closing stop or comma out of a run that has a letter before it; ``checks`` takes
+    arrays of the words' second numbers."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -143,14 +162,12 @@ def spans(off: np.ndarray, data: np.ndarray, lut: np.ndarray, hashes: bool = Tru
         e = on.copy()
         e[:-1] &= ~on[1:] | first[1:-1]
         s, e = np.flatnonzero(s), np.flatnonzero(e) + 1
+        if trim:
+            e = e - trim_stop(b, s, e)
         if hashes:
-            p, q = _power_tables(hi - lo + 1)
-            c = np.empty(hi - lo + 1, np.uint64)
-            c[0] = 0
-            np.cumsum(b.astype(np.uint64) * p[: hi - lo], out=c[1:])
-            if trim:
-                e = e - trim_stop(b, s, e)
-            hs.append(mix((c[e] - c[s]) * q[s] + (e - s).astype(np.uint64)))
+            hs.append(word_hashes(b, s, e))
+        if checks is not None:
+            checks.append(word_checks(b, s, e))
         starts.append(s + lo)
         ends.append(e + lo)
         lo = hi

@@ -2,7 +2,8 @@
 
 Text is cut at ASCII white space.  The vocabulary's normaliser and pre-tokeniser never look across
 white space and drop it, so the ids of a text are the ids of its chunks in order.  Distinct chunks
-are encoded by the library once per worker and kept by their 64-bit hash; all other work is numpy.
+are encoded by the library once per worker and kept by their 64-bit hash; a hit must agree in a second
+number too (the bytes themselves up to eight, an independent hash beyond).  All other work is numpy.
 """
 
 from __future__ import annotations
@@ -40,10 +41,13 @@ class ChunkTokenizer:
         self.bytes = _byte_letters()
         self.stops = {c: self.tok.encode(chr(c), add_special_tokens=False).ids for c in (46, 44)}
         assert all(len(x) == 1 for x in self.stops.values())
+        self.epoch = 0
         self.clear()
 
     def clear(self) -> None:
+        self.epoch += 1
         self.keys = np.zeros(1, np.uint64)  # entry 0 is no chunk
+        self.checks = np.zeros(1, np.uint64)
         self.at = np.zeros(1, np.int64)
         self.len = np.zeros(1, np.int64)
         self.n = 1
@@ -77,15 +81,15 @@ class ChunkTokenizer:
         flat = np.fromiter((x for o in out for x in o), np.uint32, int(lens.sum()))
         return flat, lens
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, chunks: list[str]) -> None:
         ids, lens = self._encode_chunks(chunks)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         while self.n + len(keys) > len(self.keys):
-            self.keys, self.at, self.len = (np.concatenate((x, np.zeros_like(x))) for x in (self.keys, self.at, self.len))
+            self.keys, self.checks, self.at, self.len = (np.concatenate((x, np.zeros_like(x))) for x in (self.keys, self.checks, self.at, self.len))
         self.pool[self.used : self.used + len(ids)] = ids
         new = slice(self.n, self.n + len(keys))
-        self.keys[new] = keys
+        self.keys[new], self.checks[new] = keys, checks
         self.at[new] = self.used + np.concatenate(([0], np.cumsum(lens)[:-1]))
         self.len[new] = lens
         pos = np.searchsorted(self.sorted, keys)
@@ -93,8 +97,18 @@ class ChunkTokenizer:
         self.entry = np.insert(self.entry, pos, np.arange(new.start, new.stop, dtype=np.int32))
         self.n, self.used = new.stop, self.used + len(ids)
 
-    def _entries(self, h: np.ndarray, text_of) -> np.ndarray:
+    def _entries(self, h: np.ndarray, check: np.ndarray, text_of) -> np.ndarray:
         """The cache entry of each chunk; chunks that are not there yet are encoded."""
+        got = self._places(h, check, text_of)
+        wrong = np.flatnonzero(self.checks[got] != check)
+        if len(wrong):  # another chunk with the same hash holds the place: these go under the check's hash
+            got, epoch = got.copy(), self.epoch
+            got[wrong] = self._entries(kernel.mix(h[wrong] ^ kernel.mix(check[wrong])), check[wrong], lambda which: text_of(wrong[which]))
+            if self.epoch != epoch:  # the cache was emptied on the way
+                return self._entries(h, check, text_of)
+        return got
+
+    def _places(self, h: np.ndarray, check: np.ndarray, text_of) -> np.ndarray:
         slot = (h & np.uint64(FRONT - 1)).astype(np.int64)
         got = self.front[slot]
         miss = np.flatnonzero(self.keys[got] != h)
@@ -103,13 +117,13 @@ class ChunkTokenizer:
         u, first, inv = np.unique(h[miss], return_index=True, return_inverse=True)
         if self.n + len(u) > CACHE_CHUNKS and self.n > 1:
             self.clear()
-            return self._entries(h, text_of)
+            return self._places(h, check, text_of)
         pos = np.searchsorted(self.sorted, u)
         known = np.zeros(len(u), bool)
         inside = pos < len(self.sorted)
         known[inside] = self.sorted[pos[inside]] == u[inside]
         if not known.all():
-            self._learn(u[~known], text_of(miss[first[~known]]))
+            self._learn(u[~known], check[miss[first[~known]]], text_of(miss[first[~known]]))
             pos = np.searchsorted(self.sorted, u)
         entry = self.entry[pos]
         self.front[(u & np.uint64(FRONT - 1)).astype(np.int64)] = entry
@@ -119,7 +133,8 @@ class ChunkTokenizer:
 
     def encode(self, texts: pa.Array, sentences: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         off, data = kernel.buffers(texts)
-        s, e, h = kernel.spans(off, data, kernel.CHUNKS, trim=True)
+        checks: list[np.ndarray] = []
+        s, e, h = kernel.spans(off, data, kernel.CHUNKS, trim=True, checks=checks)
         border = kernel.owners(off, s)
         raw: list[bytes] = []
 
@@ -127,7 +142,7 @@ class ChunkTokenizer:
             raw[:] = raw or [data.tobytes()]
             return [c.lower() if (c := raw[0][a:b].decode("utf-8", "replace")).isascii() or max(c) < "\u0100" else c for a, b in zip(s[which].tolist(), e[which].tolist())]
 
-        got = self._entries(h, text_of)
+        got = self._entries(h, np.concatenate(checks) if checks else h, text_of)
         # a stop or comma that was left out follows its chunk as one id
         nxt = data[np.minimum(e, len(data) - 1)] if len(data) else e
         limit = off[np.searchsorted(off, s, "right")] if len(s) else e
