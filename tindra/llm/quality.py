@@ -7,8 +7,8 @@ fitted trees are flattened to arrays (feature, threshold, children, value), and
 walk all trees level by level with numpy gathers.
 
 Semantics: null and empty texts have all statistics 0 and are scored like others; a null id is kept;
-rows that share an id are scored apart; without labels of both kinds every score is the labels' mean
-(0 without any); extra columns are ignored.
+rows that share an id are scored apart; an id with different labels is left out of the training;
+without labels of both kinds every score is the labels' mean (0 without any); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -189,9 +189,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Forest:
 
 def train(docs: DataFrame, labels: DataFrame, label_column: str, usable, id_column: str = "doc_id", text_column: str = "text") -> Forest:
     """Fits on at most ``TRAIN_DOCS`` labelled rows for which ``usable`` holds; only their statistics
-    come to the driver."""
-    known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(usable).dropDuplicates(["doc_id"])
-    sample = shared.bounded_sample(known, "doc_id", TRAIN_DOCS)
+    come to the driver, as many rows as the bound even where documents share an id."""
+    sample = shared.bounded_sample(toxicity.consistent(labels, label_column, usable, id_column), "doc_id", TRAIN_DOCS)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
 
     def run(batches):
@@ -200,7 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str, usable, id_colu
                 x = statistics(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "label", "x"])
 
-    got = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, x array<float>").toArrow().sort_by("doc_id")
+    stats = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, x array<float>")
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.xxhash64("x")]
+    got = stats.orderBy(*order).limit(TRAIN_DOCS).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float32).reshape(got.num_rows, len(NAMES))
     return fit(x, np.asarray(got.column("label")).astype(np.float64))
 

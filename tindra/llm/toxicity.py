@@ -4,15 +4,19 @@ A word is the sum of two hashed embeddings, one of the whole word and one of its
 inflected forms of a stem share it).  Filters of several widths slide over the words of the whole
 text, each keeps its largest activation, and a logistic layer reads those.  The loss gradient only
 reaches the words under the largest activations, so training is cheap: it runs on the driver over a
-bounded sample of labelled rows (``TRAIN_DOCS``), stochastic gradients with Adam.
+bounded sample of labelled rows, stochastic gradients with Adam.  The sample is the first rows in hashed
+order, at most ``TRAIN_DOCS`` of them and as many as hold ``TRAIN_WORDS`` words together; executors hash
+the whole texts, and only four bytes a word come to the driver.  Activations are pooled strip by strip,
+so one very long text takes no more memory than many short ones.
 
 Decision thresholds are calibrated per language on a part of the sample that training does not see.
 The language is guessed from function words in the text, never read from a column.  The calibration
 shifts a language's logits so that its threshold lies at ``CUT``: score >= CUT means toxic.
 
 Semantics: null and empty texts get the score of a text without words; a null id is kept (its
-held_out is null); rows that share an id are scored apart; without labels of both kinds every score
-is the labels' mean (0 without any); extra columns are ignored.
+held_out is null); rows that share an id are scored apart; an id with different labels is left out of
+the training; without labels of both kinds every score is the labels' mean (0 without any); extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tindra.llm import kernel, shared
 
-TRAIN_DOCS = 6000  # bound of the labelled sample
-TRAIN_CHARS = 200_000  # longer texts are not sampled for training (they are scored like all others)
+TRAIN_DOCS, TRAIN_WORDS = 6000, 4_000_000  # bounds of the labelled sample
+STRIP = 1 << 15  # words whose activations are held at once
 CUT = 0.3
 SLOTS, PREFIX_SLOTS, DIM, FILTERS, WIDTHS = 1 << 15, 1 << 14, 16, 8, (1, 2, 3)
 PREFIX_BYTES = 4
@@ -60,13 +65,15 @@ def _language_table() -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Text:
-    """Hashed words of some texts: slots, prefix slots, borders, guessed language."""
+    """Hashed words of some texts: word and prefix slots in one number each, borders, guessed language."""
 
-    word: np.ndarray
-    prefix: np.ndarray
+    code: np.ndarray
     border: np.ndarray
     lang: np.ndarray
 
+    def slots(self, at=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        return self.code[at] & np.uint32(SLOTS - 1), self.code[at] >> np.uint32(16)
+
 
 _lang_table: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -90,7 +97,8 @@ def hashed(texts: pa.Array) -> Text:
     doc = np.repeat(np.arange(n), np.diff(border))
     count = np.bincount(doc * 5 + said, minlength=5 * n).reshape(n, 5)[:, 1:]
     lang = np.where(count.max(axis=1, initial=0) > 0, count.argmax(axis=1) + 1, 0) if n else np.zeros(0, np.int64)
-    return Text((kernel.mix(h ^ HASH_KEY) & np.uint64(SLOTS - 1)).astype(np.int64), (kernel.mix(code) & np.uint64(PREFIX_SLOTS - 1)).astype(np.int64), border, lang)
+    code = (kernel.mix(code) & np.uint64(PREFIX_SLOTS - 1)) << np.uint64(16) | kernel.mix(h ^ HASH_KEY) & np.uint64(SLOTS - 1)
+    return Text(code.astype(np.uint32), border, lang)
 
 
 @dataclass
@@ -111,36 +119,46 @@ class Model:
         # words start near 0, so that a word never trained on says nothing
         return Model(f32(SLOTS, DIM, s=0.01), f32(PREFIX_SLOTS, DIM, s=0.01), f32(DIM, places * FILTERS, s=0.3), np.zeros((len(WIDTHS), FILTERS), np.float32), f32(len(WIDTHS) * FILTERS, s=0.3), base)
 
-    def activations(self, text: Text) -> list[np.ndarray]:
-        """Per width, filter activations at every word (missing words after the end count as 0)."""
-        x = self.word[text.word] + self.prefix[text.prefix]
-        y = x @ self.filters
-        ends = text.border[1:][np.diff(text.border) > 0]
-        out, place = [], 0
-        for w, width in enumerate(WIDTHS):
-            z = y[:, place * FILTERS : (place + 1) * FILTERS] + self.bias[w]
-            for k in range(1, width):
-                nxt = y[:, (place + k) * FILTERS : (place + k + 1) * FILTERS]
-                z[:-k] += nxt[k:]
-                for j in range(1, k + 1):  # undo what reached over a text's end
-                    at = ends - j
-                    at = at[(at >= 0) & (at + k < len(z))]
-                    z[at] -= nxt[at + k]
-            out.append(z)
-            place += width
-        return out
-
-    def pooled(self, text: Text, acts: list[np.ndarray] | None = None) -> np.ndarray:
-        n = len(text.border) - 1
-        full = np.flatnonzero(np.diff(text.border) > 0)
-        out = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
-        if len(full):
-            for w, z in enumerate(acts or self.activations(text)):
-                out[full, w * FILTERS : (w + 1) * FILTERS] = np.maximum(np.maximum.reduceat(z, text.border[full], axis=0), 0)
-        return out
+    def pooled(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
+        """Per text and filter the largest activation, at least 0, and the word it starts at (missing
+        words after a text's end count as 0)."""
+        size = len(WIDTHS) * FILTERS
+        top, place = np.zeros((len(text.border) - 1, size), np.float32), np.zeros((len(text.border) - 1, size), np.int64)
+        n = len(text.code)
+        for lo in range(0, n, STRIP):
+            hi = min(n, lo + STRIP)
+            word, prefix = text.slots(slice(lo, min(n, hi + max(WIDTHS) - 1)))
+            y = (self.word[word] + self.prefix[prefix]) @ self.filters
+            first, last = np.searchsorted(text.border, lo, "right") - 1, np.searchsorted(text.border, hi, "left")
+            docs = np.arange(first, last)
+            docs = docs[text.border[docs + 1] > text.border[docs]]
+            starts = np.maximum(text.border[docs], lo) - lo
+            ends = text.border[docs + 1] - lo
+            owner = np.repeat(np.arange(len(docs)), np.minimum(ends, hi - lo) - starts)
+            col = 0
+            for w, width in enumerate(WIDTHS):
+                z = y[: hi - lo, col * FILTERS : (col + 1) * FILTERS] + self.bias[w]
+                for k in range(1, width):
+                    nxt = y[:, (col + k) * FILTERS : (col + k + 1) * FILTERS]
+                    z[: len(nxt) - k] += nxt[k : k + len(z)]
+                    for j in range(1, k + 1):  # undo what reached over a text's end
+                        at = ends - j
+                        at = at[(at >= 0) & (at < len(z)) & (at + k < len(nxt))]
+                        z[at] -= nxt[at + k]
+                col += width
+                here = slice(w * FILTERS, (w + 1) * FILTERS)
+                most = np.maximum.reduceat(z, starts, axis=0)
+                row, f = np.nonzero(z == most[owner])
+                key, once = np.unique(owner[row] * FILTERS + f, return_index=True)
+                at = np.zeros(most.shape, np.int64)
+                at.ravel()[key] = row[once] + lo
+                more = most > top[docs, here]
+                place[docs, here] = np.where(more, at, place[docs, here])
+                top[docs, here] = np.where(more, most, top[docs, here])
+        return top, place
 
     def logits(self, text: Text) -> np.ndarray:
-        return self.pooled(text) @ self.out + self.base
+        return self.pooled(text)[0] @ self.out + self.base
 
     def score(self, text: Text) -> np.ndarray:
         if self.constant is not None:
@@ -169,8 +187,7 @@ class Adam:
 
 def take(text: Text, rows: np.ndarray) -> Text:
     lens = np.diff(text.border)[rows]
-    at = kernel.ragged(text.border[:-1][rows], lens)
-    return Text(text.word[at], text.prefix[at], np.concatenate(([0], np.cumsum(lens))), text.lang[rows])
+    return Text(text.code[kernel.ragged(text.border[:-1][rows], lens)], np.concatenate(([0], np.cumsum(lens))), text.lang[rows])
 
 
 def fit(text: Text, label: np.ndarray, seed: int = 7) -> Model:
@@ -200,39 +217,26 @@ def fit(text: Text, label: np.ndarray, seed: int = 7) -> Model:
 
 def _descend(model: Model, base: np.ndarray, adam: Adam, part: Text, y: np.ndarray) -> None:
     adam.t += 1
-    acts = model.activations(part)
-    pooled = model.pooled(part, acts)
+    pooled, top = model.pooled(part)
     g = ((sigmoid(pooled @ model.out + base[0]) - y) / len(y)).astype(np.float32)
     g_pool = g[:, None] * model.out * (pooled > 0)
     g_out = pooled.T @ g + 1e-5 * model.out
-    x_word, x_pre = part.word, part.prefix
     g_filters, g_bias = np.zeros_like(model.filters), np.zeros_like(model.bias)
     rows, grads, pres = [], [], []
     place = 0
-    last = np.repeat(part.border[1:], np.diff(part.border))
     for w, width in enumerate(WIDTHS):
-        z = acts[w]
         d, f = np.nonzero(g_pool[:, w * FILTERS : (w + 1) * FILTERS])
         if len(d):
-            gv = g_pool[d, w * FILTERS + f]
-            lens = np.diff(part.border)[d]
-            flat = kernel.ragged(part.border[d], lens)
-            vals = z[flat, np.repeat(f, lens)]
-            begin = np.cumsum(lens) - lens
-            top = np.repeat(np.maximum.reduceat(vals, begin), lens)
-            hit = np.flatnonzero(vals == top)
-            firsts = hit[np.searchsorted(hit, begin)]
-            pos = flat[firsts]
+            gv, pos = g_pool[d, w * FILTERS + f], top[d, w * FILTERS + f]
             np.add.at(g_bias[w], f, gv)
             for k in range(width):
-                ok = pos + k < last[pos]
-                at, col = pos[ok] + k, (place + k) * FILTERS + f[ok]
-                emb = model.word[x_word[at]] + model.prefix[x_pre[at]]
-                np.add.at(g_filters.T, col, gv[ok, None] * emb)
-                ge = gv[ok, None] * model.filters[:, col].T
-                rows.append(x_word[at])
-                pres.append(x_pre[at])
-                grads.append(ge)
+                ok = pos + k < part.border[d + 1]
+                word, prefix = part.slots(pos[ok] + k)
+                col = (place + k) * FILTERS + f[ok]
+                np.add.at(g_filters.T, col, gv[ok, None] * (model.word[word] + model.prefix[prefix]))
+                rows.append(word)
+                pres.append(prefix)
+                grads.append(gv[ok, None] * model.filters[:, col].T)
         place += width
     adam.step("out", model.out, g_out)
     adam.step("base", base, np.array([g.sum()], np.float32))
@@ -272,13 +276,36 @@ def calibrate(model: Model, text: Text, y: np.ndarray, least: int = 12) -> None:
             model.shift[lang] = goal - best_cut(logit[m], y[m])
 
 
+def consistent(labels: DataFrame, label_column: str, usable, id_column: str = "doc_id") -> DataFrame:
+    """doc_id and label of the ids that have one label, 0 or 1."""
+    named = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(usable)
+    return named.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_top")).where("label = _top").drop("_top")
+
+
 def train(docs: DataFrame, labels: DataFrame, label_column: str, usable, id_column: str = "doc_id", text_column: str = "text") -> Model:
-    """Fits on at most ``TRAIN_DOCS`` labelled rows for which ``usable`` (a condition on the id) holds."""
-    known = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(usable).dropDuplicates(["doc_id"])
-    sample = shared.bounded_sample(known, "doc_id", TRAIN_DOCS)
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").toArrow().sort_by("doc_id")  # bounded by the sample
-    return fit(hashed(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())), np.asarray(rows.column("label")).astype(np.float32))
+    """Fits on a bounded sample of the labelled rows for which ``usable`` (a condition on the id) holds."""
+    sample = shared.bounded_sample(consistent(labels, label_column, usable, id_column), "doc_id", TRAIN_DOCS)
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in kernel.slices(batch, "text"):
+                text = hashed(piece.column("text"))
+                codes = [text.code[a:b].astype("<u4").tobytes() for a, b in zip(text.border[:-1].tolist(), text.border[1:].tolist())]
+                cols = [piece.column("doc_id"), piece.column("label"), pa.array(text.lang, pa.int32()), pa.array(np.diff(text.border), pa.int64()), pa.array(codes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "label", "lang", "words", "code"])
+
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, lang int, words long, code binary")
+    stored = shared.settle(rows.withColumn("row", F.monotonically_increasing_id()), "training-words")
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.xxhash64("code"), F.col("row")]
+    sizes = stored.orderBy(*order).limit(TRAIN_DOCS).select("row", "words").toArrow()  # two numbers a row
+    chosen = np.asarray(sizes.column("row"))[np.cumsum(np.asarray(sizes.column("words"))) <= TRAIN_WORDS]
+    got = stored.where(F.col("row").isin(chosen.tolist())).select("doc_id", "row", "label", "lang", "words", "code").toArrow()  # at most TRAIN_WORDS words
+    got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending"), ("row", "ascending")]))
+    border = np.concatenate(([0], np.cumsum(np.asarray(got.column("words"))))).astype(np.int64)
+    code = np.frombuffer(b"".join(got.column("code").to_pylist()), "<u4")
+    return fit(Text(code, border, np.asarray(got.column("lang")).astype(np.int64)), np.asarray(got.column("label")).astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
