@@ -83,9 +83,49 @@ def test_near_copies_odd_rows(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_stop_depth_reaches_the_recall():
-    d = near_copies.stop_depth()
-    assert 1 - (1 - 0.8**d) ** near_copies.TREES >= near_copies.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_copies.TREES
+def test_repeated_ids_and_very_long_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 4000)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    long = [word() for _ in range(60_000)]
+    near = list(long)
+    near[100] = "other"
+    bits = lambda x: "".join(x[bin(k).count("1") % 2] for k in range(4096))
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:30_000])), (4, bits("ab")), (5, bits("ba")), (4, bits("ab")), (9, "one of many under one name")]
+    rows += [(9, " ".join(word() for _ in range(30))) for _ in range(50)]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {r.doc_id: (r.n_links, r.component_id) for r in got}
+    assert len(got) == len(rows) and by[1] == by[2] == (1, 1) and by[3] == (0, 3) and by[4] == (1, 4) and by[5] == (0, 5)
+    assert all(r.n_links == 0 for r in got if r.doc_id == 9)
+
+
+def test_prefixes_shorten_to_the_recall():
+    d = near_copies.stop_depth({})
+    assert near_copies.expected(d) >= near_copies.RECALL > near_copies.expected(d + 1)
+    assert near_copies.stop_depth({near_copies.DEPTH: 10**9}) == near_copies.DEPTH  # all pairs seen meet at the whole path
+    assert near_copies.stop_depth({3: 10**6, near_copies.DEPTH: 10**6}) == 3  # half of them only at three minima
+
+
+def test_probes_are_at_the_least_similarity():
+    sets = [np.unique(np.random.default_rng(k).integers(1, 1 << 62, n, np.uint64)) for k, n in enumerate((3, 9, 90, 900))]
+    codes = near_copies.probe(sets, near_copies.signatures(sets), np.array([0, 1, 2, 3]))
+    counts = [[c >> 4 * d & 15 for d in range(near_copies.DEPTH + 1)] for c in codes]
+    assert all(sum(c) == near_copies.PARTNERS for c in counts)
+    assert counts[0][near_copies.DEPTH] == near_copies.PARTNERS  # no set of three has a partner but itself
+
+
+def test_runs_that_cross_tasks_are_one(spark):
+    rows = [(0, 7 << 40, k) for k in range(500)] + [(1, k << 20, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "tree int, path long, node long").repartitionByRange(9, "tree", "path", "node").sortWithinPartitions("tree", "path", "node")
+    found = near_copies._matched(df, 6).collect()
+    pairs = [(r.a, r.b) for r in found if r.b is not None]
+    by = {}
+    for r in found:
+        if r.b is None:
+            by.setdefault((r.tree, r.level, r.key), []).append(r.a)
+    pairs += [(x, min(v)) for v in by.values() for x in v]
+    assert len(set(groups(500, pairs))) == 1
+    assert not [p for p in by if p[0] == 1 and len(by[p]) > 1 and p[1] > 6]  # the other tree's paths all differ
 
 
 def vectors():
@@ -125,15 +165,53 @@ def test_near_vectors_are_all_pairs(spark, monkeypatch, block):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dim", [8, 32])
-def test_tables_reach_the_recall_in_few_dimensions(dim):
+unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def clouds():
+    rng = np.random.default_rng(17)
+    for offset in (0, 1, 2, 3):
+        x = rng.standard_normal((1500, 24)) + offset
+        yield f"offset {offset}", np.vstack((x, x[:500] + rng.standard_normal((500, 24)) * 0.33 * np.linalg.norm(x[:500], axis=1, keepdims=True) / 24**0.5))
+    x = rng.standard_normal((2000, 32)) * 0.8 ** np.arange(32)
+    yield "skewed axes", np.vstack((x, x[:500] + rng.standard_normal((500, 32)) * 0.05))
+    yield "few dimensions", rng.standard_normal((2500, 6))
+
+
+@pytest.mark.parametrize("name, x", list(clouds()), ids=lambda v: v if isinstance(v, str) else "")
+def test_recall_on_all_kinds_of_clouds(name, x):
+    x = unit(x)
+    a, b = np.nonzero(np.triu(x @ x.T >= embeddings.COSINE, 1))
+    assert len(a) > 200
+    index = embeddings.learn(x[np.random.default_rng(1).permutation(len(x))[:1000]], {12})
+    keys = np.stack(index.keys(x, np.zeros(len(x), np.int64), np.full(len(x), 12)))
+    met = (keys[a] == keys[b]).any(axis=1).mean()
+    print(name, index.plans, met)
+    assert met >= 0.99
+
+
+@pytest.mark.parametrize("dim", [8, 64])
+def test_recall_at_the_threshold_in_large_labels(dim):
     rng = np.random.default_rng(dim)
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     a, v = (unit(rng.standard_normal((3000, dim))) for _ in range(2))
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * unit(v - (v * a).sum(axis=1, keepdims=True) * a)
-    index = embeddings.learn(unit(rng.standard_normal((4096, dim))), 100_000)
-    label = np.zeros(3000, np.int64)
-    assert (index.keys(a, label) == index.keys(b, label)).any(axis=1).mean() >= 0.99
+    index = embeddings.learn(unit(rng.standard_normal((4096, dim))), {17})
+    keys = [np.stack(index.keys(x, np.zeros(3000, np.int64), np.full(3000, 17))) for x in (a, b)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.99
+    assert index.plans[17][0] >= 8  # a real code, not one bucket
+
+
+def test_vectors_with_a_common_offset_link_as_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1200, 16)) + 2
+    x = np.vstack((x, x[:100], x[:1].repeat(50, axis=0)))
+    near = unit(x) @ unit(x).T >= 0.93
+    rows = [(k, v.tolist(), k % 2) for k, v in enumerate(x)]
+    label = np.arange(len(x)) % 2
+    want = (near & (label[:, None] == label[None, :])).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    got = np.array([got[k] for k in range(len(x))])
+    assert abs(got - want).sum() <= 0.02 * want.sum() and (got <= want + 1).all()
 
 
 def test_runs_cross_batches():

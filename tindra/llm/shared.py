@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own where it is unset,
-    as in tests on one machine."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own where it is unset
+    on one machine.  On a cluster it must be set: executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tindra-"))
         spark.sparkContext.setCheckpointDir(base)
@@ -62,6 +65,23 @@ def publish(path: str, data: bytes) -> None:
     store.move(fs.FileSystem.from_uri(temp)[1] if "://" in temp or temp.startswith("file:") else temp, inner)
 
 
+HOT_SHARES = 2000  # a key over 1 / HOT_SHARES of the rows is hot, so there are at most that many
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``table`` (unique keys) without a task per hot key.
+
+    ``weight`` is the number of rows of a key, ``total`` that of all rows: keys over a fixed share are
+    few whatever the data, so they are broadcast; rows with a null key meet nothing and stay where they
+    are; all others meet in a shuffle.  Both sides should be settled, they are read up to three times."""
+    bound = total // HOT_SHARES
+    hot = F.broadcast(table.where(F.col(weight) > bound))
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    seen = rows.where(whole).join(hot, keys, "left")
+    cold = rows.where(whole).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= bound), keys, "left")
+    return seen.where(F.col(weight).isNotNull()).unionByName(cold).unionByName(rows.where(~whole), allowMissingColumns=True)
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, the ones whose hashed key is smallest: the same for every plan."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(rows)
