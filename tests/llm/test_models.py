@@ -109,6 +109,38 @@ def test_long_items_are_leaks(spark, n):
     assert {r.doc_id for r in decontamination.drop_leaks(df, bench).collect()} == {4, 5}
 
 
+@pytest.mark.parametrize("n", [10, 23, 96, 110, 130, 700, 5000])
+def test_items_of_any_length_with_changed_words_are_leaks(n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(4, 8)))
+    item = [word() for _ in range(n)]
+    changed = list(item)
+    for k in rng.sample(range(n), n // 10):
+        changed[k] = word()
+    filler = lambda k: [word() for _ in range(k)]
+    ix = decontamination.build([7, 8], [" ".join(item), "another item of ten words that no text here holds"])
+    docs = [item, filler(777) + item + filler(50), changed, filler(333) + changed + filler(400), filler(900), filler(200) + item[: n // 4] + filler(200)]
+    assert {r[0] for r in decontamination.matches(ix, pa.array([" ".join(d) for d in docs]))} == {0, 1, 2, 3}
+
+
+def test_self_similar_words_are_apart_in_the_index():
+    bits = lambda x: "".join(x[bin(k).count("1") % 2] for k in range(4096))
+    ix = decontamination.build([1], [f"{bits('ab')} and a few more words here"])
+    assert [r[:2] for r in decontamination.matches(ix, pa.array([f"{bits('ba')} and a few more words here", f"{bits('ab')} and a few more words here"])) if r[6] == 1] == [(1, 1)]
+
+
+def test_index_grows_with_its_terms():
+    words = [f"w{k}" for k in range(200_000)]
+    ix = decontamination.build(list(range(2000)), [" ".join(words[100 * k : 100 * k + 100]) for k in range(2000)])
+    assert len(ix.terms) == 200_000 and ix.first.nbytes + ix.terms.nbytes < 24 * len(ix.terms)
+    from tindra.llm import kernel
+
+    off, data = kernel.buffers(pa.array([" ".join(words) + " absent"]))
+    h = kernel.spans(off, data, kernel.WORDS)[2]
+    got = ix.lookup(h)
+    assert (ix.terms[got[:-1]] == h[:-1]).all() and got[-1] == -1
+
+
 def test_retrieval_is_the_full_score():
     rng = np.random.default_rng(1)
     vocab = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(60)]

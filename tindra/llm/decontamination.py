@@ -1,6 +1,6 @@
 """Benchmark decontamination: BM25 over test items, block-max WAND, overlap of question and answer.
 
-The test items (long ones in segments) form an inverted index.  An item's BM25 impacts are divided by
+The test items (long ones in segments, which together cover every word) form an inverted index.  An item's BM25 impacts are divided by
 their sum, so a passage that holds every word of an item scores 1 for it.  Every document is cut into
 overlapping passages of ``2 * step`` words, wide enough that any segment lies inside one, and every
 passage is a query.  All passages of a slice run together, in the three steps of block-max WAND:
@@ -50,8 +50,8 @@ def bigrams(h: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     step: int
-    slots: np.ndarray  # term number + 1 by hash slot
-    terms: np.ndarray
+    terms: np.ndarray  # hashes, ascending
+    first: np.ndarray  # per value of a hash's top bits, the first term that has it
     essential: np.ndarray
     cell_start: np.ndarray  # per term, its (term, block) cells
     cell_block: np.ndarray
@@ -67,11 +67,16 @@ class Index:
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Term numbers, -1 for words that no item has."""
-        mask = np.uint64(len(self.slots) - 1)
-        a = self.slots[(h & mask).astype(np.int64)]
-        b = self.slots[((h >> np.uint64(32)) & mask).astype(np.int64)]
-        out = np.where((a > 0) & (self.terms[a - 1] == h), a, np.where((b > 0) & (self.terms[b - 1] == h), b, 0))
-        return out - 1
+        top = (h >> np.uint64(65 - len(self.first).bit_length())).astype(np.int64)
+        at, end = self.first[top], self.first[top + 1]
+        out = np.full(len(h), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            same = self.terms[at[live]] == h[live]
+            out[live[same]] = at[live[same]]
+            at[live] += 1
+            live = live[~same & (at[live] < end[live])]
+        return out
 
 
 def split_item(text: str, h: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +100,8 @@ def build(ids: list, texts: list[str]) -> Index | None:
         ends = [j + 1 - a for j in range(a, b) if raw[e[j] : e[j] + 1] in (b".", b"?", b"!")]
         q, r = (bigrams(x) for x in split_item(texts[k], h[a:b], ends))
         for lo in range(a, b, SEGMENT):
-            if lo > a and b - lo < SEGMENT // 4:
-                break  # a short rest is covered by the segment before
+            if b - lo < SEGMENT // 4:  # a short rest takes words of the segment before along
+                lo = max(a, b - SEGMENT)
             seg_words.append(h[lo : min(b, lo + SEGMENT)])
             item_of.append(ids[k])
             words.append(b - a)
@@ -126,22 +131,10 @@ def build(ids: list, texts: list[str]) -> Index | None:
         essential[t] = False
     cell = term * (n // ITEMS_PER_BLOCK + 1) + owner // ITEMS_PER_BLOCK
     start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    size = 1 << 12
-    while True:  # a table without clashes over two places each
-        slots = np.zeros(size, np.int32)
-        clash = False
-        for k, x in enumerate(terms.tolist()):
-            places = (x & (size - 1), (x >> 32) & (size - 1))
-            free = [p for p in places if not slots[p]]
-            if not free:
-                clash = True
-                break
-            slots[free[0]] = k + 1
-        if not clash:
-            break
-        size *= 4
+    top = max(12, (2 * len(terms) - 1).bit_length())  # two slots a term, whatever their number
+    slots = np.searchsorted(terms >> np.uint64(64 - top), np.arange((1 << top) + 1, dtype=np.uint64)).astype(np.int32)
     return Index(
-        max(64, min(SEGMENT, int(length.max()))), slots, terms, essential, np.searchsorted(term[start], np.arange(len(terms) + 1)), owner[start] // ITEMS_PER_BLOCK,
+        max(64, min(SEGMENT, int(length.max()))), terms, slots, essential, np.searchsorted(term[start], np.arange(len(terms) + 1)), owner[start] // ITEMS_PER_BLOCK,
         np.maximum.reduceat(impact, start), np.append(start, len(cell)), owner, impact, n // ITEMS_PER_BLOCK + 1, item_of, words, question, answer,
     )
 
