@@ -246,7 +246,7 @@ def test_archives(spark, level):
     for page, _, html in rows:
         payload = (html or "").encode()
         first = min(p for p, _, h in rows if p is not None and (h or "") == (html or ""))
-        again = page is not None and page > first
+        again = page is None or page > first
         want.append((page, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if again else "response", first if again else None))
     assert got == sorted(want, key=str)
     bodies = {r.page_id: r.payload for r in warc.read(manifest, 1 << 20).collect()}
@@ -254,6 +254,30 @@ def test_archives(spark, level):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_payloads_are_not_shuffled(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('page ', id % 1000), 50) AS html").repartition(5).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    assert shared.is_scan(pages) and not shared.is_scan(pages.repartition(2))
+    written = warc.write(pages, shared.fresh(spark, "warc-flat"))
+    assert "Exchange" not in written._jdf.queryExecution().executedPlan().toString()
+    got = warc.read(shared.settle(written, "warc-flat-manifest"), 5000).select("page_id", "record_type", "refers_to").collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {(k, "response" if k < 1000 else "revisit", None if k < 1000 else k % 1000) for k in range(3000)}
+
+
+@pytest.mark.parametrize("range_bytes", [300, 1 << 20])
+@pytest.mark.parametrize("share", [0.0, 0.4, 0.75])
+def test_damaged_archives_are_an_error(spark, share, range_bytes):
+    rows = [(k, "u", "".join(random.Random(k).choices("abcdefgh", k=400))) for k in range(40)]
+    folder = shared.fresh(spark, "warc-damaged")
+    manifest = shared.settle(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder), "warc-damaged-manifest")
+    file = manifest.first()
+    with open(file.path, "r+b") as f:
+        f.seek(int(file.bytes * share) + 12)
+        f.write(b"\xff\x00\xff\x00")
+    with pytest.raises(ValueError, match=r"part-000000-000000.warc.gz at byte \d+"):
+        warc.read(manifest, range_bytes).count()
+
+
 def test_least_payload(spark):
     df = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "long"), (4, "u", "long")], "page_id long, url string, html string")
     assert {r.page_id: r.record_type for r in warc.archive(df, least=2).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}

@@ -53,6 +53,21 @@ def open_shared(path: str, mode: str):
     return store.open_output_stream(inner)
 
 
+def files_in(folder: str, ending: str) -> list[str]:
+    """Paths of the files of a shared folder, none where it is not there."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    head = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
+    return sorted(head + x.path for x in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if x.path.endswith(ending))
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether the plan only reads, filters and projects, so its partitions are the same at every run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return not any(x in plan for x in ("Exchange", "Python", "Arrow", "Pandas", "Sample", "AdaptiveSparkPlan"))
+
+
 def publish(path: str, data: bytes) -> None:
     """Writes a file under another name and renames it, so a task that runs twice (a retry after a
     lost executor, speculation) leaves one whole file."""

@@ -2,17 +2,23 @@
 
 Writing: each task appends the records of the rows it reads to files of about ``FILE_BYTES``, one gzip
 member per record.  Of the records with equal payloads the one with the smallest id is the response,
-the others are revisits that name it and carry no payload; digests meet in an aggregation, payloads
-are never shuffled.
+the others are revisits that name it and carry no payload.  Payloads are never shuffled: a first pass
+takes ids and digests, digests meet in an aggregation, and what is decided goes to one small table per
+partition of the input, which the task that writes the partition reads back.  An input that is not a
+plain scan is stored first, so both passes see the same partitions; should they differ all the same, the
+task fails with an error that says so.
 
 Reading: files are cut into byte ranges, one task each.  A task looks for member starts in its range,
 also where bytes inside a payload only look like one, and emits every candidate with the offset of its
 successor.  Candidates of a range are first followed to the point where their chain leaves the range;
 then pointer jumping over the ranges' exits, doubling the distance each round, finds what is reachable
-from the file's start.  Only reachable records are decoded.
+from the file's start.  Only reachable records are decoded.  A chain that does not end at its file's
+end - a damaged or cut file - is an error that names the file and the offset.
 
-Semantics: null html is the empty payload; rows with a null id get the id text ``-`` and read back as
-null; rows that repeat an id with its payload are records of the same kind; extra columns are ignored; an empty table gives no files and no rows.
+Semantics: null html is the empty payload; rows with a null id get the id text ``-``, read back as null,
+and are revisits of the record with the smallest id where one has their payload, else responses; rows
+that repeat an id with its payload are records of the same kind; extra columns are ignored; an empty
+table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +37,6 @@ from tindra.llm import shared
 
 FILE_BYTES = 32 << 20
 RANGE_BYTES = 4 << 20
-BROADCAST_ROWS = 200_000  # a table of revisits up to this is sent to all tasks, a larger one is joined
 MAGIC = b"\x1f\x8b\x08"
 HEAD = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -81,26 +86,43 @@ def page_of(name: str) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
-def leaders(pages: DataFrame, id_column: str, payload_column: str, least: int) -> DataFrame:
-    """page_id, sha and refers_to of the rows whose payload a smaller id already has."""
-    sha = F.sha1(F.coalesce(F.col(payload_column).cast("string"), F.lit("")).cast("binary"))
-    size = F.octet_length(F.coalesce(F.col(payload_column).cast("string"), F.lit("")))
-    named = pages.select(F.col(id_column).cast("long").alias("page_id"), sha.alias("sha"), size.alias("size")).where((F.col("size") >= least) & F.col("page_id").isNotNull())
-    first = named.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(first, "sha").where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
+def decisions(picked: DataFrame, least: int) -> DataFrame:
+    """part, page_id, sha and refers_to of every row of ``picked`` (page_id, payload), where part is the
+    number of the input's partition and refers_to the smallest id with the payload, null in responses."""
+    rows = shared.settle(picked.select(F.spark_partition_id().alias("part"), "page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")), "digests")
+    first = rows.where(F.col("size") >= least).groupBy("sha").agg(F.min("page_id").alias("leader"), F.count("*").alias("n")).where("n > 1 AND leader IS NOT NULL")
+    named = shared.lookup(rows, shared.settle(first, "leaders"), ["sha"], "n", rows.count())
+    return named.select("part", "page_id", "sha", F.when(F.coalesce(F.col("page_id") > F.col("leader"), F.col("leader").isNotNull()), F.col("leader")).alias("refers_to"))
+
+
+def _decided(folder: str, part: int) -> dict[tuple, int | None]:
+    """The decisions for one partition of the input."""
+    import pyarrow.parquet as pq
+
+    out: dict[tuple, int | None] = {}
+    for path in shared.files_in(f"{folder}/part={part}", ".parquet"):
+        with shared.open_shared(path, "r") as f:
+            cols = pq.read_table(f, columns=["page_id", "sha", "refers_to"]).to_pydict()
+        out.update(zip(zip(cols["page_id"], cols["sha"]), cols["refers_to"]))
+    return out
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", level: int = 6) -> DataFrame:
     """Writes the archives; the manifest has a row per file: path, bytes."""
-    revisits = shared.settle(leaders(pages, id_column, payload_column, least), "revisits")
-    small = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    picked = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(payload_column).cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
-    rows = picked.join(F.broadcast(revisits) if small else revisits, ["page_id", "sha"], "left").select("page_id", "url", "payload", "refers_to")
+    payload = F.coalesce(F.col(payload_column).cast("string"), F.lit("")).cast("binary")
+    picked = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), payload.alias("payload"))
+    if not shared.is_scan(picked):
+        picked = shared.settle(picked, "pages")
+    decided = shared.fresh(picked.sparkSession, "decisions")
+    # a partition's rows are one file, at most; a partition is bounded by the reader, so no part is hot
+    decisions(picked, least).repartition(F.col("part")).write.partitionBy("part").parquet(decided)
+    rows = picked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        known = None
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held, size
@@ -111,8 +133,13 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_column: str = "page_
             return out
 
         for batch in batches:
-            for page, url, payload, refers in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to"))):
-                held.append(record(page.as_py(), url.as_py(), payload.as_py(), refers.as_py(), level))
+            known = _decided(decided, part) if known is None else known
+            for page, url, payload in zip(*(batch.column(c) for c in ("page_id", "url", "payload"))):
+                page, payload = page.as_py(), payload.as_py()
+                key = (page, hashlib.sha1(payload).hexdigest())
+                if key not in known:
+                    raise RuntimeError(f"partition {part} of the pages changed between two reads; store the table first")
+                held.append(record(page, url.as_py(), payload, known[key], level))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
                     yield flush()
@@ -189,6 +216,10 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     payload (null in revisits)."""
     candidates = shared.settle(scan(manifest, range_bytes), "candidates")
     starts = entries(candidates)
+    reached = starts.groupBy("path").agg(F.max("at").alias("at"))
+    broken = manifest.join(reached, "path", "left").where("bytes > 0 AND coalesce(at, 0) <> bytes").orderBy("path")
+    if cut := broken.limit(5).collect():
+        raise ValueError("records end before the file does: " + ", ".join(f"{r.path} at byte {r['at'] or 0} of {r.bytes}" for r in cut))
     todo = starts.join(candidates.select("path", "low", "at"), ["path", "at"])
     n = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = todo.join(manifest, "path").repartition(n, "path", "low")
@@ -200,8 +231,11 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 held = 0
                 with shared.open_shared(path, "r") as f:
                     while at < min(low + range_bytes, size):
-                        data, at = _member_end(f, at, size)
-                        x = parse(data)
+                        got = _member_end(f, at, size)
+                        x = parse(got[0]) if got else None
+                        if x is None:
+                            raise ValueError(f"no whole record in {path} at byte {at}")
+                        data, at = got
                         refers = x.get("warc-refers-to")
                         rows.append((page_of(x["warc-record-id"]), x["warc-target-uri"], None if refers else x["body"], int(x["warc-payload-length"]) if refers else len(x["body"]), x["warc-payload-digest"].partition(":")[2] if refers else digest(x["body"]), x["warc-type"], page_of(refers) if refers else None))
                         held += len(data)
