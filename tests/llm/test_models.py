@@ -229,9 +229,87 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark):
     df = spark.range(3000).select(F.concat_ws(".", F.lit("10.1"), (F.col("id") % 256).cast("string"), F.floor(F.col("id") / 256).cast("string")).alias("m"))
-    assert df.select(F.expr(pii.surrogate("m", "k")).alias("s")).distinct().count() == 3000
+    assert df.select(F.expr(pii.surrogate("m", "'k'")).alias("s")).distinct().count() == 3000
     cards = spark.range(2000).select(F.concat(F.lit("4000"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("m"))
-    assert cards.select(F.expr(pii.surrogate("m", "k")).alias("s")).distinct().count() == 2000
+    assert cards.select(F.expr(pii.surrogate("m", "'k'")).alias("s")).distinct().count() == 2000
+
+
+def iban_rest(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_every_form_of_a_person_keeps_one_surrogate(spark):
+    text = "Mr. John Smith met John Smith, Mr. Smith and Dr John Smith-Jones; Ms. Mary Smith wrote."
+    new = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    first, last = re.match(r"Mr\. (\w+) (\w+) met", new).groups()
+    jones, mary = re.search(r"-(\w+);", new)[1], re.search(r"Ms\. (\w+) ", new)[1]
+    assert new == f"Mr. {first} {last} met {first} {last}, Mr. {last} and Dr {first} {last}-{jones}; Ms. {mary} {last} wrote."
+    assert first in pii.NEW_MALE and mary in pii.NEW_FEMALE and last.endswith("h") and jones.endswith("s")
+    assert not {*pii.NEW_MALE, *pii.NEW_FEMALE} & {*pii.MALE, *pii.FEMALE} and len(pii.NEW_MALE) == len(pii.MALE) and len(pii.NEW_FEMALE) == len(pii.FEMALE)
+
+
+def test_no_surrogate_is_real(spark):
+    short = [a + b for a in "AEIOU" for b in "kn"] + [a + "i" for a in "BCDFGHJKLMNPQRSTVWXYZ"] + ["Smith", "Éric"]
+    rows = [(k, f"Mr. {name} and Mr. {name}") for k, name in enumerate(short)] + [(900 + k, f"call 555-01{k % 10}-{1000 + k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for key in ("a", "b", "c"):
+        got = {r.doc_id: r.text for r in pii.pseudonymise(df, key=key).collect()}
+        new = [re.fullmatch(r"Mr\. (\w+) and Mr\. \1", got[k])[1] for k in range(len(short))]
+        assert not set(new) & set(short) and len(set(new)) == len(new)
+        calls = {got[900 + k] for k in range(50)}
+        assert len(calls) == 50 and not calls & {t for _, t in rows}
+
+
+def test_numbers_keep_their_checks(spark):
+    ibans = ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606", "DE88370400440532013000"]
+    cards = ["378282246310005", "3782 822463 10006", "5555555555554444"]
+    rows = list(enumerate(ibans + cards))
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, old in rows:
+        new = got[k]
+        assert new != old and len(new) == len(old) and [c == " " for c in new] == [c == " " for c in old]
+        if k < len(ibans):
+            assert new[:2] == old[:2] and (iban_rest(new) == 1) == (iban_rest(old) == 1)
+        else:
+            assert new[0] == old[0] and luhn(new.replace(" ", "")) == luhn(old.replace(" ", ""))
+
+
+def test_long_entities_go_whole(spark):
+    name, local = "B" + "abcdefghi" * 9, "q" * 70 + ".w"
+    text = f"Mr. {name} wrote from {local}@example.com today"
+    new = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    who, mail = re.fullmatch(r"Mr\. (\w+) wrote from (\S+) today", new).groups()
+    assert len(who) == len(name) and len(mail) == len(local) + 12 and who != name
+    assert not any(name[k : k + 12] in who for k in range(len(name) - 12)) and "qqqqqq" not in mail
+
+
+def test_substitution_is_one_to_one(spark):
+    """Against a plain version over all strings of a form: no two meet, none stays."""
+    import itertools
+
+    words = ["".join(x) for n in (1, 2, 3) for x in itertools.product("aebc9", repeat=n)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r.w: r.s for r in df.select("w", F.expr(pii.scramble("w", "'k'", "number")).alias("s")).collect()}
+    assert len(set(got.values())) == len(words) and all(a != b and len(a) == len(b) for a, b in got.items())
+    classes = lambda w: [next(k for k, c in enumerate(pii.CLASSES) if x in c) for x in w]
+    assert all(classes(a) == classes(b) for a, b in got.items())
+
+    def draw(kind, prefix):
+        return int(hashlib.sha256(f"k|{kind}|{prefix}".encode()).hexdigest()[:8], 16)
+
+    def plain(w):
+        for kind, place, own in (("number", 0, "stays"), ("number<", len(w) - 1, "moves")):
+            out = ""
+            for i, x in enumerate(w):
+                a = next(c for c in pii.CLASSES if x in c)
+                step = draw(kind, w[:i])
+                step = (0 if own == "stays" else 1 + step % (len(a) - 1)) if i == place else step
+                out += a[(a.index(x) + step) % len(a)]
+            w = out[::-1]
+        return w
+
+    assert {w: plain(w) for w in words} == got
 
 
 @pytest.mark.parametrize("level", [6, 0])
