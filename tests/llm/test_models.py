@@ -203,6 +203,82 @@ def test_trained_forms_are_found(spark):
     assert all(r.redacted == r.text for r in secret_scan.scan(plain).collect())
 
 
+def test_private_keys_are_one_finding(spark):
+    rng = random.Random(6)
+    line = lambda n=64: "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=n))
+    body = "\n".join(line() for _ in range(30))
+    keys = [f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{body}\n{line(20)}==\n-----END {kind}PRIVATE KEY-----" for kind, head in (("RSA ", ""), ("", ""), ("EC ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"))]
+    keys += ["-----BEGIN RSA PRIVATE KEY-----\n" + body, "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(line() for _ in range(20_000)) + "\n-----END RSA PRIVATE KEY-----"]
+    df = spark.createDataFrame([(k, f"see {x} and more") for k, x in enumerate(keys)], "doc_id long, text string")
+    for r in secret_scan.scan(df).collect():
+        assert [(f.start, f.length, f.kind, f.secret) for f in r.findings] == [(4, len(keys[r.doc_id]), "private_key", True)]
+        assert r.redacted == "see [PRIVATE_KEY] and more"
+
+
+def test_places_of_many_findings(spark):
+    rng = random.Random(7)
+    values = ["".join(rng.choices("abcdef0123456789", k=rng.choice([20, 32, 40]))) for _ in range(3000)]
+    text = "".join(f"token={v}{' ' * rng.randint(1, 3)}" for v in values)
+    row = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [text[f.start : f.start + f.length] for f in row.findings] == values
+
+
+def test_forest_in_sql_is_the_forest(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((400, len(secret_scan.FEATURES))).round(2)
+    y = (x[:, 0] + x[:, 3] > 1).astype(float)
+    forest, names = secret_scan.grow_forest(x, y), list(secret_scan.FEATURES)
+
+    def walk(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], ", ".join(["k int", *(f"{n} double" for n in names)]))
+    got = {r.k: r.s for r in df.select("k", F.struct(*names).alias("f")).select("k", F.expr(secret_scan.forest_sql(forest, names)).alias("s")).collect()}
+    assert all(abs(got[k] - np.mean([walk(t, r) for t in forest])) < 1e-12 for k, r in enumerate(x))
+    assert np.mean([(got[k] >= 0.5) == y[k] for k in got]) > 0.9
+
+
+def test_flat_trees_are_the_trees():
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 6)).astype(np.float32)
+    y = (x[:, 1] * x[:, 2] > 0.25).astype(float)
+    forest = quality.fit(x, y)
+
+    def walk(k, row):
+        while forest.left[k] != k:
+            k = forest.left[k] if row[forest.feature[k]] <= forest.threshold[k] else forest.right[k]
+        return forest.value[k]
+
+    want = [sum(walk(int(k), r) for k in forest.roots) + forest.base for r in x]
+    assert np.allclose(forest.logits(x), want, atol=1e-9)
+
+
+@pytest.mark.parametrize("strip", [1 << 15, 7])
+def test_convolution_is_the_plain_one(monkeypatch, strip):
+    monkeypatch.setattr(toxicity, "STRIP", strip)
+    texts = ["a b c d e f g h i j k", "", "one", "so so so so so so so so so so", None, "two words", "and the last one of them all"]
+    model, text = toxicity.Model.start(np.random.default_rng(1), 0.1), toxicity.hashed(pa.array(texts))
+    model.bias += np.random.default_rng(2).standard_normal(model.bias.shape).astype(np.float32)
+    got, places = model.pooled(text)
+    for d in range(len(texts)):
+        word, prefix = text.slots(slice(text.border[d], text.border[d + 1]))
+        x, col = model.word[word] + model.prefix[prefix], 0
+        for w, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = [sum(float(x[i + k] @ model.filters[:, (col + k) * toxicity.FILTERS + f]) for k in range(width) if i + k < len(x)) + float(model.bias[w, f]) for i in range(len(x))]
+                j = w * toxicity.FILTERS + f
+                assert abs(got[d, j] - max([0.0, *at])) < 1e-5
+                assert not at or max(at) <= 1e-6 or abs(at[places[d, j] - text.border[d]] - max(at)) < 1e-5
+            col += width
+
+
+def test_conflicting_labels_do_not_train(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 0), (4, None), (5, 7)], "doc_id long, toxic int")
+    assert {tuple(r) for r in toxicity.consistent(labels, "toxic", F.lit(True)).collect()} == {(2, 1), (3, 0)}
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 * (x > 4)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tindra.llm.pii import quoted
 
 TRAIN_FINDINGS, TREES, DEPTH, LEAST, CUT = 3000, 15, 5, 8, 0.5
+PLACES = 64  # findings of a text whose lengths are summed first, so a place takes a short sum of sums
 CONTEXT = 48  # characters before and after that count as neighbouring words
 
 # Forms of known makes, words that name secrets, and words that do not.
@@ -39,7 +40,8 @@ MAKES = {
     "slack_token": "xox[abprs]-[A-Za-z0-9-]{10,}",
     "google_key": "AIza[0-9A-Za-z_-]{35}",
     "jwt": "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}",
-    "private_key": "-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----",
+    # the whole block; without an end mark the lines of 40 characters or more that follow
+    "private_key": "-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----(?:[A-Za-z0-9+/=\\s\\\\:,]*+(?:-(?!----)[A-Za-z0-9+/=\\s\\\\:,]*+){0,16}-----END (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----|(?:\\s{1,8}[A-Za-z0-9+/=]{40,}+){0,500})",
 }
 NAMED = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|passphrase"
 BENIGN = "sha1|sha256|sha|md5|commit|digest|checksum|hash|uuid|guid|version|build|isbn|serial|revision|etag|sample|example|placeholder|article|figure|order"
@@ -92,7 +94,7 @@ def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = 11) -> list[dict]:
         lambda: (rng.choice([f"{text(3)} ", assigned()]), "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24)),
         lambda: (f"{text(3)} ", "AIza" + pick(alnum + "_-", 35)),
         lambda: (rng.choice(["Authorization: Bearer ", f"{text(2)} "]), "eyJ" + pick(alnum, 20) + "." + pick(alnum, 40) + "." + pick(alnum, 30)),
-        lambda: (f"{text(3)} ", "-----BEGIN RSA PRIVATE KEY-----"),
+        lambda: (f"{text(3)} ", "-----BEGIN RSA PRIVATE KEY-----" + rng.choice(["", f"\n{pick(alnum + '+/', 64)}\n{pick(alnum + '+/', 64)}\n{pick(alnum, 20)}==\n-----END RSA PRIVATE KEY-----"])),
         lambda: (assigned(), pick(hexa, rng.choice([16, 18, 20, 24, 32, 40, 64]))),
         lambda: (assigned(), pick(hexa, rng.choice([18, 40]))),
         lambda: (assigned(), pick(alnum, rng.randint(14, 48))),
@@ -194,11 +196,15 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
     staged = staged.withColumn("_g", F.when(F.size("_v") > 0, F.split(text, CANDIDATE, -1)).otherwise(none))
     context = f"""transform(_v, (v, i) -> named_struct('b', right(if(i = 0, '', concat(element_at(_v, greatest(i, 1)), '')) || get(_g, i), {CONTEXT}), 'v', v, 'a', left(get(_g, i + 1), {CONTEXT})))"""
     staged = staged.withColumn("_c", F.expr(context))
-    places = "transform(_v, (v, i) -> aggregate(slice(_v, 1, i), 0, (t, x) -> t + length(x)) + aggregate(slice(_g, 1, i + 1), 0, (t, x) -> t + length(x)))"
+    staged = staged.withColumn("_l", F.expr("transform(_v, (v, i) -> length(v) + length(get(_g, i)))"))
+    staged = staged.withColumn("_b", F.expr(f"if(size(_l) = 0, array(0), transform(sequence(0, cast((size(_l) - 1) / {PLACES} as int)), k -> aggregate(slice(_l, k * {PLACES} + 1, {PLACES}), 0, (t, x) -> t + x)))"))
+    total = lambda array, first, n: f"aggregate(slice({array}, {first} + 1, {n}), 0, (t, x) -> t + x)"
+    block = f"cast(floor(i / {PLACES}) as int)"
+    places = f"transform(_v, (v, i) -> {total('_b', '0', block)} + {total('_l', f'{block} * {PLACES}', f'i - {block} * {PLACES}')} + length(get(_g, i)))"
     staged = staged.withColumn("_p", F.expr(places))
     scored = staged.withColumn("_s", F.expr(f"transform(transform(_c, c -> {_features('c')}), f -> {model})"))
     kind = f"case {kinds} when c.b rlike {quoted(f'(?i)(?:{NAMED})[^\\n]{{0,16}}$')} then 'assigned_secret' else 'token' end"
     findings = f"transform(_c, (c, i) -> named_struct('start', get(_p, i), 'kind', {kind}, 'length', length(c.v), 'digest', sha2(c.v, 256), 'score', get(_s, i), 'secret', get(_s, i) >= {CUT}D))"
     out = scored.withColumn("findings", F.expr(findings))
     redacted = F.expr("array_join(flatten(transform(_g, (g, i) -> array(g, coalesce(if(get(findings, i).secret, concat('[', upper(get(findings, i).kind), ']'), get(_v, i)), '')))), '')")
-    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["secret"]), redacted).otherwise(text)).drop("_v", "_g", "_c", "_p", "_s")
+    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["secret"]), redacted).otherwise(text)).drop("_v", "_g", "_c", "_p", "_s", "_l", "_b")
