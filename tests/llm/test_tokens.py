@@ -124,3 +124,18 @@ def test_packing(spark, library):
     padding = sum(0 if s & (s - 1) == 0 else packing.LIMIT - s for s in sizes)
     assert padding <= 0.02 * sum(sizes)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_windows_are_few_and_full(library):
+    rng = np.random.default_rng(5)
+    stream, total = packing.Stream(0, packing.LIMIT), 0
+    for k in range(300):
+        n = int(rng.integers(30, 3000))
+        stops = np.unique(rng.integers(1, n, n // 15))
+        stream.add([k], np.array([0, n]), np.zeros(n, np.uint32), stops)
+        total += n
+    stream.solve(True)
+    rows = stream.take()
+    sizes = np.bincount(np.asarray(rows.column("sequence_id")), weights=np.asarray(rows.column("length"))).astype(int)
+    assert sizes.sum() == total and len(sizes) <= 1.06 * total / packing.LIMIT
+    assert np.where(sizes & (sizes - 1) == 0, 0, packing.LIMIT - sizes).sum() <= 0.02 * total

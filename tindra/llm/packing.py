@@ -3,8 +3,9 @@
 Within a task the documents form one stream, in ascending doc_id.  A window is a stretch of at most
 ``limit`` ids.  Windows may be cut at document borders (free), at sentence ends and, where a
 sentence is longer than a window, anywhere.  A partition of the stream costs, per window, its padding
-(``limit`` less its length, nothing where the length is a power of two), a fixed price, and the
-penalty of the cut that closes it.  With g(i) = cost(i) + position(i) the best predecessor of a cut
+(``limit`` less its length, nothing where the length is a power of two), a fixed price, which keeps
+unpadded short windows from being chosen where a full one would do, and the penalty of the cut that
+closes it.  With g(i) = cost(i) + position(i) the best predecessor of a cut
 is the least g within the last ``limit`` ids, which a monotone queue gives in constant amortised
 time; unpadded windows of a power of two are a few extra lookups per cut.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tindra.llm import kernel, tokens
 
 LIMIT = 2048
-WINDOW_PRICE = 16
+WINDOW_PRICE = 128
 SENTENCE_PENALTY = 8
 FORCED_PENALTY = 64
 BLOCK_WINDOWS = 256
