@@ -22,7 +22,7 @@ _KEYS = (np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7))  # of the
 _CUT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _NEAR_CHUNKS = 8  # eights of a word that are read one after the other; the rest of longer words at once
 BLOCK = 1 << 20  # bytes hashed at once; a longer word makes its block longer
-SLICE = 1 << 22  # bytes of text that one slice of a batch holds, one longer text excepted
+SLICE = 1 << 20  # bytes of text that one slice of a batch holds, one longer text excepted
 
 def word_table() -> np.ndarray:
     """Byte map of words: ASCII letters (folded to lower case), digits and all bytes of non-ASCII
