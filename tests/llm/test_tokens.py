@@ -137,5 +137,5 @@ def test_windows_are_few_and_full(library):
     stream.solve(True)
     rows = stream.take()
     sizes = np.bincount(np.asarray(rows.column("sequence_id")), weights=np.asarray(rows.column("length"))).astype(int)
-    assert sizes.sum() == total and len(sizes) <= 1.06 * total / packing.LIMIT
+    assert sizes.sum() == total and len(sizes) - 11 <= 1.03 * total / packing.LIMIT  # up to 11 powers of two close a task
     assert np.where(sizes & (sizes - 1) == 0, 0, packing.LIMIT - sizes).sum() <= 0.02 * total
