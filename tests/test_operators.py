@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from tindra.functions import similarity, text
 from tindra.operators import catalogue, changes, greedy, ingest, joins, matching
 
 
@@ -110,6 +111,66 @@ def test_tiers(spark):
     assert set(got) == {10, 11, 12, 15} and got[10][0] == 1 and got[11] == (2, None) and got[12][0] == 1 and got[15] == (2, None)
 
 
+def _names(rng, n):
+    word = lambda: "".join(rng.choices("abcdeö", k=rng.randint(1, 7)))
+    base = [" ".join(word() for _ in range(rng.choice([1, 1, 2, 3, 5, 10, 14, 30]))) for _ in range(n // 3)]
+    out = []
+    for _ in range(n):
+        x = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+            k = rng.randrange(len(x) + 1)
+            x[k : k + rng.randint(0, 1)] = rng.choice(["a", "b", " ", ""])
+        out.append("".join(x))
+    return [x for x in out if x.strip()]
+
+
+def _name_match(a, b):
+    x, y = a.split(), b.split()
+    n = min(len(x), len(y))
+    if not a or not b:
+        return 0.0
+    return 1.0 if n and x[:n] == y[:n] else max(similarity.gestalt(a, b), len({*x} & {*y}) / len({*x} | {*y}))
+
+
+@pytest.mark.parametrize("least", [0.85, 0.9, 0.95])
+def test_alike_pairs_lose_none(spark, least):
+    rng = random.Random(int(100 * least))
+    a, b = ({*_names(rng, 160)} for _ in range(2))
+    a, b = a | set(list(b)[:40]), b | {"x" * 120, "x" * 118 + "yy"}
+    a |= {"x" * 119, ""}
+    got = {(r.a, r.b) for r in joins.alike_pairs(spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string"), least).collect()}
+    want = {(x, y) for x in a for y in b if _name_match(x, y) >= least}
+    assert want <= got and len(want) > 30
+
+
+def test_tiered_best_is_the_loop(spark):
+    rng = random.Random(3)
+    place = lambda: rng.choice([None, "NOLOC", *[f"64.{rng.randint(0, 399):03d},-21.{rng.randint(0, 999):03d}"] * 6])
+    db = [(k, n, rng.choice([None, "", n[::-1]]), place()) for k, n in enumerate(_names(rng, 150))]
+    new = [(1000 + k, n, None, place()) for k, n in enumerate([*_names(rng, 60), *(n + rng.choice(["", " x"]) for _, n, _, _ in db[:90])])]
+    cols = "id long, name string, name_eng string, gps string"
+    frames = [spark.createDataFrame(rows, cols) for rows in (new, db)]
+    norm = [{r.id: (r.n, r.e) for r in f.select("id", text.place_name(F.col("name")).alias("n"), text.place_name(F.col("name_eng")).alias("e")).collect()} for f in frames]
+    point = lambda g: tuple(map(float, g.split(","))) if g and "," in g else None
+
+    want = {}
+    for i, _, _, g in new:
+        best = None
+        for j, _, _, h in db:
+            score = max(_name_match(norm[0][i][0], x or "") for x in norm[1][j])
+            p, q = point(g), point(h)
+            if not norm[0][i][0] or q is None:  # the catalogue's rows without a point take no part
+                continue
+            d = None if p is None else metres(*p, *q)
+            if score >= 0.9 if d is None else (d <= 2000 and score >= 0.7) or (d <= 25_000 and score >= 0.95):
+                best = max(best or (0, 0, 0), (score, -j, d if d is None else int(d)), key=lambda x: x[:2])
+        if best:
+            want[i] = (-best[1], best[2], round(best[0], 9))
+    got = {r.in_id: (r.db_id, r.metres, round(r.score, 9)) for r in matching.tiered_best(*frames).collect()}
+    assert len(want) > 60 and sum(x[1] is None for x in want.values()) > 10
+    assert got == want
+
+
 def test_greedy_titles(spark):
     rows = [(1, "long title one", True), (2, "long title one more", True), (3, "title one", True), (4, "other", True), (5, "other", False), (6, "other", True), (7, "a b c d", True), (8, "a b c e", True)]
     got = {r.node: r.accepted for r in matching.greedy_titles(spark.createDataFrame(rows, "id long, title string, located boolean"), spark.createDataFrame([(0, "seed")], "id long, title string")).collect()}

@@ -47,12 +47,23 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.coalesce(2 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(0.0))
 
 
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)\s+", -1), lambda x: x != "")
+
+
+def _leads(a: Column, b: Column) -> Column:
+    n = F.least(F.size(_words(a)), F.size(_words(b)))
+    return (n > 0) & (F.slice(_words(a), F.lit(1), n) == F.slice(_words(b), F.lit(1), n))
+
+
+def may_match(a: Column, b: Column, least: float) -> Column:
+    """Whether ``name_match`` can reach ``least``; JVM-side, for filters before it."""
+    return F.coalesce((ratio_bound(a, b) >= least) | _leads(a, b) | (text.token_jaccard(a, b) >= least), F.lit(False))
+
+
 def name_match(a: Column, b: Column, least: Column | float = 0.0) -> Column:
     """1 where the shorter word list leads the longer, else the best of ratio and word overlap; for
     names that are already normalised.  A ratio under ``least`` may count as 0."""
     least = least if isinstance(least, Column) else F.lit(least)
-    words = lambda c: F.filter(F.split(c, r"(?U)\s+", -1), lambda x: x != "")
-    n = F.least(F.size(words(a)), F.size(words(b)))
-    lead = (n > 0) & (F.slice(words(a), F.lit(1), n) == F.slice(words(b), F.lit(1), n))
     some = (text.nonnull(a) != "") & (text.nonnull(b) != "")
-    return F.when(some, F.when(lead, 1.0).otherwise(F.greatest(_ratio(a, b, least), text.token_jaccard(a, b)))).otherwise(0.0)
+    return F.when(some, F.when(_leads(a, b), 1.0).otherwise(F.greatest(_ratio(a, b, least), text.token_jaccard(a, b)))).otherwise(0.0)

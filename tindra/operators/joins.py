@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tindra.functions import geo
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, max_abs_lat: float | None = None) -> DataFrame:
-    """All pairs within the radius, with the column ``distance_m``.
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, max_abs_lat: float | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs within the radius that agree in the columns ``on``, with the column ``distance_m``.
 
     The right side goes to its cell, the left side to the nine around its own, and the cells are
     equi-keys; the exact distance is a residual.  Column names must differ between the sides.  Rows
@@ -21,7 +21,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point:
         tops = [df.agg(F.max(F.abs(F.col(p[0])))).first()[0] for df, p in ((left, left_point), (right, right_point))]
         max_abs_lat = min(90.0, max([0.0, *(t for t in tops if t is not None)]))
     cells = geo.Cells(radius_m, max_abs_lat)
-    pairs = cells.spread(left, *left_point).join(cells.keyed(right, *right_point), ["_cy", "_cx"]).drop("_cy", "_cx")
+    pairs = cells.spread(left, *left_point).join(cells.keyed(right, *right_point), ["_cy", "_cx", *on]).drop("_cy", "_cx")
     pairs = pairs.withColumn("distance_m", geo.haversine(*(F.col(c) for c in (*left_point, *right_point))))
     return pairs.where((F.col("distance_m") <= radius_m) if inclusive else (F.col("distance_m") < radius_m))
 
@@ -43,6 +43,70 @@ def contains_join(small: DataFrame, large: DataFrame, small_text: str, large_tex
     return small.where(F.col(small_text).isNotNull()).withColumn("_gram", key).join(spread, "_gram").drop("_gram").where(F.col(large_text).contains(F.col(small_text)))
 
 
+LONG = 96  # characters from which on pieces are looked for anywhere, not near their own place
+
+
+def _pieces(ratio: float) -> str:
+    """SQL: a text ``b`` cut into one piece more than letters that can be in one of the two texts only,
+    so one piece at least is whole in the other.  Keys: piece and, below ``LONG``, length and number."""
+    share = 2 * (1 - ratio) / ratio
+    return f"""transform(array(cast(floor(length(b) * {share}D + 1e-9D) as int) + 1), m -> transform(sequence(0, m - 1), i -> xxhash64(
+        if(length(b) < {LONG}, length(b), -1), if(length(b) < {LONG}, i, -1), substring(b, cast(floor(i * length(b) / m) as int) + 1, cast(floor((i + 1) * length(b) / m) - floor(i * length(b) / m) as int)))))[0]"""
+
+
+def _stretches(ratio: float) -> str:
+    """SQL: the keys that pieces of a text with the ratio can have in a text ``a``.
+
+    Of two texts of lengths n and k at most (1 - ratio) (n + k) letters are in one only, so a piece moves
+    by no more than that allows, and k is bounded by n."""
+    share, most = 2 * (1 - ratio) / ratio, (2 - ratio) / ratio
+    begin = "cast(floor(i * k / m) as int)"
+    size = f"(cast(floor((i + 1) * k / m) as int) - {begin})"
+    apart = f"floor({1 - ratio}D * (length(a) + k) + 1e-9D)"
+    low = f"greatest(0, cast({begin} + ceil((length(a) - k - {apart}) / 2) as int))"
+    high = f"least(length(a) - {size}, cast({begin} + floor((length(a) - k + {apart}) / 2) as int))"
+    near = f"if({high} < {low}, array(), transform(sequence({low}, {high}), p -> xxhash64(k, i, substring(a, p + 1, {size}))))"
+    pieces = f"transform(array(cast(floor(k * {share}D + 1e-9D) as int) + 1), m -> flatten(transform(sequence(0, m - 1), i -> {near})))[0]"
+    shortest, longest = f"greatest(1, cast(ceil(length(a) / {most}D - 1e-9D) as int))", f"cast(floor(length(a) * {most}D + 1e-9D) as int)"
+    placed = f"if({shortest} >= {LONG}, array(), flatten(transform(sequence({shortest}, least({longest}, {LONG - 1})), k -> {pieces})))"
+    # a long text's pieces have one of a few lengths
+    sizes = sorted({n for k in (LONG, 10 * LONG, 100 * LONG) for m in [int(k * share + 1e-9) + 1] for n in range(int(k / m) - 1, int(k / m) + 3) if n > 0})
+    anywhere = "flatten(transform(array({}), n -> if(length(a) < n, array(), transform(sequence(1, length(a) - n + 1), p -> xxhash64(-1, -1, substring(a, p, n))))))".format(", ".join(map(str, sizes)))
+    return f"array_distinct(concat({placed}, if({longest} < {LONG}, array(), {anywhere})))"
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+    """Candidate pairs (a, b) of distinct texts: all whose Gestalt ratio or share of common words reaches
+    ``ratio`` (0.8 or more, else keys get many), and all where the shorter list of words leads the longer; few others.
+
+    ``left`` has the texts a, ``right`` the texts b.  Three equi-joins: a whole word list with the
+    leading words of the other; rare words, of which such texts share one among so many rarest that the
+    others cannot make up for them; and pieces, see ``_pieces``."""
+    left, right = left.select("a").where("a <> ''").distinct(), right.select("b").where("b <> ''").distinct()
+    words = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+", -1), lambda x: x != "")
+    heads = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.size(words(c))), lambda n: F.array_join(F.slice(words(c), F.lit(1), n), " ")))
+    some = lambda df, c: df.where(F.size(words(c)) > 0)
+    whole = lambda df, c: some(df, c).withColumn("_k", F.array_join(words(c), " "))
+    lead = whole(left, "a").join(some(right, "b").withColumn("_k", heads("b")), "_k").select("a", "b")
+    led = some(left, "a").withColumn("_k", heads("a")).join(whole(right, "b"), "_k").select("a", "b")
+    word = lambda df, c: df.select(c, F.explode(F.array_distinct(words(c))).alias("_k"))
+    every = word(left, "a").select("_k").unionByName(word(right, "b").select("_k")).groupBy("_k").agg(F.count("*").alias("_f"))
+
+    def rare(df: DataFrame, c: str) -> DataFrame:
+        ranked = word(df, c).join(every, "_k").groupBy(c).agg(F.array_sort(F.collect_list(F.struct("_f", "_k"))).alias("_w"))
+        n = F.size("_w")
+        first = n - F.ceil(n * ratio - 1e-9).cast("int") + 1
+        return ranked.select(c, n.alias(f"_n{c}"), F.explode(F.slice("_w", F.lit(1), first)["_k"]).alias("_k"))
+
+    sized = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * ratio - 1e-9
+    shared = rare(left, "a").join(rare(right, "b"), "_k").where(sized).select("a", "b")
+    length = F.least(F.length("a"), F.length("b")) * 2 >= (F.length("a") + F.length("b")) * ratio - 1e-9
+    keys = lambda df, sql: df.withColumn("_k", F.explode(F.expr(sql)))
+    # a text has many keys, which the planner's size of a side leaves out: no broadcast
+    pieces = keys(left, _stretches(ratio)).join(keys(right, _pieces(ratio)).hint("merge"), "_k").where(length).select("a", "b")
+    return lead.unionByName(led).unionByName(shared).unionByName(pieces).distinct()
+
+
 def best_prefix(df: DataFrame, slug: str, known: DataFrame, known_slug: str) -> DataFrame:
     """Each slug with the known slug it equals, or else the longest known one that it continues with a
     dash; ``matched`` and ``tier`` are null without one."""

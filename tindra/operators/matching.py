@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, similarity, text
+from tindra.functions.lineage import settle
 from tindra.operators import greedy
-from tindra.operators.joins import contains_join, radius_join
+from tindra.operators.joins import alike_pairs, contains_join, radius_join
 from tindra.operators.order import first_per_key
 
 
@@ -36,30 +39,35 @@ def tiered_best(incoming: DataFrame, catalogue: DataFrame, near_m: float = 2000,
     """The best catalogue row per incoming row: within ``far_m`` on ``far_score``, within ``near_m`` on
     ``near_score``; rows without a point by name alone on ``no_point_score``.
 
-    The name-only branch is keyed too: a score that high needs a shared word, or a shared stretch of
-    letters in both names, so it joins on words and on letter triples."""
+    The high scores are worked out once per pair of distinct names, found by ``alike_pairs``; rows meet
+    over those pairs, by cell or, without a point, with each name's first catalogue row.  Only pairs
+    within ``near_m`` are scored one by one, after bounds on the JVM."""
     left, right = _sides(incoming, catalogue, strict=True)
     right = right.where(F.col("db_name").isNotNull())
     norm = lambda df, p: df.withColumns({f"{p}_norm": text.place_name(F.col(f"{p}_name")), f"{p}_norm_eng": text.place_name(F.col(f"{p}_name_eng"))})
-    left, right = norm(left, "in").where("in_norm <> ''"), norm(right, "db")
-    left = geo.with_point(left, "in_gps", "in_lat", "in_lon", outer=True)
-    score = lambda least: F.greatest(*(similarity.name_match(F.col("in_norm"), F.col(c), least) for c in ("db_norm", "db_norm_eng")))
-    close = radius_join(left.where("in_lat IS NOT NULL"), right, far_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True).withColumn("score", score(F.when(F.col("distance_m") <= near_m, near_score).otherwise(far_score)))
-    close = close.where(((F.col("distance_m") <= near_m) & (F.col("score") >= near_score)) | (F.col("score") >= far_score))
-    keys = lambda *cols: F.explode(F.array_distinct(F.flatten(F.array(*(_name_keys(F.col(c)) for c in cols)))))
-    nameless = left.where("in_lat IS NULL").withColumn("_k", keys("in_norm")).join(right.withColumn("_k", keys("db_norm", "db_norm_eng")), "_k").drop("_k").dropDuplicates(["in_id", "db_id"])
-    by_name = nameless.withColumn("score", score(no_point_score)).where(F.col("score") >= no_point_score).withColumn("distance_m", F.lit(None).cast("double"))
+    left, right = norm(left, "in").where("in_norm <> ''").select("in_id", "in_norm", "in_gps"), norm(right, "db")
+    left = settle(geo.with_point(left, "in_gps", "in_lat", "in_lon", outer=True).drop("in_gps"))
+    right = settle(right.select("db_id", "db_lat", "db_lon", "db_norm", "db_norm_eng"))
+    names = ("db_norm", "db_norm_eng")
+    best_of = lambda least: F.greatest(*(similarity.name_match(F.col("in_norm"), F.col(c), least) for c in names))
+    may = reduce(lambda a, b: a | b, (similarity.may_match(F.col("in_norm"), F.col(c), near_score) for c in names))
+    points = left.where("in_lat IS NOT NULL AND in_lon IS NOT NULL")
+    near = radius_join(points, right, near_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True).where(may)
+    near = near.withColumn("score", best_of(F.lit(near_score))).where(F.col("score") >= near_score)
+
+    named = right.select("db_id", "db_lat", "db_lon", F.explode(F.array_distinct(F.array(*names))).alias("in_b")).where("in_b <> ''")
+    least = min(far_score, no_point_score)
+    pairs = alike_pairs(left.select(F.col("in_norm").alias("a")), named.select(F.col("in_b").alias("b")), least)
+    scored = settle(pairs.withColumn("score", similarity.name_match(F.col("a"), F.col("b"), F.lit(least))).where(F.col("score") >= least))
+    by_pair = scored.select(F.col("a").alias("in_norm"), F.col("b").alias("in_b"), "score")
+    far = radius_join(points.join(by_pair.where(F.col("score") >= far_score), "in_norm"), named, far_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True, on=("in_b",))
+    firsts = named.groupBy("in_b").agg(F.min("db_id").alias("db_id"))
+    alone = left.where("in_lat IS NULL").join(by_pair.where(F.col("score") >= no_point_score), "in_norm").join(firsts, "in_b").withColumn("distance_m", F.lit(None).cast("double"))
     cols = ["in_id", "db_id", "distance_m", "score"]
-    best = first_per_key(close.select(*cols).unionByName(by_name.select(*cols)), ["in_id"], [F.desc("score"), F.asc("db_id")])
+    best = first_per_key(near.select(*cols).unionByName(far.select(*cols)).unionByName(alone.select(*cols)), ["in_id"], [F.desc("score"), F.asc("db_id")])
     return best.select("in_id", "db_id", F.floor("distance_m").cast("long").alias("metres"), "score")
 
 
-def _name_keys(c):
-    """Words, and stretches of three letters (the whole of a shorter name)."""
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    return F.filter(F.concat(F.split(c, " ", -1), triples), lambda x: x != "")
-
-
 def unmatched(incoming: DataFrame, matches: DataFrame) -> DataFrame:
     return incoming.join(matches.select(F.col("in_id").alias("id")).distinct(), "id", "left_anti")
 
