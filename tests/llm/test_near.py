@@ -142,7 +142,8 @@ def vectors():
 
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_vectors_are_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", block * 128)
+    monkeypatch.setattr(embeddings, "LEAST_BLOCK", block)
     rows = vectors()
 
     def linked(a, b):

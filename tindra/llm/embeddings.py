@@ -13,7 +13,8 @@ are made at exactly the threshold, towards other vectors of the sample and in ra
 real links of the sample are added.  For a length, tables are added until ``RECALL`` of each of these
 kinds meet; of all lengths the one with the least work is taken, work being the rows dealt and the
 comparisons that buckets of the sample ask for.  Length 0, one bucket of the whole label in blocks, is
-always among them: where vectors are so alike that no code tells links from others, that is the least.
+for vectors so alike that no code tells links from others: it is taken where all codes ask for over
+``WHOLE`` times its work.
 Plans hang on the label's size in powers of two; labels of under ``1 / shared.HOT_SHARES`` of all rows
 share the plan of the largest such label.
 
@@ -40,7 +41,9 @@ from tindra.llm import kernel, shared, units
 COSINE, TRAIN_ROWS, RECALL, STEPS = 0.93, 4096, 0.998, 30
 PAIRS = 1024  # sampled pairs of each kind
 BLOCK, BLOCK_BYTES = 2048, 1 << 21  # vectors, and bytes of doubles, in one side of a unit
-DEALING = 128  # comparisons that take as long as dealing one row to a bucket
+LEAST_BLOCK, SHARES = 256, 16  # smaller buckets are cut in up to SHARES blocks of at least so many
+DEALING = 64  # comparisons that take as long as dealing one row to a bucket
+WHOLE = 4
 
 
 @dataclass
@@ -128,7 +131,7 @@ class Planner:
 
     def plan(self, size: int) -> tuple[int, int]:
         """Bits and tables for a label of ``size`` vectors."""
-        best = (DEALING * (1 + size / BLOCK) + size, 0, 1)
+        best = (WHOLE * (DEALING * (1 + size / BLOCK) + size), 0, 1)
         kinds = [k for k in (0, 1, 2) if (self.kind == k).any()]
         for bits in range(1, max(2, int(np.ceil(np.log2(max(size, 2)))) + 2)):
             met, work, t = np.zeros(len(self.kind), bool), 0.0, 0
@@ -284,7 +287,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, id_column: str = "vec_
     keyed = shared.settle(_keyed(classes, index, dim, sizes, rest), "vector-keys")
     tables = keyed.select("node", F.posexplode("keys").alias("t", "key"))
     crowd = tables.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    block = max(64, min(BLOCK, BLOCK_BYTES // (8 * max(dim, 1))))
+    block = F.least(F.greatest(F.col("size") / SHARES, F.lit(LEAST_BLOCK)), F.lit(max(2, min(BLOCK, BLOCK_BYTES // (8 * max(dim, 1))))))
     crowd = shared.settle(crowd.withColumn("blocks", F.ceil(F.col("size") / block)), "vector-buckets")
     met = shared.lookup(tables, crowd, ["key"], "size", total).where("size IS NOT NULL")
     dealt = units.deal(met, "key", "node", "blocks").select("key", "i", "j", "b", "t", "node")
