@@ -48,14 +48,16 @@ BENIGN = "sha1|sha256|sha|md5|commit|digest|checksum|hash|uuid|guid|version|buil
 DICTIONARY = "password placeholder example changeme secret token sample license version default internal external network document settings config system server client public private number string value field table index chapter section figure article country history science general common between through because before after under other about first their there which would could should these those where while great world state house place right small found still every three never again being using user name file path data true false null test dummy your here with from that this have they been will more when what some time into only also than then them very like over such just most even made back much good well work life year hand part week case point home water room mother area money story fact month lot study book eye job word business issue side kind head".split()
 _CHARS = "A-Za-z0-9+/_-"
 _ASSIGNS = f"(?i:{NAMED})(?:[_-][A-Za-z0-9]{{1,12}})?(?:[_-][A-Za-z0-9]{{1,12}})?\\s{{0,8}}[=:]"
+_MADE = f"(?<![A-Za-z0-9])(?=[AgsrxeA-])(?:{'|'.join(MAKES.values())})"
+# the cheap looks back and ahead come first, so few places come to the long ones
 CANDIDATE = "|".join(
     [
-        *(f"(?<![A-Za-z0-9]){p}" for p in MAKES.values()),
-        # the short looks back are for speed: few places come to the long one
-        f"(?<=[=:\\s\"'])(?<=[=:]\\s{{0,8}}[\"']?)(?<={_ASSIGNS}\\s{{0,8}}[\"']?)[^\\s\"',;]{{6,}}+",
-        f"(?<![{_CHARS}])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[{_CHARS}]{{14,}}+={{0,2}}",
+        _MADE,
+        f"(?<=[=:\\s\"'])(?<=[=:]|[=:\\s][\\s\"'])(?<=[=:]\\s{{0,8}}[\"']?)(?<={_ASSIGNS}\\s{{0,8}}[\"']?)[^\\s\"',;]{{6,}}+",
+        f"(?<![{_CHARS}])(?=[{_CHARS}]{{14}})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{_CHARS}]{{14,}}+={{0,2}}",
     ]
 )
+MAY_HOLD = f"[0-9]|[=:](?<={_ASSIGNS})|{_MADE}"
 FEATURES = {
     "length": "length(v)",
     "runs": "length(regexp_replace(v, '[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+', '#')) / length(v)",
@@ -190,7 +192,7 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
     model = _trained(docs.sparkSession.sparkContext.applicationId)
     kinds = " ".join(f"when c.v rlike {quoted('^(?:' + p + ')$')} then '{k}'" for k, p in MAKES.items())
     text = F.col(text_column)
-    may = text.rlike("|".join(["[0-9]", *MAKES.values(), _ASSIGNS]))
+    may = text.rlike(MAY_HOLD)
     none = F.array().cast("array<string>")
     staged = docs.withColumn("_v", F.when(may, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
     staged = staged.withColumn("_g", F.when(F.size("_v") > 0, F.split(text, CANDIDATE, -1)).otherwise(none))
