@@ -149,53 +149,53 @@ def radius_pairs_4km(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLEAN_NAME = "lower(trim(regexp_replace(regexp_replace(coalesce(name, ''), ',\\s*[-]?þjóðsaga\\s*$', ''), ',\\s*\\d{4}\\s*$', '')))"
-_SHIFT = f"SELECT id, coalesce(name, '') AS title, {_LAT} + 0.001 AS lat, {_LON} AS lon, lang FROM items WHERE id % 3 = 0 AND {_HAS}"
+# A second catalogue: every located item a little to the north, two thirds of them under other names.
+_TITLE = "CASE WHEN id % 3 = 0 THEN coalesce(name, '') WHEN id % 3 = 1 THEN coalesce(name, '') || ' nýr' ELSE substr(coalesce(name, ''), 4) END"
+_SHIFT = f"SELECT id, {_TITLE} AS title, {_LAT} + 0.001 AS lat, {_LON} AS lon, lang, story AS extract FROM items WHERE {_HAS}"
 
 
 def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = geo.with_point(items(spark, sf_dir).where("id % 3 = 0").where(geo.has_location(F.col("gps"))), "gps", "lat", "lon")
-    return rows.select("id", text.nonnull(F.col("name")).alias("title"), (F.col("lat") + 0.001).alias("lat"), "lon", "lang")
+    rows = geo.with_point(items(spark, sf_dir).where(geo.has_location(F.col("gps"))), "gps", "lat", "lon")
+    return rows.select("id", F.expr(_TITLE).alias("title"), (F.col("lat") + 0.001).alias("lat"), "lon", "lang", F.col("story").alias("extract"))
 
 
-@query(
-    "static_duplicates",
-    f"""SELECT DISTINCT s.id FROM ({_SHIFT}) s WHERE s.lat IS NOT NULL AND s.lon IS NOT NULL AND (
-      lower(trim(s.title)) IN (SELECT {_CLEAN_NAME} FROM items WHERE {_CLEAN_NAME} <> '' AND id % 3 > 0)
-      OR EXISTS (SELECT 1 FROM (SELECT lower(coalesce(name, '')) AS n, {_LAT} AS la, {_LON} AS lo FROM items WHERE id % 3 > 0) e WHERE e.la BETWEEN 63 AND 67 AND e.lo IS NOT NULL AND abs(e.la - s.lat) < 0.005
-        AND (({_HAV('s.lat', 's.lon', 'e.la', 'e.lo')} < 500 AND (contains(e.n, lower(trim(s.title))) OR contains(lower(trim(s.title)), e.n)))
-          OR ({_HAV('s.lat', 's.lon', 'e.la', 'e.lo')} < 200 AND split_part(trim(e.n), ' ', 1) <> '' AND split_part({_SQUEEZE('lower(s.title)')}, ' ', 1) = split_part({_SQUEEZE('e.n')}, ' ', 1)))))""",
-)
+def _duplicate_sql(row: str) -> str:
+    """Whether the catalogue has the shifted row."""
+    first = lambda c: f"split_part({_SQUEEZE(c)}, ' ', 1)"
+    return f"""({row}.lat IS NOT NULL AND {row}.lon IS NOT NULL AND (lower(trim({row}.title)) IN (SELECT {_CLEAN_NAME} FROM items WHERE {_CLEAN_NAME} <> '')
+      OR EXISTS (SELECT 1 FROM (SELECT lower(coalesce(name, '')) AS n, {_LAT} AS la, {_LON} AS lo FROM items) e WHERE e.la BETWEEN 63 AND 67 AND e.lo IS NOT NULL AND abs(e.la - {row}.lat) < 0.005
+        AND (({_HAV(f'{row}.lat', f'{row}.lon', 'e.la', 'e.lo')} < 500 AND (contains(e.n, lower(trim({row}.title))) OR contains(lower(trim({row}.title)), e.n)))
+          OR ({_HAV(f'{row}.lat', f'{row}.lon', 'e.la', 'e.lo')} < 200 AND split_part(trim(e.n), ' ', 1) <> '' AND {first(f'lower({row}.title)')} = {first('e.n')})))))"""
+
+
+@query("static_duplicates", f"SELECT s.id FROM ({_SHIFT}) s WHERE {_duplicate_sql('s')}")
 def static_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.static_duplicates(_shifted(spark, sf_dir), items(spark, sf_dir).where("id % 3 > 0")).select("id")
+    return matching.static_duplicates(_shifted(spark, sf_dir), items(spark, sf_dir)).select("id")
 
 
 @query("first_per_place", f"SELECT id, title FROM (SELECT id, title, row_number() OVER (PARTITION BY floor(lat * 100 + 0.5), floor(lon * 100 + 0.5) ORDER BY lang, title, id) AS r FROM ({_SHIFT}) s WHERE lat IS NOT NULL AND lon IS NOT NULL) x WHERE r = 1")
 def first_per_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [F.floor(F.col(c) * 100 + 0.5).cast("long") for c in ("lat", "lon")]
-    return order.first_per_key(_shifted(spark, sf_dir), keys, [F.asc("lang"), F.asc("title"), F.asc("id")]).select("id", "title")
+    rows = _shifted(spark, sf_dir).where("lat IS NOT NULL AND lon IS NOT NULL")
+    return order.first_per_key(rows, keys, [F.asc("lang"), F.asc("title"), F.asc("id")]).select("id", "title")
 
 
-@query("first_per_place_all")  # first_per_place's SQL holds a third of the items only
-def first_per_place_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = geo.with_point(items(spark, sf_dir).where(geo.has_location(F.col("gps"))), "gps", "lat", "lon")
-    shifted = rows.select("id", text.nonnull(F.col("name")).alias("title"), (F.col("lat") + 0.001).alias("lat"), "lon", "lang")
-    keys = [F.floor(F.col(c) * 100 + 0.5).cast("long") for c in ("lat", "lon")]
-    return order.first_per_key(shifted.where("lat IS NOT NULL AND lon IS NOT NULL"), keys, [F.asc("lang"), F.asc("title"), F.asc("id")]).select("id", "title")
+_OTHER = "CASE WHEN id % 3 = 0 THEN name WHEN id % 3 = 1 THEN coalesce(name, '') || ', nýr' ELSE substr(name, 4) END"
 
 
-@query("new_by_name", "SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM items WHERE id % 2 = 1 AND name IS NOT NULL AND name NOT IN (SELECT name FROM items WHERE id % 2 = 0 AND name IS NOT NULL)) x WHERE r = 1")
+@query("new_by_name", f"SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM (SELECT id, {_OTHER} AS name FROM items) o WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM items WHERE name IS NOT NULL)) x WHERE r = 1")
 def new_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).where("name IS NOT NULL").select("id", "name")
-    return matching.new_by_key(rows.where("id % 2 = 1"), F.col("name"), rows.where("id % 2 = 0").select("name"), [F.asc("id")])
+    rows = items(spark, sf_dir)
+    return matching.new_by_key(rows.select("id", F.expr(_OTHER).alias("name")).where("name IS NOT NULL"), F.col("name"), rows.where("name IS NOT NULL").select("name"), [F.asc("id")])
 
 
 _NORM = lambda c: _SQUEEZE(f"regexp_replace(lower(coalesce({c}, '')), '[.,;:!?\"()\\-–—„“”'']', ' ', 'g')")
 
 
-@query("new_by_normalised_name", f"SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY {_NORM('name')} ORDER BY id) AS r FROM items WHERE id % 2 = 1 AND {_NORM('name')} NOT IN (SELECT {_NORM('name')} FROM items WHERE id % 2 = 0)) x WHERE r = 1")
+@query("new_by_normalised_name", f"SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY {_NORM('name')} ORDER BY id) AS r FROM (SELECT id, {_OTHER} AS name FROM items) o WHERE {_NORM('name')} NOT IN (SELECT {_NORM('name')} FROM items)) x WHERE r = 1")
 def new_by_normalised_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).select("id", "name")
-    return matching.new_by_key(rows.where("id % 2 = 1"), text.plain_title(F.col("name")), rows.where("id % 2 = 0").select(text.plain_title(F.col("name"))), [F.asc("id")])
+    rows = items(spark, sf_dir)
+    return matching.new_by_key(rows.select("id", F.expr(_OTHER).alias("name")), text.plain_title(F.col("name")), rows.select(text.plain_title(F.col("name"))), [F.asc("id")])
 
 
 _REST = f"substr({_G}, instr({_G}, ',') + 1)"
@@ -220,7 +220,7 @@ def clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.join_lines(wrapped).alias("clean"))
 
 
-_MARKED = f"'{{{{Info {{{{x}}}} y}}}}[[Mynd:a.jpg|thumb]] [[Category:B]]' || chr(10) || '== Head ==' || chr(10) || '[[t|' || left(text, 80) || ']] [http://x.example z w] ' || substr(text, 81, 400) || '<ref name=a>q</ref><br/> __NOTOC__ ''''bold''''' || {_NL2} || 'short'"
+_MARKED = f"'{{{{Info {{{{x}}}} y}}}}[[Mynd:a.jpg|thumb]] [[Category:B]]' || chr(10) || '== Head ==' || chr(10) || '[[t|' || left(text, 80) || ']] [http://x.example z w] ' || substr(text, 81) || '<ref name=a>q</ref><br/> __NOTOC__ ''''bold''''' || {_NL2} || 'short'"
 
 
 def _markup_sql() -> str:
@@ -238,12 +238,6 @@ def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.plain_markup(marked).alias("plain"))
 
 
-@query("strip_markup_whole")  # strip_markup's SQL holds a start of each text only
-def strip_markup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.expr(_MARKED.replace("bold", "\\'\\'bold\\'\\'").replace("substr(text, 81, 400)", "substr(text, 81)"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.plain_markup(marked).alias("plain"))
-
-
 @query("first_paragraph", "SELECT conv_id, turn, CASE WHEN length(p) > 120 THEN left(p, 120) || '...' ELSE p END AS first FROM (SELECT conv_id, turn, trim(split_part(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), chr(10) || chr(10), 1)) AS p FROM conversations) x")
 def first_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
@@ -366,10 +360,10 @@ def parse_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.elevation(F.expr(_ELE)).cast("long").alias("metres"))
 
 
-@query("tallest_top", f"SELECT p_name AS caption, cast({_METRES} AS bigint) AS height, p_partkey FROM part WHERE {_METRES} IS NOT NULL ORDER BY height DESC, caption, p_partkey LIMIT 25")
-def tallest_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("tallest", f"SELECT p_name AS caption, cast({_METRES} AS bigint) AS height, p_partkey FROM part WHERE {_METRES} IS NOT NULL")
+def tallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("caption"), text.elevation(F.expr(_ELE)).cast("long").alias("height"), "p_partkey")
-    return rows.where("height IS NOT NULL").orderBy(F.desc("height"), F.asc("caption"), F.asc("p_partkey")).limit(25)
+    return rows.where("height IS NOT NULL").orderBy(F.desc("height"), F.asc("caption"), F.asc("p_partkey"))
 
 
 @query("batch_numbers", "SELECT doc_id, cast(floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 20) AS bigint) AS batch FROM documents")
@@ -378,14 +372,8 @@ def batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", order.batches(docs, ["lang"], [F.asc("doc_id")]).cast("long").alias("batch"))
 
 
-@query("last_marker", "SELECT slug, lat FROM (SELECT source AS slug, doc_id AS lat, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents WHERE doc_id % 3 > 0) x WHERE r = 1")
+@query("last_marker", "SELECT slug, lat FROM (SELECT source AS slug, doc_id AS lat, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) x WHERE r = 1")
 def last_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select(F.col("source").alias("slug"), F.col("doc_id").alias("lat"))
-    return rows.groupBy("slug").agg(F.max_by("lat", "lat").alias("lat"))
-
-
-@query("last_marker_all")  # last_marker's SQL holds two thirds of the documents only
-def last_marker_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("slug"), F.col("doc_id").alias("lat"))
     return rows.groupBy("slug").agg(F.max_by("lat", "lat").alias("lat"))
 
@@ -406,13 +394,13 @@ def gazetteer_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocoding.lookup(samples.inflected(spark, sf_dir), samples.gazetteer(spark, sf_dir)).select("name", "place_id", "tier")
 
 
-@query("slug_cascade", "WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '-') || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '-x' || cast(p_partkey % 5 AS varchar) || '-y' END END AS slug FROM part), k AS (SELECT DISTINCT replace(p_name, ' ', '-') AS known FROM part WHERE p_partkey % 3 > 0) SELECT p_partkey, slug, arg_max(known, length(known)) AS matched, CASE WHEN max(length(known)) = length(slug) THEN 'exact' WHEN max(length(known)) IS NOT NULL THEN 'prefix' END AS tier FROM s LEFT JOIN k ON slug = known OR starts_with(slug, known || '-') GROUP BY p_partkey, slug")
+@query("slug_cascade", "WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '-') || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '-x' || cast(p_partkey % 5 AS varchar) || '-y' END END AS slug FROM part), k AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE replace(p_name, ' ', '-') END AS known FROM part) SELECT p_partkey, slug, arg_max(known, length(known)) AS matched, CASE WHEN max(length(known)) = length(slug) THEN 'exact' WHEN max(length(known)) IS NOT NULL THEN 'prefix' END AS tier FROM s LEFT JOIN k ON slug = known OR starts_with(slug, known || '-') GROUP BY p_partkey, slug")
 def slug_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     dashed = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
     tail = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("-x"), (F.col("p_partkey") % 5).cast("string"), F.lit("-y")))
     slugs = part.select("p_partkey", F.when(F.col("p_partkey") % 5 == 4, F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))).otherwise(F.concat(dashed, tail)).alias("slug"))
-    return joins.best_prefix(slugs, "slug", part.where("p_partkey % 3 > 0").select(dashed.alias("known")), "known").select("p_partkey", "slug", "matched", "tier")
+    return joins.best_prefix(slugs, "slug", part.select(F.when(F.col("p_partkey") % 3 == 0, F.substring_index("p_name", " ", 1)).otherwise(dashed).alias("known")), "known").select("p_partkey", "slug", "matched", "tier")
 
 
 @query("place_candidates")
@@ -471,7 +459,7 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = items(spark, sf_dir).select("id", "name", "name_eng", "gps")
     moved = F.when(F.col("id") % 4 == 0, F.reverse(F.col("name"))).otherwise(F.concat(F.col("name"), F.lit(" x")))
-    return rows.where("id % 3 = 0").withColumn("name", moved), rows.where("id % 3 > 0")
+    return rows.withColumn("name", moved), rows
 
 
 @query("fuzzy_radius_candidates")
