@@ -310,7 +310,16 @@ def heading_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "pos", "name", "location", F.lit(True).alias("it"))
 
 
-@query("page_text")
+_PLAIN_HTML = lambda c: f"replace(replace(replace(replace({c}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_BODY = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '</(body|html)>', '', 'g'), '<(p|br)(\\s[^>]*)?/?>', {_NL2}, 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(
+    "page_text",
+    f"""SELECT page_id, trim({_PLAIN_HTML("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title, '' AS main, {_PARAS(f"regexp_replace({_PLAIN_HTML(_BODY)}, '\\n{{3,}}', {_NL2}, 'g')", 0)} AS story,
+      regexp_extract(regexp_replace(html, '<[^>]*>', '', 'g'), '\\(([^)]*(?:Jón|Árnason|Þjóðsagnasafn|safn|Maurer)[^)]*)\\)', 1) AS source,
+      len(regexp_extract_all(html, '<h[1-6]')) AS n_headings, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages""",
+)
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.parsed(F.col("html"), "content").alias("p")).select("page_id", "p.title", "p.main", "p.story", "p.source", F.size("p.headings").alias("n_headings"), F.size("p.links").alias("n_links"))
 
@@ -403,12 +412,12 @@ def slug_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.best_prefix(slugs, "slug", part.select(F.when(F.col("p_partkey") % 3 == 0, F.substring_index("p_name", " ", 1)).otherwise(dashed).alias("known")), "known").select("p_partkey", "slug", "matched", "tier")
 
 
-@query("place_candidates")
+@query("place_candidates", samples.PLACE_CANDIDATES_SQL)
 def place_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geocoding.candidates(samples.tales(spark, sf_dir), "id", F.col("title"), F.col("body"))
+    return geocoding.candidates(samples.tales(spark, sf_dir), "id", F.col("title"), F.col("body")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("geocoded_tales")
+@query("geocoded_tales", samples.GEOCODED_SQL)
 def geocoded_tales(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = geocoding.candidates(samples.tales(spark, sf_dir), "id", F.col("title"), F.col("body"))
     located = found.join(geocoding.lookup(found, samples.gazetteer(spark, sf_dir)), "name").where(geo.in_box(F.col("lat"), F.col("lon")))
@@ -478,24 +487,52 @@ def tiered_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.unmatched(incoming, matching.tiered_best(incoming, known)).select("id")
 
 
-@query("greedy_same_place")
+def _greedy_sql(nodes: str, edges: str, seeded: str) -> str:
+    """Acceptance one row after the other, by recursion: ``nodes`` (node), ``edges`` (node, earlier) and
+    ``seeded`` (node) are statements."""
+    return f"""{_VIEWS.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS ({edges}), s AS ({seeded}),
+      n AS (SELECT node, row_number() OVER (ORDER BY node) AS k, node IN (SELECT node FROM s) AS hit, coalesce((SELECT list(earlier) FROM e WHERE e.node = v.node), []::bigint[]) AS earlier FROM ({nodes}) v),
+      walk AS (SELECT cast(0 AS bigint) AS k, []::bigint[] AS kept UNION ALL SELECT n.k, CASE WHEN n.hit OR list_has_any(n.earlier, walk.kept) THEN walk.kept ELSE list_append(walk.kept, n.node) END FROM walk JOIN n ON n.k = walk.k + 1),
+      last AS (SELECT kept FROM walk ORDER BY k DESC LIMIT 1)
+    SELECT n.node, list_contains(last.kept, n.node) AS accepted FROM n, last"""
+
+
+_PLACED = f"(SELECT id, lower(trim(coalesce(name, ''))) AS n, lower(trim(coalesce(name_eng, ''))) AS g, {_LAT} AS la, {_LON} AS lo FROM items WHERE {_HAS})"
+_CLOSE = f"abs(a.la - b.la) < 0.002 AND {_HAV('a.la', 'a.lo', 'b.la', 'b.lo')} < 100 AND (a.n = b.n OR a.g = b.g)"
+_BOTH = f"FROM {_PLACED} a JOIN {_PLACED} b ON a.la IS NOT NULL AND a.lo IS NOT NULL AND b.la IS NOT NULL AND b.lo IS NOT NULL AND a.id % 4 <> 3"
+
+
+@query(
+    "greedy_same_place",
+    _greedy_sql(f"SELECT id AS node FROM {_PLACED} a WHERE id % 4 <> 3 AND la IS NOT NULL AND lo IS NOT NULL", f"SELECT a.id AS node, b.id AS earlier {_BOTH} AND b.id % 4 <> 3 AND b.id < a.id WHERE {_CLOSE}", f"SELECT a.id AS node {_BOTH} AND b.id % 4 = 3 WHERE {_CLOSE}"),
+)
 def greedy_same_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).select("id", "name", "name_eng", "gps")
     return matching.greedy_same_place(rows.where("id % 4 <> 3"), rows.where("id % 4 = 3"))
 
 
-@query("greedy_titles")
+_LEGEND = _SQUEEZE("""regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(name, ''))), ',?\\s*-?þjóðsaga\\s*$', ''), '^\\*', ''), '[.,;:!?\"()\\-]', ' ', 'g')""")
+_TITLED = f"(SELECT id, {_LEGEND} AS t, {_HAS} AS located FROM items)"
+_LEAD = lambda c: f"array_to_string(string_split({c}, ' ')[1:3], ' ')"
+_SAME_TITLE = f"a.t = b.t OR (length(a.t) > 10 AND (contains(b.t, a.t) OR contains(a.t, b.t))) OR (contains(a.t, ' ') AND {_LEAD('a.t')} = {_LEAD('b.t')})"
+_TITLES = f"FROM {_TITLED} a JOIN {_TITLED} b ON a.t <> '' AND b.t <> '' AND a.located AND a.id % 4 > 0"
+
+
+@query(
+    "greedy_titles",
+    _greedy_sql(f"SELECT id AS node FROM {_TITLED} a WHERE t <> '' AND located AND id % 4 > 0", f"SELECT a.id AS node, b.id AS earlier {_TITLES} AND b.located AND b.id % 4 > 0 AND b.id < a.id WHERE {_SAME_TITLE}", f"SELECT DISTINCT a.id AS node {_TITLES} AND b.id % 4 = 0 WHERE {_SAME_TITLE}"),
+)
 def greedy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).select("id", text.legend_title(F.col("name")).alias("title"), geo.has_location(F.col("gps")).alias("located"))
     return matching.greedy_titles(rows.where("id % 4 > 0 AND title <> ''"), rows.where("id % 4 = 0 AND title <> ''"))
 
 
-@query("wkb_points")
+@query("wkb_points", samples.POINTS_SQL)
 def wkb_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.blobs(spark, sf_dir).select("id", geometry.point(F.col("geom")).alias("p")).select("id", "p.lon", "p.lat")
 
 
-@query("normalise_speech")
+@query("normalise_speech", samples.SPEECH_SQL)
 def normalise_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.sentences(spark, sf_dir).select("id", *(speech.spoken_icelandic(F.col("text"), e).alias(e) for e in ("local", "cloud")))
 
@@ -524,19 +561,37 @@ def last_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.unix_seconds(ingest.last_changed(stored)).alias("seconds"))
 
 
-@query("new_articles")
+_EXTRACT = f"trim(regexp_replace(regexp_replace(coalesce(extract, ''), '={{2,}}\\s*[^=]+\\s*={{2,}}', '', 'g'), '\\n{{3,}}', {_NL2}, 'g'), ' ' || chr(10) || chr(9) || chr(13))"
+_ARTICLE = f"(SELECT id AS pageid, title, lat, lon, CASE WHEN lang = 'en' THEN 'en' ELSE 'is' END AS l, {_EXTRACT} AS body FROM ({_SHIFT}) s)"
+_MILLI = lambda c: f"floor({c} * 1000 + 0.5)"
+
+
+@query(
+    "new_articles",
+    f"""SELECT l || '_' || cast(pageid AS varchar) AS id, title AS name, lat, lon, 'Saga' AS tag, CASE WHEN l = 'is' THEN body ELSE '' END AS story, CASE WHEN l = 'is' THEN '' ELSE body END AS story_eng,
+      'https://' || l || '.wikipedia.org/wiki/' || replace(title, ' ', '_') AS ref, 'wikipedia_' || l AS source, length(body) AS char_count
+    FROM {_ARTICLE} a WHERE length(body) >= 100 AND lat IS NOT NULL AND lon IS NOT NULL AND NOT {_duplicate_sql('a')}
+    QUALIFY row_number() OVER (PARTITION BY {_MILLI('lat')}, {_MILLI('lon')} ORDER BY l, title, l || '_' || cast(pageid AS varchar)) = 1""",
+)
 def new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _shifted(spark, sf_dir).join(items(spark, sf_dir).select("id", F.col("story").alias("extract")), "id")
+    rows = _shifted(spark, sf_dir).where("lat IS NOT NULL AND lon IS NOT NULL")
     articles = rows.select(F.col("id").alias("pageid"), "title", "lat", "lon", F.when(F.col("lang") == "en", "en").otherwise("is").alias("lang"), "extract")
-    return ingest.new_articles(articles, items(spark, sf_dir).where("id % 3 > 0"))
+    return ingest.new_articles(articles, items(spark, sf_dir))
 
 
-@query("points_in_disc")
+@query("points_in_disc", "SELECT event_id, true AS inside FROM events")
 def points_in_disc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.points_in_disc(table(spark, sf_dir, "benchmark").select("item_id"), 64.9, -18.6, 50.0, 7)
+    drawn = ingest.points_in_disc(table(spark, sf_dir, "events").select("event_id"), 64.9, -18.6, 50.0, 7)
+    metres = geo.haversine(F.lit(64.9), F.lit(-18.6), F.col("lat"), F.col("lon"))
+    return drawn.select("event_id", (metres <= 50_000 * 1.01).alias("inside"))  # a flat disc's edge is a little off on the sphere
 
 
-@query("feature_rows")
+@query(
+    "feature_rows",
+    f"""SELECT 'Name ' || cast(id AS varchar) AS name, printf('%.7f,%.7f', lat, lon) AS gps, 'Örnefni' AS tag,
+      'Name ' || cast(id AS varchar) || CASE WHEN id % 3 = 0 THEN ' (Other)' ELSE '' END || ' er ' || ['dys', 'melur', 'x'][id % 3 + 1] || '.  ' || CASE id % 3 WHEN 0 THEN {_NL2} || 'Dys er upphækkuð gröf.' WHEN 1 THEN {_NL2} || 'Melur er gróðursnautt svæði.' ELSE '' END || {_NL2} || 'A note.' AS story,
+      'LMI Örnefni. s' AS ref, 'lmi' AS source, cast(0 AS bigint) AS visibility FROM ({samples.POINTS_SQL}) p WHERE lat IS NOT NULL""",
+)
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     blobs = samples.blobs(spark, sf_dir)
     rows = blobs.select(F.concat(F.lit("Name "), F.col("id").cast("string")).alias("ornefni"), F.when(F.col("id") % 3 == 0, "Other").alias("tvinefni"), F.element_at(F.array(F.lit("dys"), F.lit("melur"), F.lit("x")), (F.col("id") % 3 + 1).cast("int")).alias("nafnberi"), F.lit(" A note. ").alias("ornefnalysing"), F.lit(None).cast("string").alias("tilvist"), F.lit("s").alias("heimild"), "geom")

@@ -62,26 +62,27 @@ def inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.unionByName(nations)
 
 
-def _gazetteer_sql() -> str:
-    """The lookup's exact tiers as SQL: rules as a table, and the partial tier."""
+def gazetteer_sql(names: str, before: str = "") -> str:
+    """The lookup as SQL for the names of a statement: rules as a table, and the partial tier; a common
+    table ``found`` of name, place_id and tier, after the common tables ``before``."""
     from tindra.operators.geocoding import ENDINGS, IRREGULAR
 
     rules = ", ".join(f"({i}, '{e}', '{n}')" for i, (e, n) in enumerate(ENDINGS))
     irregular = ", ".join(f"('{k}', '{v}')" for k, v in IRREGULAR.items())
-    capital = "upper(left(lower(n_name), 1)) || substr(lower(n_name), 2)"
-    return f"""WITH g AS (SELECT * FROM (VALUES {_PLACES}) t(id, place, lat, lon) UNION ALL SELECT n_nationkey + 100, {capital}, 64.0, -21.0 FROM nation),
-      f AS (SELECT DISTINCT name FROM (SELECT * FROM (VALUES {_FORMS}) t(name) UNION ALL SELECT {capital} || 's' FROM nation) u),
+    return f"""WITH {before} g AS (SELECT * FROM (VALUES {_PLACES}) t(id, place, lat, lon) UNION ALL SELECT n_nationkey + 100, {CAPITAL}, 64.0, -21.0 FROM nation),
+      f AS (SELECT DISTINCT name FROM ({names}) u),
       r AS (SELECT * FROM (VALUES {rules}) t(i, e, n)),
       tried AS (SELECT name, 0 AS rule, name AS form FROM f UNION ALL SELECT name, 1, v FROM f JOIN (VALUES {irregular}) t(k, v) ON lower(name) = k
         UNION ALL SELECT name, 2 + 2 * i, left(name, length(name) - length(e)) || n FROM f JOIN r ON ends_with(lower(name), e) AND length(name) > length(e)
         UNION ALL SELECT name, 3 + 2 * i, left(s, length(s) - 1) FROM (SELECT name, i, left(name, length(name) - length(e)) || n AS s FROM f JOIN r ON ends_with(lower(name), e) AND length(name) > length(e)) q WHERE ends_with(s, 's') AND length(s) > 4),
       hit AS (SELECT name, rule, id, row_number() OVER (PARTITION BY name ORDER BY rule, id) AS k FROM tried JOIN g ON g.place = form),
-      part AS (SELECT f.name, g.id, row_number() OVER (PARTITION BY f.name ORDER BY g.id) AS k, count(*) OVER (PARTITION BY f.name) AS n FROM f JOIN g ON starts_with(lower(g.place), lower(f.name)) WHERE f.name NOT IN (SELECT name FROM hit))
-    SELECT name, cast(id AS bigint) AS place_id, CASE WHEN rule = 0 THEN 'direct' WHEN rule = 1 THEN 'irregular' ELSE 'ending' END AS tier FROM hit WHERE k = 1
-    UNION ALL SELECT name, cast(id AS bigint), 'partial' FROM part WHERE k = 1 AND n <= 5"""
+      part AS (SELECT f.name, g.id, row_number() OVER (PARTITION BY f.name ORDER BY g.id) AS k, count(*) OVER (PARTITION BY f.name) AS n FROM f JOIN g ON starts_with(lower(g.place), lower(f.name)) WHERE f.name NOT IN (SELECT name FROM hit)),
+      found AS (SELECT name, cast(id AS bigint) AS place_id, CASE WHEN rule = 0 THEN 'direct' WHEN rule = 1 THEN 'irregular' ELSE 'ending' END AS tier FROM hit WHERE k = 1
+        UNION ALL SELECT name, cast(id AS bigint), 'partial' FROM part WHERE k = 1 AND n <= 5)"""
 
 
-GAZETTEER_SQL = _gazetteer_sql()
+CAPITAL = "upper(left(lower(n_name), 1)) || substr(lower(n_name), 2)"
+GAZETTEER_SQL = f"{gazetteer_sql(f'SELECT * FROM (VALUES {_FORMS}) t(name) UNION ALL SELECT {CAPITAL} || {chr(39)}s{chr(39)} FROM nation')} SELECT * FROM found"
 
 
 def tales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,34 @@ def tales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(n.alias("id"), title.alias("title"), body.alias("body"))
 
 
+def _tales_sql() -> str:
+    forms = "[" + ", ".join(f"'{f}'" for f in FORMS) + "]"
+    form = lambda k: f"{forms}[cast((item_id * 7 + {k}) % {len(FORMS)} + 1 AS bigint)]"
+    return f"""SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'Sagan frá ' || {form(0)} WHEN 1 THEN {form(1)} ELSE 'Saga' END AS title,
+      'Einu sinni bjó bóndi á ' || {form(2)} || ', og fór hann til ' || {form(3)} || '. Þar var prestur í ' || {form(4)} || ' og herra frá Húsfrey. ' || {form(2)} || ' er stór. ' || coalesce(text, '') AS body FROM benchmark"""
+
+
+def _candidates_sql() -> str:
+    """Common tables up to ``cand`` (id, pos, name, found_in) of the tales."""
+    from tindra.operators.geocoding import AFTER_PREPOSITION, AFTER_ROLE, BY_SUFFIX, LEAST_CHARS, NOT_PLACES, TEXT_CHARS
+
+    bare = lambda p: p.replace("(?U)", "").replace("'", "''")
+    head = f"left(body, {TEXT_CHARS})"
+    passes = [("title", AFTER_PREPOSITION, "title"), ("title", BY_SUFFIX, "title"), (head, AFTER_PREPOSITION, "text"), (head, AFTER_ROLE, "text"), (head, BY_SUFFIX, "text")]
+    lists = " || ".join(f"list_transform(regexp_extract_all({c}, '{bare(p)}', 1), lambda x: {{'name': x, 'found_in': '{w}'}})" for c, p, w in passes)
+    not_places = ", ".join(f"'{x}'" for x in NOT_PLACES)
+    return f"""tale AS ({_tales_sql()}), raw AS (SELECT id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT id, {lists} AS l FROM tale) x),
+      named AS (SELECT id, pos, regexp_replace(trim(c.name), '[.,;:!?]+$', '') AS name, c.found_in AS found_in FROM raw),
+      cand AS (SELECT id, cast(pos AS bigint) AS pos, name, found_in FROM named WHERE length(name) >= {LEAST_CHARS} AND lower(name) NOT IN ({not_places}) QUALIFY row_number() OVER (PARTITION BY id, lower(name) ORDER BY pos) = 1)"""
+
+
+PLACE_CANDIDATES_SQL = f"WITH {_candidates_sql()} SELECT * FROM cand"
+GEOCODED_SQL = f"""{gazetteer_sql('SELECT name FROM cand', _candidates_sql() + ',')}
+    SELECT id, place, found_in, CASE WHEN found_in = 'title' THEN 'title_match' ELSE 'text_match' END AS confidence FROM (
+      SELECT c.id, p.place, c.found_in, row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN c.found_in = 'title' THEN 0 ELSE 1 END, c.pos) AS r
+      FROM cand c JOIN found USING (name) JOIN g p ON p.id = found.place_id WHERE p.lat BETWEEN 63 AND 67 AND p.lon BETWEEN -25 AND -13) z WHERE r = 1"""
+
+
 def blob(kind: int) -> bytes:
     """A geometry blob of every form in turn: byte orders, envelopes, shapes, and two bad ones."""
     little = kind % 2 == 0
@@ -121,6 +150,10 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.element_at(F.array(*(F.unhex(F.lit(blob(k).hex())) for k in range(25))), (F.col("n_nationkey") % 25 + 1).cast("int")).alias("geom"))
 
 
+# What the blobs stand for, by the rule that makes them: kinds 7 and 8 of nine are bad, then seven shapes.
+POINTS_SQL = """SELECT n_nationkey AS id, CASE WHEN k % 9 >= 7 OR k % 7 = 6 THEN NULL WHEN k % 7 = 1 THEN x + half WHEN k % 7 = 4 THEN x + half WHEN k % 7 IN (2, 5) THEN (x + (x + 2) + (x + 2) + x) / 4 ELSE x END AS lon,
+      CASE WHEN k % 9 >= 7 OR k % 7 = 6 THEN NULL WHEN k % 7 = 1 THEN y + half / 2.0::double WHEN k % 7 = 4 THEN y + half / 2.0::double WHEN k % 7 IN (2, 5) THEN (y + y + (y + 2) + y) / 4 ELSE y END AS lat
+    FROM (SELECT cast(n_nationkey AS bigint) AS n_nationkey, n_nationkey % 25 AS k, -20.0::double - n_nationkey % 25 / 10.0::double AS x, 64.0::double + n_nationkey % 25 / 10.0::double AS y, (3 + n_nationkey % 25 % 2) // 2 AS half FROM nation) b"""
 SENTENCES = ("Fjallið er {n} m hátt.", "Stofnað, {n}", "Árið {n} komu {k} menn.", "Á {k}. öld og um miðja {k}. öld.", "Þann {k}. júní {n} kl. 12", "{k}.06.{n} - 25% MH NATO II", "5-7 km og {n} krónur í {k} daga", "{n}-{n} t.d. í NA átt & víðar (1,2,3)")
 
 
@@ -132,6 +165,47 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(F.replace(picked, F.lit("{n}"), n), F.lit("{k}"), k).alias("text"))
 
 
+def _speech_sql() -> str:
+    """What is said of each sentence, form by form, over tables of number words."""
+    from tindra.functions import speech
+
+    words = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    forms = {"n": ("nom", "n"), "m": ("nom", "m"), "f": ("nom", "f"), "g": ("gen", "m")}
+    units = " ".join(f"WHEN '{k}' THEN {words(['', *speech.INFLECTED[case][gender].split(), *speech.UNITS[5:]])}" for k, (case, gender) in forms.items())
+    linked = "CASE WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p[1:len(p) - 1], ' ') || CASE WHEN contains(' ' || p[len(p)] || ' ', ' og ') THEN ' ' ELSE ' og ' END || p[len(p)] END"
+    days = [speech.DAYS[k] for k in range(20)]
+    weak = ["annarri" if k == 2 else "tuttugustu" if k == 20 else w[:-1] + "u" for k, w in enumerate(speech.CENTURIES, 1)]
+    c = lambda form, x="n": f"(SELECT w FROM c WHERE c.form = '{form}' AND c.x = s.{x})"
+    year = "(SELECT w FROM y WHERE y.x = s.n)"
+    dated, big = "s.n BETWEEN 1000 AND 2099", "s.n >= 100"
+    day = f"CASE WHEN k <= 20 THEN {words(days)}[k] WHEN k < 30 THEN 'tuttugasta og ' || {words(days)}[k - 20] WHEN k = 30 THEN 'þrítugasta' ELSE 'þrítugasta og fyrsta' END"
+    century = f"CASE WHEN k <= 20 THEN {words(weak)}[k] || ' öld' WHEN k = 21 THEN 'tuttugustu og fyrstu öld' ELSE {{}} || '. öld' END"
+    tail = " prósent emm há NATO II'"
+
+    def said(local: bool) -> str:
+        num = lambda form, x="n": c(form, x) if local else f"cast(s.{x} AS varchar)"
+        some = f"CASE WHEN {dated} THEN {year} ELSE {num('n')} END"
+        of_year = f"CASE WHEN {dated}{f' OR {big}' if local else ''} THEN {year} ELSE {num('n')} END"
+        era = century.format(num("n", "k"))
+        quarter = "tuttugu og fimm" if local else "25"
+        return f"""CASE s.t WHEN 0 THEN 'Fjallið er ' || {num('g')} || ' metrar hátt.' WHEN 1 THEN 'Stofnað, ' || {some}
+          WHEN 2 THEN 'Árið ' || {of_year} || ' komu ' || {num('n', 'k')} || ' menn.' WHEN 3 THEN 'Á ' || {era} || ' og um miðja ' || {era} || '.'
+          WHEN 4 THEN 'Þann ' || {day} || ' júní ' || {some} || ' kl. {'tólf' if local else '12'}'
+          WHEN 5 THEN CASE WHEN s.n < 10 THEN {num('n', 'k')} || '.{'sex' if local else '06'}.' || {num('n')} || ' til {quarter}{tail} WHEN {dated} THEN {day} || ' júní ' || {year} || ' - {quarter}{tail} ELSE {day} || ' júní ' || {num('n')} || ' til {quarter}{tail} END
+          WHEN 6 THEN '{'fimm til sjö' if local else '5 til 7'} kílómetrar og ' || {num('f')} || ' krónur í ' || {num('m', 'k')} || ' daga'
+          ELSE {some} || ' til ' || {some} || ' til dæmis í norðaustur átt og víðar ' END"""
+
+    return f"""WITH b AS (SELECT form, x, CASE WHEN x = 0 THEN 'núll' WHEN x < 20 THEN u[x + 1] WHEN x % 10 = 0 THEN d[x // 10 - 1] ELSE d[x // 10 - 1] || ' og ' || u[x % 10 + 1] END AS w
+        FROM (SELECT form, x, CASE form {units} END AS u, {words(speech.TENS)} AS d FROM (VALUES ('n'), ('m'), ('f'), ('g')) v(form), range(100) r(x)) q),
+      c AS (SELECT form, x, {linked} AS w FROM (SELECT r.form, h.x, list_filter([CASE WHEN h.x >= 1000 THEN t.w || ' þúsund' END, CASE WHEN h.x // 100 % 10 = 1 THEN 'hundrað' WHEN h.x // 100 % 10 > 1 THEN e.w || ' hundruð' END, CASE WHEN h.x % 100 > 0 OR h.x = 0 THEN r.w END], lambda z: z IS NOT NULL) AS p
+        FROM range(2200) h(x) JOIN b t ON t.form = 'n' AND t.x = h.x // 1000 JOIN b e ON e.form = 'n' AND e.x = h.x // 100 % 10 JOIN b r ON r.x = h.x % 100) q),
+      y AS (SELECT x, CASE WHEN x < 1100 THEN (SELECT w FROM c WHERE c.form = 'n' AND c.x = q.x) ELSE {linked} END AS w FROM (SELECT h.x, list_filter([CASE WHEN h.x // 100 = 20 THEN 'tvö þúsund' ELSE e.w || ' hundruð' END, CASE WHEN h.x % 100 > 0 THEN r.w END], lambda z: z IS NOT NULL) AS p
+        FROM range(100, 2200) h(x) JOIN b e ON e.form = 'n' AND e.x = h.x // 100 JOIN b r ON r.form = 'n' AND r.x = h.x % 100) q),
+      s AS (SELECT p_partkey AS id, p_partkey % 8 AS t, p_partkey % 31 + 1 AS k, p_partkey * 37 % 2200 AS n FROM part)
+    SELECT id, {said(True)} AS local, {said(False)} AS cloud FROM s"""
+
+
+SPEECH_SQL = _speech_sql()
 COLOURS = [("STEEL", "grey"), ("BRASS", "yellow"), ("COPPER", "red")]
 
 
