@@ -121,3 +121,16 @@ def test_page():
     assert page["headings"][0] == {"level": 2, "text": "Itemone", "href": "/i"}
     assert page["story"] == "A line wraps\n\nNew\n\npara" and page["source"] == "Jón"
     assert html.read_page(None, "main")["title"] == "" and html.read_page("(x Maurer y)", "m")["source"] == "x Maurer y"
+
+
+def test_language_and_engine_choose_the_passes(spark):
+    df = spark.createDataFrame([(1, "is", "Árið 1908, 1982 & 5 km"), (2, "en", "Þing & 1908"), (3, None, "5 km")], "id int, lang string, x string")
+    said = lambda engine: [r.y for r in df.select("id", speech.prepared(F.col("x"), F.col("lang"), engine).alias("y")).orderBy("id").collect()]
+    assert said("local") == ["Árið nítján hundruð og átta, nítján hundruð áttatíu og tvö og fimm kílómetrar", "Thing and 1908", "fimm kílómetrar"]
+    assert said("cloud") == ["Árið nítján hundruð og átta, nítján hundruð áttatíu og tvö og 5 kílómetrar", "Thing and 1908", "5 kílómetrar"]
+
+
+@pytest.mark.parametrize("text, said", [("24.–3. öld", "24.–3. öld"), ("99.13.1999 8. júní", "99.13.1999 áttunda júní"), ("1 " + "7" * 5000, "1 " + "7" * 5000), ("0999-1908-1912", "0999 til 1908 til 1912")])
+def test_forms_that_cannot_be_said_stay(text, said):
+    assert speech.say(text, "text") == said
+    assert isinstance(speech.say(text, "local"), str)

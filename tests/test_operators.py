@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tindra.functions import similarity, text
-from tindra.operators import catalogue, changes, greedy, ingest, joins, matching
+from tindra.operators import catalogue, changes, greedy, ingest, joins, matching, order
 
 
 def metres(a, b, c, d):
@@ -111,6 +111,51 @@ def test_tiers(spark):
     assert set(got) == {10, 11, 12, 15} and got[10][0] == 1 and got[11] == (2, None) and got[12][0] == 1 and got[15] == (2, None)
 
 
+def test_contains_join_is_the_loop(spark):
+    rng = random.Random(8)
+    some = lambda n: {"".join(rng.choices("aab ", k=rng.randint(0, 12))) for _ in range(n)}
+    small, large = some(60) | {""}, some(80) | {"b" * 30}
+    pairs = joins.contains_join(spark.createDataFrame([(x,) for x in [*small, None]], "s string"), spark.createDataFrame([(x,) for x in [*large, None]], "l string"), "s", "l")
+    assert sorted((r.s, r.l) for r in pairs.collect()) == sorted((s, x) for s in small for x in large if s in x)
+    none = spark.createDataFrame([], "s string")
+    assert joins.contains_join(none, none.withColumnRenamed("s", "l"), "s", "l").count() == 0
+
+
+def test_fuzzy_slug_is_the_loop(spark):
+    rng = random.Random(9)
+    known = list({"-".join("".join(rng.choices("abcd", k=rng.randint(2, 6))) for _ in range(rng.randint(1, 4))) for _ in range(80)})
+    slugs = [k.replace("a", "b", 1) for k in known[:30]] + known[30:40] + [k + "-x" for k in known[40:60]] + ["zzzz", ""]
+    got = joins.fuzzy_slug(spark.createDataFrame([(x,) for x in slugs], "slug string"), "slug", spark.createDataFrame([(x,) for x in known], "known string"), "known")
+
+    def loop(slug):
+        parts = slug.split("-")
+        for i in range(len(parts), 0, -1):
+            if "-".join(parts[:i]) in known:
+                return "-".join(parts[:i]), "exact" if i == len(parts) else "prefix"
+        best = max((SequenceMatcher(None, k, slug).ratio(), k) for k in known)
+        return (best[1], "fuzzy") if best[0] >= 0.85 else (None, None)
+
+    rows = {r.slug: (r.matched, r.tier) for r in got.collect()}
+    assert rows == {x: loop(x) for x in slugs} and {"exact", "prefix", "fuzzy", None} == {v[1] for v in rows.values()}
+
+
+@pytest.mark.parametrize("hot", [0, 700])
+def test_batches_and_successes_over_many_tasks(spark, hot):
+    rng = random.Random(10)
+    rows = [(k, rng.choice("abc") if k >= hot else "a", rng.random() < 0.1) for k in range(900)] + [(900, None, True), (901, None, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, lang string, good boolean").repartition(4)
+    seen, won, batch, visited = {}, {}, {}, set()
+    for k, lang, good in sorted(rows):
+        batch[k] = seen.get(lang, 0) // 20
+        seen[lang] = seen.get(lang, 0) + 1
+        if won.get(lang, 0) < 5:
+            visited.add(k)
+        won[lang] = won.get(lang, 0) + bool(good)
+    assert {r.id: r.batch for r in order.batches(df, ["lang"], [F.asc("id")]).collect()} == batch
+    assert {r.id for r in order.first_successes(df, F.col("good"), [F.asc("id")], 5, ["lang"]).collect()} == visited
+
+
 def _names(rng, n):
     word = lambda: "".join(rng.choices("abcdeö", k=rng.randint(1, 7)))
     base = [" ".join(word() for _ in range(rng.choice([1, 1, 2, 3, 5, 10, 14, 30]))) for _ in range(n // 3)]

@@ -95,3 +95,11 @@ def test_article_of_english_wins(spark):
     text = spark.createDataFrame([(1.0005, 2.5)], "a double, b double")
     assert text.select(ingest.formatted_gps(F.col("a"), F.col("b"), 3)).first()[0] == "1.000, 2.500"
     assert spark.sql("SELECT '2024-01-02 03:04:05' AS t UNION ALL SELECT '2024-01-02T03:04:05.123456' UNION ALL SELECT 'x'").select(ingest.last_changed(F.col("t")).isNotNull().alias("k")).where("k").count() == 2
+
+
+def test_jdbc_table_in_ranges(spark):
+    url = "jdbc:derby:memory:tindra;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(50).selectExpr("id AS key", "concat('n', id) AS name").write.jdbc(url, "things", "overwrite", {"driver": driver})
+    got = documents.jdbc_table(spark, url, "things", "key", 0, 50, 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted((r.KEY if "KEY" in got.columns else r.key) for r in got.collect()) == list(range(50))

@@ -10,11 +10,15 @@ _own: dict[str, str] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own where none is set, as in tests."""
+    """The cluster's checkpoint folder; a folder of our own where none is set on one machine.  On a
+    cluster it must be set: executors would write to disks of their own."""
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if not folder:
-        folder = context.getConf().get("spark.checkpoint.dir") or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tindra-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = folder or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tindra-"))
         context.setCheckpointDir(folder)
     return folder
 

@@ -141,3 +141,18 @@ def language_gap(items: DataFrame, long_chars: int = 3500) -> DataFrame:
     kind = F.when(both, "both").when(has("story_eng"), "en_only").when(has("story"), "is_only").otherwise("neither")
     size = F.greatest(length("story"), length("story_eng")).cast("long")
     return items.select("id", kind.alias("class"), size.alias("char_count"), (size > long_chars).alias("long"))
+
+
+def shown_on_map(items: DataFrame, wanted: str) -> DataFrame:
+    """Rows with ``shown``: whether the name holds the wanted text, in any case; all do for an empty one.
+    The counter beside the map is the number of rows shown."""
+    held = F.contains(F.lower(text.nonnull(F.col("name"))), F.lit(wanted.lower()))
+    return items.withColumn("shown", held if wanted else F.lit(True))
+
+
+def response(items: DataFrame, totals: DataFrame) -> DataFrame:
+    """A search's answer as JSON lines (part, line): the counts of ``totals`` (see ``progress``) as line
+    0, then a line per item under its id; written out in that order they are the whole answer."""
+    head = F.to_json(F.struct(F.col("total_translate").alias("TotalTranslate"), F.col("total_done").alias("TotalDone"), F.col("count").alias("Count"), F.lit("").alias("Error")))
+    line = F.to_json(F.struct(F.col("id").alias("Id"), *(text.nonnull(F.col(c)).alias(n) for c, n in (("name", "Name"), ("gps", "Gps"), ("tag", "Tag")))))
+    return totals.select(F.lit(None).cast("long").alias("part"), head.alias("line")).unionByName(items.select(F.col("id").alias("part"), line.alias("line")))

@@ -58,3 +58,24 @@ def migrate(source: DataFrame, target_path: str) -> tuple[int, int]:
     """One-time copy: the target is replaced, keys are kept; returns both row counts."""
     source.write.mode("overwrite").parquet(target_path)
     return source.count(), source.sparkSession.read.parquet(target_path).count()
+
+
+def save_areas(areas: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Areas replaced by key or added; an incoming area without a radius gets 1000, without a
+    visibility 0."""
+    filled = incoming.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in incoming.columns else F.lit(v) for c, v in (("radius", 1000), ("visibility", 0))})
+    return upsert(areas, filled.withColumns({c: F.col(c).cast(areas.schema[c].dataType) for c in ("radius", "visibility")}))
+
+
+def stamped(df: DataFrame, column: str = "lastchanged", now: Column | None = None, iso: bool = False) -> DataFrame:
+    """The column set to the time of the change, as text in one of the two stored forms."""
+    return df.withColumn(column, stored_time(F.current_timestamp() if now is None else now, iso))
+
+
+def stored_time(ts: Column, iso: bool = False) -> Column:
+    """A timestamp as stored text: with a blank, or ISO with T and, where there are any, six digits of
+    fractions; null stays null."""
+    if not iso:
+        return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(ts == F.date_trunc("second", ts), whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))

@@ -54,6 +54,30 @@ def story_links(pages: DataFrame, page: str = "page_id", html: str = "html", end
     return pages.select(page, F.posexplode(links).alias("pos", "href"))
 
 
+def search_hits(df: DataFrame, answer: str, most: int = 20) -> DataFrame:
+    """The first hits of a search answer (JSON) as rows with pos, caption and value; answers that are
+    no JSON or lack the list give none."""
+    hits = F.from_json(answer, "query struct<search: array<struct<title: string, pageid: long>>>")["query"]["search"]
+    return df.select(*(c for c in df.columns if c != answer), F.posexplode(F.slice(hits, 1, most)).alias("pos", "_h")).select("*", F.col("_h.title").alias("caption"), F.col("_h.pageid").alias("value")).drop("_h")
+
+
+def page_extract(answer: Column, pageid: Column) -> Column:
+    """The extract of a page in an answer (JSON), empty where it lacks one."""
+    pages = F.from_json(answer, "query struct<pages: map<string, struct<extract: string>>>")["query"]["pages"]
+    return F.coalesce(F.try_element_at(pages, pageid.cast("string"))["extract"], F.lit(""))
+
+
+def with_extracts(articles: DataFrame, extracts: DataFrame) -> DataFrame:
+    """Articles (lang, pageid) with the fetched ``extract`` of their page in their language; others keep
+    the one they have."""
+    return articles.join(extracts.select("lang", "pageid", F.col("extract").alias("_new")), ["lang", "pageid"], "left").withColumn("extract", F.coalesce("_new", "extract")).drop("_new")
+
+
+def first_hits(hits: DataFrame, key: str, probe: str, pos: str) -> DataFrame:
+    """The first hit of each key over probes (or categories) in order, and in a probe by position."""
+    return first_per_key(hits, [key], [F.asc(probe), F.asc(pos)])
+
+
 def category_pages(links: DataFrame, names: DataFrame, href: str = "href") -> DataFrame:
     """Links whose file name is a known category's (file_name, category); the small side decides."""
     return links.withColumn("file_name", F.regexp_replace(href, r"^[./]+", "")).join(names, "file_name")

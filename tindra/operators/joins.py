@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tindra.functions import geo
+from tindra.functions import geo, similarity
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, max_abs_lat: float | None = None, on: tuple[str, ...] = ()) -> DataFrame:
@@ -32,15 +32,23 @@ GRAM = 4
 def contains_join(small: DataFrame, large: DataFrame, small_text: str, large_text: str) -> DataFrame:
     """Pairs where ``small_text`` occurs in ``large_text`` (the empty text occurs in every text).
 
-    A text of at least ``GRAM`` characters is keyed by its first ones, a shorter one by itself; the
-    other side by all its stretches of up to that length."""
-    key = F.left(F.col(small_text), F.lit(GRAM))
-    n = F.length(large_text)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    stretches = F.transform(starts, lambda i: F.transform(F.array(*map(F.lit, range(1, GRAM + 1))), lambda k: F.substring(F.col(large_text), i, k)))
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(stretches)))
-    spread = large.where(F.col(large_text).isNotNull()).withColumn("_gram", F.explode(grams))
-    return small.where(F.col(small_text).isNotNull()).withColumn("_gram", key).join(spread, "_gram").drop("_gram").where(F.col(large_text).contains(F.col(small_text)))
+    A text of at least ``GRAM`` characters is keyed by the one of its stretches of that length that the
+    fewest large texts have, a shorter one by itself; large texts by all stretches of the lengths that
+    are asked for, those that no small text has left out first."""
+    small, large = small.where(F.col(small_text).isNotNull()), large.where(F.col(large_text).isNotNull())
+    sizes = sorted(r.n for r in small.select(F.least(F.length(small_text), F.lit(GRAM)).alias("n")).distinct().collect())  # at most GRAM + 1
+
+    def grams(c: str, lengths: list[int]):
+        at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+        return F.array_distinct(F.concat(F.array().cast("array<string>"), *(at(n) for n in lengths)))
+
+    spread = large.withColumn("_gram", F.explode(grams(large_text, sizes)))
+    keys = F.when(F.length(small_text) < GRAM, F.array(small_text)).otherwise(grams(small_text, [GRAM]))
+    asked = small.select(small_text).distinct().select(small_text, F.explode(keys).alias("_gram"))
+    held = spread.select("_gram").join(asked.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = asked.join(held, "_gram", "left").groupBy(small_text).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_best"))
+    rarest = rarest.where("_best.n > 0").select(small_text, F.col("_best.gram").alias("_gram"))
+    return small.join(rarest, small_text).join(spread, "_gram").drop("_gram").where(F.col(large_text).contains(F.col(small_text)))
 
 
 LONG = 96  # characters from which on pieces are looked for anywhere, not near their own place
@@ -116,3 +124,21 @@ def best_prefix(df: DataFrame, slug: str, known: DataFrame, known_slug: str) ->
     hits = slugs.withColumn("_head", F.explode(heads)).join(known.select(F.col(known_slug).alias("_head")).distinct(), "_head")
     best = hits.groupBy(slug).agg(F.max_by("_head", F.length("_head")).alias("matched"))
     return df.join(best, slug, "left").withColumn("tier", F.when(F.col("matched") == F.col(slug), "exact").when(F.col("matched").isNotNull(), "prefix"))
+
+
+def fuzzy_slug(df: DataFrame, slug: str, known: DataFrame, known_slug: str, least: float = 0.85) -> DataFrame:
+    """``best_prefix``, and for slugs without a match the known slug of the best Gestalt ratio from
+    ``least`` on (of equal ratios the last in order), with tier ``fuzzy``."""
+    found = best_prefix(df, slug, known, known_slug)
+    open_slugs = found.where(F.col("matched").isNull()).select(F.col(slug).alias("b")).distinct()
+    pairs = alike_pairs(known.select(F.col(known_slug).alias("a")), open_slugs, least)
+    scored = pairs.withColumn("_r", similarity.ratio(F.col("a"), F.col("b"), least)).where(F.col("_r") >= least)
+    best = scored.groupBy(F.col("b").alias(slug)).agg(F.max(F.struct("_r", "a"))["a"].alias("_fuzzy"))
+    return found.join(best, slug, "left").withColumns({"matched": F.coalesce("matched", "_fuzzy"), "tier": F.when(F.col("_fuzzy").isNotNull(), "fuzzy").otherwise(F.col("tier"))}).drop("_fuzzy")
+
+
+def with_marker(df: DataFrame, slug: str, markers: DataFrame) -> DataFrame:
+    """``df`` with ``coords``, the struct of its slug's marker (slug, lat, lng; the last of a slug
+    counts, by its column ``pos``), null where there is none."""
+    last = markers.groupBy(F.col("slug").alias(slug)).agg(F.max_by(F.struct("lat", "lng"), "pos").alias("coords"))
+    return df.join(last, slug, "left")

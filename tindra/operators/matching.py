@@ -130,3 +130,12 @@ def greedy_titles(incoming: DataFrame, seeds: DataFrame) -> DataFrame:
     edges = title_matches(rows, rows).where("b_id < a_id").select(F.col("a_id").alias("node"), F.col("b_id").alias("earlier"))
     seeded = title_matches(rows, seeds.select("id", "title")).select(F.col("a_id").alias("node"))
     return greedy.accept(rows.select(F.col("id").alias("node")), edges, seeded)
+
+
+def first_confirmed(candidates: DataFrame, key: str, rank: str, confirmed) -> DataFrame:
+    """Per key the rank of its first confirmed candidate (null without one) and how many candidates a
+    loop that stops there has looked at."""
+    hit = F.min(F.when(F.coalesce(confirmed, F.lit(False)), F.col(rank)))
+    first = candidates.groupBy(key).agg(hit.alias("confirmed"))
+    looked = candidates.join(first, key).where(F.col("confirmed").isNull() | (F.col(rank) <= F.col("confirmed")))
+    return looked.groupBy(key).agg(F.first("confirmed").alias("confirmed"), F.count("*").alias("looked_at"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tindra.functions.lineage import settle
+
 
 def collapse_repeats(df: DataFrame, name: Column, keys: tuple[Column, ...], order: tuple[Column, ...]) -> DataFrame:
     """Drops rows equal in name and keys to the row before them in name order.
@@ -32,12 +36,27 @@ def fill_forward(df: DataFrame, value: Column, partition: list[str], order: list
     return F.last(value, ignorenulls=True).over(w)
 
 
-def batches(df: DataFrame, partition: list[str], order: list[Column], size: int = 20) -> Column:
-    """Batch numbers from 0, ``size`` rows each."""
-    return F.floor((F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) / size)
+def _before(df: DataFrame, value: Column, partition: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``_before``: the sum of ``value`` over the rows before, per partition key.
+
+    The rows are range-partitioned by key and order, so a key with many rows has many tasks; a task sums
+    its own rows, and what its keys had before comes from one row per task and key."""
+    ranged = settle(df.withColumn("_v", value.cast("long")).repartitionByRange(*partition, *order).withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy("_p", *partition).agg(F.sum("_v").alias("_s"))
+    ahead = F.coalesce(F.sum("_s").over(Window.partitionBy(*partition).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_p", *(F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)), ahead.alias("_ahead"))
+    own = F.coalesce(F.sum("_v").over(Window.partitionBy("_p", *partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(partition)]
+    on = reduce(lambda a, b: a & b, [ranged["_p"] == sums["_p"], *same])
+    joined = ranged.join(sums, on).drop(sums["_p"]).withColumn("_own", own)
+    return joined.withColumn("_before", F.col("_own") + F.col("_ahead")).select(*df.columns, "_before")
+
+
+def batches(df: DataFrame, partition: list[str], order: list[Column], size: int = 20) -> DataFrame:
+    """``df`` with ``batch``: batch numbers from 0 in each partition, ``size`` rows each."""
+    return _before(df, F.lit(1), partition, order).withColumn("batch", F.floor(F.col("_before") / size).cast("long")).drop("_before")
 
 
 def first_successes(df: DataFrame, success: Column, order: list[Column], limit: int, partition: list[str]) -> DataFrame:
     """Rows up to the one with the ``limit``-th success, as a loop that stops there would visit them."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_done", F.coalesce(F.sum(success.cast("int")).over(w), F.lit(0))).where(F.col("_done") < limit).drop("_done")
+    return _before(df, F.coalesce(success, F.lit(False)).cast("int"), partition, order).where(F.col("_before") < limit).drop("_before")

@@ -74,6 +74,18 @@ _SEARCHES = {
 for _name, (_wanted, _where) in _SEARCHES.items():
     query(_name, _NESTED.format(_where.replace("name", "i.name").replace("story", "i.story").replace("tag", "i.tag")))(lambda spark, sf_dir, w=_wanted: _found(spark, sf_dir, w))
 
+@query("map_filter", "SELECT id, contains(lower(coalesce(name, '')), 'place 1') AS shown FROM items")
+def map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.shown_on_map(items(spark, sf_dir), "Place 1").select("id", "shown")
+
+
+@query("map_counter", "SELECT count(*) FILTER (contains(lower(coalesce(name, '')), 'place 1')) AS filtered, count(*) AS unfiltered FROM items")
+def map_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    both = catalogue.shown_on_map(rows, "Place 1").withColumnRenamed("shown", "a")
+    return catalogue.shown_on_map(both, "").agg(F.count_if("a").alias("filtered"), F.count_if("shown").alias("unfiltered"))
+
+
 _PROGRESS = "SELECT '{w}' AS wanted, cast(coalesce(sum(e), 0) AS bigint) AS total_translate, cast(coalesce(sum(dn), 0) AS bigint) AS total_done, count(*) AS count, cast(coalesce(floor(100.0 * sum(dn) / nullif(sum(e), 0) + 0.5), 0) AS bigint) AS percent FROM (SELECT CASE WHEN {e} THEN 1 ELSE 0 END AS e, CASE WHEN {e} AND coalesce(story_eng, '') <> '' THEN 1 ELSE 0 END AS dn FROM items WHERE {c}) x"
 _PLAIN = "NOT contains(coalesce(name, ''), 'þjóðsaga') AND NOT contains(coalesce(name, ''), 'bókmenntir')"
 
@@ -85,6 +97,16 @@ def translation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_ITEM_JSON = "json_object('Id', id, 'Name', coalesce(name, ''), 'Gps', coalesce(gps, ''), 'Tag', coalesce(tag, ''))"
+_HIT = f"{_SHOWN} AND {_FOLD('name')} LIKE 'T%'"
+
+
+@query("items_response", f"SELECT NULL AS part, cast(json_object('TotalTranslate', total_translate, 'TotalDone', total_done, 'Count', count, 'Error', '') AS varchar) AS line FROM ({_PROGRESS.format(w='t', e=_PLAIN, c=_HIT)}) p UNION ALL SELECT id, cast({_ITEM_JSON} AS varchar) FROM items WHERE {_HIT}")
+def items_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalogue.search(items(spark, sf_dir), "t")
+    return catalogue.response(found, catalogue.progress(found, "t"))
+
+
 @query("areas_list", "SELECT id, caption, caption_eng, visibility, radius FROM areas")
 def areas_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas(spark, sf_dir).select("id", "caption", "caption_eng", "visibility", "radius").orderBy("caption", "id")
@@ -378,7 +400,7 @@ def tallest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_numbers", "SELECT doc_id, cast(floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) / 20) AS bigint) AS batch FROM documents")
 def batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", order.batches(docs, ["lang"], [F.asc("doc_id")]).cast("long").alias("batch"))
+    return order.batches(docs.select("doc_id", "lang"), ["lang"], [F.asc("doc_id")]).select("doc_id", "batch")
 
 
 @query("last_marker", "SELECT slug, lat FROM (SELECT source AS slug, doc_id AS lat, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) x WHERE r = 1")
@@ -389,7 +411,7 @@ def last_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("first_successes", "SELECT doc_id FROM (SELECT doc_id, coalesce(sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM documents) x WHERE d < 5")
 def first_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.first_successes(table(spark, sf_dir, "documents"), F.col("n_chars") > 2000, [F.asc("doc_id")], 5, ["lang"]).select("doc_id")
+    return order.first_successes(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), F.col("n_chars") > 2000, [F.asc("doc_id")], 5, ["lang"]).select("doc_id")
 
 
 @query("small_rules", samples.SMALL_RULES_SQL)
@@ -424,6 +446,46 @@ def geocoded_tales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocoding.primary(located, "id").select("id", "place", "found_in", "confidence")
 
 
+_FUZZY_KNOWN = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
+
+
+@query("slug_fuzzy")  # the third tier's ratio is beyond SQL; tests hold it against a loop
+def slug_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    slugs = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.replace(_FUZZY_KNOWN, F.lit("e"), F.lit("")), F.lit("s"))).otherwise(F.reverse("p_name")).alias("slug"))
+    return joins.fuzzy_slug(slugs, "slug", part.select(_FUZZY_KNOWN.alias("known")), "known").select("p_partkey", "slug", "matched", "tier")
+
+
+_MARKERS = "SELECT 'h' || cast(doc_id % 40 AS varchar) AS slug, doc_id AS pos, doc_id * 1.5::double AS lat, doc_id * 0.5::double AS lng FROM documents"
+
+
+@query("marker_lookup", f"SELECT p.page_id, p.slug, m.lat, m.lng FROM (SELECT page_id, 'h' || cast(page_id % 60 AS varchar) AS slug FROM pages) p LEFT JOIN (SELECT slug, lat, lng FROM ({_MARKERS}) x QUALIFY row_number() OVER (PARTITION BY slug ORDER BY pos DESC) = 1) m USING (slug)")
+def marker_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markers = table(spark, sf_dir, "documents").select(F.concat(F.lit("h"), (F.col("doc_id") % 40).cast("string")).alias("slug"), F.col("doc_id").alias("pos"), (F.col("doc_id") * 1.5).alias("lat"), (F.col("doc_id") * 0.5).alias("lng"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("h"), (F.col("page_id") % 60).cast("string")).alias("slug"))
+    return joins.with_marker(pages, "slug", markers).select("page_id", "slug", "coords.lat", "coords.lng")
+
+
+@query("unresolved_totals", f"{samples.gazetteer_sql('SELECT name FROM cand', samples._candidates_sql() + ',')} SELECT count(*) AS names, count(DISTINCT id) AS texts FROM cand WHERE name NOT IN (SELECT name FROM found)")
+def unresolved_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unresolved(spark, sf_dir)[0]
+
+
+@query("unresolved_names", f"{samples.gazetteer_sql('SELECT name FROM cand', samples._candidates_sql() + ',')} SELECT name, count(*) AS n FROM cand WHERE name NOT IN (SELECT name FROM found) GROUP BY name ORDER BY n DESC, min(id * 1000 + pos) LIMIT 30")
+def unresolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unresolved(spark, sf_dir)[1].select("name", "n")
+
+
+@query("unresolved_texts", f"{samples.gazetteer_sql('SELECT name FROM cand', samples._candidates_sql() + ',')} SELECT id, string_agg(name, ', ' ORDER BY pos) AS names FROM cand WHERE name NOT IN (SELECT name FROM found) GROUP BY id")
+def unresolved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unresolved(spark, sf_dir)[2].select("id", "names")
+
+
+def _unresolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    found = geocoding.candidates(samples.tales(spark, sf_dir), "id", F.col("title"), F.col("body"))
+    return summaries.unresolved(found, geocoding.lookup(found, samples.gazetteer(spark, sf_dir)))
+
+
 # changes -------------------------------------------------------------------------------------------
 @query("upsert_items", "SELECT id, CASE WHEN id % 10 = 7 OR id > (SELECT max(doc_id) FROM documents) THEN 'new ' || cast(id % 10 AS varchar) ELSE name END AS name, CASE WHEN id % 10 = 7 THEN NULL ELSE story_eng END AS story_eng, source FROM items")
 def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,6 +494,23 @@ def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.upsert(rows, fresh, kept=("source",))
 
 
+_NEW_AREAS = "SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 100 END AS id, 'new ' || caption AS caption, caption_eng, gps, CASE WHEN id % 3 > 0 THEN 250 + id END AS radius FROM areas WHERE id % 4 < 2"
+
+
+@query("save_areas", f"SELECT id, caption, caption_eng, gps, radius, visibility FROM areas WHERE id NOT IN (SELECT id FROM ({_NEW_AREAS}) n) UNION ALL SELECT id, caption, caption_eng, gps, coalesce(radius, 1000), 0 FROM ({_NEW_AREAS}) n")
+def save_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = areas(spark, sf_dir).select("id", "caption", "caption_eng", "gps", "radius", "visibility")
+    even = F.col("id") % 2 == 0
+    fresh = rows.where("id % 4 < 2").select(F.when(even, F.col("id")).otherwise(F.col("id") + 100).alias("id"), F.concat(F.lit("new "), "caption").alias("caption"), "caption_eng", "gps", F.when(F.col("id") % 3 > 0, F.col("id") + 250).alias("radius"))
+    return changes.save_areas(rows, fresh)
+
+
+@query("stored_times", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS plain, CASE WHEN ts = date_trunc('second', ts) THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS iso FROM events")
+def stored_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "ts")
+    return changes.stamped(changes.stamped(rows, "plain", F.col("ts")), "iso", F.col("ts"), iso=True).select("event_id", "plain", "iso")
+
+
 @query("delete_cascade", "SELECT area_id, item_id FROM a2i WHERE item_id % 3 > 0")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir)
@@ -546,6 +625,70 @@ def story_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.story_links(pages).join(places, ["page_id", "href"]).select("page_id", "href", "first_pos")
 
 
+@query("category_pages", "SELECT page_id, file_name, category FROM (SELECT page_id, regexp_replace(unnest(l), '^[./]+', '') AS file_name FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages) x) y JOIN (VALUES ('The', 'start'), ('to', 'way'), ('de', 'of')) c(file_name, category) USING (file_name)")
+def category_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    names = spark.createDataFrame([("The", "start"), ("to", "way"), ("de", "of")], "file_name string, category string")
+    return ingest.category_pages(links, names).select("page_id", "file_name", "category")
+
+
+@query("first_of_pages", "SELECT href, page_id AS category, pos FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages) x) y QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id, pos) = 1")
+def first_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "pages").select(F.col("page_id").alias("category"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    return ingest.first_hits(links, "href", "category", "pos").select("href", "category", F.col("pos").cast("long").alias("pos"))
+
+
+@query("first_of_probes", "SELECT l_partkey AS pageid, l_orderkey AS probe, l_linenumber AS pos FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
+def first_of_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pageid"), F.col("l_orderkey").alias("probe"), F.col("l_linenumber").alias("pos"))
+    return ingest.first_hits(hits, "pageid", "probe", "pos")
+
+
+@query("first_confirmed", "SELECT o AS item, f AS confirmed, count(*) FILTER (f IS NULL OR r <= f) AS looked_at FROM (SELECT l_orderkey AS o, r, min(CASE WHEN l_quantity > 30 THEN r END) OVER (PARTITION BY l_orderkey) AS f FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) y) x GROUP BY o, f")
+def first_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber)").cast("long")
+    ranked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), "l_quantity", rank.alias("rank"))
+    return matching.first_confirmed(ranked, "item", "rank", F.col("l_quantity") > 30)
+
+
+@query("search_hits", "SELECT item_id, cast(i - 1 AS bigint) AS pos, 'T' || cast(i AS varchar) AS caption, item_id * 100 + i AS value FROM benchmark, range(1, 21) r(i) WHERE i <= item_id % 35 AND item_id % 5 > 0")
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("item_id")
+    hit = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n % 35, F.lit(1).cast("long"))), lambda i: F.struct(F.concat(F.lit("T"), i.cast("string")).alias("title"), (n * 100 + i).alias("pageid")))
+    whole = F.to_json(F.struct(F.struct(F.when(n % 35 > 0, hit).otherwise(F.slice(hit, 1, 0)).alias("search")).alias("query")))
+    answer = F.when(n % 5 > 0, whole).when(n % 2 == 0, '{"error": 1}').otherwise("no JSON")
+    return ingest.search_hits(table(spark, sf_dir, "benchmark").select("item_id", answer.alias("answer")), "answer").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("page_extracts", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text ELSE '' END AS extract FROM benchmark")
+def page_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("item_id")
+    pages = F.create_map((n + F.when(n % 3 == 1, 1).otherwise(0)).cast("string"), F.struct(F.col("text").alias("extract")))
+    answer = F.when(n % 3 < 2, F.to_json(F.struct(F.struct(pages.alias("pages")).alias("query")))).otherwise("{}")
+    return table(spark, sf_dir, "benchmark").select("item_id", ingest.page_extract(answer, n).alias("extract"))
+
+
+@query("extract_remap", "SELECT a.lang, a.pageid, coalesce(e.extract, a.extract) AS extract FROM (SELECT lang, doc_id % 50 AS pageid, min(doc_id) AS lo, 'old ' || cast(min(doc_id) AS varchar) AS extract FROM documents GROUP BY lang, doc_id % 50) a LEFT JOIN (SELECT lang, doc_id % 50 AS pageid, 'new ' || cast(max(doc_id) AS varchar) AS extract FROM documents WHERE doc_id % 4 > 1 GROUP BY lang, doc_id % 50) e ON a.lang = e.lang AND a.pageid = e.pageid")
+def extract_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    by = [F.col("lang"), (F.col("doc_id") % 50).alias("pageid")]
+    articles = docs.groupBy(*by).agg(F.concat(F.lit("old "), F.min("doc_id").cast("string")).alias("extract"))
+    fetched = docs.where("doc_id % 4 > 1").groupBy(*by).agg(F.concat(F.lit("new "), F.max("doc_id").cast("string")).alias("extract"))
+    return ingest.with_extracts(articles.where("lang IS NOT NULL"), fetched)
+
+
+@query("link_slots", "SELECT id, CASE WHEN lang = 'de' THEN link ELSE '' END AS link, CASE WHEN lang = 'de' THEN '' ELSE link END AS link_eng FROM items WHERE lang IS NOT NULL")
+def link_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir).where("lang IS NOT NULL")
+    return ingest.with_link_slots(rows, F.col("link"), F.col("lang"), home="de").select("id", "link", "link_eng")
+
+
+@query("resumed_results", "SELECT id, CASE WHEN id % 6 = 1 THEN 'stored ' || cast(id AS varchar) ELSE name END AS name FROM items")
+def resumed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir).select("id", "name")
+    return changes.stored_or_new(rows, rows.where("id % 6 = 1").select("id", F.concat(F.lit("stored "), F.col("id").cast("string")).alias("name")))
+
+
 @query("request_guards", "SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'empty' WHEN length(t) > 10000 THEN 'too long' END AS fault, starts_with(upper(trim(t)), '#REDIRECT') OR starts_with(upper(trim(t)), '#TILVÍSUN') AS redirect FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '  ' WHEN turn % 5 = 1 THEN repeat(text, 40) WHEN turn % 5 = 2 THEN ' #Redirect ' || text WHEN turn % 5 = 3 THEN '#tilvísun ' || text ELSE text END AS t FROM conversations) x")
 def request_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, body = F.col("turn") % 5, F.col("text")
