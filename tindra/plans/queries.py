@@ -446,14 +446,12 @@ def geocoded_tales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocoding.primary(located, "id").select("id", "place", "found_in", "confidence")
 
 
-_FUZZY_KNOWN = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
-
-
 @query("slug_fuzzy")  # the third tier's ratio is beyond SQL; tests hold it against a loop
 def slug_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    slugs = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.replace(_FUZZY_KNOWN, F.lit("e"), F.lit("")), F.lit("s"))).otherwise(F.reverse("p_name")).alias("slug"))
-    return joins.fuzzy_slug(slugs, "slug", part.select(_FUZZY_KNOWN.alias("known")), "known").select("p_partkey", "slug", "matched", "tier")
+    dashed = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
+    slugs = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.replace(dashed, F.lit("e"), F.lit("")), F.lit("s"))).otherwise(F.reverse("p_name")).alias("slug"))
+    return joins.fuzzy_slug(slugs, "slug", part.select(dashed.alias("known")), "known").select("p_partkey", "slug", "matched", "tier")
 
 
 _MARKERS = "SELECT 'h' || cast(doc_id % 40 AS varchar) AS slug, doc_id AS pos, doc_id * 1.5::double AS lat, doc_id * 0.5::double AS lng FROM documents"
