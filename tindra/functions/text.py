@@ -46,32 +46,39 @@ def matches_like(c: Column, before: str, text: str, after: str) -> Column:
     return F.like(fold(c), F.lit(before + folded + after))
 
 
+# What is cut from names, and the forms of years in captions.
+NAME_HEAD, BOILERPLATE = r"^(.*?)[,\-–—].*$", "ferðast og fræðast"
+LEGEND_CUTS = ((rf"(?U),?\s*-?{LEGEND}\s*$", ""), (r"^\*", ""), (r'[.,;:!?"()\-]', " "))
+PLAIN_CUTS = ((r'[.,;:!?"()\-–—„“”\']', " "),)
+CATALOGUE_CUTS = ((rf"(?U),\s*[-]?{LEGEND}\s*$", ""), (r"(?U),\s*\d{4}\s*$", ""))
+LEADING_YEARS = r"(?U)^(\d{4}(?:\s*[–\-]\s*\d{4})?)\s+(.+)$"
+
+
 def place_name(c: Column) -> Column:
     """Lower case, cut at the first comma or dash that has something before it, without boilerplate."""
     low = F.lower(strip(nonnull(c)))
-    head = F.regexp_extract(low, r"^(.*?)[,\-–—].*$", 1)
-    return squeeze(F.replace(F.when(strip(head) != "", head).otherwise(low), F.lit("ferðast og fræðast"), F.lit("")))
+    head = F.regexp_extract(low, NAME_HEAD, 1)
+    return squeeze(F.replace(F.when(strip(head) != "", head).otherwise(low), F.lit(BOILERPLATE), F.lit("")))
 
 
 def legend_title(c: Column) -> Column:
     """Title without the legend mark, a leading star and punctuation."""
-    return squeeze(chain(F.lower(strip(nonnull(c))), (rf"(?U),?\s*-?{LEGEND}\s*$", ""), (r"^\*", ""), (r'[.,;:!?"()\-]', " ")))
+    return squeeze(chain(F.lower(strip(nonnull(c))), *LEGEND_CUTS))
 
 
 def plain_title(c: Column) -> Column:
     """Lower case, punctuation as blanks."""
-    return squeeze(chain(F.lower(nonnull(c)), (r'[.,;:!?"()\-–—„“”\']', " ")))
+    return squeeze(chain(F.lower(nonnull(c)), *PLAIN_CUTS))
 
 
 def catalogue_name(c: Column) -> Column:
     """Name without legend mark and closing year, lower case."""
-    return F.lower(strip(chain(nonnull(c), (rf"(?U),\s*[-]?{LEGEND}\s*$", ""), (r"(?U),\s*\d{4}\s*$", ""))))
+    return F.lower(strip(chain(nonnull(c), *CATALOGUE_CUTS)))
 
 
 def year_last(c: Column) -> Column:
     """``1783 event`` as ``Event, 1783`` for years (or ranges of them) from 1000 on."""
-    years = F.regexp_extract(c, r"(?U)^(\d{4}(?:\s*[–\-]\s*\d{4})?)\s+(.+)$", 1)
-    rest = F.regexp_extract(c, r"(?U)^(\d{4}(?:\s*[–\-]\s*\d{4})?)\s+(.+)$", 2)
+    years, rest = (F.regexp_extract(c, LEADING_YEARS, k) for k in (1, 2))
     moved = F.concat(F.upper(F.left(rest, F.lit(1))), F.substring(rest, 2, 1 << 30), F.lit(", "), years)
     return F.when((years != "") & (F.left(years, F.lit(4)).try_cast("int") >= 1000), moved).otherwise(c)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tindra.functions import text
 from tindra.operators.order import first_per_key
 
-# Ordered endings and what takes their place, irregular forms, words that name no place.
+# Ordered endings and what takes their place, irregular forms, words that name no place,
+# and the three patterns that decide what a candidate is (after a preposition, by suffix, after a role).
 ENDINGS = (
     ("firði", "fjörður"), ("fjarðar", "fjörður"), ("fjörð", "fjörður"),
     ("dalnum", "dalur"), ("dalinn", "dalur"), ("dals", "dalur"), ("dal", "dalur"),
