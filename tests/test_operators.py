@@ -250,3 +250,12 @@ def test_features_keep_every_meaning(spark):
     meanings = spark.range(n).select(F.concat(F.lit("type"), F.col("id")).alias("nafnberi"), F.concat(F.lit("Meaning "), F.col("id"), F.lit(".")).alias("meaning"))
     got = ingest.feature_rows([rows], meanings).select("name", "story").collect()
     assert len(got) == n and all(f"meaning {r.name.split()[1]}." in r.story for r in got)
+
+
+def test_a_large_dictionary_of_features_is_whole(spark):
+    from tindra.plans import samples
+
+    layer = spark.range(1500).select(F.concat(F.lit("Name "), F.col("id").cast("string")).alias("ornefni"), F.lit("").alias("tvinefni"), F.concat(F.lit("kind"), F.col("id").cast("string")).alias("nafnberi"), F.lit("A note.").alias("ornefnalysing"), F.lit(None).cast("string").alias("tilvist"), F.lit("s").alias("heimild"), F.lit(bytearray(samples.blob(0))).alias("geom"))
+    meanings = spark.range(1500).select(F.concat(F.lit("kind"), F.col("id").cast("string")).alias("nafnberi"), F.concat(F.lit("Meaning "), F.col("id").cast("string")).alias("meaning"))
+    rows = ingest.feature_rows([layer], meanings)
+    assert rows.where(F.col("story").contains("meaning ")).count() == 1500
