@@ -19,17 +19,52 @@ def gestalt(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-def gestalt_from(a: str | None, b: str | None, least: float) -> float:
-    """The ratio where it can reach ``least``, else 0: the cheap upper bounds come first."""
+def _common(a: str, b: str) -> int:
+    """Characters that both have, each as often as the one that has it less often."""
+    return sum([min(a.count(c), b.count(c)) for c in set(a)])
+
+
+def gestalt_from(a: str | None, b: str | None, least: float, matcher: SequenceMatcher | None = None) -> float:
+    """The ratio where it reaches ``least``, else 0.  Stretches are matched from the longest on, and what
+    is still open can at most match all characters it has in common; a pair that can no longer reach
+    ``least`` is given up.  ``matcher`` may be one that has ``b`` already."""
     if not a or not b:
         return 0.0
-    m = SequenceMatcher(None, a, b)
-    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+    whole = len(a) + len(b)
+    need = least * whole / 2 - 1e-9
+    if min(len(a), len(b)) < need:
+        return 0.0
+    may = _common(a, b)
+    if may < need:
+        return 0.0
+    m = matcher or SequenceMatcher(None, "", b)
+    m.set_seq1(a)
+    matched, parts = 0, [(0, len(a), 0, len(b), may)]
+    while parts:
+        alo, ahi, blo, bhi, most = parts.pop()
+        i, j, n = m.find_longest_match(alo, ahi, blo, bhi)
+        may += n - most
+        matched += n
+        for part in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)) if n else ():
+            if part[0] < part[1] and part[2] < part[3] and (most := _common(a[part[0] : part[1]], b[part[2] : part[3]])):
+                may += most
+                parts.append((*part, most))
+        if may < need:
+            return 0.0
+    ratio = 2 * matched / whole
+    return ratio if ratio >= least else 0.0
 
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([gestalt_from(x, y, z) for x, y, z in zip(a, b, least)], dtype="float64")
+    out, last, matcher = [0.0] * len(a), None, SequenceMatcher(None)
+    first, second, bounds = a.tolist(), b.tolist(), least.tolist()
+    for k in sorted(range(len(out)), key=lambda k: second[k] or ""):  # a matcher is set up once per second name
+        if second[k] != last:
+            last = second[k]
+            matcher.set_seq2(last or "")
+        out[k] = gestalt_from(first[k], last, bounds[k], matcher)
+    return pd.Series(out, dtype="float64")
 
 
 def cleaned(name: Column) -> Column:
@@ -47,23 +82,27 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.coalesce(2 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(0.0))
 
 
-def _words(c: Column) -> Column:
+def words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+", -1), lambda x: x != "")
 
 
 def _leads(a: Column, b: Column) -> Column:
-    n = F.least(F.size(_words(a)), F.size(_words(b)))
-    return (n > 0) & (F.slice(_words(a), F.lit(1), n) == F.slice(_words(b), F.lit(1), n))
+    """Whether the shorter of two word lists leads the longer."""
+    n = F.least(F.size(a), F.size(b))
+    return (n > 0) & (F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n))
 
 
-def may_match(a: Column, b: Column, least: float) -> Column:
+def may_match(a: Column, b: Column, least: float, a_words: Column | None = None, b_words: Column | None = None) -> Column:
     """Whether ``name_match`` can reach ``least``; JVM-side, for filters before it."""
-    return F.coalesce((ratio_bound(a, b) >= least) | _leads(a, b) | (text.token_jaccard(a, b) >= least), F.lit(False))
+    x, y = words(a) if a_words is None else a_words, words(b) if b_words is None else b_words
+    return F.coalesce((ratio_bound(a, b) >= least) | _leads(x, y) | (text.list_jaccard(x, y) >= least), F.lit(False))
 
 
-def name_match(a: Column, b: Column, least: Column | float = 0.0) -> Column:
+def name_match(a: Column, b: Column, least: Column | float = 0.0, a_words: Column | None = None, b_words: Column | None = None) -> Column:
     """1 where the shorter word list leads the longer, else the best of ratio and word overlap; for
-    names that are already normalised.  A ratio under ``least`` may count as 0."""
+    names that are already normalised.  A ratio under ``least`` may count as 0.  The names' words may
+    be at hand."""
     least = least if isinstance(least, Column) else F.lit(least)
+    x, y = words(a) if a_words is None else a_words, words(b) if b_words is None else b_words
     some = (text.nonnull(a) != "") & (text.nonnull(b) != "")
-    return F.when(some, F.when(_leads(a, b), 1.0).otherwise(F.greatest(_ratio(a, b, least), text.token_jaccard(a, b)))).otherwise(0.0)
+    return F.when(some, F.when(_leads(x, y), 1.0).otherwise(F.greatest(_ratio(a, b, least), text.list_jaccard(x, y)))).otherwise(0.0)

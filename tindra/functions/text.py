@@ -250,9 +250,14 @@ def english_speech(c: Column) -> Column:
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct words; 0 without words."""
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)\s+", -1), lambda x: x != ""))
-    union = F.size(F.array_union(words(a), words(b)))
-    return F.when(union > 0, F.size(F.array_intersect(words(a), words(b))) / union).otherwise(0.0)
+    words = lambda c: F.filter(F.split(c, r"(?U)\s+", -1), lambda x: x != "")
+    return list_jaccard(words(a), words(b))
+
+
+def list_jaccard(a: Column, b: Column) -> Column:
+    """Shared over all distinct elements; 0 without elements."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
 def leading_words(c: Column, n: int = 3) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +44,21 @@ def tiered_best(incoming: DataFrame, catalogue: DataFrame, near_m: float = 2000,
     right = right.where(F.col("db_name").isNotNull())
     norm = lambda df, p: df.withColumns({f"{p}_norm": text.place_name(F.col(f"{p}_name")), f"{p}_norm_eng": text.place_name(F.col(f"{p}_name_eng"))})
     left, right = norm(left, "in").where("in_norm <> ''").select("in_id", "in_norm", "in_gps"), norm(right, "db")
-    left = settle(geo.with_point(left, "in_gps", "in_lat", "in_lon", outer=True).drop("in_gps"))
-    right = settle(right.select("db_id", "db_lat", "db_lon", "db_norm", "db_norm_eng"))
-    names = ("db_norm", "db_norm_eng")
-    best_of = lambda least: F.greatest(*(similarity.name_match(F.col("in_norm"), F.col(c), least) for c in names))
-    may = reduce(lambda a, b: a | b, (similarity.may_match(F.col("in_norm"), F.col(c), near_score) for c in names))
+    left = geo.with_point(left, "in_gps", "in_lat", "in_lon", outer=True).drop("in_gps")
+    left = settle(left.withColumn("in_words", similarity.words(F.col("in_norm"))))
+    named = right.select("db_id", "db_lat", "db_lon", F.explode(F.array_distinct(F.array("db_norm", "db_norm_eng"))).alias("in_b")).where("in_b <> ''")
+    named = settle(named.withColumn("db_words", similarity.words(F.col("in_b"))))
     points = left.where("in_lat IS NOT NULL AND in_lon IS NOT NULL")
-    near = radius_join(points, right, near_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True).where(may)
-    near = near.withColumn("score", best_of(F.lit(near_score))).where(F.col("score") >= near_score)
+    near = radius_join(points, named, near_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True)
+    of_words = [F.col(c) for c in ("in_words", "db_words")]
+    near = near.where(similarity.may_match(F.col("in_norm"), F.col("in_b"), near_score, *of_words))
+    near = near.withColumn("score", similarity.name_match(F.col("in_norm"), F.col("in_b"), near_score, *of_words)).where(F.col("score") >= near_score)
 
-    named = right.select("db_id", "db_lat", "db_lon", F.explode(F.array_distinct(F.array(*names))).alias("in_b")).where("in_b <> ''")
     least = min(far_score, no_point_score)
     pairs = alike_pairs(left.select(F.col("in_norm").alias("a")), named.select(F.col("in_b").alias("b")), least)
     scored = settle(pairs.withColumn("score", similarity.name_match(F.col("a"), F.col("b"), F.lit(least))).where(F.col("score") >= least))
     by_pair = scored.select(F.col("a").alias("in_norm"), F.col("b").alias("in_b"), "score")
-    far = radius_join(points.join(by_pair.where(F.col("score") >= far_score), "in_norm"), named, far_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True, on=("in_b",))
+    far = radius_join(points.join(by_pair.where(F.col("score") >= far_score), "in_norm"), named.drop("db_words"), far_m, ("in_lat", "in_lon"), ("db_lat", "db_lon"), inclusive=True, on=("in_b",))
     firsts = named.groupBy("in_b").agg(F.min("db_id").alias("db_id"))
     alone = left.where("in_lat IS NULL").join(by_pair.where(F.col("score") >= no_point_score), "in_norm").join(firsts, "in_b").withColumn("distance_m", F.lit(None).cast("double"))
     cols = ["in_id", "db_id", "distance_m", "score"]
