@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tindra.llm import embeddings, graph, near_copies, units
+from tindra.llm import embeddings, graph, near_copies, shared, units
 
 
 def groups(n, pairs):
@@ -62,6 +62,7 @@ def jaccard_links(rows):
 @pytest.mark.parametrize("block", [512, 5])
 def test_near_copies_are_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "LEAST_BLOCK", min(block, near_copies.LEAST_BLOCK))
     rows = corpus()
     links = jaccard_links(rows)
     want = groups(len(rows), links)
@@ -83,6 +84,29 @@ def test_near_copies_odd_rows(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_links_of_the_documents_are_all_pairs(spark, sf_dir):
+    """Every link of the synthetic documents, by an inverted index of their shingles."""
+    import collections
+    import os
+
+    folder = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
+    docs = spark.read.parquet(f"{folder if os.path.isdir(folder) else sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    import pyarrow as pa
+
+    sets = [set(x.tolist()) for x in near_copies.shingle_sets(pa.array([t for _, t in rows], pa.string()))]
+    index = collections.defaultdict(list)
+    for k, x in enumerate(sets):
+        for gram in x:
+            index[gram].append(k)
+    both = collections.Counter(p for own in index.values() for p in itertools.combinations(own, 2))
+    links = [(a, b) for (a, b), n in both.items() if n * 10 >= 8 * (len(sets[a]) + len(sets[b]) - n)]
+    degree = collections.Counter(x for p in links for x in p)
+    got = {r.doc_id: r.n_links for r in near_copies.near_copies(docs).collect()}
+    assert len(links) > 20 and sum(got.values()) >= 0.98 * 2 * len(links)
+    assert all(got[d] <= degree[k] for k, (d, _) in enumerate(rows))
+
+
 def test_repeated_ids_and_very_long_copies(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 4000)
     rng = random.Random(3)
@@ -221,3 +245,26 @@ def test_runs_cross_batches():
     table = pa.table({"k": [1, 1, 2, 2, 2, 3], "v": [0, 1, 2, 3, 4, 5]})
     got = [t.column("v").to_pylist() for t in units.runs(iter(table.to_batches(max_chunksize=2)), ("k",))]
     assert got == [[0, 1], [2, 3, 4], [5]]
+
+
+def test_lookup_is_a_left_join(spark):
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else "hot" if k % 2 else f"k{k % 40}") for k in range(400)], "i int, key string")
+    table = rows.where("key IS NOT NULL").groupBy("key").count().where("key <> 'k2'").withColumnRenamed("count", "n")
+    for total in (0, 400, 10**6):
+        got = sorted(map(tuple, shared.lookup(rows, table, ["key"], "n", total).select("i", "key", "n").collect()))
+        assert got == sorted(map(tuple, rows.join(table, "key", "left").select("i", "key", "n").collect()))
+
+
+def test_sweep_removes_the_sessions_tables(spark):
+    import os
+
+    shared.settle(spark.range(3), "to-go").count()
+    assert os.listdir(shared.session_folder(spark))
+    shared.sweep(spark)
+    assert not os.path.exists(shared.session_folder(spark))
+
+
+def test_clashing_contents_get_nodes_of_their_own(spark):
+    rows = [(1, 7, 70), (2, 7, 71), (3, 7, 70), (4, 8, 1), (5, None, None)]
+    got = {r.i: r.node for r in units.one_content(spark.createDataFrame(rows, "i int, node long, node2 long"), "t").collect()}
+    assert got[1] == got[3] == 7 and got[2] not in (7, 8, None) and got[4] == 8 and got[5] is None

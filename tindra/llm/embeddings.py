@@ -54,9 +54,12 @@ class Index:
     middle: np.ndarray
     plans: dict[int, tuple[int, int]]
 
+    def code(self, unit: np.ndarray) -> np.ndarray:
+        return (unit @ self.projection > self.middle).astype(np.uint64)
+
     def keys(self, unit: np.ndarray, label: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         """Per vector its bucket numbers; ``size`` is the size class of its label."""
-        code = (unit @ self.projection > self.middle).astype(np.uint64)
+        code = self.code(unit)
         out: list = [None] * len(unit)
         for s in np.unique(size).tolist():
             rows = np.flatnonzero(size == s)
@@ -75,7 +78,7 @@ def bucket_keys(code: np.ndarray, label: np.ndarray, bits: int, tables: int) ->
 
 
 def _substring(code: np.ndarray, bits: int, t: int) -> np.ndarray:
-    return (code[:, t * bits : (t + 1) * bits] << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return (code[:, t * bits : (t + 1) * bits].astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 class Planner:
@@ -187,9 +190,9 @@ def units_of(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, label, dim, node and node2 (hashes of label and vector), vector (bytes of doubles); all
-    but the first two null where a vector cannot link."""
+def vectors(rows: DataFrame, width: int) -> DataFrame:
+    """vec_id, label, dim, node and node2 (hashes of label and vector), vector (bytes of its components,
+    ``width`` each); all but the first two null where a vector cannot link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,20 +200,23 @@ def vectors(rows: DataFrame) -> DataFrame:
             raw = np.ascontiguousarray(values + 0.0).view(np.uint8)  # -0.0 is 0.0
             label = np.asarray(batch.column("label").fill_null(0)).astype(np.int64).view(np.uint64)
             two = [kernel.mix(kernel.word_hashes(raw, 8 * start, 8 * end, key) ^ kernel.mix(label + key)).view(np.int64) for key in kernel._KEYS]
-            data = raw.tobytes()
-            vector = [data[8 * a : 8 * b] if good else None for good, a, b in zip(ok.tolist(), start.tolist(), end.tolist())]
+            data = values.astype(f"<f{width}").tobytes()
+            vector = [data[width * a : width * b] if good else None for good, a, b in zip(ok.tolist(), start.tolist(), end.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(end - start, mask=~ok), *(pa.array(h, mask=~ok) for h in two), pa.array(vector, pa.binary())], ["vec_id", "label", "dim", "node", "node2", "vector"])
 
     return rows.mapInArrow(run, "vec_id long, label long, dim long, node long, node2 long, vector binary")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return units_of(np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim))
+    """Unit vectors in doubles."""
+    data = b"".join(column.to_pylist())
+    width = len(data) // max(1, len(column) * dim) or 8
+    return units_of(np.frombuffer(data, f"<f{width}").reshape(-1, dim).astype(np.float64))
 
 
 def _keyed(classes: DataFrame, index: Index | None, dim: int, sizes: dict[int, int], rest: int) -> DataFrame:
-    """``classes`` (node, label, dim, vector) with keys; ``sizes`` has the size class of the largest
-    labels, ``rest`` that of all others."""
+    """node, keys, bits and code (packed) of ``classes`` (node, label, dim, vector); ``sizes`` has the
+    size class of the largest labels, ``rest`` that of all others."""
     names = np.array(sorted(sizes), np.int64)
     shipped = classes.sparkSession.sparkContext.broadcast((index, names, np.array([sizes[k] for k in names.tolist()], np.int64)))  # HOT_SHARES labels at most
 
@@ -219,6 +225,7 @@ def _keyed(classes: DataFrame, index: Index | None, dim: int, sizes: dict[int, i
         for batch in batches:
             label, dims = np.asarray(batch.column("label")).astype(np.int64), np.asarray(batch.column("dim"))
             keys: list = [None] * batch.num_rows
+            bits, code = np.zeros(batch.num_rows, np.int32), [b""] * batch.num_rows
             fits = np.flatnonzero(dims == dim) if ix else np.zeros(0, np.int64)
             if len(fits):
                 at = np.searchsorted(names, label[fits])
@@ -226,15 +233,27 @@ def _keyed(classes: DataFrame, index: Index | None, dim: int, sizes: dict[int, i
                 known[known] = names[at[known]] == label[fits][known]
                 size = np.full(len(fits), rest)
                 size[known] = of[at[known]]
-                for k, r in zip(fits.tolist(), ix.keys(_matrix(batch.column("vector").take(pa.array(fits)), dim), label[fits], size)):
-                    keys[k] = r
+                for lo in range(0, len(fits), units.STRIP):
+                    rows, of_rows = fits[lo : lo + units.STRIP], size[lo : lo + units.STRIP]
+                    unit = _matrix(batch.column("vector").take(pa.array(rows)), dim)
+                    packed = np.packbits(ix.code(unit).astype(bool), axis=1)
+                    for k, s, r, c in zip(rows.tolist(), of_rows.tolist(), ix.keys(unit, label[rows], of_rows), packed):
+                        keys[k], bits[k], code[k] = r, ix.plans[s][0], c.tobytes()
             other = np.flatnonzero(np.array([k is None for k in keys], bool))  # another dimension: one bucket
             far = kernel.mix(kernel.mix(label.view(np.uint64)) + dims.view(np.uint64)).view(np.int64)
             for k in other.tolist():
                 keys[k] = far[k : k + 1]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(bits), pa.array(code, pa.binary())], ["node", "keys", "bits", "code"])
+
+    return classes.select("node", "label", "dim", "vector").mapInArrow(run, "node long, keys array<long>, bits int, code binary")
+
 
-    return classes.select("node", "label", "dim", "vector").mapInArrow(run, "node long, keys array<long>")
+def _substrings(unit: pa.Table, rows: np.ndarray, tables: int) -> np.ndarray:
+    """Rows x the substrings of the first tables."""
+    bits = unit.column("bits")[int(rows[0])].as_py()
+    packed = np.frombuffer(b"".join(unit.column("code").combine_chunks().take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
+    code = np.unpackbits(packed, axis=1, count=tables * bits)
+    return np.stack([_substring(code, bits, k) for k in range(tables)], axis=1)
 
 
 def _linker(cosine: float):
@@ -247,7 +266,6 @@ def _linker(cosine: float):
         for dim in np.unique(dims).tolist():
             rows = np.flatnonzero(dims == dim)
             x = _matrix(unit.column("vector").combine_chunks().take(pa.array(rows)), dim)
-            early = np.asarray(unit.column("early").combine_chunks().take(pa.array(rows)).flatten()).reshape(len(rows), t)
             for lo in range(0, len(rows), units.STRIP):
                 s = rows[lo : lo + units.STRIP]
                 near = (x[lo : lo + units.STRIP] @ x.T >= cosine) & (s[:, None] < rows[None, :]) & (label[s][:, None] == label[rows][None, :])
@@ -255,9 +273,9 @@ def _linker(cosine: float):
                     near &= block[s][:, None] != block[rows][None, :]
                 a, b = np.nonzero(near)
                 if t and len(a):
-                    late = np.zeros(len(a), bool)
-                    for k in range(t):
-                        late |= early[lo + a, k] == early[b, k]
+                    ends, at = np.unique(np.concatenate((lo + a, b)), return_inverse=True)
+                    early = _substrings(unit, rows[ends], t)
+                    late = (early[at[: len(a)]] == early[at[len(a) :]]).any(axis=1)
                     a, b = a[~late], b[~late]
                 adj[s[a], rows[b]] = True
         adj |= adj.T
@@ -268,8 +286,9 @@ def _linker(cosine: float):
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept, n_copies (rows of the label with the same vector)."""
+    width = 4 if rows.schema[vector_column].dataType.simpleString() == "array<float>" else 8
     picked = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("embedding"), F.col(label_column).cast("long").alias("label"))
-    found = units.one_content(shared.settle(vectors(picked), "vectors"), "vectors")
+    found = units.one_content(shared.settle(vectors(picked, width), "vectors"), "vectors")
     total = found.count()
     classes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
     classes = shared.settle(classes, "vector-classes")
@@ -290,8 +309,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, id_column: str = "vec_
     block = F.least(F.greatest(F.col("size") / SHARES, F.lit(LEAST_BLOCK)), F.lit(max(2, min(BLOCK, BLOCK_BYTES // (8 * max(dim, 1))))))
     crowd = shared.settle(crowd.withColumn("blocks", F.ceil(F.col("size") / block)), "vector-buckets")
     met = shared.lookup(tables, crowd, ["key"], "size", total).where("size IS NOT NULL")
-    dealt = units.deal(met, "key", "node", "blocks").select("key", "i", "j", "b", "t", "node")
-    held = classes.select("node", "copies", "label", "dim", "vector").join(keyed, "node")
-    full = dealt.join(held, "node").withColumn("early", F.slice("keys", F.lit(1), F.col("t"))).drop("keys")
-    links = shared.settle(units.in_units(full, ("key", "i", "j"), _linker(cosine)), "vector-links")
+    dealt = units.deal(met, "key", "node", "blocks").select("key", "blocks", "i", "j", "b", "t", "node")
+    full = dealt.join(classes.select("node", "copies", "label", "dim", "vector").join(keyed.drop("keys"), "node"), "node")
+    links = shared.settle(units.in_units(full, "key", _linker(cosine)), "vector-links")
     return units.resolve(found.select("vec_id", "node"), classes.select("node", "first_id", "copies"), links, "vec_id", total)

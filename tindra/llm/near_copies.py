@@ -37,6 +37,7 @@ SHINGLE, JACCARD = 5, 0.8
 TREES, DEPTH, RECALL, NEAR = 32, 8, 0.9999, 0.6
 PROBE_EVERY, PARTNERS, PRIOR = 64, 8, 2000
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # members of a candidate group, and their shingles, in one side of a unit
+LEAST_BLOCK, SHARES = 128, 16  # smaller groups are cut in up to SHARES blocks of at least so many
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 32, TREES * DEPTH, np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, TREES * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -265,11 +266,12 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     edges = shared.settle(_candidates(classes, stop_depth(probed_prefixes(found))), "candidates")
     groups = shared.settle(graph.components(_estimated(edges, classes, total)), "groups")
     members = groups.join(classes.drop("sketch"), "node")
-    sizes = shared.settle(members.groupBy("component").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")), "group-sizes")
+    block = F.least(F.greatest(F.count("*") / SHARES, F.lit(LEAST_BLOCK)), F.lit(BLOCK))
+    sizes = shared.settle(members.groupBy("component").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")), "group-sizes")
     members = shared.settle(shared.lookup(members, sizes, ["component"], "members", total), "members")
-    dealt = units.deal(members, "component", "node", "blocks").select("component", "i", "j", "b", "node", "copies", F.col("first_id").alias("doc_id"), "digest")
+    dealt = units.deal(members, "component", "node", "blocks").select("component", "blocks", "i", "j", "b", "node", "copies", F.col("first_id").alias("doc_id"), "digest")
     full = dealt.join(_texts_of(docs, members, total, id_column, text_column), ["doc_id", "digest"])
-    links = shared.settle(units.in_units(full.select("component", "i", "j", "b", "node", "copies", "text"), ("component", "i", "j"), _link), "links")
+    links = shared.settle(units.in_units(full.select("component", "blocks", "i", "j", "b", "node", "copies", "text"), "component", _link), "links")
     return units.resolve(found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), classes, links, "doc_id", total)
 
 

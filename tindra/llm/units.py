@@ -109,10 +109,12 @@ def emit(results: Iterator[dict[str, np.ndarray]], least: int = 4096) -> Iterato
         yield batch()
 
 
-def in_units(rows: DataFrame, keys: tuple[str, ...], link: Callable[[pa.Table], dict[str, np.ndarray]]) -> DataFrame:
-    """Applies ``link`` to each unit."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys)
+def in_units(rows: DataFrame, group: str, link: Callable[[pa.Table], dict[str, np.ndarray]]) -> DataFrame:
+    """Applies ``link`` to each unit (group, i, j).  The units of a group (of ``blocks`` blocks) go to
+    one task after the other, so a large group is spread evenly."""
+    n, keys = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (group, "i", "j")
+    turn = F.pmod(F.pmod(F.xxhash64(group), F.lit(n)) + F.col("i") * F.col("blocks") + F.col("j"), F.lit(n)).cast("int")
+    dealt = rows.repartitionById(n, turn).drop("blocks").sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(link(t) for t in runs(batches, keys))
