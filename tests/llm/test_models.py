@@ -50,6 +50,17 @@ def test_held_out(spark, labelled, module, label, least):
     assert empty.count() == 0
 
 
+def test_long_texts_leave_room_for_others(spark, labelled, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 20_000)
+    docs, labels = labelled
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda text, label: seen.append((np.diff(text.border), label)))
+    long = docs.union(spark.createDataFrame([(10_000 + k, "long " * 19_000, "l") for k in range(30)], docs.schema))
+    toxicity.train(long, labels.union(spark.createDataFrame([(10_000 + k, 1, 1) for k in range(30)], labels.schema)), "toxic", F.lit(True))
+    words, label = seen[0]
+    assert 15_000 < words.sum() <= 20_000 and words.max() < 200 and len(words) == len(label) > 300
+
+
 def test_score_does_not_hang_on_neighbours():
     texts = ["a b c", "", "the idiot", None, "und die oder"]
     model = toxicity.Model.start(np.random.default_rng(0), 0.1)
@@ -261,7 +272,8 @@ def test_convolution_is_the_plain_one(monkeypatch, strip):
     texts = ["a b c d e f g h i j k", "", "one", "so so so so so so so so so so", None, "two words", "and the last one of them all"]
     model, text = toxicity.Model.start(np.random.default_rng(1), 0.1), toxicity.hashed(pa.array(texts))
     model.bias += np.random.default_rng(2).standard_normal(model.bias.shape).astype(np.float32)
-    got, places = model.pooled(text)
+    got, places = model.pooled(text, placed=True)
+    assert (got == model.pooled(text)[0]).all()
     for d in range(len(texts)):
         word, prefix = text.slots(slice(text.border[d], text.border[d + 1]))
         x, col = model.word[word] + model.prefix[prefix], 0

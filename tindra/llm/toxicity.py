@@ -5,8 +5,9 @@ inflected forms of a stem share it).  Filters of several widths slide over the w
 text, each keeps its largest activation, and a logistic layer reads those.  The loss gradient only
 reaches the words under the largest activations, so training is cheap: it runs on the driver over a
 bounded sample of labelled rows, stochastic gradients with Adam.  The sample is the first rows in hashed
-order, at most ``TRAIN_DOCS`` of them and as many as hold ``TRAIN_WORDS`` words together; executors hash
-the whole texts, and only four bytes a word come to the driver.  Activations are pooled strip by strip,
+order, at most ``TRAIN_DOCS`` of them and as many as hold ``TRAIN_WORDS`` words together (texts of over
+a hundredth of that come last); executors hash the whole texts, and only four bytes a word come to the
+driver.  Activations are pooled strip by strip,
 so one very long text takes no more memory than many short ones.
 
 Decision thresholds are calibrated per language on a part of the sample that training does not see.
@@ -119,9 +120,9 @@ class Model:
         # words start near 0, so that a word never trained on says nothing
         return Model(f32(SLOTS, DIM, s=0.01), f32(PREFIX_SLOTS, DIM, s=0.01), f32(DIM, places * FILTERS, s=0.3), np.zeros((len(WIDTHS), FILTERS), np.float32), f32(len(WIDTHS) * FILTERS, s=0.3), base)
 
-    def pooled(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
-        """Per text and filter the largest activation, at least 0, and the word it starts at (missing
-        words after a text's end count as 0)."""
+    def pooled(self, text: Text, placed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Per text and filter the largest activation, at least 0, and, if ``placed``, the word it starts
+        at (missing words after a text's end count as 0)."""
         size = len(WIDTHS) * FILTERS
         top, place = np.zeros((len(text.border) - 1, size), np.float32), np.zeros((len(text.border) - 1, size), np.int64)
         n = len(text.code)
@@ -148,13 +149,13 @@ class Model:
                 col += width
                 here = slice(w * FILTERS, (w + 1) * FILTERS)
                 most = np.maximum.reduceat(z, starts, axis=0)
-                row, f = np.nonzero(z == most[owner])
-                key, once = np.unique(owner[row] * FILTERS + f, return_index=True)
-                at = np.zeros(most.shape, np.int64)
-                at.ravel()[key] = row[once] + lo
-                more = most > top[docs, here]
-                place[docs, here] = np.where(more, at, place[docs, here])
-                top[docs, here] = np.where(more, most, top[docs, here])
+                if placed:
+                    row, f = np.nonzero(z == most[owner])
+                    key, once = np.unique(owner[row] * FILTERS + f, return_index=True)
+                    at = np.zeros(most.shape, np.int64)
+                    at.ravel()[key] = row[once] + lo
+                    place[docs, here] = np.where(most > top[docs, here], at, place[docs, here])
+                top[docs, here] = np.maximum(top[docs, here], most)
         return top, place
 
     def logits(self, text: Text) -> np.ndarray:
@@ -217,7 +218,7 @@ def fit(text: Text, label: np.ndarray, seed: int = 7) -> Model:
 
 def _descend(model: Model, base: np.ndarray, adam: Adam, part: Text, y: np.ndarray) -> None:
     adam.t += 1
-    pooled, top = model.pooled(part)
+    pooled, top = model.pooled(part, placed=True)
     g = ((sigmoid(pooled @ model.out + base[0]) - y) / len(y)).astype(np.float32)
     g_pool = g[:, None] * model.out * (pooled > 0)
     g_out = pooled.T @ g + 1e-5 * model.out
@@ -298,14 +299,24 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str, usable, id_colu
 
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, lang int, words long, code binary")
     stored = shared.settle(rows.withColumn("row", F.monotonically_increasing_id()), "training-words")
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.xxhash64("code"), F.col("row")]
-    sizes = stored.orderBy(*order).limit(TRAIN_DOCS).select("row", "words").toArrow()  # two numbers a row
-    chosen = np.asarray(sizes.column("row"))[np.cumsum(np.asarray(sizes.column("words"))) <= TRAIN_WORDS]
-    got = stored.where(F.col("row").isin(chosen.tolist())).select("doc_id", "row", "label", "lang", "words", "code").toArrow()  # at most TRAIN_WORDS words
+    # hashed order, no ties; texts that would take much of the room alone come after all others
+    place = F.struct((F.col("words") > TRAIN_WORDS // 100).alias("long"), F.xxhash64(F.col("doc_id").cast("string"), "code").alias("hash"), "row")
+    sizes = stored.select(place.alias("place"), "words").orderBy("place").limit(TRAIN_DOCS).toArrow()  # four numbers a row
+    fits = int((np.cumsum(np.asarray(sizes.column("words"))) <= TRAIN_WORDS).sum())
+    chosen = stored.limit(0)
+    if fits:
+        last = sizes.column("place")[fits - 1].as_py()
+        chosen = stored.where(place <= F.struct(*(F.lit(last[k]).alias(k) for k in ("long", "hash", "row"))))
+    got = chosen.select("doc_id", "row", "label", "lang", "words", "code").toArrow()  # at most TRAIN_WORDS words
     got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending"), ("row", "ascending")]))
     border = np.concatenate(([0], np.cumsum(np.asarray(got.column("words"))))).astype(np.int64)
-    code = np.frombuffer(b"".join(got.column("code").to_pylist()), "<u4")
-    return fit(Text(code, border, np.asarray(got.column("lang")).astype(np.int64)), np.asarray(got.column("label")).astype(np.float32))
+    text = Text(np.frombuffer(b"".join(got.column("code").to_pylist()), "<u4"), border, np.asarray(got.column("lang")).astype(np.int64))
+    label = np.asarray(got.column("label")).astype(np.float32)
+    del got
+    model = fit(text, label)
+    del text
+    shared.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
