@@ -37,7 +37,9 @@ def test_contains_join(spark):
     assert got == sorted((i, j) for i, x in enumerate(words) for j, y in enumerate(words) if x in y)
 
 
-def test_greedy_is_the_sequential_loop(spark):
+@pytest.mark.parametrize("local", [0, 15, 200_000])
+def test_greedy_is_the_sequential_loop(spark, monkeypatch, local):
+    monkeypatch.setattr(greedy, "LOCAL_EDGES", local)
     rng = random.Random(5)
     for _ in range(3):
         n = 40
@@ -52,6 +54,21 @@ def test_greedy_is_the_sequential_loop(spark):
         assert got == kept
 
 
+def test_long_chains_take_few_rounds(spark):
+    n = 3000
+    e = spark.createDataFrame([(k, k - 1) for k in range(1, n)], "node long, earlier long")
+    got = {r.node: r.accepted for r in greedy.accept(spark.range(n).withColumnRenamed("id", "node"), e).collect()}
+    assert got == {k: k % 2 == 0 for k in range(n)}
+
+
+def test_order_need_not_be_that_of_the_numbers():
+    import pandas as pd
+
+    edges = pd.DataFrame({"node": [1, 2, 3, 3], "earlier": [2, 5, 1, 9], "fate": [None, None, None, True]})
+    got = dict(next(greedy._in_order(iter([edges]))).itertuples(index=False))
+    assert got == {1: False, 2: True, 3: False}
+
+
 def test_chain_keeps_the_far_end(spark):
     e = spark.createDataFrame([(1, 0), (2, 1)], "node long, earlier long")
     got = {r.node: r.accepted for r in greedy.accept(spark.range(3).withColumnRenamed("id", "node"), e).collect()}

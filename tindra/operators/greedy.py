@@ -3,16 +3,22 @@
 Sequential by definition, but a row's fate is known once its earlier neighbours' fates are: accepted
 if all are rejected, rejected if one is accepted.  Rounds of two aggregations settle at least the
 earliest open row of every component; edges between settled rows leave the table, so rounds get
-cheaper.
+cheaper.  Once at most ``LOCAL_EDGES`` edges are open, one task goes through them in order, so a long
+chain does not take a round a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tindra.functions.lineage import settle
 
+LOCAL_EDGES = 200_000  # open edges that one task may hold
+
 
 def accept(nodes: DataFrame, edges: DataFrame, seeded: DataFrame | None = None) -> DataFrame:
     """``node`` and ``accepted`` for every row of ``nodes`` (column node, unique).
@@ -33,3 +39,30 @@ def accept(nodes: DataFrame, edges: DataFrame, seeded: DataFrame | None = None)
         if not still.limit(1).count():
             return state
         open_edges = settle(open_edges.join(still, "node", "left_semi"))
+        if open_edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+            fates = open_edges.join(state.select(F.col("node").alias("earlier"), F.col("accepted").alias("fate")), "earlier", "left")
+            kind = state.schema["node"].dataType.simpleString()
+            last = fates.select("node", "earlier", "fate").repartition(1).mapInPandas(_in_order, f"node {kind}, verdict boolean")
+            return settle(state.join(last, "node", "left").select("node", F.coalesce("accepted", "verdict").alias("accepted")))
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The fates of all open nodes of an edge table (node, earlier, fate): each after those before it."""
+    fate: dict = {}
+    waits: dict = {}
+    for batch in batches:
+        for node, earlier, known in zip(batch["node"].tolist(), batch["earlier"].tolist(), batch["fate"].tolist()):
+            waits.setdefault(node, []).append(earlier)
+            if known is not None and known == known:
+                fate[earlier] = bool(known)
+    for first in sorted(waits):
+        todo = [first]
+        while todo:  # where numbers do not follow the order, what a node waits for goes first
+            node = todo[-1]
+            ahead = [x for x in waits[node] if x not in fate and x in waits] if node not in fate else []
+            if ahead:
+                todo += ahead
+                continue
+            fate.setdefault(node, not any(fate.get(x, False) for x in waits[node]))
+            todo.pop()
+    yield pd.DataFrame({"node": list(waits), "verdict": [fate[x] for x in waits]})

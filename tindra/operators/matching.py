@@ -124,9 +124,10 @@ def title_matches(a: DataFrame, b: DataFrame) -> DataFrame:
 def greedy_titles(incoming: DataFrame, seeds: DataFrame) -> DataFrame:
     """Acceptance (node, accepted) of incoming titles (id, title, located) against the seeds' titles and
     those accepted before.  Rows that are not located never enter the set, so they take no part."""
-    rows = incoming.where("located").select("id", "title")
+    rows = settle(incoming.where("located").select("id", "title"))  # read by every branch of the match
+    seeds = settle(seeds.select("id", "title"))
     edges = title_matches(rows, rows).where("b_id < a_id").select(F.col("a_id").alias("node"), F.col("b_id").alias("earlier"))
-    seeded = title_matches(rows, seeds.select("id", "title")).select(F.col("a_id").alias("node"))
+    seeded = title_matches(rows, seeds).select(F.col("a_id").alias("node"))
     return greedy.accept(rows.select(F.col("id").alias("node")), edges, seeded)
 
 
