@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tindra.llm import decontamination, embeddings, near_copies, packing, pii, quality, secret_scan, token_files, toxicity, warc
+from tindra.llm import decontamination, embeddings, near_copies, packing, pii, quality, secret_scan, snapshots, token_files, toxicity, warc
 from tindra.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,9 +63,43 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = snapshots.difference(docs, later_documents(docs), "doc_id", ("text", "lang", "source"))
+    return found.withColumn("changed", F.array_join("changed", ","))
+
+
+def later_documents(docs: DataFrame) -> DataFrame:
+    """The later snapshot of op12: a fixed tenth of the rows each dropped, edited, swapped, rekeyed,
+    rekeyed without source, or copied."""
+    m = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
+    keys = F.when(m.isin(3, 4), F.array(-1 - F.col("doc_id"))).when(m == 5, F.array("doc_id", -1 - F.col("doc_id"))).otherwise(F.array("doc_id"))
+    return docs.where(F.coalesce(m != 0, F.lit(True))).select(
+        F.explode(keys).alias("doc_id"),
+        F.when(m == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")).alias("text"),
+        F.when(m == 2, F.col("source")).otherwise(F.col("lang")).alias("lang"),
+        F.when(m == 2, F.col("lang")).when(m != 4, F.col("source")).when(m.isNull(), F.col("source")).alias("source"),
+    )
+
+
+# CRC-32 of an ASCII text s, bit by bit
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, range(8 * length(s))), lambda c, i: xor((xor(c, if(i % 8 = 0, ascii(substr(s, i // 8 + 1, 1)), 0)) >> 1), 3988292384 * (xor(c, if(i % 8 = 0, ascii(substr(s, i // 8 + 1, 1)), 0)) & 1))))"
+_SHA = "sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~'))"
+SNAPSHOT_SQL = f"""WITH c AS (SELECT doc_id, text, lang, source, ({_CRC}) % 10 AS m FROM (SELECT *, cast(doc_id AS varchar) AS s FROM documents) x),
+  e AS (SELECT doc_id AS k, text, lang, source FROM c),
+  l AS (SELECT CASE WHEN m IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS k, CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text, CASE WHEN m = 2 THEN source ELSE lang END AS lang, CASE WHEN m = 2 THEN lang WHEN m IS DISTINCT FROM 4 THEN source END AS source FROM c WHERE m IS DISTINCT FROM 0
+        UNION ALL SELECT -1 - doc_id, text, lang, source FROM c WHERE m = 5),
+  p AS (SELECT l.*, concat_ws(',', CASE WHEN l.text IS DISTINCT FROM e.text THEN 'text' END, CASE WHEN l.lang IS DISTINCT FROM e.lang THEN 'lang' END, CASE WHEN l.source IS DISTINCT FROM e.source THEN 'source' END) AS changed FROM l JOIN e ON e.k = l.k),
+  a AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY k) AS r FROM e ANTI JOIN l ON e.k = l.k),
+  b AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY k DESC) AS r FROM l ANTI JOIN e ON e.k = l.k)
+  SELECT k AS key, k AS old_key, CASE WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed, {_SHA} AS row_sha256 FROM p
+  UNION ALL SELECT coalesce(b.k, a.k), a.k, CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' ELSE 'rekey' END, '', CASE WHEN b.k IS NOT NULL THEN {_SHA.replace("(text", "(b.text").replace("(lang", "(b.lang").replace("(source", "(b.source")} END
+  FROM a FULL JOIN b ON a.r = b.r AND a.text IS NOT DISTINCT FROM b.text AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_pii_surrogates": op3_pii_surrogates, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_secret_scan": op8_secret_scan, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_pii_surrogates": op3_pii_surrogates, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_secret_scan": op8_secret_scan, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc, "op12_snapshot_difference": op12_snapshot_difference}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_snapshot_difference": SNAPSHOT_SQL}
