@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tindra.llm import decontamination, embeddings, near_copies, packing, pii, quality, secret_scan, snapshots, token_files, toxicity, warc
+from tindra.llm import ball_kmeans, decontamination, embeddings, near_copies, packing, pii, quality, secret_scan, snapshots, token_files, toxicity, warc
 from tindra.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid", F.sha2(F.array_join("centroid", ","), 256)).withColumnRenamed("centroid", "centroid_sha256")
+
+
+def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid, round by round; doubles hold these integers exactly."""
+    parts = ["kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)"]
+    parts.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || cast(vec_id AS varchar)), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})")
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT n, min(struct_pack(d := cast(list_inner_product(kept.v, kept.v) - 2 * list_inner_product(kept.v, q.v) + list_inner_product(q.v, q.v) AS bigint), c := q.c)) AS near FROM kept, c{r} q GROUP BY n)")
+        if r < rounds:
+            mean = "list(floor(s / m) ORDER BY p)"
+            parts.append(f"m{r} AS (SELECT c, {mean} AS v FROM (SELECT near.c AS c, p, sum(x) AS s, count(*) AS m FROM (SELECT near, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM kept JOIN a{r} USING (n)) u GROUP BY near.c, p) y GROUP BY c)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT q.c, coalesce(m.v, q.v) AS v FROM c{r} q LEFT JOIN m{r} m ON m.c = q.c)")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, cast(near.c AS integer) AS cluster, near.d AS distance, cast(sum(near.d) OVER (PARTITION BY near.c) AS bigint) AS cluster_inertia, cast(sum(near.d) OVER () AS bigint) AS inertia,
+      sha256(array_to_string(list_transform(q.v, lambda x: cast(x AS bigint)), ',')) AS centroid_sha256 FROM kept JOIN a{rounds} USING (n) JOIN c{rounds} q ON q.c = near.c"""
+
+
 def op12_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     found = snapshots.difference(docs, later_documents(docs), "doc_id", ("text", "lang", "source"))
@@ -98,8 +117,8 @@ SNAPSHOT_SQL = f"""WITH c AS (SELECT doc_id, text, lang, source, ({_CRC}) % 10 A
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_pii_surrogates": op3_pii_surrogates, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_secret_scan": op8_secret_scan, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc, "op12_snapshot_difference": op12_snapshot_difference}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_pii_surrogates": op3_pii_surrogates, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_secret_scan": op8_secret_scan, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc, "op11_ball_kmeans": op11_ball_kmeans, "op12_snapshot_difference": op12_snapshot_difference}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_snapshot_difference": SNAPSHOT_SQL}
+    return {"op11_ball_kmeans": _kmeans_sql(), "op12_snapshot_difference": SNAPSHOT_SQL}

@@ -36,8 +36,13 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 def sweep(spark: SparkSession) -> None:
     """Removes what this application has settled; results that were not written elsewhere go with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, session_folder(spark))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a settled table that nothing reads any more."""
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
