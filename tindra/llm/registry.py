@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tindra.llm import ball_kmeans, decontamination, embeddings, near_copies, packing, pii, quality, secret_scan, snapshots, token_files, toxicity, warc
+from tindra.llm import ball_kmeans, decontamination, embeddings, fingerprints, near_copies, packing, pii, quality, secret_scan, snapshots, token_files, toxicity, warc
 from tindra.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,11 @@ def op12_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("changed", F.array_join("changed", ","))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
 def later_documents(docs: DataFrame) -> DataFrame:
     """The later snapshot of op12: a fixed tenth of the rows each dropped, edited, swapped, rekeyed,
     rekeyed without source, or copied."""
@@ -117,7 +122,7 @@ SNAPSHOT_SQL = f"""WITH c AS (SELECT doc_id, text, lang, source, ({_CRC}) % 10 A
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_pii_surrogates": op3_pii_surrogates, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_secret_scan": op8_secret_scan, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc, "op11_ball_kmeans": op11_ball_kmeans, "op12_snapshot_difference": op12_snapshot_difference}
+    return {"op1_toxicity": op1_toxicity, "op2_decontamination": op2_decontamination, "op3_pii_surrogates": op3_pii_surrogates, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_secret_scan": op8_secret_scan, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_warc": op10_warc, "op11_ball_kmeans": op11_ball_kmeans, "op12_snapshot_difference": op12_snapshot_difference, "op13_fingerprints": op13_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
