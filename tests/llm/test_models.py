@@ -349,6 +349,140 @@ def test_no_surrogate_is_real(spark):
         assert len(calls) == 50 and not calls & {t for _, t in rows}
 
 
+def test_a_full_form_is_left(spark):
+    """All values of a short telephone form are real: every one still gets a number of its own."""
+    numbers = [f"+1 {a:02d} {b:02d}" for a in range(100) for b in range(100)]
+    rows = [(k, f"call {x} now") for k, x in enumerate(numbers)]
+    names = [f"Mr. {a}{b}" for a in "AEIOU" for b in "aeiou"]
+    rows += [(20_000 + k, x) for k, x in enumerate(names)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    called = [got[k] for k in range(len(numbers))]
+    assert all(re.fullmatch(r"call \+1 \d\d \d\d \d+ now", x) for x in called) and len(set(called)) == len(numbers)
+    new = [got[20_000 + k] for k in range(len(names))]
+    assert len(set(new)) == len(names) and not set(new) & set(names)
+
+
+def test_names_of_any_number_of_words(spark):
+    text = "Mr John Paul George Ringo Smith came; Dr J. R. R. Tolkien-Byrne too. My name is Zoran Petrovic Kovač, dear Aiko Tanaka. Contact: Wei Zhang and Dear Mr Brown"
+    new = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    for word in "John Paul George Ringo Smith Tolkien Byrne Zoran Petrovic Kovač Wei Zhang Brown".split():
+        assert word not in new.text, word
+    assert new.text.startswith("Mr ") and " came; Dr " in new.text and "My name is " in new.text and " and Dear Mr " in new.text
+    assert new.n_entities == 6 and new.entity_kinds == ["person", "title"]
+    host = ".".join("abcdefghijklm") + ".example.com"
+    mail = pii.pseudonymise(spark.createDataFrame([(1, f"to me@{host} today")], "doc_id long, text string")).first()
+    assert mail.n_entities == 1 and host not in mail.text
+
+
+OWN = ("_found", "_versions", "_h", "_n", "_v", "_g", "_c", "_p", "_s", "_l", "_b", "_own0_values", "_OWN1_h", "node", "e")
+
+
+def test_columns_of_the_user_are_kept(spark):
+    text = "password = hunter2xQ9 and +1 12 34, call +1 12 35"
+    df = spark.createDataFrame([(1, text, *OWN), (2, None, *OWN)], ["doc_id", "text", *OWN])
+    for out in (pii.pseudonymise(df), secret_scan.scan(df)):
+        assert out.columns[: len(df.columns)] == df.columns or set(df.columns) <= set(out.columns)
+        for r in out.collect():
+            assert tuple(r[c] for c in OWN) == OWN
+        assert len(out.columns) == len(df.columns) + 2
+
+
+def test_scan_against_a_plain_loop(spark, sf_dir):
+    """Whole texts: candidates by the pattern in another engine, statistics, forest, places and redaction
+    step by step."""
+    import regex
+
+    s = secret_scan
+    named, benign = (regex.compile(f"(?i)(?:{w})[^\n]{{0,16}}$") for w in (s.NAMED, s.BENIGN))
+    words = regex.compile("|".join(sorted(set(s.DICTIONARY), key=lambda w: (-len(w), w))))
+    made, whole = regex.compile("|".join(s.MAKES.values())), regex.compile
+    runs = whole("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
+    filler = whole(r"x{4}|0{5}|1234|abcd|example|changeme|dummy|sample|placeholder|your[_-]|^\W*(.)\1+\W*$", regex.A)
+
+    def stats(b, v, a):
+        n = len(v)
+        share = lambda chars: sum(x in chars for x in v) / n
+        return [
+            n, len(runs.findall(v)) / n, 1 - len(words.sub("", v.lower())) / n, len(set(v)) / n, share("0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            float(bool(regex.fullmatch("[0-9a-fA-F-]+", v))), max(map(len, regex.split("[^a-zA-Z]+", v))) / n, share("/._-"),
+            float(bool(regex.search(r"(?:/|\\|://\S*|\.)$", b) or regex.match(r"(?:/|\.[a-z]|\\)", a))), float(bool(regex.search("[=:]\\s*[\"']?$", b))),
+            float(bool(named.search(b))), float(bool(benign.search(b))), float(bool(made.fullmatch(v))), float(bool(filler.search(v.lower()))),
+        ]
+
+    labelled = s.labelled_findings()
+    forest = s.grow_forest(np.array([stats(f["b"], f["v"], f["a"]) for f in labelled]), np.array([f["label"] for f in labelled], float))
+
+    def vote(node, x):
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        return node
+
+    candidate, may = regex.compile(s.CANDIDATE), regex.compile(s.MAY_HOLD)
+    docs = [tuple(r) for r in shared.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    docs += [(9000 + k, f"see {f['b']}{f['v']}{f['a']} and {g['b']}{g['v']}{g['a']}") for k, (f, g) in enumerate(zip(s.labelled_findings(150, 8), s.labelled_findings(150, 9)))]
+    docs.append((9999, "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("Ab1" * 20 for _ in range(1200)) + "\nthe end"))
+    want, n = {}, 0
+    for i, t in docs:
+        marks = list(candidate.finditer(t)) if t and may.search(t) else []
+        found, out, at = [], "", 0
+        for k, m in enumerate(marks):
+            v, gap = m[0], t[at : m.start()]
+            after = t[m.end() : marks[k + 1].start() if k + 1 < len(marks) else len(t)]
+            b = ((marks[k - 1][0] if k else "") + gap)[-s.CONTEXT :]
+            score = sum(vote(tree, stats(b, v, after[: s.CONTEXT])) for tree in forest) / len(forest)
+            kind = next((x for x, p in s.MAKES.items() if regex.fullmatch(p, v)), "assigned_secret" if named.search(b) else "token")
+            found.append((m.start(), kind, len(v), hashlib.sha256(v.encode()).hexdigest(), round(score, 9), score >= s.CUT))
+            out, at = out + gap + (f"[{kind.upper()}]" if score >= s.CUT else v), m.end()
+        want[i], n = (found, out + t[at:] if t else t), n + len(found)
+    got = {r.doc_id: ([(f.start, f.kind, f.length, f.digest, round(f.score, 9), f.secret) for f in r.findings], r.redacted) for r in s.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert n > 300 and got == want
+    assert got[9999][0][0][1:3] == ("private_key", 31 + 61 * 1200)
+
+
+def test_rewriting_against_a_plain_loop(spark, sf_dir):
+    """Whole texts: entities in order by the patterns in another engine, units told apart by hand, their
+    versions by a loop, every gap as it was."""
+    import regex
+
+    docs = [tuple(r) for r in shared.table(spark, sf_dir, "documents").select("doc_id", "text").collect()] + ODD
+    full = [f"+1 {a:02d}99" for a in range(100)]
+    docs += [(8000 + k, f"call {x} or Mr. Ed Wood, mail a{k}@b.org") for k, x in enumerate(full)]
+    kinds = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    anything = regex.compile(pii.ANY)
+
+    def split_units(m):
+        kind = next((k for k, p in kinds.items() if p.fullmatch(m)), "person")
+        if kind not in ("title", "given", "person"):
+            return kind, [(m, f"{kind}|{m}")]
+        parts = regex.findall(r"[\p{L}'’]+|[^\p{L}'’]+", m)
+        sex = lambda p: "male" if p in pii.MALE else "female" if p in pii.FEMALE else "name"
+        return kind, [(p, f"{sex(p)}|{p}" if regex.match(r"[\p{L}'’]", p) and not (i == 0 and p in pii.TITLES.split("|")) else None) for i, p in enumerate(parts)]
+
+    every = sorted({u for _, t in docs for m in anything.findall(t or "") for _, u in split_units(m)[1] if u})
+    table = spark.createDataFrame([(u,) for u in every], "unit string")
+    by_version = lambda v: {r.unit: r.s for r in table.select("unit", F.expr(pii.unit_surrogate("unit", "'tindra'", str(v))).alias("s")).collect()}
+    taken, final, waiting, version = {u.split("|", 1)[1] for u in every}, {}, list(every), 0
+    while waiting:
+        made, won = by_version(version), {}
+        for u in waiting:
+            if made[u] not in taken:
+                won.setdefault(made[u], u)
+        final |= {u: s for s, u in won.items()}
+        taken |= set(won)
+        left = [u for u in waiting if u not in final]
+        version = max(version + 1, pii.ROOMLESS) if version and 2 * len(left) > len(waiting) else version + 1
+        waiting = left
+    want = {}
+    for i, t in docs:
+        found = [split_units(m) for m in anything.findall(t or "")]
+        new = anything.sub(lambda m: "".join(final[u] if u else p for p, u in split_units(m[0])[1]), t) if t else t
+        want.setdefault(i, []).append((new, len(found), tuple(sorted({k for k, _ in found}))))
+    got = {}
+    for r in pii.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.n_entities, tuple(r.entity_kinds)))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+
+
 def test_numbers_keep_their_checks(spark):
     ibans = ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606", "DE88370400440532013000"]
     cards = ["378282246310005", "3782 822463 10006", "5555555555554444"]

@@ -22,7 +22,13 @@ mail addresses keep the top-level domain, and mails of one domain share its surr
 
 The result is checked over the distinct units of the corpus: a surrogate must be no real unit, and no
 two units may share one.  Units that fail take the key's next versions, round by round; only those few
-are looked up when texts are rewritten.  The same unit always gets the same surrogate, so coreference
+are looked up when texts are rewritten.  Where a form is full - its values are all real, as with short
+telephone numbers in a large corpus - surrogates leave the form and grow: names and mail addresses by an
+ending, numbers by further digits after a blank, network addresses after a stop.
+
+Names are found by a title before them, by a listed given name, or by a word that names follow (CUES),
+with all capitalised words and initials that go on; a name that none of these marks is not found.  A mail
+host has at most 127 labels, as hosts have.  The same unit always gets the same surrogate, so coreference
 is kept within and across documents.
 
 Semantics: null text stays null, empty stays empty; every row and column is kept; repeated rows and
@@ -54,21 +60,25 @@ ENDINGS = "in on an el ar os et ik ur om".split()  # a name out of room is longe
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NAME = "\\p{Lu}[\\p{L}'’]++"
+_MORE = f"(?:[ -](?:{_NAME}|\\p{{Lu}}\\.))*+"  # further words and initials, however many
 PATTERNS = {
-    "email": "(?<![\\p{L}0-9._%+-])[\\p{L}0-9._%+-]++@[\\p{L}0-9-]{1,63}(?:\\.[\\p{L}0-9-]{1,63}){0,8}\\.\\p{L}{2,24}(?![\\p{L}0-9])",
+    "email": "(?<![\\p{L}0-9._%+-])[\\p{L}0-9._%+-]++@[\\p{L}0-9-]{1,63}(?:\\.[\\p{L}0-9-]{1,63}){0,126}\\.\\p{L}{2,24}(?![\\p{L}0-9])",
     "ip": f"(?<![0-9.])(?:{_OCTET}\\.){{3}}{_OCTET}(?![0-9]|\\.[0-9])",
     "card": "(?<![0-9])(?:[3-6][0-9]{3}[ -]?(?:[0-9]{4}[ -]?){2}[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[ -]?(?:\\([0-9]{1,4}\\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,4}|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
     "iban": "(?<![\\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}0-9])",
-    "title": f"(?<!\\p{{L}})(?:{TITLES})\\.? {_NAME}(?:[ -]{_NAME}){{0,2}}",
-    "given": f"(?<!\\p{{L}})(?:{'|'.join(MALE + FEMALE)})(?!\\p{{L}})(?:[ -]{_NAME}){{0,2}}",
+    "title": f"(?<!\\p{{L}})(?:{TITLES})\\.? (?:\\p{{Lu}}\\. ?)*+{_NAME}{_MORE}",
+    "given": f"(?<!\\p{{L}})(?:{'|'.join(MALE + FEMALE)})(?!\\p{{L}}){_MORE}",
 }
 _branch = lambda first, *kinds: f"(?={first})(?:{'|'.join(PATTERNS[k] for k in kinds)})"
-NAMES = f"(?<!\\p{{L}}){_branch('[A-Z]', 'title', 'given')}"
+# Words that a name follows; the name alone is the entity, of the kind 'person'.
+CUES = "[Mm]y name is|I am called|[Nn]ame:|[Cc]ontact:|[Aa]uthor:|[Ss]igned:|[Ss]igned by|[Ww]ritten by|[Dd]ear|[Mm]ein Name ist|[Ii]ch heiße|[Ll]iebe|[Ll]ieber|[Jj]e m'appelle|[Cc]her|[Cc]hère|[Mm]e llamo|[Mm]i nombre es|[Nn]ombre:|[Nn]om :|[Ee]stimado|[Ee]stimada"
+CUED = f"(?<!\\p{{L}})(?<=(?<!\\p{{L}})(?:{CUES}) )(?!(?:{TITLES})(?!\\p{{L}}))(?:\\p{{Lu}}\\. ?)*+{_NAME}{_MORE}"
+NAMES = f"(?:(?<!\\p{{L}}){_branch('[A-Z]', 'title', 'given')}|(?=\\p{{Lu}}){CUED})"
 NUMBERS = f"{_branch('[0-9+(]', 'ip', 'card', 'ssn', 'phone')}|{_branch('[A-Z]', 'iban')}"
 ANY = f"{PATTERNS['email']}|{NUMBERS}|{NAMES}"
-VERSIONS, ROOMLESS = 40, 6  # rounds of versions; from the second on, names grow
+ROOMLESS = 6  # from this version on surrogates leave their form and grow by a sign a version
 
 _WORD = "[\\p{L}'’]"
 _KNOWN = "".join(CLASSES)
@@ -126,11 +136,16 @@ def _account_check(country: str, rest: str) -> str:
     return f"98 - aggregate(split(concat(regexp_replace({rest}, ' ', ''), {country}, '00'), ''), 0, (t, c) -> cast(pmod(t * if({value} > 9, 100, 10) + {value}, 97) as int))"
 
 
+def _grown(version: str, one) -> str:
+    """SQL: what a surrogate of a version has beyond its form; ``one`` gives the SQL of a step's sign."""
+    return f"if({version} < {ROOMLESS}, '', array_join(transform(sequence({ROOMLESS}, greatest({version}, {ROOMLESS})), g -> {one('g')}), ''))"
+
+
 def _name(p: str, key: str, version: str) -> str:
     """SQL: all but the last letter moved; a Latin word for letters of no class."""
     other = f"{p} rlike {quoted(f'[^{_KNOWN}' + chr(39) + '’]')}"
     letters = f"initcap(translate(substring(sha2(concat({key}, '|other|', {p}), 256), 1, 10), '0123456789abcdef', 'bakedilomuneraso'))"
-    more = f"if({version} >= {ROOMLESS}, element_at({_array(ENDINGS)}, cast(1 + pmod({_draw(key, 'more', p)}, {len(ENDINGS)}) as int)), '')"
+    more = _grown(version, lambda g: f"element_at({_array(ENDINGS)}, cast(1 + pmod({_draw(key, 'more', f'concat({p}, cast({g} as string))')}, {len(ENDINGS)}) as int))")
     return f"if({other}, {letters}, concat({scramble(f'left({p}, greatest(length({p}) - 1, 1))', key, 'name')}, if(length({p}) > 1, right({p}, 1), ''), {more}))"
 
 
@@ -142,7 +157,7 @@ def _listed(p: str, names: list[str], new: list[str], key: str, kind: str, versi
 
 def kind(m: str) -> str:
     """SQL: the kind of an entity."""
-    return "case " + " ".join(f"when {m} rlike {quoted('^(?:' + p + ')$')} then '{k}'" for k, p in PATTERNS.items()) + " else 'other' end"
+    return "case " + " ".join(f"when {m} rlike {quoted('^(?:' + p + ')$')} then '{k}'" for k, p in PATTERNS.items()) + " else 'person' end"
 
 
 def _unit_of_word(p: str) -> str:
@@ -161,7 +176,7 @@ def _is_name_word(p: str, i: str) -> str:
 def units(m: str) -> str:
     """SQL: the units of an entity, ``kind|text``."""
     words = f"filter(transform({_pieces('m')}, (p, i) -> if({_is_name_word('p', 'i')}, {_unit_of_word('p')}, null)), u -> u is not null)"
-    return _let(m, "m", _let(kind("m"), "k", f"if(k in ('title', 'given'), {words}, array(concat(k, '|', m)))"))
+    return _let(m, "m", _let(kind("m"), "k", f"if(k in ('title', 'given', 'person'), {words}, array(concat(k, '|', m)))"))
 
 
 def unit_surrogate(unit: str, key: str, version: str = "0") -> str:
@@ -179,7 +194,12 @@ def unit_surrogate(unit: str, key: str, version: str = "0") -> str:
     email = f"concat({scramble('left(m, instr(m, ' + quoted('@') + ') - 1)', 'key', 'mail')}, '@', {scramble('substring(m, instr(m, ' + quoted('@') + f') + 1, length(m) - instr(m, ' + quoted('@') + f') - length({tld}))', 'key', 'domain')}, {tld})"
     off = f"cast(substring(m, 3, 2) as int) - ({_account_check('left(m, 2)', 'substring(m, 5)')})"
     iban = _let(scramble("substring(m, 5)", "key", "iban"), "n", f"concat(left(m, 2), lpad(cast(2 + pmod({_account_check('left(m, 2)', 'n')} - 2 + {off}, 97) as string), 2, '0'), n)")
+    digit = _grown("v", lambda g: f"cast(pmod({_draw('key', 'more', f'concat(m, cast({g} as string))')}, 10) as string)")
+    tail = f"if(v < {ROOMLESS}, '', concat(case k when 'ip' then '.' when 'email' then '' else ' ' end, {digit}))"
+    mail_tail = _grown("v", lambda g: f"element_at({_array(ENDINGS)}, cast(1 + pmod({_draw('key', 'more', f'concat(m, cast({g} as string))')}, {len(ENDINGS)}) as int))")
+    email = f"concat({mail_tail}, {email})"
     made = f"case k when 'email' then {email} when 'ip' then {ip} when 'card' then {card} when 'phone' then {phone} when 'iban' then {iban} when 'male' then {_listed('m', MALE, NEW_MALE, 'key', 'male', 'v')} when 'female' then {_listed('m', FEMALE, NEW_FEMALE, 'key', 'female', 'v')} when 'name' then {_name('m', 'key', 'v')} else {scramble('m', 'key', 'number')} end"
+    made = f"concat({made}, if(k in ('email', 'male', 'female', 'name'), '', {tail}))"
     bound = _let(f"concat({key}, '#', cast(v as string))", "key", _let("substring_index(u, '|', 1)", "k", _let("substring(u, length(k) + 2)", "m", made)))
     return _let(unit, "u", _let(version, "v", bound))
 
@@ -188,7 +208,7 @@ def surrogate(m: str, key: str, version=lambda unit: "0") -> str:
     """SQL: the surrogate of an entity; ``version`` gives the SQL of a unit's version."""
     own = lambda unit: unit_surrogate(unit, key, version(unit))
     name = f"array_join(transform({_pieces('e')}, (p, i) -> if({_is_name_word('p', 'i')}, {own(_unit_of_word('p'))}, p)), '')"
-    return _let(m, "e", _let(kind("e"), "c", f"if(c in ('title', 'given'), {name}, {own(f'concat(c, {quoted("|")}, e)')})"))
+    return _let(m, "e", _let(kind("e"), "c", f"if(c in ('title', 'given', 'person'), {name}, {own(f'concat(c, {quoted("|")}, e)')})"))
 
 
 def _chosen(text: Column, use) -> Column:
@@ -208,41 +228,47 @@ def versions(unit_table: DataFrame, key: str, name: str = "pii") -> DataFrame |
     where there are none.  ``unit_table`` has distinct units (column unit).
 
     Rounds: all open units propose the surrogate of the next version; one that is neither real nor
-    taken goes to the smallest unit that proposes it."""
+    taken goes to the smallest unit that proposes it.  Where a round settles under half of what is open,
+    as in a form whose values are all real, the next one is that of longer surrogates: they have ten
+    times the room of the version before, so every unit comes to one of its own."""
     real = unit_table.select(F.expr("substring(unit, length(substring_index(unit, '|', 1)) + 2)").alias("s")).distinct()
-    waiting, taken, moved = unit_table, real, None
-    for version in range(VERSIONS):
+    waiting, taken, moved, version, open_units = unit_table, real, None, 0, unit_table.count()
+    while open_units:
         proposed = waiting.select("unit", F.expr(unit_surrogate("unit", quoted(key), str(version))).alias("s"))
         won = shared.settle(proposed.join(taken, "s", "left_anti").groupBy("s").agg(F.min("unit").alias("unit")), f"{name}-won")
         waiting = shared.settle(waiting.join(won, "unit", "left_anti"), f"{name}-waiting")
         if version:
             here = won.select("unit", F.lit(version).alias("version"))
             moved = here if moved is None else moved.unionByName(here)
-        if not waiting.limit(1).count():
-            return moved
+        left = waiting.count()
+        version = max(version + 1, ROOMLESS) if version and 2 * left > open_units else version + 1
+        open_units = left
         taken = taken.unionByName(won.select("s"))
-    raise RuntimeError("no version of the key gives every entity a surrogate of its own")
+    return moved
 
 
 def pseudonymise(docs: DataFrame, key: str = "tindra", text_column: str = "text") -> DataFrame:
     """All rows and columns with the text rewritten, and the columns n_entities and entity_kinds."""
-    text = F.col(text_column)
-    held = docs.select(F.xxhash64(text).alias("_h"), found(text).alias("_found")).where("size(_found) > 0")
-    held = shared.settle(held.select("_h", F.expr(f"array_distinct(flatten(transform(_found, e -> {units('e')})))").alias("units")), "pii-entities")
+    text, own = F.col(text_column), shared.own_prefix(docs)
+    hashed, marks, per_text, copies = (f"{own}{x}" for x in ("h", "found", "versions", "n"))
+    held = docs.select(F.xxhash64(text).alias(hashed), found(text).alias("e")).where("size(e) > 0")
+    held = shared.settle(held.select(hashed, F.expr(f"array_distinct(flatten(transform(e, x -> {units('x')})))").alias("units")), "pii-entities")
     every = shared.settle(held.select(F.explode("units").alias("unit")).distinct(), "pii-units")
     moved = versions(every, key)
-    staged = docs.withColumn("_found", found(text))
+    staged = docs
     version = lambda unit: "0"
     if moved is not None:
-        by_text = held.select("_h", F.explode("units").alias("unit")).join(shared.settle(moved, "pii-versions"), "unit")
-        by_text = by_text.groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct("unit", "version"))).alias("_versions"), F.count("*").alias("_n"))
-        staged = shared.lookup(staged.withColumn("_h", F.coalesce(F.xxhash64(text), F.lit(0))), shared.settle(by_text, "pii-by-text"), ["_h"], "_n", held.count()).drop("_h", "_n")
-        version = lambda unit: f"coalesce(element_at(_versions, {unit}), 0)"
-    any_found = F.coalesce(F.size("_found") > 0, F.lit(False))
-    new = F.expr(f"transform(_found, m -> {surrogate('m', quoted(key), version)})")
+        by_text = held.select(hashed, F.explode("units").alias("unit")).join(shared.settle(moved, "pii-versions"), "unit")
+        by_text = by_text.groupBy(hashed).agg(F.map_from_entries(F.collect_set(F.struct("unit", "version"))).alias(per_text), F.count("*").alias(copies))
+        # before the pattern runs, so each row meets it in one branch of the lookup only
+        staged = shared.lookup(docs.withColumn(hashed, F.coalesce(F.xxhash64(text), F.lit(0))), shared.settle(by_text, "pii-by-text"), [hashed], copies, held.count())
+        version = lambda unit: f"coalesce(element_at({per_text}, {unit}), 0)"
+    staged = staged.withColumn(marks, found(text))
+    any_found = F.coalesce(F.size(marks) > 0, F.lit(False))
+    new = F.expr(f"transform({marks}, m -> {surrogate('m', quoted(key), version)})")
     gaps = _chosen(text, lambda p: F.split(text, p, -1))
     rebuilt = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
-    kinds = F.array_sort(F.array_distinct(F.expr(f"transform(_found, m -> {kind('m')})")))
+    kinds = F.array_sort(F.array_distinct(F.expr(f"transform({marks}, m -> {kind('m')})")))
     none = F.array().cast("array<string>")
-    out = staged.withColumns({text_column: F.when(any_found, rebuilt).otherwise(text), "n_entities": F.coalesce(F.when(any_found, F.size("_found")), F.lit(0)), "entity_kinds": F.when(any_found, kinds).otherwise(none)})
-    return out.drop("_found", "_versions")
+    out = staged.withColumns({text_column: F.when(any_found, rebuilt).otherwise(text), "n_entities": F.coalesce(F.when(any_found, F.size(marks)), F.lit(0)), "entity_kinds": F.when(any_found, kinds).otherwise(none)})
+    return out.drop(hashed, marks, per_text, copies)

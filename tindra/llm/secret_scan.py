@@ -11,7 +11,8 @@ numbers, placeholders and compound words in running text on the other.  Their st
 same expressions.
 
 Semantics: null and empty texts have no findings; findings are in text order; a secret that stands in
-many rows is found in each; all rows and columns are kept; an empty table gives no rows; columns named
+many rows is found in each; a name that tells a secret has at most two further parts of twelve
+characters (``SECRET_KEY_ID``) and eight blanks before its sign; all rows and columns are kept; an empty table gives no rows; columns named
 like the results are overwritten.
 """
 
@@ -26,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tindra.llm import shared
 from tindra.llm.pii import quoted
 
 TRAIN_FINDINGS, TREES, DEPTH, LEAST, CUT = 3000, 15, 5, 8, 0.5
@@ -41,7 +43,7 @@ MAKES = {
     "google_key": "AIza[0-9A-Za-z_-]{35}",
     "jwt": "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}",
     # the whole block; without an end mark the lines of 40 characters or more that follow
-    "private_key": "-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----(?:[A-Za-z0-9+/=\\s\\\\:,]*+(?:-(?!----)[A-Za-z0-9+/=\\s\\\\:,]*+){0,16}-----END (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----|(?:\\s{1,8}[A-Za-z0-9+/=]{40,}+){0,500})",
+    "private_key": "-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----(?:[A-Za-z0-9+/=\\s\\\\:,]*+(?:-(?!----)[A-Za-z0-9+/=\\s\\\\:,]*+){0,16}-----END (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----|(?:\\s{1,8}[A-Za-z0-9+/=]{40,}+)*+)",
 }
 NAMED = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|passphrase"
 BENIGN = "sha1|sha256|sha|md5|commit|digest|checksum|hash|uuid|guid|version|build|isbn|serial|revision|etag|sample|example|placeholder|article|figure|order"
@@ -194,19 +196,21 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
     text = F.col(text_column)
     may = text.rlike(MAY_HOLD)
     none = F.array().cast("array<string>")
-    staged = docs.withColumn("_v", F.when(may, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
-    staged = staged.withColumn("_g", F.when(F.size("_v") > 0, F.split(text, CANDIDATE, -1)).otherwise(none))
-    context = f"""transform(_v, (v, i) -> named_struct('b', right(if(i = 0, '', concat(element_at(_v, greatest(i, 1)), '')) || get(_g, i), {CONTEXT}), 'v', v, 'a', left(get(_g, i + 1), {CONTEXT})))"""
-    staged = staged.withColumn("_c", F.expr(context))
-    staged = staged.withColumn("_l", F.expr("transform(_v, (v, i) -> length(v) + length(get(_g, i)))"))
-    staged = staged.withColumn("_b", F.expr(f"if(size(_l) = 0, array(0), transform(sequence(0, cast((size(_l) - 1) / {PLACES} as int)), k -> aggregate(slice(_l, k * {PLACES} + 1, {PLACES}), 0, (t, x) -> t + x)))"))
+    own = shared.own_prefix(docs)
+    values, gaps, contexts, lengths, sums, starts, scores = (own + x for x in ("values", "gaps", "contexts", "lengths", "sums", "starts", "scores"))
+    staged = docs.withColumn(values, F.when(may, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
+    staged = staged.withColumn(gaps, F.when(F.size(values) > 0, F.split(text, CANDIDATE, -1)).otherwise(none))
+    context = f"""transform({values}, (v, i) -> named_struct('b', right(if(i = 0, '', concat(element_at({values}, greatest(i, 1)), '')) || get({gaps}, i), {CONTEXT}), 'v', v, 'a', left(get({gaps}, i + 1), {CONTEXT})))"""
+    staged = staged.withColumn(contexts, F.expr(context))
+    staged = staged.withColumn(lengths, F.expr(f"transform({values}, (v, i) -> length(v) + length(get({gaps}, i)))"))
+    staged = staged.withColumn(sums, F.expr(f"if(size({lengths}) = 0, array(0), transform(sequence(0, cast((size({lengths}) - 1) / {PLACES} as int)), k -> aggregate(slice({lengths}, k * {PLACES} + 1, {PLACES}), 0, (t, x) -> t + x)))"))
     total = lambda array, first, n: f"aggregate(slice({array}, {first} + 1, {n}), 0, (t, x) -> t + x)"
     block = f"cast(floor(i / {PLACES}) as int)"
-    places = f"transform(_v, (v, i) -> {total('_b', '0', block)} + {total('_l', f'{block} * {PLACES}', f'i - {block} * {PLACES}')} + length(get(_g, i)))"
-    staged = staged.withColumn("_p", F.expr(places))
-    scored = staged.withColumn("_s", F.expr(f"transform(transform(_c, c -> {_features('c')}), f -> {model})"))
+    places = f"transform({values}, (v, i) -> {total(sums, '0', block)} + {total(lengths, f'{block} * {PLACES}', f'i - {block} * {PLACES}')} + length(get({gaps}, i)))"
+    staged = staged.withColumn(starts, F.expr(places))
+    scored = staged.withColumn(scores, F.expr(f"transform(transform({contexts}, c -> {_features('c')}), f -> {model})"))
     kind = f"case {kinds} when c.b rlike {quoted(f'(?i)(?:{NAMED})[^\\n]{{0,16}}$')} then 'assigned_secret' else 'token' end"
-    findings = f"transform(_c, (c, i) -> named_struct('start', get(_p, i), 'kind', {kind}, 'length', length(c.v), 'digest', sha2(c.v, 256), 'score', get(_s, i), 'secret', get(_s, i) >= {CUT}D))"
+    findings = f"transform({contexts}, (c, i) -> named_struct('start', get({starts}, i), 'kind', {kind}, 'length', length(c.v), 'digest', sha2(c.v, 256), 'score', get({scores}, i), 'secret', get({scores}, i) >= {CUT}D))"
     out = scored.withColumn("findings", F.expr(findings))
-    redacted = F.expr("array_join(flatten(transform(_g, (g, i) -> array(g, coalesce(if(get(findings, i).secret, concat('[', upper(get(findings, i).kind), ']'), get(_v, i)), '')))), '')")
-    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["secret"]), redacted).otherwise(text)).drop("_v", "_g", "_c", "_p", "_s", "_l", "_b")
+    redacted = F.expr(f"array_join(flatten(transform({gaps}, (g, i) -> array(g, coalesce(if(get(findings, i).secret, concat('[', upper(get(findings, i).kind), ']'), get({values}, i)), '')))), '')")
+    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["secret"]), redacted).otherwise(text)).drop(values, gaps, contexts, lengths, sums, starts, scores)

@@ -16,6 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own where it is unset
     on one machine.  On a cluster it must be set: executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()  # by setCheckpointDir
+    if not base and chosen.isDefined():
+        base = chosen.get()
     if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
@@ -54,6 +57,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix for columns of our own that no column of ``df`` has."""
+    taken, n = [c.lower() for c in df.columns], 0
+    while any(c.startswith(f"_own{n}_") for c in taken):
+        n += 1
+    return f"_own{n}_"
+
+
 def give_back() -> None:
     """Returns freed memory of this process to the system, where the C library can."""
     import ctypes
