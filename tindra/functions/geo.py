@@ -23,7 +23,8 @@ def has_location(gps: Column) -> Column:
     return (g != "") & (F.upper(g) != "NOLOC") & g.contains(",")
 
 
-def _number(text: Column) -> Column:
+def number(text: Column) -> Column:
+    """A decimal number's value; null for other text."""
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
@@ -38,11 +39,11 @@ def _pair(lat: Column, lon: Column) -> Column:
 
 def _lenient(g: Column) -> Column:
     parts = F.split(g, ",", -1)
-    return _pair(_number(F.get(parts, F.lit(0))), _number(F.get(parts, F.lit(1))))
+    return _pair(number(F.get(parts, F.lit(0))), number(F.get(parts, F.lit(1))))
 
 
 def _strict(g: Column) -> Column:
-    return _pair(_number(F.substring_index(g, ",", 1)), _number(F.substr(g, F.instr(g, ",") + 1)))
+    return _pair(number(F.substring_index(g, ",", 1)), number(F.substr(g, F.instr(g, ",") + 1)))
 
 
 def _usable(p: Column, strict: bool) -> Column:
@@ -106,29 +107,32 @@ def milli_key(value: Column) -> Column:
 
 
 class Cells:
-    """A lattice whose cells are at least a radius wide at every latitude in use, so points within
-    the radius lie in neighbouring cells.  Columns wrap round at the date line; near the poles the
-    lattice has few columns, down to one."""
+    """A lattice of rows a radius high, each with columns of its own: as wide as a radius can reach in
+    longitude from a neighbouring row, so points within the radius lie in neighbouring rows and there in
+    neighbouring columns.  Columns wrap round at the date line; towards the poles rows have fewer, down
+    to one.  A row hangs on its own latitude only, so points elsewhere in a table change nothing."""
 
-    def __init__(self, radius_m: float, max_abs_lat: float):
+    def __init__(self, radius_m: float):
         self.height = radius_m / (EARTH_M * math.pi / 180) * 1.000001
-        edge = min(90.0, max_abs_lat + self.height)
-        shrink = math.cos(math.radians(edge))
-        width = 360.0 if shrink < 1e-9 else min(360.0, self.height / shrink * 1.01)
-        self.columns = max(1, int(360.0 // width))
-        self.width = 360.0 / self.columns
 
     def row(self, lat: Column) -> Column:
         return F.floor(lat / self.height).cast("long")
 
-    def column(self, lon: Column) -> Column:
-        return F.pmod(F.floor((lon + 180) / self.width), F.lit(self.columns)).cast("long")
+    def columns(self, row: Column) -> Column:
+        """How many columns a row has."""
+        edge = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * self.height)
+        shrink = F.cos(F.radians(edge))
+        return F.when(shrink < 1e-9, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (F.lit(self.height * 1.01) / shrink)))).cast("long")
 
     def keyed(self, df: DataFrame, lat: str, lon: str) -> DataFrame:
-        return df.withColumns({"_cy": self.row(F.col(lat)), "_cx": self.column(F.col(lon))})
+        return self._placed(df.withColumn("_cy", self.row(F.col(lat))), lon, (0,))
 
     def spread(self, df: DataFrame, lat: str, lon: str) -> DataFrame:
         """A row per neighbouring cell."""
         rows = F.explode(F.array(*(self.row(F.col(lat)) + k for k in (-1, 0, 1))))
-        cols = F.explode(F.array_distinct(F.array(*(F.pmod(self.column(F.col(lon)) + k, F.lit(self.columns)) for k in (-1, 0, 1)))))
-        return df.withColumn("_cy", rows).withColumn("_cx", cols)
+        return self._placed(df.withColumn("_cy", rows), lon, (-1, 0, 1))
+
+    def _placed(self, df: DataFrame, lon: str, steps: tuple[int, ...]) -> DataFrame:
+        n = self.columns(F.col("_cy"))
+        at = lambda k: F.pmod(F.floor((F.col(lon) + 180) / 360 * n) + k, n).cast("long")
+        return df.withColumn("_cx", at(0) if steps == (0,) else F.explode(F.array_distinct(F.array(*(at(k) for k in steps)))))

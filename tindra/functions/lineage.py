@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the checkpoint folder."""
     checkpoint_folder(df.sparkSession)

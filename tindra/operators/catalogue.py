@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, text
+from tindra.functions.lineage import settle
 from tindra.operators.order import collapse_repeats
 from tindra.plans.catalog import HIDDEN, LODGING
 
@@ -63,16 +64,24 @@ def progress(found: DataFrame, wanted: str) -> DataFrame:
     return counted.withColumn("percent", F.coalesce(percent, F.lit(0)).cast("long"))
 
 
+NAMES_SENT = 20_000  # names in reach that are sent to all tasks
+
+
 def nearby(items: DataFrame, lat: float, lon: float, radius_m: float = 4000, most: int = 10, lodging: str = LODGING) -> DataFrame:
     """The nearest items by whole metres, ties by name; repeats of a name at one place count once.
 
-    Repeats are collapsed before the distance test, as an item far away ends a run of repeats too."""
+    Repeats are collapsed before the distance test, as an item far away ends a run of repeats too; only
+    names that are in reach somewhere take part in that.  They are sent to all tasks while they are few,
+    so nothing else is shuffled.  ``places`` has the same search over a stored layout."""
     name, gps = text.nonnull(F.col("name")), geo.squeezed(F.col("gps"))
     rows = items.where(geo.has_location(F.col("gps")) & ~drafted(F.col("name")) & ~text.nonnull(F.col("tag")).contains(lodging))
     rows = geo.with_point(rows.select("id", F.col("name").alias("_name"), name.alias("name"), gps.alias("gps")), "gps", "_lat", "_lon")
+    rows = rows.withColumn("_d", geo.haversine(F.col("_lat"), F.col("_lon"), F.lit(lat), F.lit(lon)))
+    names = settle(rows.where(F.col("_d") < radius_m).select("name").distinct())
+    few = names.limit(NAMES_SENT + 1).count() <= NAMES_SENT
+    rows = rows.join(F.broadcast(names) if few else names, "name", "left_semi")
     rows = collapse_repeats(rows, F.col("name"), (F.col("gps"),), (F.col("_name").asc_nulls_first(), F.asc("id")))
-    metres = geo.haversine(F.col("_lat"), F.col("_lon"), F.lit(lat), F.lit(lon))
-    near = rows.withColumn("_d", metres).where(F.col("_d") < radius_m)
+    near = rows.where(F.col("_d") < radius_m)
     return near.select(F.col("name").alias("key"), F.floor("_d").cast("long").alias("value"), "id").orderBy("value", "key", "id").limit(most)
 
 

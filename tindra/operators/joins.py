@@ -8,19 +8,15 @@ from pyspark.sql import functions as F
 from tindra.functions import geo, similarity
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, max_abs_lat: float | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs within the radius that agree in the columns ``on``, with the column ``distance_m``.
 
     The right side goes to its cell, the left side to the nine around its own, and the cells are
     equi-keys; the exact distance is a residual.  Column names must differ between the sides.  Rows
-    without a finite point pair with nothing.  Without ``max_abs_lat`` the largest latitude is read
-    from the data (one small aggregation per side)."""
+    without a finite point pair with nothing."""
     finite = lambda p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() & ~F.isnan(p[0]) & ~F.isnan(p[1])
     left, right = left.where(finite(left_point)), right.where(finite(right_point))
-    if max_abs_lat is None:
-        tops = [df.agg(F.max(F.abs(F.col(p[0])))).first()[0] for df, p in ((left, left_point), (right, right_point))]
-        max_abs_lat = min(90.0, max([0.0, *(t for t in tops if t is not None)]))
-    cells = geo.Cells(radius_m, max_abs_lat)
+    cells = geo.Cells(radius_m)
     pairs = cells.spread(left, *left_point).join(cells.keyed(right, *right_point), ["_cy", "_cx", *on]).drop("_cy", "_cx")
     pairs = pairs.withColumn("distance_m", geo.haversine(*(F.col(c) for c in (*left_point, *right_point))))
     return pairs.where((F.col("distance_m") <= radius_m) if inclusive else (F.col("distance_m") < radius_m))
@@ -138,7 +134,12 @@ def fuzzy_slug(df: DataFrame, slug: str, known: DataFrame, known_slug: str, leas
 
 
 def with_marker(df: DataFrame, slug: str, markers: DataFrame) -> DataFrame:
-    """``df`` with ``coords``, the struct of its slug's marker (slug, lat, lng; the last of a slug
-    counts, by its column ``pos``), null where there is none."""
-    last = markers.groupBy(F.col("slug").alias(slug)).agg(F.max_by(F.struct("lat", "lng"), "pos").alias("coords"))
+    """``df`` with ``coords``, the struct of its slug's marker (slug, lat, lng; the last valid one of a
+    slug counts, by its column ``pos``), null where there is none.
+
+    A marker is valid if it has a slug and both coordinates are numbers, as numbers or as text."""
+    as_number = lambda c: geo.number(F.trim(F.col(c).cast("string"))) if dict(markers.dtypes)[c] == "string" else F.col(c).cast("double")
+    valid = markers.select(F.col("slug").alias(slug), as_number("lat").alias("lat"), as_number("lng").alias("lng"), "pos")
+    valid = valid.where(f"`{slug}` <> '' AND lat IS NOT NULL AND lng IS NOT NULL")
+    last = valid.groupBy(slug).agg(F.max_by(F.struct("lat", "lng"), "pos").alias("coords"))
     return df.join(last, slug, "left")

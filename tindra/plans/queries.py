@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, geometry, html, speech, text
-from tindra.operators import catalogue, changes, geocoding, headings, ingest, joins, matching, order, summaries
+from tindra.functions.lineage import fresh
+from tindra.operators import catalogue, changes, geocoding, headings, ingest, joins, matching, order, places, summaries
 from tindra.plans import catalog, samples
 from tindra.plans.catalog import areas, bridge, items, points, table
 
@@ -58,6 +59,26 @@ def nearby_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.nearby(items(spark, sf_dir), *PROBE)
 
 
+_BESIDE = f"""SELECT id, nm, lat, lon FROM (SELECT *, lag(nm) OVER w AS pn, lag(g) OVER w AS pg FROM (
+        SELECT id, name, coalesce(name, '') AS nm, {_G} AS g, {_LAT} AS lat, {_LON} AS lon FROM items WHERE {_HAS} AND NOT {_DRAFT} AND NOT contains(coalesce(tag, ''), '{catalog.LODGING}')) s
+      WHERE lat IS NOT NULL AND lon IS NOT NULL WINDOW w AS (ORDER BY nm, name NULLS FIRST, id)) t WHERE NOT (pn IS NOT NULL AND nm = pn AND g = pg)"""
+
+
+@query("nearby_stored", f"SELECT nm AS key, cast(floor(d) AS bigint) AS value, id FROM (SELECT *, {_HAV('lat', 'lon', PROBE[0], PROBE[1])} AS d FROM ({_BESIDE}) b) u WHERE d < 4000 ORDER BY value, key, id LIMIT 10")
+def nearby_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "places")
+    places.store(items(spark, sf_dir), path, catalog.LODGING)
+    return places.nearby(places.read(spark, path), *PROBE)
+
+
+@query("nearby_each_area", f"SELECT probe, rank, nm AS key, value, id FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY value, nm, id) AS rank FROM (SELECT a.id AS probe, b.id, nm, {_HAV('b.lat', 'b.lon', 'a.lat', 'a.lon')} AS d, cast(floor({_HAV('b.lat', 'b.lon', 'a.lat', 'a.lon')}) AS bigint) AS value FROM ({_BESIDE}) b, (SELECT id, {_LAT} AS lat, {_LON} AS lon FROM areas WHERE {_HAS}) a) u WHERE d < 4000) v WHERE rank <= 10")
+def nearby_each_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "places")
+    places.store(items(spark, sf_dir), path, catalog.LODGING)
+    probes = geo.with_point(areas(spark, sf_dir).where(geo.has_location(F.col("gps"))), "gps", "probe_lat", "probe_lon")
+    return places.nearby_each(places.read(spark, path), probes.select(F.col("id").alias("probe"), "probe_lat", "probe_lon"))
+
+
 _NESTED = "SELECT i.id, i.name, i.gps, i.tag, i.visibility, coalesce(n.area, '') AS area, coalesce(n.ids, '') AS area_ids FROM items i LEFT JOIN (SELECT item_id, string_agg(caption, ', ' ORDER BY area_id) AS area, string_agg(cast(area_id AS varchar), ';' ORDER BY area_id) AS ids FROM a2i JOIN areas ON areas.id = a2i.area_id GROUP BY item_id) n ON n.item_id = i.id WHERE {}"
 
 
@@ -454,12 +475,15 @@ def slug_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.fuzzy_slug(slugs, "slug", part.select(dashed.alias("known")), "known").select("p_partkey", "slug", "matched", "tier")
 
 
-_MARKERS = "SELECT 'h' || cast(doc_id % 40 AS varchar) AS slug, doc_id AS pos, doc_id * 1.5::double AS lat, doc_id * 0.5::double AS lng FROM documents"
+# A third of the markers is broken: no latitude, or text that is no number.
+_MARKER_LAT = "CASE WHEN doc_id % 9 < 2 THEN NULL WHEN doc_id % 9 = 2 THEN 'x' || cast(doc_id AS string) ELSE cast(doc_id AS string) || '.5' END"
+_MARKERS = f"SELECT slug, pos, try_cast(lat AS double) AS lat, lng FROM (SELECT 'h' || cast(doc_id % 40 AS varchar) AS slug, doc_id AS pos, {_MARKER_LAT} AS lat, CASE WHEN doc_id % 40 <> 7 THEN doc_id * 0.5::double END AS lng FROM documents) x WHERE regexp_matches(lat, {_NUM}) AND lng IS NOT NULL"
 
 
 @query("marker_lookup", f"SELECT p.page_id, p.slug, m.lat, m.lng FROM (SELECT page_id, 'h' || cast(page_id % 60 AS varchar) AS slug FROM pages) p LEFT JOIN (SELECT slug, lat, lng FROM ({_MARKERS}) x QUALIFY row_number() OVER (PARTITION BY slug ORDER BY pos DESC) = 1) m USING (slug)")
 def marker_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    markers = table(spark, sf_dir, "documents").select(F.concat(F.lit("h"), (F.col("doc_id") % 40).cast("string")).alias("slug"), F.col("doc_id").alias("pos"), (F.col("doc_id") * 1.5).alias("lat"), (F.col("doc_id") * 0.5).alias("lng"))
+    lng = F.when(F.col("doc_id") % 40 != 7, F.col("doc_id") * 0.5)
+    markers = table(spark, sf_dir, "documents").select(F.concat(F.lit("h"), (F.col("doc_id") % 40).cast("string")).alias("slug"), F.col("doc_id").alias("pos"), F.expr(_MARKER_LAT).alias("lat"), lng.alias("lng"))
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("h"), (F.col("page_id") % 60).cast("string")).alias("slug"))
     return joins.with_marker(pages, "slug", markers).select("page_id", "slug", "coords.lat", "coords.lng")
 
