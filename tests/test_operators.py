@@ -239,6 +239,68 @@ def test_greedy_titles(spark):
     assert got == {1: True, 2: False, 3: True, 4: True, 6: False, 7: True, 8: False}
 
 
+def title_loop(rows, seeds):
+    """Titles in order of id against all that are in the set."""
+    inside, out = list(seeds), {}
+    for i, t, located in sorted(rows):
+        if not located:
+            continue
+        lead = t.split()[:3]
+        hit = any(t == x or (len(t) > 10 and (t in x or x in t)) or (len(lead) >= 2 and x.split()[:3] == lead) for x in inside)
+        out[i] = not hit
+        if not hit:
+            inside.append(t)
+    return out
+
+
+@pytest.mark.parametrize("local", [0, 40, 200_000])
+def test_greedy_titles_are_the_loop(spark, monkeypatch, local):
+    monkeypatch.setattr(greedy, "LOCAL_EDGES", local)
+    rng = random.Random(local)
+    title = lambda: " ".join(rng.choice(["saga", "of", "king", "troll", "the", "sea"]) for _ in range(rng.choice([1, 2, 3, 4, 5])))
+    rows = [(i, title(), rng.random() < 0.9) for i in range(300)]
+    seeds = [title() for _ in range(4)]
+    got = matching.greedy_titles(spark.createDataFrame(rows, "id long, title string, located boolean"), spark.createDataFrame([(k, t) for k, t in enumerate(seeds)], "id long, title string"))
+    assert {r.node: r.accepted for r in got.collect()} == title_loop(rows, seeds)
+
+
+def test_a_hundred_thousand_equal_titles_are_linear(spark):
+    titled = lambda t: spark.range(100_000).select("id", t.alias("title"), F.lit(True).alias("located"))
+    for title in (F.lit("just the one title"), F.concat(F.lit("one and two "), F.col("id") % 50_000 + 100_000)):
+        rows = titled(title)
+        got = matching.greedy_titles(rows, rows.limit(0).select("id", "title"))
+        assert [r.node for r in got.where("accepted").collect()] == [0] and got.count() == 100_000
+
+
+@pytest.mark.parametrize("local, strict", [(0, False), (30, True), (200_000, False)])
+def test_greedy_places_are_the_loop(spark, monkeypatch, local, strict):
+    monkeypatch.setattr(greedy, "LOCAL_EDGES", local)
+    rng = random.Random(local + 1)
+    place = lambda: f"{rng.choice([64.1, 0, 89.998, -64.1]) + rng.random() / 400:.6f},{rng.choice([-21.9, 179.9995]) + rng.random() / 1000:.6f}"
+    spots = [place() for _ in range(120)]
+    make = lambda i: (i, rng.choice([None, "", "A", "b", f"n{i}"]), rng.choice([None, "", "x", f"e{i}"]), rng.choice([*spots, "", None]))
+    rows, known = [make(i) for i in range(260)], [make(1000 + i) for i in range(25)]
+    tidy = lambda r: ((r[1] or "").strip().lower(), (r[2] or "").strip().lower(), *map(float, r[3].split(",")))
+    inside, want = [tidy(r) for r in known if r[3]], {}
+    for r in rows:
+        if r[3]:
+            n, e, lat, lon = tidy(r)
+            hit = any((n == m or (e == f and (e or not strict))) and metres(lat, lon, p, q) < 100 for m, f, p, q in inside)
+            want[r[0]] = not hit
+            if not hit:
+                inside.append((n, e, lat, lon))
+    cols = "id long, name string, name_eng string, gps string"
+    got = matching.greedy_same_place(spark.createDataFrame(rows, cols), spark.createDataFrame(known, cols), strict=strict)
+    assert {r.node: r.accepted for r in got.collect()} == want
+
+
+def test_a_crowd_at_one_place_is_linear(spark):
+    """Thirty thousand rows without an English name within a few metres: no pairs."""
+    rows = spark.range(30_000).select("id", F.concat(F.lit("n"), "id").alias("name"), F.lit("").alias("name_eng"), F.format_string("%.7f,%.7f", 64 + F.rand(1) / 5000, -21 + F.rand(2) / 3000).alias("gps"))
+    got = matching.greedy_same_place(rows, rows.limit(0))
+    assert [r.node for r in got.where("accepted").collect()] == [0] and got.count() == 30_000
+
+
 def test_two_empty_english_names_are_equal(spark):
     cols = "id long, name string, name_eng string, gps string"
     rows = spark.createDataFrame([(1, "A", "", "64.1,-21.9"), (2, "B", None, "64.1,-21.9"), (3, "C", "c", "64.1,-21.9")], cols)

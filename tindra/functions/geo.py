@@ -106,6 +106,43 @@ def milli_key(value: Column) -> Column:
     return F.floor(value * 1000 + 0.5).cast("long")
 
 
+class SmallCells:
+    """Cells so small that all points of one are within the radius of each other (less than it)."""
+
+    def __init__(self, radius_m: float):
+        self.radius_m = radius_m
+        self.height = radius_m / (EARTH_M * math.pi / 180) / 1.5  # two sides of 2/3: a diagonal of 0.95 radii
+
+    def _columns(self, row: Column) -> Column:
+        """Columns no wider than a row is high, where the row is widest: towards the equator."""
+        low = F.least(F.least(F.abs(row), F.abs(row + 1)) * self.height, F.lit(90.0))
+        return F.ceil(F.lit(360 / self.height) * F.cos(F.radians(low)) + 1).cast("long")
+
+    def _row(self, lat: Column) -> Column:
+        return F.floor(lat / self.height).cast("long")
+
+    def _name(self, row: Column, lon: Column, columns: Column) -> Column:
+        return F.concat_ws(":", row.cast("string"), F.pmod(F.floor((lon + 180) / 360 * columns), columns).cast("long").cast("string"))
+
+    def own(self, lat: Column, lon: Column) -> Column:
+        """The point's cell, as text."""
+        row = self._row(lat)
+        return self._name(row, lon, self._columns(row))
+
+    def reach(self, lat: Column, lon: Column) -> Column:
+        """All cells that can hold a point within the radius, the point's own included."""
+        ratio = F.lit(math.sin(min(math.pi / 2, self.radius_m / EARTH_M)) * 1.000001) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))
+        wide = F.when(ratio >= 1, 180.0).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))))
+
+        def cells(step: int) -> Column:
+            row = self._row(lat) + step
+            n = self._columns(row)
+            first, last = (F.floor((lon + sign * wide + 180) / 360 * n) for sign in (-1, 1))
+            return F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda c: F.concat_ws(":", row.cast("string"), F.pmod(c, n).cast("long").cast("string")))
+
+        return F.array_distinct(F.flatten(F.array(*(cells(k) for k in (-2, -1, 0, 1, 2)))))
+
+
 class Cells:
     """A lattice of rows a radius high, each with columns of its own: as wide as a radius can reach in
     longitude from a neighbouring row, so points within the radius lie in neighbouring rows and there in

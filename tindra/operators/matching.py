@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, similarity, text
@@ -96,39 +96,65 @@ def new_by_key(incoming: DataFrame, key, catalogue_keys: DataFrame, order: list)
 def greedy_same_place(incoming: DataFrame, catalogue: DataFrame, radius_m: float = 100, strict: bool = False) -> DataFrame:
     """Acceptance (node, accepted) of incoming rows against the catalogue and rows accepted before: a
     match is within the radius and equal in name or in English name.  Two empty English names are
-    equal unless ``strict``.  Rows without a point take no part."""
+    equal unless ``strict``.  Rows without a point take no part.
+
+    Rows of one point and both names are one: after the first of them no other can enter.  Rows of one
+    name in one small cell all match, so they are a class of ``greedy.accept``; a row looks at its names'
+    classes in the cells in reach."""
     low = lambda c: F.lower(text.strip(text.nonnull(F.col(c))))
-    side = lambda df, p: geo.with_point(df.select(F.col("id").alias(f"{p}_id"), low("name").alias(f"{p}_name"), low("name_eng").alias(f"{p}_eng"), F.col("gps").alias(f"{p}_gps")), f"{p}_gps", f"{p}_lat", f"{p}_lon")
-    eng = F.col("a_eng") == F.col("b_eng")
-    same = (F.col("a_name") == F.col("b_name")) | ((eng & (F.col("a_eng") != "")) if strict else eng)
-    a = side(incoming, "a")
-    pair = lambda b: radius_join(a, b, radius_m, ("a_lat", "a_lon"), ("b_lat", "b_lon")).where(same)
-    edges = pair(side(incoming, "b")).where("b_id < a_id").select(F.col("a_id").alias("node"), F.col("b_id").alias("earlier"))
-    seeded = pair(side(catalogue, "b")).select(F.col("a_id").alias("node"))
-    return greedy.accept(a.select(F.col("a_id").alias("node")), edges, seeded)
-
-
-def title_matches(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs (a_id, b_id) where title a (columns id, title) duplicates title b: equal; for titles a of
-    over ten characters one holds the other; equal first three words, of at least two."""
-    left, right = a.select(F.col("id").alias("a_id"), F.col("title").alias("a_t")), b.select(F.col("id").alias("b_id"), F.col("title").alias("b_t"))
-    equal = left.join(right, F.col("a_t") == F.col("b_t")).select("a_id", "b_id")
-    long = left.where(F.length("a_t") > 10)
-    inside = contains_join(long, right, "a_t", "b_t").select("a_id", "b_id").unionByName(contains_join(right, long, "b_t", "a_t").select("a_id", "b_id"))
-    lead = lambda c: F.array_join(text.leading_words(F.col(c)), " ")
-    two = F.size(text.leading_words(F.col("a_t"))) >= 2
-    heads = left.where(two).join(right, lead("a_t") == lead("b_t")).select("a_id", "b_id")
-    return equal.unionByName(inside).unionByName(heads).distinct()
+    side = lambda df: geo.with_point(df.select("id", low("name").alias("name"), low("name_eng").alias("eng"), "gps"), "gps", "lat", "lon").drop("gps")
+    cells = geo.SmallCells(radius_m)
+    names = F.filter(F.array(F.concat(F.lit("name|"), "name"), F.concat(F.lit("eng|"), "eng")), lambda n: (n != "eng|") if strict else F.lit(True))
+    point = (F.col("lat"), F.col("lon"))
+    classes = lambda df, where: df.withColumn("_cell", F.explode(where)).withColumn("_name", F.explode(names)).withColumn("cls", F.concat_ws("|", "_cell", "_name")).drop("_cell", "_name", "name", "eng")
+    near = lambda prefix: geo.haversine(*point, F.col(f"{prefix}lat"), F.col(f"{prefix}lon")) < radius_m
+
+    rows = settle(side(incoming))
+    firsts = settle(rows.groupBy("lat", "lon", "name", "eng").agg(F.min("id").alias("node")))
+    members, looks = settle(classes(firsts, F.array(cells.own(*point)))), classes(firsts, cells.reach(*point))
+    known = settle(classes(side(catalogue).drop("id").distinct(), F.array(cells.own(*point))).distinct())
+    at_once = settle(members.join(known.select("cls").distinct(), "cls", "left_semi").select("node").distinct())
+    there = known.select("cls", F.struct("lat", "lon").alias("other"))
+    beside = looks.join(at_once, "node", "left_anti").join(there, "cls").where(near("other.")).select("node")
+    seeded = settle(at_once.unionByName(beside).distinct())
+    earliest = members.groupBy("cls").agg(F.min("node").alias("_first"))
+    asked = looks.join(earliest, "cls").where(F.col("_first") < F.col("node")).drop("_first")
+    none = firsts.select("node", F.col("node").alias("earlier")).limit(0)
+    fates = greedy.accept(firsts.select("node"), none, seeded, members, asked, near)
+    return rows.select(F.col("id").alias("node")).join(fates, "node", "left").select("node", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def _lead(c: str) -> Column:
+    """A title's first three words as a key; null for fewer than two."""
+    words = text.leading_words(F.col(c))
+    return F.when(F.size(words) >= 2, F.array_join(words, " "))
+
+
+def title_holds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs (a_id, b_id) of titles (id, title) of which one holds the other, a's over ten characters long."""
+    left, right = a.select(F.col("id").alias("a_id"), F.col("title").alias("a_t")).where(F.length("a_t") > 10), b.select(F.col("id").alias("b_id"), F.col("title").alias("b_t"))
+    return contains_join(left, right, "a_t", "b_t").select("a_id", "b_id").unionByName(contains_join(right, left, "b_t", "a_t").select("a_id", "b_id")).distinct()
 
 
 def greedy_titles(incoming: DataFrame, seeds: DataFrame) -> DataFrame:
     """Acceptance (node, accepted) of incoming titles (id, title, located) against the seeds' titles and
-    those accepted before.  Rows that are not located never enter the set, so they take no part."""
-    rows = settle(incoming.where("located").select("id", "title"))  # read by every branch of the match
-    seeds = settle(seeds.select("id", "title"))
-    edges = title_matches(rows, rows).where("b_id < a_id").select(F.col("a_id").alias("node"), F.col("b_id").alias("earlier"))
-    seeded = title_matches(rows, seeds).select(F.col("a_id").alias("node"))
-    return greedy.accept(rows.select(F.col("id").alias("node")), edges, seeded)
+    those accepted before: a duplicate is equal, has the same first three words (of at least two), or, for
+    titles of over ten characters, holds the other or is held by it.  Rows that are not located never enter
+    the set, so they take no part.
+
+    Only the first row of a title can enter; titles of the same first words are a class of
+    ``greedy.accept``, so both take as many rows as there are titles.  Pairs are made only where one title
+    holds another."""
+    rows = settle(incoming.where("located").select("id", "title"))
+    firsts = settle(rows.groupBy("title").agg(F.min("id").alias("id")))
+    known = settle(seeds.select("title").where("title IS NOT NULL").distinct().withColumn("id", F.lit(0)))
+    led = settle(firsts.withColumn("cls", _lead("title")).where("cls IS NOT NULL").select(F.col("id").alias("node"), "cls"))
+    seeded = firsts.join(known.select("title"), "title", "left_semi").select("id")
+    seeded = seeded.unionByName(led.join(known.select(_lead("title").alias("cls")).distinct(), "cls", "left_semi").select(F.col("node").alias("id")))
+    seeded = seeded.unionByName(title_holds(firsts, known).select(F.col("a_id").alias("id")))
+    edges = title_holds(firsts, firsts).where("b_id < a_id").select(F.col("a_id").alias("node"), F.col("b_id").alias("earlier"))
+    fates = greedy.accept(firsts.select(F.col("id").alias("node")), edges, seeded.select(F.col("id").alias("node")), led, led)
+    return rows.select(F.col("id").alias("node")).join(fates, "node", "left").select("node", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def first_confirmed(candidates: DataFrame, key: str, rank: str, confirmed) -> DataFrame:
