@@ -4,13 +4,14 @@ for the same rows.  Queries without SQL are held against plain loops in the test
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, geometry, html, speech, text
 from tindra.functions.lineage import fresh
-from tindra.operators import catalogue, changes, geocoding, headings, ingest, joins, matching, order, places, summaries
+from tindra.operators import catalogue, changes, geocoding, headings, ingest, joins, matching, order, places, search, summaries
 from tindra.plans import catalog, samples
 from tindra.plans.catalog import areas, bridge, items, points, table
 
@@ -95,6 +96,22 @@ _SEARCHES = {
 for _name, (_wanted, _where) in _SEARCHES.items():
     query(_name, _NESTED.format(_where.replace("name", "i.name").replace("story", "i.story").replace("tag", "i.tag")))(lambda spark, sf_dir, w=_wanted: _found(spark, sf_dir, w))
 
+def _indexed(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    path = fresh(spark, "search")
+    search.store(items(spark, sf_dir).select("id", "name", "story", "tag"), path)
+    found = [search.search(spark, path, w).select(F.lit(w).alias("wanted"), "id", "name") for w in wanted]
+    return reduce(DataFrame.unionByName, found)
+
+
+_TERMS = {"tion a%ed": "%TION A%ED%", "qu_st": "%QU_ST%", "Place 1": "%PLACE 1%", "xq": "%XQ%", "þjóðsaga": "%þJóðSAGA%", "no such text": "%NO SUCH TEXT%", "%": "%%%"}
+
+
+# the one-letter text is a prefix search
+@query("search_index", " UNION ALL ".join(f"SELECT '{w}' AS wanted, id, name FROM items WHERE {_SHOWN} AND ({_FOLD('story')} LIKE '{p}' OR {_FOLD('name')} LIKE '{p}')" for w, p in _TERMS.items() if len(w) > 1) + f" UNION ALL SELECT '%', id, name FROM items WHERE {_SHOWN} AND {_FOLD('name')} LIKE '%%'")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, *_TERMS)
+
+
 @query("map_filter", "SELECT id, contains(lower(coalesce(name, '')), 'place 1') AS shown FROM items")
 def map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.shown_on_map(items(spark, sf_dir), "Place 1").select("id", "shown")
