@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tindra.functions import geo, geometry, html, speech, text
 from tindra.functions.lineage import fresh
 from tindra.operators import catalogue, changes, geocoding, headings, ingest, joins, matching, order, places, search, summaries
-from tindra.plans import catalog, samples
+from tindra.plans import catalog, ratio_sql, samples
 from tindra.plans.catalog import areas, bridge, items, points, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,7 +484,17 @@ def geocoded_tales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocoding.primary(located, "id").select("id", "place", "found_in", "confidence")
 
 
-@query("slug_fuzzy")  # the third tier's ratio is beyond SQL; tests hold it against a loop
+_FUZZY_SLUG = "CASE WHEN p_partkey % 2 = 0 THEN replace(replace(p_name, ' ', '-'), 'e', '') || 's' ELSE reverse(p_name) END"
+
+
+@query(
+    "slug_fuzzy",
+    f"""WITH RECURSIVE s AS (SELECT p_partkey, {_FUZZY_SLUG} AS slug FROM part), k AS MATERIALIZED (SELECT DISTINCT replace(p_name, ' ', '-') AS known FROM part),
+    exact AS MATERIALIZED (SELECT p_partkey, slug, arg_max(known, length(known)) AS matched FROM s LEFT JOIN k ON slug = known OR starts_with(slug, known || '-') GROUP BY p_partkey, slug),
+    {ratio_sql.ratios("SELECT known AS a, slug AS b, 0.85 AS least FROM (SELECT DISTINCT slug FROM exact WHERE matched IS NULL) e, k")},
+    fuzzy AS (SELECT b AS slug, max(struct_pack(r := ratio, a := a)).a AS known FROM ratios WHERE ratio >= 0.85 GROUP BY b)
+    SELECT p_partkey, slug, coalesce(matched, known) AS matched, CASE WHEN known IS NOT NULL THEN 'fuzzy' WHEN matched = slug THEN 'exact' WHEN matched IS NOT NULL THEN 'prefix' END AS tier FROM exact LEFT JOIN fuzzy USING (slug)""",
+)
 def slug_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     dashed = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
@@ -582,24 +592,48 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.remaining(rows, rows.where("id % 7 = 2"))
 
 
-# scored and ordered matching (held against loops in the tests) --------------------------------------
+# scored and ordered matching --------------------------------------
 def _incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = items(spark, sf_dir).select("id", "name", "name_eng", "gps")
     moved = F.when(F.col("id") % 4 == 0, F.reverse(F.col("name"))).otherwise(F.concat(F.col("name"), F.lit(" x")))
     return rows.withColumn("name", moved), rows
 
 
-@query("fuzzy_radius_candidates")
+_RECURSIVE = _VIEWS.replace("WITH ", "WITH RECURSIVE ", 1)
+_STRIPPED = lambda c: f"regexp_replace(coalesce({c}, ''), '^\\s+|\\s+$', '', 'g')"
+_INCOMING = "SELECT id, CASE WHEN id % 4 = 0 THEN reverse(name) ELSE name || ' x' END AS name, name_eng, gps FROM items"
+_NAMED = lambda rows: f"SELECT id, unnest([lower({_STRIPPED('name')}), lower({_STRIPPED('name_eng')})]) AS n, {_LAT} AS lat, {_LON} AS lon FROM ({rows}) r"
+_NEAR_NAMES = f"SELECT i.id AS in_id, d.id AS db_id, i.n AS a, d.n AS b, {_HAV('i.lat', 'i.lon', 'd.lat', 'd.lon')} AS m FROM ({_NAMED(_INCOMING)}) i JOIN ({_NAMED('SELECT * FROM items')}) d ON abs(i.lat - d.lat) < 0.01"
+
+
+@query(
+    "fuzzy_radius_candidates",
+    f"""{_RECURSIVE}, near AS MATERIALIZED (SELECT * FROM ({_NEAR_NAMES}) t WHERE m < 1000), {ratio_sql.ratios("SELECT a, b, 0.65 AS least FROM near")}
+    SELECT in_id, db_id, cast(floor(m) AS bigint) AS metres, score, cast(row_number() OVER (PARTITION BY in_id ORDER BY score DESC, db_id) AS integer) AS rank
+    FROM (SELECT in_id, db_id, min(m) AS m, max(ratio) AS score FROM near JOIN ratios USING (a, b) WHERE ratio >= 0.65 GROUP BY in_id, db_id) t""",
+)
 def fuzzy_radius_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_candidates(*_incoming(spark, sf_dir))
 
 
-@query("tiered_best_match")
+_PLACE = lambda c: _SQUEEZE(f"replace({_SUFFIX_CUT.replace('name', c)}, 'ferðast og fræðast', '')")
+_STRICT = f"(instr({_G}, ',') > 0 AND {_LAT} BETWEEN 60 AND 70 AND {_SLON} BETWEEN -30 AND -10)"
+_TIERS = f"""{_RECURSIVE}, inc AS MATERIALIZED (SELECT id, a, CASE WHEN ok THEN lat END AS lat, CASE WHEN ok THEN lon END AS lon FROM (SELECT id, {_PLACE('name')} AS a, {_LAT} AS lat, {_LON} AS lon, {_LAT} + {_LON} IS NOT NULL AS ok FROM ({_INCOMING}) r) t WHERE a <> ''),
+    known AS MATERIALIZED (SELECT DISTINCT id, b, lat, lon FROM (SELECT id, unnest([{_PLACE('name')}, {_PLACE('name_eng')}]) AS b, {_LAT} AS lat, {_SLON} AS lon FROM items WHERE name IS NOT NULL AND {_STRICT}) t WHERE b <> ''),
+    apart AS MATERIALIZED (SELECT * FROM (SELECT inc.id AS in_id, known.id AS db_id, a, b, {_HAV('inc.lat', 'inc.lon', 'known.lat', 'known.lon')} AS m FROM inc JOIN known ON inc.lat IS NOT NULL) t WHERE m <= 25000
+      UNION ALL SELECT inc.id, known.id, a, b, NULL FROM inc, known WHERE inc.lat IS NULL),
+    {ratio_sql.ratios("SELECT a, b, CASE WHEN m IS NULL THEN 0.9 WHEN m <= 2000 THEN 0.7 ELSE 0.95 END AS least FROM apart")},
+    scored AS (SELECT apart.*, {ratio_sql.name_match('a', 'b', 'ratio')} AS score FROM apart LEFT JOIN ratios USING (a, b)),
+    best AS (SELECT in_id, db_id, cast(floor(m) AS bigint) AS metres, score FROM scored WHERE CASE WHEN m IS NULL THEN score >= 0.9 ELSE score >= 0.95 OR (m <= 2000 AND score >= 0.7) END
+      QUALIFY row_number() OVER (PARTITION BY in_id ORDER BY score DESC, db_id) = 1)"""
+
+
+@query("tiered_best_match", f"{_TIERS} SELECT * FROM best")
 def tiered_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.tiered_best(*_incoming(spark, sf_dir))
 
 
-@query("tiered_unmatched")
+@query("tiered_unmatched", f"{_TIERS} SELECT id FROM items WHERE id NOT IN (SELECT in_id FROM best)")
 def tiered_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming, known = _incoming(spark, sf_dir)
     return matching.unmatched(incoming, matching.tiered_best(incoming, known)).select("id")
