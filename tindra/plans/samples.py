@@ -171,7 +171,9 @@ def _speech_sql() -> str:
 
     words = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
     forms = {"n": ("nom", "n"), "m": ("nom", "m"), "f": ("nom", "f"), "g": ("gen", "m")}
-    units = " ".join(f"WHEN '{k}' THEN {words(['', *speech.INFLECTED[case][gender].split(), *speech.UNITS[5:]])}" for k, (case, gender) in forms.items())
+    alone = {value: word for value, word, _ in speech.SCALE}
+    units = " ".join(f"WHEN '{k}' THEN {words(['', *speech.FORMS[case][gender], *(alone[v] for v in range(5, 20))])}" for k, (case, gender) in forms.items())
+    tens = words([alone[v] for v in range(20, 100, 10)])
     linked = "CASE WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p[1:len(p) - 1], ' ') || CASE WHEN contains(' ' || p[len(p)] || ' ', ' og ') THEN ' ' ELSE ' og ' END || p[len(p)] END"
     days = [speech.DAYS[k] for k in range(20)]
     weak = ["annarri" if k == 2 else "tuttugustu" if k == 20 else w[:-1] + "u" for k, w in enumerate(speech.CENTURIES, 1)]
@@ -196,7 +198,7 @@ def _speech_sql() -> str:
           ELSE {some} || ' til ' || {some} || ' til dæmis í norðaustur átt og víðar ' END"""
 
     return f"""WITH b AS (SELECT form, x, CASE WHEN x = 0 THEN 'núll' WHEN x < 20 THEN u[x + 1] WHEN x % 10 = 0 THEN d[x // 10 - 1] ELSE d[x // 10 - 1] || ' og ' || u[x % 10 + 1] END AS w
-        FROM (SELECT form, x, CASE form {units} END AS u, {words(speech.TENS)} AS d FROM (VALUES ('n'), ('m'), ('f'), ('g')) v(form), range(100) r(x)) q),
+        FROM (SELECT form, x, CASE form {units} END AS u, {tens} AS d FROM (VALUES ('n'), ('m'), ('f'), ('g')) v(form), range(100) r(x)) q),
       c AS (SELECT form, x, {linked} AS w FROM (SELECT r.form, h.x, list_filter([CASE WHEN h.x >= 1000 THEN t.w || ' þúsund' END, CASE WHEN h.x // 100 % 10 = 1 THEN 'hundrað' WHEN h.x // 100 % 10 > 1 THEN e.w || ' hundruð' END, CASE WHEN h.x % 100 > 0 OR h.x = 0 THEN r.w END], lambda z: z IS NOT NULL) AS p
         FROM range(2200) h(x) JOIN b t ON t.form = 'n' AND t.x = h.x // 1000 JOIN b e ON e.form = 'n' AND e.x = h.x // 100 % 10 JOIN b r ON r.x = h.x % 100) q),
       y AS (SELECT x, CASE WHEN x < 1100 THEN (SELECT w FROM c WHERE c.form = 'n' AND c.x = q.x) ELSE {linked} END AS w FROM (SELECT h.x, list_filter([CASE WHEN h.x // 100 = 20 THEN 'tvö þúsund' ELSE e.w || ' hundruð' END, CASE WHEN h.x % 100 > 0 THEN r.w END], lambda z: z IS NOT NULL) AS p
