@@ -108,7 +108,7 @@ def feature_rows(layers: list[DataFrame], meanings: DataFrame) -> DataFrame:
     rows = reduce(DataFrame.unionByName, layers)
     note, name = text.strip(text.nonnull(F.col("ornefnalysing"))), text.strip(text.nonnull(F.col("ornefni")))
     rows = rows.where(F.col("ornefnalysing").isNotNull() & (F.length(F.trim("ornefnalysing")) >= SHORTEST_NOTE)).where((name != "") & (F.length(note) >= SHORTEST_NOTE))
-    placed = rows.withColumn("_p", geometry.point(F.col("geom"))).where("_p.lat IS NOT NULL")
+    placed = rows.withColumn("_p", geometry.point("geom")).where("_p.lat IS NOT NULL")
     known = placed.join(meanings, "nafnberi", "left")  # a dictionary of feature types, of any size
     story = text.feature_story(name, text.strip(text.nonnull(F.col("tvinefni"))), F.col("nafnberi"), note, F.col("tilvist"), F.col("meaning"))
     return known.select(name.alias("name"), formatted_gps(F.col("_p.lat"), F.col("_p.lon"), 7, ",").alias("gps"), F.lit("Örnefni").alias("tag"), story.alias("story"), F.concat(F.lit("LMI Örnefni. "), text.nonnull(F.col("heimild"))).alias("ref"), F.lit("lmi").alias("source"), F.lit(0).cast("long").alias("visibility"))

@@ -681,7 +681,7 @@ def greedy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wkb_points", samples.POINTS_SQL)
 def wkb_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.blobs(spark, sf_dir).select("id", geometry.point(F.col("geom")).alias("p")).select("id", "p.lon", "p.lat")
+    return samples.blobs(spark, sf_dir).select("id", geometry.point("geom").alias("p")).select("id", "p.lon", "p.lat")
 
 
 @query("normalise_speech", samples.SPEECH_SQL)

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, text
 from tindra.operators import headings as headings_ops
-from tindra.plans.catalog import _sql, table
+from tindra.plans.catalog import POINTS, _sql, points, table
 
 # Ten headings a page: level, text and link follow from page and place.
 HEADINGS = """
@@ -123,13 +124,13 @@ GEOCODED_SQL = f"""{gazetteer_sql('SELECT name FROM cand', _candidates_sql() + '
       FROM cand c JOIN found USING (name) JOIN g p ON p.id = found.place_id WHERE p.lat BETWEEN 63 AND 67 AND p.lon BETWEEN -25 AND -13) z WHERE r = 1"""
 
 
-def blob(kind: int) -> bytes:
+def blob(kind: int, x: float | None = None, y: float | None = None) -> bytes:
     """A geometry blob of every form in turn: byte orders, envelopes, shapes, and two bad ones."""
     little = kind % 2 == 0
     o, flag = ("<", 1) if little else (">", 0)
     envelope = kind % 5
     head = b"GP\x00" + bytes([envelope << 1 | flag]) + struct.pack("<I", 4326) + bytes((0, 32, 48, 48, 64)[envelope])
-    x, y = -20.0 - kind / 10, 64.0 + kind / 10
+    x, y = (-20.0 - kind / 10, 64.0 + kind / 10) if x is None else (x, y)
     whole = lambda t: bytes([flag]) + struct.pack(o + "I", t)
     pairs = lambda pts: struct.pack(f"{o}{2 * len(pts)}d", *(c for p in pts for c in p))
     pt = whole(1) + pairs([(x, y)])
@@ -146,14 +147,15 @@ def blob(kind: int) -> bytes:
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A blob per nation."""
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.element_at(F.array(*(F.unhex(F.lit(blob(k).hex())) for k in range(25))), (F.col("n_nationkey") % 25 + 1).cast("int")).alias("geom"))
+    """A blob per point of the catalogue's second table, of the form that its id names."""
+    made = F.pandas_udf(lambda i, x, y: pd.Series([blob(k, a, b) for k, a, b in zip(i, x, y)]), "binary")
+    return points(spark, sf_dir).select("id", made("id", "lon", "lat").alias("geom"))
 
 
 # What the blobs stand for, by the rule that makes them: kinds 7 and 8 of nine are bad, then seven shapes.
-POINTS_SQL = """SELECT n_nationkey AS id, CASE WHEN k % 9 >= 7 OR k % 7 = 6 THEN NULL WHEN k % 7 = 1 THEN x + half WHEN k % 7 = 4 THEN x + half WHEN k % 7 IN (2, 5) THEN (x + (x + 2) + (x + 2) + x) / 4 ELSE x END AS lon,
+POINTS_SQL = f"""SELECT id, CASE WHEN k % 9 >= 7 OR k % 7 = 6 THEN NULL WHEN k % 7 = 1 THEN x + half WHEN k % 7 = 4 THEN x + half WHEN k % 7 IN (2, 5) THEN (x + (x + 2) + (x + 2) + x) / 4 ELSE x END AS lon,
       CASE WHEN k % 9 >= 7 OR k % 7 = 6 THEN NULL WHEN k % 7 = 1 THEN y + half / 2.0::double WHEN k % 7 = 4 THEN y + half / 2.0::double WHEN k % 7 IN (2, 5) THEN (y + y + (y + 2) + y) / 4 ELSE y END AS lat
-    FROM (SELECT cast(n_nationkey AS bigint) AS n_nationkey, n_nationkey % 25 AS k, -20.0::double - n_nationkey % 25 / 10.0::double AS x, 64.0::double + n_nationkey % 25 / 10.0::double AS y, (3 + n_nationkey % 25 % 2) // 2 AS half FROM nation) b"""
+    FROM (SELECT id, id AS k, lon AS x, lat AS y, (3 + id % 2) // 2 AS half FROM ({POINTS.replace('1000.0D', '1000.0::double')}) pts) b"""
 SENTENCES = ("Fjallið er {n} m hátt.", "Stofnað, {n}", "Árið {n} komu {k} menn.", "Á {k}. öld og um miðja {k}. öld.", "Þann {k}. júní {n} kl. 12", "{k}.06.{n} - 25% MH NATO II", "5-7 km og {n} krónur í {k} daga", "{n}-{n} t.d. í NA átt & víðar (1,2,3)")
 
 
