@@ -309,6 +309,31 @@ def test_two_empty_english_names_are_equal(spark):
     assert fates(False) == {1: True, 2: False, 3: True} and fates(True) == {1: True, 2: True, 3: True}
 
 
+def test_calls_stop_at_the_first_yes(spark):
+    """As many calls as a loop makes that stops; a failed call is no yes."""
+    rng = random.Random(6)
+    rows = [(k, r, rng.choice(["yes", "no", "no", "fails"])) for k in range(40) for r in range(1, rng.randint(2, 7))]
+    calls = spark.sparkContext.accumulator(0)
+
+    def ask(df):
+        def run(batches):
+            for batch in batches:
+                calls.add(len(batch))
+                yield batch.assign(yes=[None if v == "fails" else v == "yes" for v in batch["verdict"]])
+
+        return df.mapInPandas(run, "key long, rank long, verdict string, yes boolean")
+
+    got = {r.key: (r.confirmed, r.looked_at) for r in matching.confirm_in_rounds(spark.createDataFrame(rows, "key long, rank long, verdict string"), "key", "rank", ask).collect()}
+    want, made = {}, 0
+    for k in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == k)
+        first = next((r for r, v in mine if v == "yes"), None)
+        want[k] = (first, first or len(mine))
+        made += want[k][1]
+    assert got == want and calls.value == made
+    assert matching.confirm_in_rounds(spark.createDataFrame([], "key long, rank long, verdict string"), "key", "rank", ask).count() == 0
+
+
 def test_upsert_numbers_new_rows(spark):
     old = spark.createDataFrame([(1, "a", "s"), (2, "b", "t")], "id long, name string, source string")
     new = spark.createDataFrame([(2, "B"), (None, "c")], "id long, name string")

@@ -65,10 +65,6 @@ def test_external_stage(spark):
     assert sorted(r.data for r in audio.collect()) == [b"a", b"b"]
 
 
-def test_migrate(spark, tmp_path):
-    assert changes.migrate(spark.range(7), str(tmp_path / "t")) == (7, 7)
-
-
 def test_sqlite(spark, tmp_path):
     import sqlite3
 

@@ -28,16 +28,20 @@ def drafted(name: Column) -> Column:
     return text.nonnull(name).rlike(r"^[*+]")
 
 
-def search(items: DataFrame, wanted: str, hidden: str = HIDDEN) -> DataFrame:
-    """All visible items; of one letter, those whose name begins with it; of more, those whose story or
-    name holds the text.  ``%`` and ``_`` are wildcards."""
-    wanted = wanted.strip()
-    shown = items.where(not_tag(F.col("tag"), hidden))
+def is_found(wanted: str, hidden: str = HIDDEN) -> Column:
+    """Whether a search finds an item: all that are visible; of one letter, those whose name begins with
+    it; of more, those whose story or name holds the text.  ``%`` and ``_`` are wildcards."""
+    wanted, shown = wanted.strip(), not_tag(F.col("tag"), hidden)
     if not wanted:
         return shown
     if len(wanted) == 1:
-        return shown.where(text.matches_like(F.col("name"), "", wanted, "%"))
-    return shown.where(text.matches_like(F.col("story"), "%", wanted, "%") | text.matches_like(F.col("name"), "%", wanted, "%"))
+        return shown & text.matches_like(F.col("name"), "", wanted, "%")
+    return shown & (text.matches_like(F.col("story"), "%", wanted, "%") | text.matches_like(F.col("name"), "%", wanted, "%"))
+
+
+def search(items: DataFrame, wanted: str, hidden: str = HIDDEN) -> DataFrame:
+    """The items that ``is_found``; ``operators.search`` has the same over a stored index."""
+    return items.where(is_found(wanted, hidden))
 
 
 def search_order(df: DataFrame, wanted: str) -> DataFrame:
@@ -53,15 +57,25 @@ def with_areas(items: DataFrame, bridge: DataFrame, areas: DataFrame) -> DataFra
     return joined.withColumns({"area_ids": F.coalesce(ids, F.array().cast("array<string>")), "area": F.coalesce(F.array_join(F.transform("_a", lambda a: a["caption"]), ", "), F.lit(""))}).drop("_a")
 
 
-def progress(found: DataFrame, wanted: str) -> DataFrame:
-    """One row: items to translate, done, percent.  Legends and literature count only in searches for
-    legends."""
+def _progress(found: Column, wanted: str) -> Column:
+    """Aggregates of the found items: to translate, done, all, percent.  Legends and literature count only
+    in searches for legends."""
     name = text.nonnull(F.col("name"))
-    eligible = F.lit(True) if text.LEGEND in wanted else ~name.contains(text.LEGEND) & ~name.contains(text.LITERATURE)
-    done = eligible & (text.nonnull(F.col("story_eng")) != "")
-    counted = found.agg(F.count_if(eligible).alias("total_translate"), F.count_if(done).alias("total_done"), F.count("*").alias("count"))
-    percent = F.floor(100 * F.col("total_done") / F.nullif("total_translate", F.lit(0)) + 0.5)
-    return counted.withColumn("percent", F.coalesce(percent, F.lit(0)).cast("long"))
+    eligible = found if text.LEGEND in wanted else found & ~name.contains(text.LEGEND) & ~name.contains(text.LITERATURE)
+    total, done = F.count_if(eligible), F.count_if(eligible & (text.nonnull(F.col("story_eng")) != ""))
+    percent = F.coalesce(F.floor(100 * done / F.nullif(total, F.lit(0)) + 0.5), F.lit(0)).cast("long")
+    return F.struct(F.lit(wanted).alias("wanted"), total.alias("total_translate"), done.alias("total_done"), F.count_if(found).alias("count"), percent.alias("percent"))
+
+
+def progress(found: DataFrame, wanted: str) -> DataFrame:
+    """One row: items to translate, done, percent, of those that a search found."""
+    return found.agg(_progress(F.lit(True), wanted).alias("p")).select("p.total_translate", "p.total_done", "p.count", "p.percent")
+
+
+def progress_each(items: DataFrame, wanted: list[str]) -> DataFrame:
+    """A row per search (wanted and the columns of ``progress``), all in one pass over the items."""
+    each = items.agg(F.array(*(_progress(is_found(w), w) for w in wanted)).alias("p"))
+    return each.select(F.explode("p").alias("p")).select("p.*")
 
 
 NAMES_SENT = 20_000  # names in reach that are sent to all tasks

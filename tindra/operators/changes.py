@@ -1,4 +1,4 @@
-"""State changes as plans: each returns the table's rows after the change."""
+"""State changes as plans: each returns the table's rows after the change.  ``sources.versions`` writes them."""
 
 from __future__ import annotations
 
@@ -54,12 +54,6 @@ def stored_or_new(work: DataFrame, stored: DataFrame, key: str = "id") -> DataFr
     return update_columns(work, stored, key)
 
 
-def migrate(source: DataFrame, target_path: str) -> tuple[int, int]:
-    """One-time copy: the target is replaced, keys are kept; returns both row counts."""
-    source.write.mode("overwrite").parquet(target_path)
-    return source.count(), source.sparkSession.read.parquet(target_path).count()
-
-
 def save_areas(areas: DataFrame, incoming: DataFrame) -> DataFrame:
     """Areas replaced by key or added; an incoming area without a radius gets 1000, without a
     visibility 0."""

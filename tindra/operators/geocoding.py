@@ -22,10 +22,9 @@ ENDINGS = (
 )
 IRREGULAR = {"jökli": "Jökull", "jökul": "Jökull", "vestfjörðum": "Vestfirðir", "biskupstungum": "Biskupstungur", "öræfum": "Öræfi"}
 NOT_PLACES = ("herra", "húsfreyja", "húsfrey", "séra")
-_CAP, _SMALL = "A-ZÁÐÉÍÓÚÝÞÆÖ", "a-záðéíóúýþæö"
-AFTER_PREPOSITION = rf"(?U)(?:^|[\s,;.(])(?:á|í|frá|við|hjá|undir|yfir|til|úr|að)\s+([{_CAP}][{_SMALL}]+(?:-[{_CAP}]?[{_SMALL}]+)?)"
-BY_SUFFIX = rf"([{_CAP}][{_SMALL}]*(?:staðir|staður|nes|fjörður|firði|dalur|dal|fell|felli|hólar|hólum|vík|ey|eyjar|vatn|vatni|á|ás|bær|bæ|bæjar|vellir|völlum|tunga|tungu|borg|garður|garði|höfn|stapi|hlíð|hlíðar|bakki|bakka|múli|múla|strönd|hraun|hrauni|sandur|sandi|jökull|jökli|fjall|fjalli|lón|lóni|ós|ósi))"
-AFTER_ROLE = rf"(?U)(?:prestur|bóndi|sýslumaður|biskup|djákni|séra)\s+(?:á|í|frá|við|hjá)\s+([{_CAP}][{_SMALL}]+(?:-[{_SMALL}]+)?)"
+AFTER_PREPOSITION = r"(?U)(?:^|[\s,;.(])(?:á|í|frá|við|hjá|undir|yfir|til|úr|að)\s+([A-ZÁÐÉÍÓÚÝÞÆÖ][a-záðéíóúýþæö]+(?:-[A-ZÁÐÉÍÓÚÝÞÆÖ]?[a-záðéíóúýþæö]+)?)"
+BY_SUFFIX = r"([A-ZÁÐÉÍÓÚÝÞÆÖ][a-záðéíóúýþæö]*(?:staðir|staður|nes|fjörður|firði|dalur|dal|fell|felli|hólar|hólum|vík|ey|eyjar|vatn|vatni|á|ás|bær|bæ|bæjar|vellir|völlum|tunga|tungu|borg|garður|garði|höfn|stapi|hlíð|hlíðar|bakki|bakka|múli|múla|strönd|hraun|hrauni|sandur|sandi|jökull|jökli|fjall|fjalli|lón|lóni|ós|ósi))"
+AFTER_ROLE = r"(?U)(?:prestur|bóndi|sýslumaður|biskup|djákni|séra)\s+(?:á|í|frá|við|hjá)\s+([A-ZÁÐÉÍÓÚÝÞÆÖ][a-záðéíóúýþæö]+(?:-[a-záðéíóúýþæö]+)?)"
 TEXT_CHARS, LEAST_CHARS, PARTIAL_MOST = 2000, 4, 5
 
 

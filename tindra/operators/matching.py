@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,3 +166,22 @@ def first_confirmed(candidates: DataFrame, key: str, rank: str, confirmed) -> Da
     first = candidates.groupBy(key).agg(hit.alias("confirmed"))
     looked = candidates.join(first, key).where(F.col("confirmed").isNull() | (F.col(rank) <= F.col("confirmed")))
     return looked.groupBy(key).agg(F.first("confirmed").alias("confirmed"), F.count("*").alias("looked_at"))
+
+
+def confirm_in_rounds(candidates: DataFrame, key: str, rank: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The first confirmed candidate of each key, asked for one after the other: key, confirmed (its rank,
+    null without one) and looked_at (calls made).
+
+    Ranks are 1, 2, ... within a key.  A round asks about the next candidate of every key that is still
+    open - ``ask`` gives the rows the column ``yes``, null where a call failed, which counts as no - and
+    keys with a yes leave, so as many calls are made as by a loop that stops.  There are as many rounds as
+    the longest list of refusals; a round's answers are settled, so none is asked twice."""
+    waiting, answers, n = settle(candidates), None, 0
+    while True:
+        n += 1
+        now = waiting.where(F.col(rank) == n)
+        said = settle(ask(now).select(key, F.col(rank).cast("long").alias("rank"), F.coalesce("yes", F.lit(False)).alias("yes")))
+        answers = said if answers is None else answers.unionByName(said)
+        waiting = settle(waiting.where(F.col(rank) > n).join(said.where("yes").select(key), key, "left_anti"))
+        if not waiting.limit(1).count():
+            return answers.groupBy(key).agg(F.min(F.when(F.col("yes"), F.col("rank"))).alias("confirmed"), F.count("*").alias("looked_at"))

@@ -14,6 +14,7 @@ from tindra.functions.lineage import fresh
 from tindra.operators import catalogue, changes, geocoding, headings, ingest, joins, matching, order, places, search, summaries
 from tindra.plans import catalog, ratio_sql, samples
 from tindra.plans.catalog import areas, bridge, items, points, table
+from tindra.sources.versions import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,9 +131,7 @@ _PLAIN = "NOT contains(coalesce(name, ''), 'þjóðsaga') AND NOT contains(coale
 
 @query("translation_progress", " UNION ALL ".join((_PROGRESS.format(w="", e=_PLAIN, c=_SHOWN), _PROGRESS.format(w="tion", e=_PLAIN, c=f"{_SHOWN} AND ({_FOLD('story')} LIKE '%TION%' OR {_FOLD('name')} LIKE '%TION%')"), _PROGRESS.format(w="þjóðsaga", e="true", c=f"{_SHOWN} AND ({_FOLD('story')} LIKE '%þJóðSAGA%' OR {_FOLD('name')} LIKE '%þJóðSAGA%')"))))
 def translation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir)
-    parts = [catalogue.progress(catalogue.search(rows, w), w).select(F.lit(w).alias("wanted"), "total_translate", "total_done", "count", "percent") for w in ("", "tion", text.LEGEND)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return catalogue.progress_each(items(spark, sf_dir), ["", "tion", text.LEGEND])
 
 
 _ITEM_JSON = "json_object('Id', id, 'Name', coalesce(name, ''), 'Gps', coalesce(gps, ''), 'Tag', coalesce(tag, ''))"
@@ -415,9 +414,19 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # generators and small rules ------------------------------------------------------------------------
-@query("grid_points", "WITH r AS (SELECT i, 63.0::double + i * (15 / 111.0::double) AS lat FROM range(0, 40) t(i)), g AS (SELECT i, j, lat, -25.0::double + j * (15 / (111.0::double * cos(radians(lat)))) AS lon FROM r, range(0, 120) u(j) WHERE lat <= 67) SELECT i, j, round(lat, 9) AS lat, round(lon, 9) AS lon FROM g WHERE lon <= -13")
+_BOUNDS = "SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM pts"
+_LATTICE = f"""b AS MATERIALIZED ({_BOUNDS}), r AS (SELECT i, s + i * (15 / 111.0::double) AS lat, w, e FROM b, range(0, 400) t(i) WHERE s + i * (15 / 111.0::double) <= n),
+    g AS MATERIALIZED (SELECT i, j, lat, w + j * (15 / (111.0::double * cos(radians(lat)))) AS lon FROM r, range(0, 400) u(j) WHERE w + j * (15 / (111.0::double * cos(radians(lat)))) <= e)"""
+
+
+@query("grid_points", f"{_VIEWS}, {_LATTICE} SELECT i, j, round(g.lat, 9) AS lat, round(g.lon, 9) AS lon, count(p.id) AS n FROM g LEFT JOIN pts p ON abs(p.lat - g.lat) < 0.1 AND {_HAV('g.lat', 'g.lon', 'p.lat', 'p.lon')} < 10000 GROUP BY i, j, g.lat, g.lon")
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.grid(spark, 63.0, 67.0, -25.0, -13.0, 15.0).select("i", "j", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+    """A lattice over the extent of the points, 15 km apart, and how many points a probe of 10 km finds."""
+    rows = points(spark, sf_dir)
+    b = rows.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    lattice = samples.grid(spark, *b, 15.0).withColumnsRenamed({"lat": "glat", "lon": "glon"})
+    found = joins.radius_join(lattice, rows, 10_000, ("glat", "glon"), ("lat", "lon")).groupBy("i", "j").agg(F.count("*").alias("n"))
+    return lattice.join(found, ["i", "j"], "left").select("i", "j", F.round("glat", 9).alias("lat"), F.round("glon", 9).alias("lon"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 _ELE = "CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN cast(p_size AS string) || ' m' WHEN 2 THEN cast(p_size AS string) || ',5' WHEN 3 THEN 'abc' WHEN 4 THEN '1.' || cast(p_size + 100 AS string) || ',5' WHEN 5 THEN '-' || cast(p_size AS string) || '.5 m' ELSE 'about ' || cast(p_size * 31 AS string) END"
@@ -586,6 +595,37 @@ def update_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.update_columns(rows, rows.where("id % 4 = 1").select("id", F.concat(F.lit("title "), F.col("id").cast("string")).alias("name_eng")))
 
 
+@query("written_upsert", ORACLES["upsert_items"])
+def written_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upserted into a stored table of hash buckets, and read back."""
+    rows = items(spark, sf_dir).select("id", "name", "story_eng", "source")
+    stored = VersionedTable.by_bucket(spark, fresh(spark, "items"), buckets=16)
+    stored.migrate(rows)
+    stored.upsert(rows.where("id % 10 = 7").select("id", F.concat(F.lit("new "), (F.col("id") % 10).cast("string")).alias("name")), kept=("source",))
+    return stored.read()
+
+
+@query("written_replace_by_tag", ORACLES["replace_by_tag"])
+def written_replace_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tag's partition replaced in a stored table, and all read back."""
+    rows = items(spark, sf_dir).select("id", "tag", "name")
+    stored = VersionedTable.by_value(spark, fresh(spark, "items"), "tag")
+    stored.overwrite(rows)
+    stored.replace_by_value("src3", rows.where("id % 50 = 1").select((F.col("id") + 1_000_000).alias("id"), F.lit("src3").alias("tag"), F.lit("feature").alias("name")))
+    return stored.read()
+
+
+@query("written_deletes", "SELECT id, CASE WHEN id % 4 = 1 THEN 'title ' || cast(id AS varchar) ELSE name_eng END AS name_eng FROM items WHERE id % 3 > 0")
+def written_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates and deletes, a version each."""
+    rows = items(spark, sf_dir).select("id", "name_eng")
+    stored = VersionedTable.by_bucket(spark, fresh(spark, "items"), buckets=16)
+    stored.overwrite(rows)
+    stored.update(rows.where("id % 4 = 1").select("id", F.concat(F.lit("title "), F.col("id").cast("string")).alias("name_eng")))
+    stored.delete(rows.where("id % 3 = 0").select("id"))
+    return stored.read()
+
+
 @query("resume_remaining", "SELECT id FROM items WHERE id % 7 <> 2")
 def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).select("id")
@@ -724,6 +764,13 @@ def first_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.first_confirmed(ranked, "item", "rank", F.col("l_quantity") > 30)
 
 
+@query("confirmed_in_rounds", "SELECT o AS item, f AS confirmed, count(*) FILTER (f IS NULL OR r <= f) AS looked_at FROM (SELECT l_orderkey AS o, r, min(CASE WHEN l_quantity > 30 THEN r END) OVER (PARTITION BY l_orderkey) AS f FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) y) x GROUP BY o, f")
+def confirmed_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber)").cast("long")
+    ranked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), "l_quantity", rank.alias("rank"))
+    return matching.confirm_in_rounds(ranked, "item", "rank", lambda rows: rows.withColumn("yes", F.col("l_quantity") > 30))
+
+
 @query("search_hits", "SELECT item_id, cast(i - 1 AS bigint) AS pos, 'T' || cast(i AS varchar) AS caption, item_id * 100 + i AS value FROM benchmark, range(1, 21) r(i) WHERE i <= item_id % 35 AND item_id % 5 > 0")
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("item_id")
