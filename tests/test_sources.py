@@ -1,11 +1,12 @@
 import json
 import zipfile
+import zlib
 from io import BytesIO
 
+import pytest
 from pyspark.sql import functions as F
 
-from tindra.operators import changes
-from tindra.sources import documents, services
+from tindra.sources import archives, documents, services
 
 ROWS = [{"Name": "a", "Story": "x"}, {"Name": "b", "Story": None}]
 
@@ -65,6 +66,26 @@ def test_external_stage(spark):
     assert sorted(r.data for r in audio.collect()) == [b"a", b"b"]
 
 
+@pytest.mark.parametrize("rows", [0, 1, 7, 20_000])
+def test_written_archive(spark, tmp_path, rows):
+    """Many tasks' blocks, read by the standard library."""
+    df = spark.range(rows).repartition(7).withColumn("name", F.when(F.col("id") % 5 > 0, F.concat(F.lit("Þ \" \n"), F.repeat(F.lit("x y"), (F.col("id") % 9).cast("int")))))
+    small = spark.createDataFrame([(2, "b"), (None, "n"), (1, "a")], "id long, caption string")
+    path = str(tmp_path / "out.zip")
+    archives.write_archive({"travel.json": df, "areas.json": small, "ü.json": small.limit(0)}, path)
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.namelist() == ["travel.json", "areas.json", "ü.json"]
+        got = json.loads(z.read("travel.json"))
+        assert got == [{"id": k, "name": 'Þ " \n' + "x y" * (k % 9) if k % 5 else None} for k in range(rows)]
+        assert json.loads(z.read("areas.json")) == [{"id": None, "caption": "n"}, {"id": 1, "caption": "a"}, {"id": 2, "caption": "b"}]
+        assert json.loads(z.read("ü.json")) == []
+
+
+def test_joined_checksums():
+    for a, b in ((b"", b""), (b"a", b""), (b"", b"b"), (b"hello ", b"world" * 1000)):
+        assert archives.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_sqlite(spark, tmp_path):
     import sqlite3
 
