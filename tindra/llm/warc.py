@@ -95,14 +95,14 @@ def decisions(picked: DataFrame, least: int) -> DataFrame:
     return named.select("part", "page_id", "sha", F.when(F.coalesce(F.col("page_id") > F.col("leader"), F.col("leader").isNotNull()), F.col("leader")).alias("refers_to"))
 
 
-def _decided(folder: str, part: int) -> dict[tuple, int | None]:
-    """The decisions for one partition of the input."""
+def _decided(paths: list[str], part: int) -> dict[tuple, int | None]:
+    """The decisions for one partition of the input, from the row groups that hold some."""
     import pyarrow.parquet as pq
 
     out: dict[tuple, int | None] = {}
-    for path in shared.files_in(f"{folder}/part={part}", ".parquet"):
+    for path in paths:
         with shared.open_shared(path, "r") as f:
-            cols = pq.read_table(f, columns=["page_id", "sha", "refers_to"]).to_pydict()
+            cols = pq.read_table(f, columns=["page_id", "sha", "refers_to"], filters=[("part", "=", part)]).to_pydict()
         out.update(zip(zip(cols["page_id"], cols["sha"]), cols["refers_to"]))
     return out
 
@@ -114,8 +114,13 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_column: str = "page_
     if not shared.is_scan(picked):
         picked = shared.settle(picked, "pages")
     decided = shared.fresh(picked.sparkSession, "decisions")
-    # a partition's rows are one file, at most; a partition is bounded by the reader, so no part is hot
-    decisions(picked, least).repartition(F.col("part")).write.partitionBy("part").parquet(decided)
+    # as many files as tasks, whatever the number of partitions; a partition is bounded by the reader
+    n = int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = decisions(picked, least).repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part")
+    dealt.write.option("parquet.block.size", 1 << 20).parquet(decided)
+    files: dict[int, list[str]] = {}
+    for path in shared.files_in(decided, ".parquet"):
+        files.setdefault(int(path.rsplit("/", 1)[1].split("-")[1]), []).append(path)  # n names
     rows = picked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +138,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_column: str = "page_
             return out
 
         for batch in batches:
-            known = _decided(decided, part) if known is None else known
+            known = _decided(files.get(part % n, []), part) if known is None else known
             for page, url, payload in zip(*(batch.column(c) for c in ("page_id", "url", "payload"))):
                 page, payload = page.as_py(), payload.as_py()
                 key = (page, hashlib.sha1(payload).hexdigest())
