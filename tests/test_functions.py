@@ -108,6 +108,26 @@ def test_english_speech(spark):
     assert column(spark, ["Þingvellir & Öræfi<br>ð (1, 2)", None], text.english_speech) == ["Thingvellir and Oraefi\n\nd ", ""]
 
 
+def test_coordinates_round_from_their_exact_value(spark):
+    rng = random.Random(3)
+    values = [rng.uniform(-180, 180) for _ in range(300)] + [round(rng.uniform(-180, 180), 7) for _ in range(600)] + [rng.choice([-1, 1]) * (k + 0.5) / 2**7 for k in range(200)]
+    values += [0.0, -0.0, 1e-7, -1e-7, 1e-6, 5e-7, 1.5e-6, 2.5e-6, 9.9e-5, 1e-5, 0.0001, 1e-4 - 1e-7, 0.0078125, 63.0, 64.1, -21.9, 179.9999995, 99.9999999, 5e-324, 0.001, 123.4567895]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r.i: r for r in df.select("i", geo.fixed(F.col("v"), 6).alias("six"), geo.fixed(F.col("v"), 7).alias("seven"), geo.shortest(F.col("v")).alias("short")).collect()}
+    for i, v in enumerate(values):
+        assert (got[i].six, got[i].seven, got[i].short) == (f"{v:.6f}", f"{v:.7f}", str(round(v, 6))), v
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(geo.fixed(F.col("v"), 6).alias("x"), geo.shortest(F.col("v")).alias("y"))
+    assert [tuple(r) for r in odd.collect()] == [(None, None)] * 2
+
+
+def test_peaks(spark):
+    from tindra.operators import ingest
+
+    rows = [(64.123456789, -21.5, {"name": "B", "ele": "1.234,5 m"}), (64.0, -20.0, {"name": "A", "ele": "900"}), (64.0, -20.0, {"name": "C", "ele": "900"}), (None, 1.0, {"name": "x", "ele": "5"}), (1.0, 1.0, {"ele": "5"}), (1.0, 1.0, {"name": "", "ele": "5"}), (1.0, 1.0, {"name": "y", "ele": "high"}), (1.0, 1.0, None)]
+    got = [tuple(r) for r in ingest.peaks(spark.createDataFrame(rows, "lat double, lon double, tags map<string, string>")).collect()]
+    assert got == [("64.0, -20.0", "A", 900), ("64.0, -20.0", "C", 900), ("64.123457, -21.5", "B", 1)]
+
+
 def standing(wkb, at=0):
     """The rule in plain Python, one number after the other."""
     order = "<" if wkb[at] == 1 else ">"

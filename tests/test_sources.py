@@ -58,6 +58,31 @@ def test_batches_and_points(spark):
     assert sorted((r.hit, r.page) for r in hits.collect()) == [(0, 1), (1, 2)]
 
 
+@pytest.mark.parametrize("wave, most", [(1, 99), (4, 99), (16, 99), (16, 2)])
+def test_pages_end_for_all_tasks(spark, wave, most):
+    """Page 6 is empty though later ones are not."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def fetch(page):
+        calls.add(1)
+        return [(page * 10 + k, "x") for k in range(3)] if page not in (6, 9) else []
+
+    rows, end = services.pages(spark, fetch, "id long, title string", wave=wave, most=most)
+    last = min(5, most)
+    assert sorted(r.id for r in rows.collect()) == [p * 10 + k for p in range(1, last + 1) for k in range(3)]
+    assert end == last + 1 and calls.value <= min(6 + wave - 1, most)
+    more, end = services.pages(spark, fetch, "id long, title string", first=7, wave=wave)
+    assert {r.page for r in more.collect()} == {7, 8} and end == 9
+    failing = services.pages(spark, fetch_page, "id long, title string", first=5)
+    assert failing[0].count() == 0 and failing[1] == 5
+
+
+def test_batches_follow_the_whole_order(spark):
+    seen = spark.range(95).repartition(6).select(((F.col("id") * 37) % 95).alias("id"))
+    got = {r.id: r.content for r in services.in_batches(seen, "id", "id", lambda batch: {k: f"{batch[0]}-{batch[-1]}" for k in batch}).collect()}
+    assert got == {k: f"{k // 20 * 20}-{min(94, k // 20 * 20 + 19)}" for k in range(95)}
+
+
 def test_external_stage(spark):
     df = spark.createDataFrame([("a", "A"), ("b", "b")], "x string, y string")
     got = services.external_stage(df, ["x", "y"], lambda a, b: "SAME" if a == b.lower() else "DIFFERENT")

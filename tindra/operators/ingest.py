@@ -32,13 +32,17 @@ def last_changed(c: Column) -> Column:
 
 
 def formatted_gps(lat: Column, lon: Column, digits: int = 6, separator: str = ", ") -> Column:
-    """Coordinates with fixed decimals, rounded from the exact binary value; in Arrow batches, as the
-    JVM's formatter rounds the shortest decimal instead."""
+    """Coordinates with fixed decimals, rounded from the exact binary value."""
+    return F.concat(geo.fixed(lat, digits), F.lit(separator), geo.fixed(lon, digits))
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) or pd.isna(y) else f"{x:.{digits}f}{separator}{y:.{digits}f}" for x, y in zip(a, b)])
 
-    return F.pandas_udf(run, "string")(lat, lon)
+def peaks(elements: DataFrame) -> DataFrame:
+    """gps, caption and height of map elements (lat, lon, tags: map), the tallest first, ties by caption:
+    those with a name, a point of their own and a height that is a number."""
+    height = text.elevation(F.col("tags")["ele"])
+    named = elements.where("tags['name'] <> '' AND lat IS NOT NULL AND lon IS NOT NULL")
+    rows = named.select(F.concat(geo.shortest(F.col("lat")), F.lit(", "), geo.shortest(F.col("lon"))).alias("gps"), F.col("tags")["name"].alias("caption"), height.alias("height"))
+    return rows.where("height IS NOT NULL").orderBy(F.desc("height"), "caption")
 
 
 def points_in_disc(df: DataFrame, lat: float, lon: float, radius_km: float, seed: int) -> DataFrame:

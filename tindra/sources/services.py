@@ -10,10 +10,13 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tindra.functions.lineage import settle
+from tindra.operators.order import batches
+
 PAGE_ROWS, MOST_PAGES, BATCH_IDS = 100, 99, 20
 
 
@@ -79,19 +82,44 @@ def per_point(points: DataFrame, search: Callable[[float, float], Iterable[tuple
     return points.mapInPandas(run, f"{kinds}, hit int, {schema}")
 
 
-def in_batches(ids: DataFrame, key: str, order: str, fetch: Callable[[list], dict], size: int = BATCH_IDS) -> DataFrame:
-    """Contents of ids, ``size`` ids a call; ids without content get the empty text.
+def pages(spark: SparkSession, fetch: Callable[[int], list[tuple]], schema: str, first: int = 1, most: int = MOST_PAGES, wave: int = 16) -> tuple[DataFrame, int]:
+    """Rows (page and ``schema``) of the pages from ``first`` on, up to the first that is empty or fails, and
+    the number of that page, from which a later read goes on.
+
+    Pages are fetched in waves of ``wave`` at once, a task each, and a wave's rows are settled; the end
+    holds over all tasks, and at most ``wave`` - 1 pages behind it are asked for."""
+    found, at, names = None, first, [x.split()[0] for x in schema.split(", ")]
+    while at <= most:
+        n = min(wave, most - at + 1)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for page in batch["page"].tolist():
+                    rows = retried(lambda page=page: list(fetch(page)), tries=1, default=[])
+                    yield pd.DataFrame([(page, True, *r) for r in rows] or [(page, False, *[None] * len(names))], columns=["page", "full", *names])
 
-    Batches are numbered within hash groups, so no window sees all rows."""
-    group = F.pmod(F.xxhash64(order), F.lit(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    numbered = ids.withColumn("_g", group).withColumn("_b", F.floor((F.row_number().over(Window.partitionBy("_g").orderBy(order)) - 1) / size))
+        got = settle(spark.range(at, at + n, 1, n).withColumnRenamed("id", "page").mapInPandas(run, f"page long, full boolean, {schema}"))
+        empty = got.where("NOT full").agg(F.min("page")).first()[0]
+        rows = got.where(F.col("full") & (F.col("page") < (empty if empty is not None else at + n))).drop("full")
+        found = rows if found is None else found.unionByName(rows)
+        if empty is not None:
+            return found, empty
+        at += n
+    return found if found is not None else spark.createDataFrame([], f"page long, {schema}"), at
+
+
+def in_batches(ids: DataFrame, key: str, order: str, fetch: Callable[[list], dict], size: int = BATCH_IDS) -> DataFrame:
+    """Contents of ids, ``size`` ids a call, in batches of the whole order; ids without content get the
+    empty text.  The numbers come from a range sort and one row per task (``order.batches``)."""
+    numbered = batches(ids, [], [F.asc(order)], size)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
         got = retried(lambda: fetch(pdf[key].tolist()), default={}) or {}
         return pd.DataFrame({key: pdf[key], "content": [got.get(k, "") for k in pdf[key]]})
 
     kind = ids.schema[key].dataType.simpleString()
-    return numbered.groupBy("_g", "_b").applyInPandas(run, f"{key} {kind}, content string")
+    return numbered.groupBy("batch").applyInPandas(run, f"{key} {kind}, content string")
 
 
 def external_stage(df: DataFrame, columns: list[str], call: Callable[..., str], result: str = "result") -> DataFrame:
