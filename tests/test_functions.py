@@ -172,8 +172,20 @@ def test_geometry(spark):
     assert found > 90
 
 
+@pytest.mark.parametrize("wanted, text", [(".b", "two"), ("div.b", "two"), ("p", "one"), ("#x", "three"), ("div#x.a.b", "three"), ("section", "in it"), (".none", ""), ("span.b", "")])
+def test_selectors(wanted, text):
+    page = "<p class='a'>one</p><div class='a b'>two</div><div id=x class='b c a'>three</div><section>in <b>it</b></section>"
+    assert html.read_page(page, wanted)["main"] == text
+
+
+def test_selectors_that_are_not_simple():
+    for wanted in ("", "a b", "div > p", "a[href]"):
+        with pytest.raises(ValueError):
+            html.selector(wanted)
+
+
 def test_page():
-    page = html.read_page("<title> T </title><nav><a href='/a'>x</a></nav><h2><a href='/i'>Item</a> one</h2><div class='c main'>Hello <b>big</b>\n world<script>var t='</p>';</script></div><blockquote>first</blockquote><blockquote>A line\nwraps<p>New<br>para</blockquote><h6>(Jón)</h6>", "main")
+    page = html.read_page("<title> T </title><nav><a href='/a'>x</a></nav><h2><a href='/i'>Item</a> one</h2><div class='c main'>Hello <b>big</b>\n world<script>var t='</p>';</script></div><blockquote>first</blockquote><blockquote>A line\nwraps<p>New<br>para</blockquote><h6>(Jón)</h6>", ".main")
     assert page["title"] == "T" and page["links"] == ["/a", "/i"] and page["main"] == "Hello big world"
     assert page["headings"][0] == {"level": 2, "text": "Itemone", "href": "/i"}
     assert page["story"] == "A line wraps\n\nNew\n\npara" and page["source"] == "Jón"

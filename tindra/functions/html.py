@@ -8,7 +8,7 @@ headings are items, which region they belong to - is DataFrame code.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,12 +22,26 @@ _SILENT = frozenset(("script", "style", "template"))
 SOURCE = re.compile(r"\(([^)]*(?:Jón|Árnason|Þjóðsagnasafn|safn|Maurer)[^)]*)\)")
 
 
+def selector(text: str) -> Callable[[str, dict], bool]:
+    """Whether an element is one that a simple selector means: a tag, ``.class`` and ``#id``, any of them
+    together, as in ``div.post#main``; of classes all."""
+    if not re.fullmatch(r"[\w-]*(?:[.#][\w-]+)*", text) or not text:
+        raise ValueError(f"no simple selector: {text}")
+    tag = re.match(r"[\w-]*", text)[0].lower()
+    classes, ids = set(re.findall(r"\.([\w-]+)", text)), set(re.findall(r"#([\w-]+)", text))
+
+    def meant(name: str, values: dict) -> bool:
+        return (not tag or name == tag) and classes <= set((values.get("class") or "").split()) and ids <= {values.get("id")}
+
+    return meant
+
+
 class PageReader(HTMLParser):
     """One pass over a page.  Text pieces are kept with the elements that were open around them."""
 
-    def __init__(self, main_class: str):
+    def __init__(self, main: str):
         super().__init__(convert_charrefs=True)
-        self.main_class = main_class
+        self.is_main = selector(main)
         self.open: list[tuple[str, bool]] = []
         self.title: list[str] = []
         self.title_done = False
@@ -60,7 +74,7 @@ class PageReader(HTMLParser):
         if tag == "blockquote":
             self.quote_depth += 1
             self.quotes.append([])
-        if self.main_depth is None and not self.main_done and self.main_class in (values.get("class") or "").split():
+        if self.main_depth is None and not self.main_done and self.is_main(tag, values):
             self.main_depth = len(self.open)
         if tag not in _VOID:
             self.open.append((tag, tag == "blockquote"))
@@ -128,19 +142,21 @@ def paragraphs(text: str) -> str:
     return "\n\n".join(x for x in lines if x)
 
 
-def read_page(html: str | None, main_class: str) -> dict:
-    reader = PageReader(main_class)
+def read_page(html: str | None, main: str) -> dict:
+    reader = PageReader(main)
     reader.feed(html or "")
     reader.close()
     return reader.result()
 
 
-def parsed(html: Column, main_class: str = "elementor-widget-theme-post-content") -> Column:
-    """The page struct of an HTML column; null counts as an empty page."""
+def parsed(html: Column, main: str = ".elementor-widget-theme-post-content") -> Column:
+    """The page struct of an HTML column; null counts as an empty page.  The text of the first element that
+    the selector ``main`` means is the page's main part."""
+    selector(main)
 
     @F.pandas_udf(PAGE)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([read_page(x, main_class) for x in batch], columns=["title", "headings", "links", "main", "story", "source"])
+            yield pd.DataFrame([read_page(x, main) for x in batch], columns=["title", "headings", "links", "main", "story", "source"])
 
     return parse(html)

@@ -190,6 +190,11 @@ def speech_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.speech_candidates(items(spark, sf_dir), "story_eng", ["src1"], visible_only=True, limit=50).select("id", F.col("name_eng").alias("name"))
 
 
+@query("speech_of_ids", "SELECT id, name FROM items WHERE story IS NOT NULL AND trim(story) <> '' AND id IN (3, 17, 18, 40, 41, 250, 999) AND (tag IS NULL OR (upper(tag) NOT LIKE '%SRC1%' AND upper(tag) NOT LIKE '%SRC4%'))")
+def speech_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.speech_candidates(items(spark, sf_dir), "story", ["src1", "src4"], ids=[3, 17, 18, 40, 41, 250, 999]).select("id", "name")
+
+
 @query("legend_names", f"SELECT id, name FROM items WHERE {_FOLD('name')} LIKE '%þJóðSAGA' AND id <> 23")
 def legend_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).where(text.matches_like(F.col("name"), "%", text.LEGEND, "") & (F.col("id") != 23)).select("id", "name")
@@ -372,15 +377,17 @@ def heading_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAIN_HTML = lambda c: f"replace(replace(replace(replace({c}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _BODY = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '</(body|html)>', '', 'g'), '<(p|br)(\\s[^>]*)?/?>', {_NL2}, 'g'), '<[^>]*>', '', 'g')"
 
+_ARTICLE_TEXT = _SQUEEZE(_PLAIN_HTML("regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article(?:\\s[^>]*)?>(.*?)(?:</article>|</body>|$)', 1), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"))
+
 
 @query(
     "page_text",
-    f"""SELECT page_id, trim({_PLAIN_HTML("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title, '' AS main, {_PARAS(f"regexp_replace({_PLAIN_HTML(_BODY)}, '\\n{{3,}}', {_NL2}, 'g')", 0)} AS story,
+    f"""SELECT page_id, trim({_PLAIN_HTML("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title, {_ARTICLE_TEXT} AS main, {_PARAS(f"regexp_replace({_PLAIN_HTML(_BODY)}, '\\n{{3,}}', {_NL2}, 'g')", 0)} AS story,
       regexp_extract(regexp_replace(html, '<[^>]*>', '', 'g'), '\\(([^)]*(?:Jón|Árnason|Þjóðsagnasafn|safn|Maurer)[^)]*)\\)', 1) AS source,
       len(regexp_extract_all(html, '<h[1-6]')) AS n_headings, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages""",
 )
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.parsed(F.col("html"), "content").alias("p")).select("page_id", "p.title", "p.main", "p.story", "p.source", F.size("p.headings").alias("n_headings"), F.size("p.links").alias("n_links"))
+    return table(spark, sf_dir, "pages").select("page_id", html.parsed(F.col("html"), "article").alias("p")).select("page_id", "p.title", "p.main", "p.story", "p.source", F.size("p.headings").alias("n_headings"), F.size("p.links").alias("n_links"))
 
 
 # summaries -----------------------------------------------------------------------------------------
