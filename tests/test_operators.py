@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tindra.functions import similarity, text
-from tindra.operators import catalogue, changes, greedy, ingest, joins, matching, order
+from tindra.operators import catalogue, changes, greedy, ingest, joins, matching, order, summaries
 
 
 def metres(a, b, c, d):
@@ -309,6 +309,31 @@ def test_two_empty_english_names_are_equal(spark):
     assert fates(False) == {1: True, 2: False, 3: True} and fates(True) == {1: True, 2: True, 3: True}
 
 
+@pytest.mark.parametrize("by", [["a"], ["a", "b"], ["a", "b", "c"]])
+def test_totals_are_the_loops(spark, by):
+    rng = random.Random(1)
+    rows = [(rng.choice(["x", "y", None]), rng.choice(["p", None]), rng.randrange(4), rng.randrange(100)) for _ in range(300)]
+    got = sorted((tuple(r) for r in summaries.totals_by(spark.createDataFrame(rows, "a string, b string, c int, v long"), by, n=F.lit(1), v=F.col("v")).collect()), key=str)
+    want = {("all", None): [len(rows), sum(r[3] for r in rows)]}
+    for r in rows:
+        for c in by:
+            k = r["abc".index(c)]
+            total = want.setdefault((c, None if k is None else str(k)), [0, 0])
+            total[0], total[1] = total[0] + 1, total[1] + r[3]
+    assert got == sorted(((*k, *v) for k, v in want.items()), key=str)
+
+
+def test_sketches_merge_over_loads(spark):
+    loads = [spark.range(k * 4000, k * 4000 + 8000).select((F.col("id") % 2).alias("half"), F.when(F.col("id") % 11 > 0, F.col("id")).alias("v")) for k in range(4)]
+    kept = [summaries.distinct_sketches(df, ["half"], "v", f"load {k}") for k, df in enumerate(loads)]
+    every = kept[0].unionByName(kept[1]).unionByName(kept[2]).unionByName(kept[3])
+    got = {r.half: r.distinct_values for r in summaries.distinct_of(every, ["half"]).collect()}
+    for half in (0, 1):
+        exact = sum(1 for i in range(20_000) if i % 2 == half and i % 11 > 0)
+        assert abs(got[half] - exact) < 0.06 * exact
+    assert every.where(F.length("sketch") > 10_000).count() == 0
+
+
 def test_calls_stop_at_the_first_yes(spark):
     """As many calls as a loop makes that stops; a failed call is no yes."""
     rng = random.Random(6)

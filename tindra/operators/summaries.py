@@ -25,3 +25,30 @@ def unresolved(found: DataFrame, located: DataFrame, key: str = "id") -> tuple[D
     left = found.join(located.select("name").distinct(), "name", "left_anti")
     totals = left.agg(F.count("*").alias("names"), F.count_distinct(key).alias("texts"))
     return totals, top_terms(left, "name", F.struct(key, "pos"), 30), left.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), ", ").alias("names"))
+
+
+def totals_by(df: DataFrame, by: list[str], **measures: Column) -> DataFrame:
+    """The measures for every value of each column of ``by`` and for all rows, in one pass: by (the column,
+    ``all`` for all rows), value (text; null is a value of its own) and the measures."""
+    texts = df.select(*(F.col(c).cast("string").alias(c) for c in by), *(m.alias(f"_m_{k}") for k, m in measures.items()))
+    sums = [F.sum(f"_m_{k}").alias(k) for k in measures]
+    sets = [*([c] for c in by), []]
+    # bit i of the id is set where the i-th column from the end is left out of a set
+    which = {(1 << len(by)) - 1 - (1 << len(by) - 1 - i): c for i, c in enumerate(by)} if len(by) > 1 else {0: by[0]}
+    grouped = texts.groupingSets(sets, *by).agg(F.grouping_id(*by).alias("_g"), *sums)
+    name, value = F.lit("all"), F.lit(None).cast("string")
+    for g, c in which.items():
+        name, value = F.when(F.col("_g") == g, c).otherwise(name), F.when(F.col("_g") == g, F.col(c)).otherwise(value)
+    return grouped.select(name.alias("by"), value.alias("value"), *measures)
+
+
+def distinct_sketches(df: DataFrame, by: list[str], value: str, load: str, precision: int = 12) -> DataFrame:
+    """A load's distinct values per group as mergeable sketches (load, the columns of ``by``, sketch), to be
+    kept beside the load; a sketch takes some kilobytes at most, whatever it has seen."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(F.col(value).cast("string"), F.lit(precision)).alias("sketch")).select(F.lit(load).alias("load"), *by, "sketch")
+
+
+def distinct_of(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Estimated distinct values per group over all loads of the sketches; the loads' rows are not read
+    again.  At a precision of 12 the standard error is 1.6 %."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))

@@ -413,6 +413,16 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+_REASON = f"CASE WHEN NOT {_HAS} THEN 'no_gps' WHEN {_DRAFT} THEN 'draft' WHEN coalesce(name, '') = '' THEN 'no_name' ELSE 'imported' END"
+
+
+@query("load_totals", f"SELECT CASE WHEN gl = 0 THEN 'lang' WHEN gs = 0 THEN 'source' WHEN gr = 0 THEN 'reason' ELSE 'all' END AS by, CASE WHEN gl = 0 THEN lang WHEN gs = 0 THEN source WHEN gr = 0 THEN reason END AS value, n, chars FROM (SELECT lang, source, reason, grouping(lang) AS gl, grouping(source) AS gs, grouping(reason) AS gr, count(*) AS n, cast(sum(length(coalesce(story, ''))) AS bigint) AS chars FROM (SELECT *, {_REASON} AS reason FROM items) x GROUP BY GROUPING SETS ((lang), (source), (reason), ())) y")
+def load_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.when(~geo.has_location(F.col("gps")), "no_gps").when(catalogue.drafted(F.col("name")), "draft").when(text.nonnull(F.col("name")) == "", "no_name").otherwise("imported")
+    rows = items(spark, sf_dir).withColumn("reason", reason)
+    return summaries.totals_by(rows, ["lang", "source", "reason"], n=F.lit(1).cast("long"), chars=F.length(text.nonnull(F.col("story"))).cast("long"))
+
+
 @query("token_overlap", f"SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM (SELECT item_id, list_distinct(string_split({_SQUEEZE('text')}, ' ')) AS w FROM benchmark) a JOIN (SELECT item_id, list_distinct(string_split({_SQUEEZE('text')}, ' ')) AS w FROM benchmark) b ON b.item_id = a.item_id + 1")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark")
