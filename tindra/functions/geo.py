@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -77,19 +78,30 @@ def with_point(df: DataFrame, gps: str, lat: str, lon: str, strict: bool = False
     return made.withColumns({lat: F.col("_point.lat"), lon: F.col("_point.lon")}).drop("_point")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once (a one-element transform binds it)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rounded(value: Column, digits: int) -> Column:
     """A double below 1,000 in size, times a power of ten (7 at most), rounded from its exact binary value,
     halves to even: a whole number without its sign.  In integers, as a double's text would round twice."""
-    scaled = F.abs(value) * (1 << 52)
-    high = F.floor(scaled)
-    low = F.floor((scaled - high) * (1 << 40))  # not 0 below 1 only; what is further down decides no half
-    bits = high.cast("decimal(19,0)") * F.lit(Decimal(1 << 40)) + low.cast("decimal(13,0)")
-    product, two = bits * F.lit(Decimal(10**digits)), F.lit(Decimal(1 << 92))
-    steps = F.floor(product / two).cast("decimal(19,0)")  # of a rounded quotient: one off at most
-    steps = F.when(steps * two > product, steps - 1).when((steps + 1) * two <= product, steps + 1).otherwise(steps).cast("decimal(19,0)")
-    rest = (product - steps * two) * 2
-    up = (rest > two) | ((rest == two) & (F.pmod(steps, F.lit(2)) == 1))
-    return (steps + F.when(up, 1).otherwise(0)).cast("long")
+    two = F.lit(Decimal(1 << 92))
+
+    def steps_of(product: Column) -> Column:
+        near = F.floor(product / two).cast("decimal(19,0)")  # of a rounded quotient: one off at most
+        return _let(near, lambda n: F.when(n * two > product, n - 1).when((n + 1) * two <= product, n + 1).otherwise(n).cast("decimal(19,0)"))
+
+    def to_even(product: Column, steps: Column) -> Column:
+        up = lambda rest: (rest > two) | ((rest == two) & (F.pmod(steps, F.lit(2)) == 1))
+        return _let((product - steps * two) * 2, lambda rest: (steps + F.when(up(rest), 1).otherwise(0)).cast("long"))
+
+    def product_of(scaled: Column) -> Column:
+        high = F.floor(scaled)
+        low = F.floor((scaled - high) * (1 << 40))  # not 0 below 1 only; what is further down decides no half
+        return (high.cast("decimal(19,0)") * F.lit(Decimal(1 << 40)) + low.cast("decimal(13,0)")) * F.lit(Decimal(10**digits))
+
+    return _let(F.abs(value) * (1 << 52), lambda s: _let(product_of(s), lambda p: _let(steps_of(p), lambda n: to_even(p, n))))
 
 
 def _sign(value: Column) -> Column:
@@ -98,20 +110,23 @@ def _sign(value: Column) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """A coordinate with so many decimals."""
-    n, one = rounded(value, digits), 10**digits
-    text = F.concat(_sign(value), F.floor(n / one).cast("string"), F.lit("."), F.lpad((n % one).cast("string"), digits, "0"))
-    return F.when(~F.isnan(value), text)
+    one = 10**digits
+    text = lambda n: F.concat(_sign(value), F.floor(n / one).cast("string"), F.lit("."), F.lpad((n % one).cast("string"), digits, "0"))
+    return F.when(~F.isnan(value), _let(rounded(value, digits), text))
 
 
 def shortest(value: Column, digits: int = 6) -> Column:
     """A coordinate rounded to so many decimals, without closing zeros but one; tiny ones with an exponent."""
-    n = rounded(value, digits)
     plain = F.regexp_replace(fixed(value, digits), r"(\.\d+?)0+$", "$1")
-    small = n.cast("string")
-    power = F.lit(digits) + 1 - F.length(small)
-    tail = F.regexp_replace(F.concat(F.lit("."), F.substr(small, F.lit(2))), r"\.?0*$", "")
-    tiny = F.concat(_sign(value), F.left(small, F.lit(1)), tail, F.lit("e-"), F.lpad(power.cast("string"), 2, "0"))
-    return F.when((n > 0) & (n < 10 ** (digits - 4)), tiny).otherwise(plain)
+
+    def tiny(n: Column) -> Column:
+        small = n.cast("string")
+        tail = F.regexp_replace(F.concat(F.lit("."), F.substr(small, F.lit(2))), r"\.?0*$", "")
+        power = F.lit(digits) + 1 - F.length(small)
+        text = F.concat(_sign(value), F.left(small, F.lit(1)), tail, F.lit("e-"), F.lpad(power.cast("string"), 2, "0"))
+        return F.when((n > 0) & (n < 10 ** (digits - 4)), text)
+
+    return F.when(~F.isnan(value), F.coalesce(_let(rounded(value, digits), tiny), plain))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
