@@ -36,7 +36,7 @@ def fill_forward(df: DataFrame, value: Column, partition: list[str], order: list
     return F.last(value, ignorenulls=True).over(w)
 
 
-def _before(df: DataFrame, value: Column, partition: list[str], order: list[Column]) -> DataFrame:
+def before(df: DataFrame, value: Column, partition: list[str], order: list[Column]) -> DataFrame:
     """``df`` with ``_before``: the sum of ``value`` over the rows before, per partition key.
 
     The rows are range-partitioned by key and order, so a key with many rows has many tasks; a task sums
@@ -54,9 +54,9 @@ def _before(df: DataFrame, value: Column, partition: list[str], order: list[Colu
 
 def batches(df: DataFrame, partition: list[str], order: list[Column], size: int = 20) -> DataFrame:
     """``df`` with ``batch``: batch numbers from 0 in each partition, ``size`` rows each."""
-    return _before(df, F.lit(1), partition, order).withColumn("batch", F.floor(F.col("_before") / size).cast("long")).drop("_before")
+    return before(df, F.lit(1), partition, order).withColumn("batch", F.floor(F.col("_before") / size).cast("long")).drop("_before")
 
 
 def first_successes(df: DataFrame, success: Column, order: list[Column], limit: int, partition: list[str]) -> DataFrame:
     """Rows up to the one with the ``limit``-th success, as a loop that stops there would visit them."""
-    return _before(df, F.coalesce(success, F.lit(False)).cast("int"), partition, order).where(F.col("_before") < limit).drop("_before")
+    return before(df, F.coalesce(success, F.lit(False)).cast("int"), partition, order).where(F.col("_before") < limit).drop("_before")

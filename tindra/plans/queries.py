@@ -3,6 +3,7 @@ for the same rows.  Queries without SQL are held against plain loops in the test
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tindra.functions import geo, geometry, html, speech, text
 from tindra.functions.lineage import fresh
-from tindra.operators import catalogue, changes, geocoding, headings, ingest, joins, matching, order, places, search, summaries
+from tindra.operators import catalogue, changes, geocoding, headings, ingest, intervals, joins, matching, order, places, search, summaries
 from tindra.plans import catalog, ratio_sql, samples
 from tindra.plans.catalog import areas, bridge, items, points, table
 from tindra.sources.versions import VersionedTable
@@ -649,6 +650,45 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.remaining(rows, rows.where("id % 7 = 2"))
 
 
+# dates and times as intervals --------------------------------------
+_DATED = """SELECT id, CASE WHEN id % 7 = 0 THEN '' WHEN id % 13 = 0 THEN '2020-02-30' WHEN id % 11 > 0 THEN cast(date_add(date '2020-01-01', cast(id * 37 % 900 AS int)) AS string) END AS fromdate,
+  CASE WHEN id % 5 = 0 THEN '' ELSE cast(date_add(date '2020-01-01', cast(id * 37 % 900 + id % 60 - 3 AS int)) AS string) END AS todate FROM {items}"""
+_DATED_SQL = re.sub(r"date_add\(date '2020-01-01', cast\((.*?) AS int\)\)", r"(date '2020-01-01' + cast(\1 AS integer))", _DATED).replace("string", "varchar").format(items="items")
+_SPANS = f"""{_VIEWS}, spans AS (SELECT id, CASE WHEN coalesce(fromdate, '') = '' THEN date '0001-01-01' ELSE try_cast(fromdate AS date) END AS s, CASE WHEN coalesce(todate, '') = '' THEN date '9999-12-31' ELSE try_cast(todate AS date) END AS e FROM ({_DATED_SQL}) d),
+  shown AS (SELECT * FROM spans WHERE s <= e)"""
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_DATED.format(items="{items}"), items=items(spark, sf_dir).select("id"))
+
+
+@query("shown_together", f"{_SPANS} SELECT id, (SELECT count(*) FROM shown a WHERE a.s <= b.e AND a.e >= b.s AND b.s <= b.e) AS n_overlaps FROM spans b")
+def shown_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dated(spark, sf_dir)
+    span = intervals.days(F.col("fromdate"), F.col("todate"))
+    return intervals.overlap_counts(rows, rows, [], "id", span, span)
+
+
+@query(
+    "area_peaks",
+    f"""{_SPANS}, steps AS (SELECT area_id, s AS day, 1 AS v FROM a2i JOIN shown ON shown.id = a2i.item_id UNION ALL SELECT area_id, e + 1, -1 FROM a2i JOIN shown ON shown.id = a2i.item_id WHERE e < date '9999-12-31'),
+      run AS (SELECT area_id, day, sum(sum(v)) OVER (PARTITION BY area_id ORDER BY day) AS n FROM steps GROUP BY area_id, day)
+    SELECT area_id, cast(max(n) AS bigint) AS most, CASE WHEN min_by(day, (-n, day)) > date '0001-01-01' THEN cast(date_diff('day', date '1970-01-01', min_by(day, (-n, day))) AS bigint) END AS since FROM run GROUP BY area_id""",
+)
+def area_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bridge(spark, sf_dir).join(_dated(spark, sf_dir), F.col("item_id") == F.col("id"))
+    return intervals.most_at_once(rows, ["area_id"], intervals.days(F.col("fromdate"), F.col("todate")))
+
+
+@query("under_way_together", """SELECT client_id, click_id, sale_id FROM clicks c JOIN sales s USING (client_id) WHERE coalesce(c.ts, '-infinity') < coalesce(s.arrived_at, 'infinity') AND coalesce(s.sold_at, '-infinity') < coalesce(c.arrived_at, 'infinity')
+  AND coalesce(c.ts, '-infinity') < coalesce(c.arrived_at, 'infinity') AND coalesce(s.sold_at, '-infinity') < coalesce(s.arrived_at, 'infinity')""")
+def under_way_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks").select("client_id", "click_id", "ts", F.col("arrived_at").alias("click_arrived"))
+    sales = table(spark, sf_dir, "sales").select("client_id", "sale_id", "sold_at", "arrived_at")
+    met = intervals.overlaps(clicks, sales, ["client_id"], intervals.moments(F.col("ts"), F.col("click_arrived")), intervals.moments(F.col("sold_at"), F.col("arrived_at")))
+    return met.select("client_id", "click_id", "sale_id")
+
+
 # scored and ordered matching --------------------------------------
 def _incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = items(spark, sf_dir).select("id", "name", "name_eng", "gps")
