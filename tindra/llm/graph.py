@@ -40,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         wide = shared.settle(_large(current, current.count()), "edges")
         current = shared.settle(_small(wide, wide.count()), "edges")
-        state = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
+        # whole sums of 64-bit hashes of two kinds: other edges with the same three numbers do not occur
+        kinds = (F.sum(F.xxhash64(*c).cast("decimal(38,0)")) for c in (("a", "b"), ("b", "a")))
+        state = current.agg(F.count("*"), *kinds).first()
         if state == seen:
             break
         seen = state
