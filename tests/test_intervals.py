@@ -76,6 +76,14 @@ def test_short_spans_do_not_meet_all(spark):
     assert found.count() == 20_000 * 3 - 2 + 19_998
 
 
+def test_levels_that_few_are_on_are_left_out():
+    assert intervals.used_levels({}) == [] and intervals.used_levels({9: 5, intervals.OPEN: 1}) == [9, intervals.OPEN]
+    assert intervals.used_levels({9: 1_000_000, 12: 10, 15: 10, 18: 10}) == [9]
+    assert intervals.used_levels({9: 1_000_000, 30: 1_000}) == [9, 30]  # cut, these would be two million cells each
+    assert intervals.used_levels({3: 10, 9: 1_000_000, 12: 900_000}) == [3, 9, 12]  # nine cells of each would be more
+    assert intervals.used_levels({3: 10, 9: 1_000_000, 12: 100_000}) == [3, 9]
+
+
 def test_empty_and_dates(spark):
     none = spark.createDataFrame([], "id long, k int, s long, e long")
     assert intervals.overlaps(none, none.withColumnsRenamed({"id": "o", "s": "s2", "e": "e2"}), ["k"], SPAN, ("s2", "e2")).count() == 0

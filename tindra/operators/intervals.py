@@ -6,9 +6,10 @@ nothing, nor does one with a null key.  Intervals that only touch do not overlap
 
 Joins place every interval on the level whose cells are about as long as it is, so it lies in one or two
 cells there.  Two intervals meet on the level of the longer one: it waits in its own cells, the shorter one
-visits the cells it lies in.  No cell width has to be chosen, an interval of any length is at most two rows
-at home and two a level abroad, and rows that meet overlap with a share that does not fall as data grow.
-Intervals with an open end wait in one cell a key, where all others of the key visit them.
+visits the cells it lies in.  Levels that few intervals are on are left out, and those are cut into more
+cells below, by the number of intervals a level (``used_levels``).  So no cell width has to be chosen, and
+rows that meet overlap with a share that does not fall as data grow.  Intervals with an open end wait in one
+cell a key, where all others of the key visit them.
 
 Counts and peaks make no pairs: they are differences of ranks of starts and ends, which come from a range
 sort with one row per task and key (``order.before``), so a key or a moment with many rows has many tasks.
@@ -62,14 +63,16 @@ def _cell(at: Column, level: Column) -> Column:
     return F.when(level == OPEN, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", at, F.least(level, F.lit(63))))
 
 
-def _cells(low: Column, high: Column, level: Column) -> Column:
-    return F.when(level == OPEN, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(_cell(low, level), _cell(high, level))))
+def _cells(level: Column) -> Column:
+    return F.when(level == OPEN, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(_cell(F.col("low"), level), _cell(F.col("high"), level)))
 
 
 def _placed(df: DataFrame, keys: list[str], span: Span) -> DataFrame:
-    """Keys k0, k1, ..., the bounds low and high (both included), the level, and the row."""
+    """Keys k0, k1, ..., the bounds low and high (both included), the level, and the other columns."""
     (start, end), (first, last) = _filled(span), _columns(span)
-    rows = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), start.alias("low"), end.alias("end"), (first.isNull() | last.isNull()).alias("open"), F.struct(*df.columns).alias("row"))
+    own = {k.lower() for k in keys}
+    rest = F.struct(*(c for c in df.columns if c.lower() not in own))
+    rows = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), start.alias("low"), end.alias("end"), (first.isNull() | last.isNull()).alias("open"), rest.alias("row"))
     rows = rows.where(_all_set([f"k{i}" for i in range(len(keys))]) & (F.col("low") < F.col("end"))).withColumn("high", F.col("end") - 1)
     length = F.try_subtract("high", "low")  # null where a long cannot hold it
     bits = F.when(length == 0, 0).otherwise(F.length(F.bin(length)))
@@ -77,31 +80,59 @@ def _placed(df: DataFrame, keys: list[str], span: Span) -> DataFrame:
     return rows.withColumn("level", level).drop("end", "open")
 
 
+def used_levels(rows: dict[int, int]) -> list[int]:
+    """The levels on which intervals wait, given the number of intervals by level.
+
+    A row visits every used level above its own, so levels cost rows; a level that few rows are on is left
+    out where it is cheaper to cut those into more cells on the next one below."""
+    closed = sorted(n for n in rows if n != OPEN)
+
+    def cost(used: list[int]) -> float:
+        total = 0.0
+        for level, n in rows.items():
+            if level != OPEN:
+                home = max(u for u in used if u <= level)
+                total += n * sum(2.0 ** (level - u) + 1 for u in used if u >= home)
+        return total
+
+    used = list(closed)
+    while len(used) > 1:
+        fewer = min(([u for u in used if u != out] for out in used[1:]), key=cost)
+        if cost(fewer) > cost(used):
+            break
+        used = fewer
+    return used + [OPEN] * (OPEN in rows)
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: Span, right_span: Span) -> DataFrame:
     """Every pair of a left and a right row of equal keys whose spans overlap, once: the left row's columns,
     then the right row's without the keys.  Apart from the keys the two have no column in common.
 
     Rows travel with their cells, so they should be narrow; what is wide is joined to the pairs by id."""
-    shared = {c.lower() for c in left.columns} & {c.lower() for c in right.columns} - {k.lower() for k in keys}
+    own = {k.lower() for k in keys}
+    shared = {c.lower() for c in left.columns} & {c.lower() for c in right.columns} - own
     if shared:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
     a, b = _placed(left, keys, left_span), _placed(right, keys, right_span)
     ks = [f"k{i}" for i in range(len(keys))]
+    counted = {r.level: r["count"] for r in a.select("level").unionByName(b.select("level")).groupBy("level").count().collect()}  # 23 rows at most
+    used = used_levels(counted)
+    levels = F.array(*(F.lit(n) for n in used)) if used else F.array().cast("array<int>")
+    a, b = (x.withColumn("level", F.array_max(F.filter(levels, lambda n: n <= F.col("level")))) for x in (a, b))
 
     def meet(waiting: DataFrame, visiting: DataFrame, too: bool) -> DataFrame:
         """Pairs on the level of ``waiting``; rows of one level meet only where ``too`` says so."""
-        used = sorted(r.level for r in waiting.select("level").distinct().collect())  # one of 23 at most
-        levels = F.array(*(F.lit(n) for n in used)) if used else F.array().cast("array<int>")
-        home = waiting.select(*ks, F.col("level").alias("at"), F.explode(_cells(F.col("low"), F.col("high"), F.col("level"))).alias("cell"), F.col("low").alias("low_w"), F.col("high").alias("high_w"), F.col("row").alias("row_w"))
+        home = waiting.select(*ks, F.col("level").alias("at"), F.explode(_cells(F.col("level"))).alias("cell"), F.col("low").alias("low_w"), F.col("high").alias("high_w"), F.col("row").alias("row_w"))
         abroad = visiting.withColumn("at", F.explode(F.filter(levels, lambda n: n >= F.col("level") if too else n > F.col("level"))))
-        abroad = abroad.select(*ks, "at", F.explode(_cells(F.col("low"), F.col("high"), F.col("at"))).alias("cell"), "low", "high", "row")
+        abroad = abroad.select(*ks, "at", F.explode(_cells(F.col("at"))).alias("cell"), "low", "high", "row")
         met = home.join(abroad, [*ks, "at", "cell"]).where((F.col("low") <= F.col("high_w")) & (F.col("low_w") <= F.col("high")))
-        return met.where(F.col("cell") == _cell(F.greatest("low", "low_w"), F.col("at")))  # two may share two cells
+        return met.where(F.col("cell") == _cell(F.greatest("low", "low_w"), F.col("at")))  # two may share many cells
 
-    pairs = meet(b, a, True).select(F.col("row").alias("l"), F.col("row_w").alias("r"))
-    pairs = pairs.unionByName(meet(a, b, False).select(F.col("row_w").alias("l"), F.col("row").alias("r")))
-    own = {k.lower() for k in keys}
-    return pairs.select("l.*", *(F.col("r")[c].alias(c) for c in right.columns if c.lower() not in own))
+    pairs = meet(b, a, True).select(*ks, F.col("row").alias("l"), F.col("row_w").alias("r"))
+    pairs = pairs.unionByName(meet(a, b, False).select(*ks, F.col("row_w").alias("l"), F.col("row").alias("r")))
+    named = {k.lower(): i for i, k in enumerate(keys)}
+    of_left = (F.col(f"k{named[c.lower()]}" if c.lower() in own else f"l.`{c}`").alias(c) for c in left.columns)
+    return pairs.select(*of_left, *(F.col("r")[c].alias(c) for c in right.columns if c.lower() not in own))
 
 
 def overlap_counts(probes: DataFrame, stored: DataFrame, keys: list[str], id_column: str, probe_span: Span, stored_span: Span) -> DataFrame:
