@@ -659,7 +659,7 @@ _SPANS = f"""{_VIEWS}, spans AS (SELECT id, CASE WHEN coalesce(fromdate, '') = '
 
 
 def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_DATED.format(items="{items}"), items=items(spark, sf_dir).select("id"))
+    return spark.sql(_DATED, items=items(spark, sf_dir).select("id"))
 
 
 @query("shown_together", f"{_SPANS} SELECT id, (SELECT count(*) FROM shown a WHERE a.s <= b.e AND a.e >= b.s AND b.s <= b.e) AS n_overlaps FROM spans b")
@@ -680,13 +680,32 @@ def area_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.most_at_once(rows, ["area_id"], intervals.days(F.col("fromdate"), F.col("todate")))
 
 
-@query("under_way_together", """SELECT client_id, click_id, sale_id FROM clicks c JOIN sales s USING (client_id) WHERE coalesce(c.ts, '-infinity') < coalesce(s.arrived_at, 'infinity') AND coalesce(s.sold_at, '-infinity') < coalesce(c.arrived_at, 'infinity')
-  AND coalesce(c.ts, '-infinity') < coalesce(c.arrived_at, 'infinity') AND coalesce(s.sold_at, '-infinity') < coalesce(s.arrived_at, 'infinity')""")
-def under_way_together(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = table(spark, sf_dir, "clicks").select("client_id", "click_id", "ts", F.col("arrived_at").alias("click_arrived"))
-    sales = table(spark, sf_dir, "sales").select("client_id", "sale_id", "sold_at", "arrived_at")
-    met = intervals.overlaps(clicks, sales, ["client_id"], intervals.moments(F.col("ts"), F.col("click_arrived")), intervals.moments(F.col("sold_at"), F.col("arrived_at")))
-    return met.select("client_id", "click_id", "sale_id")
+_SALES = "SELECT DISTINCT sale_id, client_id, sold_at, arrived_at, coalesce(sold_at, '-infinity') AS s, coalesce(arrived_at, 'infinity') AS e FROM sales"
+
+
+@query(
+    "under_way_counts",
+    f"""SELECT s.sale_id, s.client_id, count(c.e) AS n_clicks FROM ({_SALES}) s LEFT JOIN (SELECT client_id, coalesce(ts, '-infinity') AS s, coalesce(arrived_at, 'infinity') AS e FROM clicks) c
+      ON c.client_id = s.client_id AND s.s < s.e AND c.s < c.e AND c.s < s.e AND c.e > s.s GROUP BY s.sale_id, s.client_id, s.sold_at, s.arrived_at""",
+)
+def under_way_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at", "arrived_at").distinct()
+    asked = sales.select("client_id", "sold_at", "arrived_at", F.struct(*sales.columns).alias("sale"))
+    clicks = table(spark, sf_dir, "clicks")
+    found = intervals.overlap_counts(asked, clicks, ["client_id"], "sale", intervals.moments(F.col("sold_at"), F.col("arrived_at")), intervals.moments(F.col("ts"), F.col("arrived_at")))
+    return found.select("sale.sale_id", "sale.client_id", F.col("n_overlaps").alias("n_clicks"))
+
+
+# the season of an area: 90 days, of each sixth area without an end
+_SEASONS = "SELECT id AS area_id, cast(date_add(date '2020-03-01', cast(id * 29 % 500 AS int)) AS string) AS opens, CASE WHEN id % 6 > 0 THEN cast(date_add(date '2020-03-01', cast(id * 29 % 500 + 90 AS int)) AS string) ELSE '' END AS closes FROM {areas}"
+
+
+@query("items_in_season", f"{_SPANS} SELECT s.area_id, i.id FROM (SELECT id AS area_id, date '2020-03-01' + cast(id * 29 % 500 AS integer) AS opens, CASE WHEN id % 6 > 0 THEN date '2020-03-01' + cast(id * 29 % 500 + 90 AS integer) ELSE date '9999-12-31' END AS closes FROM areas) s JOIN a2i USING (area_id) JOIN shown i ON i.id = a2i.item_id WHERE i.s <= s.closes AND i.e >= s.opens")
+def items_in_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seasons = spark.sql(_SEASONS, areas=areas(spark, sf_dir).select("id"))
+    shown = bridge(spark, sf_dir).join(_dated(spark, sf_dir), F.col("item_id") == F.col("id")).select("area_id", "id", "fromdate", "todate")
+    met = intervals.overlaps(shown, seasons, ["area_id"], intervals.days(F.col("fromdate"), F.col("todate")), intervals.days(F.col("opens"), F.col("closes")))
+    return met.select("area_id", "id")
 
 
 # scored and ordered matching --------------------------------------
