@@ -148,7 +148,7 @@ def overlap_counts(probes: DataFrame, stored: DataFrame, keys: list[str], id_col
         turn = (0, 1) if asked else (1, 0)
         two = F.array(*(F.struct(F.lit(side).alias("side"), F.col(at[side]).alias("at"), F.lit(turn[side]).alias("turn")) for side in (0, 1)))
         # a spread of equal moments over tasks
-        return df.where("start < end").where(_all_set(ks)).select(*ks, "id", F.inline(two)).withColumns({"asked": F.lit(asked), "spread": F.rand(7) if not asked else F.lit(0.0)})
+        return df.where("start < end").where(_all_set(ks)).select(*ks, "id", F.inline(two)).withColumns({"asked": F.lit(asked), "spread": F.lit(0).cast("byte") if asked else (F.rand(7) * 100).cast("byte")})
 
     both = marks(numbered(probes, probe_span), True).unionByName(marks(numbered(stored, stored_span), False))
     ranked = before(both, F.when(F.col("asked"), 0).otherwise(1), [*ks, "side"], [F.col("at"), F.col("turn"), F.col("spread"), F.col("id")])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +38,14 @@ def before(df: DataFrame, value: Column, partition: list[str], order: list[Colum
     """``df`` with ``_before``: the sum of ``value`` over the rows before, per partition key.
 
     The rows are range-partitioned by key and order, so a key with many rows has many tasks; a task sums
-    its own rows, and what its keys had before comes from one row per task and key."""
+    its own rows, and what its keys had before is a row of its own ahead of them, one per task and key."""
     ranged = settle(df.withColumn("_v", value.cast("long")).repartitionByRange(*partition, *order).withColumn("_p", F.spark_partition_id()))
     sums = ranged.groupBy("_p", *partition).agg(F.sum("_v").alias("_s"))
     ahead = F.coalesce(F.sum("_s").over(Window.partitionBy(*partition).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_p", *(F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)), ahead.alias("_ahead"))
-    own = F.coalesce(F.sum("_v").over(Window.partitionBy("_p", *partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(partition)]
-    on = reduce(lambda a, b: a & b, [ranged["_p"] == sums["_p"], *same])
-    joined = ranged.join(sums, on).drop(sums["_p"]).withColumn("_own", own)
-    return joined.withColumn("_before", F.col("_own") + F.col("_ahead")).select(*df.columns, "_before")
+    carried = sums.select("_p", *partition, ahead.alias("_v"), F.lit(False).alias("_own"))
+    rows = ranged.withColumn("_own", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy("_p", *partition).orderBy("_own", *order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_before", F.coalesce(F.sum("_v").over(w), F.lit(0))).where("_own").select(*df.columns, "_before")
 
 
 def batches(df: DataFrame, partition: list[str], order: list[Column], size: int = 20) -> DataFrame:
