@@ -28,6 +28,20 @@ def test_radius_join_is_the_nested_loop(spark, south, north):
     assert got == {(p[0], q[0]) for p in good for q in good if metres(*p[1:], *q[1:]) < 40_000}
 
 
+def test_radius_pairs_of_crowded_points_are_the_nested_loop(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    rng = random.Random(11)
+    spots = [(rng.uniform(64, 64.2), rng.choice([179.99, -179.99, 20.0])) for _ in range(6)]
+    pts = [(i, *rng.choice(spots)) for i in range(150)] + [(200, None, 1.0), (201, float("nan"), 1.0)]
+    measured = []
+    monkeypatch.setattr(joins.geo, "haversine", lambda *c, f=joins.geo.haversine: measured.append(c) or f(*c))
+    pairs = joins.radius_pairs(spark.createDataFrame(pts, "id long, lat double, lon double"), 9_000)
+    assert len(measured) == 1 and "alat" in str(measured[0][0])
+    got = sorted((r.a, r.b, round(r.distance_m, 6)) for r in pairs.collect())
+    good = [p for p in pts if p[0] < 200]
+    assert got == sorted((p[0], q[0], round(metres(*p[1:], *q[1:]), 6)) for p in good for q in good if p[0] < q[0] and metres(*p[1:], *q[1:]) < 9_000) and len(got) > 1000
+
+
 def test_contains_join(spark):
     rng = random.Random(3)
     words = ["", *("".join(rng.choices("ab", k=rng.randint(1, 7))) for _ in range(40))]

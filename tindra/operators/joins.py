@@ -6,22 +6,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, similarity
+from tindra.functions.lineage import settle
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
-    """All pairs within the radius that agree in the columns ``on``, with the column ``distance_m``.
+def near_points(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs within the radius that agree in the columns ``on``, with the column ``distance_m``, by cells.
 
     The right side goes to its cell, the left side to the nine around its own, and the cells are
-    equi-keys; the exact distance is a residual.  Column names must differ between the sides.  Rows
-    without a finite point pair with nothing."""
-    finite = lambda p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() & ~F.isnan(p[0]) & ~F.isnan(p[1])
-    left, right = left.where(finite(left_point)), right.where(finite(right_point))
+    equi-keys; the exact distance is a residual."""
     cells = geo.Cells(radius_m)
     pairs = cells.spread(left, *left_point).join(cells.keyed(right, *right_point), ["_cy", "_cx", *on]).drop("_cy", "_cx")
     pairs = pairs.withColumn("distance_m", geo.haversine(*(F.col(c) for c in (*left_point, *right_point))))
     return pairs.where((F.col("distance_m") <= radius_m) if inclusive else (F.col("distance_m") < radius_m))
 
 
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs within the radius that agree in the columns ``on``, with the column ``distance_m``.
+
+    Without ``on`` distances are worked out once per pair of distinct points, and rows meet over those
+    pairs; the rows are dealt to tasks by point, so small tables with many pairs have many tasks.  Column
+    names must differ between the sides.  Rows without a finite point pair with nothing."""
+    finite = lambda p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() & ~F.isnan(p[0]) & ~F.isnan(p[1])
+    left, right = left.where(finite(left_point)), right.where(finite(right_point))
+    if on:
+        return near_points(left, right, radius_m, left_point, right_point, inclusive, on)
+    near = near_points(left.select(*left_point).distinct(), right.select(*right_point).distinct(), radius_m, left_point, right_point, inclusive)
+    return left.join(near, [*left_point]).repartition(tasks(left), *right_point).join(right, [*right_point])
+
+
+def tasks(df: DataFrame) -> int:
+    """A number of tasks that stays as it is where a small table makes many rows."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+BLOCK = 256  # rows of one key that stay together
+
+
+def blocks(df: DataFrame, keys: list[str], row: str, name: str) -> DataFrame:
+    """The rows of each key (not null) as lists ``name`` of about ``BLOCK``, numbered by ``name``_block."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    dealt = df.join(sizes, keys).withColumn(f"{name}_block", F.pmod(F.xxhash64(row), F.col("_blocks")).cast("int"))
+    return dealt.groupBy(*keys, f"{name}_block").agg(F.collect_list(row).alias(name))
+
+
+def radius_pairs(points: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs a < b of a table's ids (id, lat, lon) within the radius, with ``distance_m``.
+
+    A pair of points is measured once; the ids of a point are lists of bounded length, and pairs of lists
+    are what tasks share."""
+    a, b = (settle(blocks(points.where("lat IS NOT NULL AND lon IS NOT NULL"), ["lat", "lon"], "id", "ids")).toDF(f"{s}lat", f"{s}lon", f"{s}block", f"{s}ids") for s in "ab")
+    near = near_points(a.select("alat", "alon").distinct(), b.select("blat", "blon").distinct(), radius_m, ("alat", "alon"), ("blat", "blon"))
+    lists = a.join(near, ["alat", "alon"]).join(b, ["blat", "blon"])
+    first, second = (F.struct(f"{s}lat", f"{s}lon", f"{s}block") for s in "ab")
+    lists = lists.where(first <= second).repartition(tasks(points), "alat", "alon", "ablock", "blat", "blon", "bblock")
+    each = lists.select("distance_m", (first == second).alias("_own"), F.explode("aids").alias("_a"), "bids").select("distance_m", "_own", "_a", F.explode("bids").alias("_b"))
+    each = each.where(F.when(F.col("_own"), F.col("_a") < F.col("_b")).otherwise(F.col("_a") != F.col("_b")))
+    return each.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance_m")
+
+
 GRAM = 4
 
 
