@@ -23,15 +23,9 @@ def near_points(left: DataFrame, right: DataFrame, radius_m: float, left_point:
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, left_point: tuple[str, str], right_point: tuple[str, str], inclusive: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs within the radius that agree in the columns ``on``, with the column ``distance_m``.
 
-    Without ``on`` distances are worked out once per pair of distinct points, and rows meet over those
-    pairs; the rows are dealt to tasks by point, so small tables with many pairs have many tasks.  Column
-    names must differ between the sides.  Rows without a finite point pair with nothing."""
+    Column names must differ between the sides.  Rows without a finite point pair with nothing."""
     finite = lambda p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() & ~F.isnan(p[0]) & ~F.isnan(p[1])
-    left, right = left.where(finite(left_point)), right.where(finite(right_point))
-    if on:
-        return near_points(left, right, radius_m, left_point, right_point, inclusive, on)
-    near = near_points(left.select(*left_point).distinct(), right.select(*right_point).distinct(), radius_m, left_point, right_point, inclusive)
-    return left.join(near, [*left_point]).repartition(tasks(left), *right_point).join(right, [*right_point])
+    return near_points(left.where(finite(left_point)), right.where(finite(right_point)), radius_m, left_point, right_point, inclusive, on)
 
 
 def tasks(df: DataFrame) -> int:
@@ -54,7 +48,7 @@ def radius_pairs(points: DataFrame, radius_m: float) -> DataFrame:
 
     A pair of points is measured once; the ids of a point are lists of bounded length, and pairs of lists
     are what tasks share."""
-    a, b = (settle(blocks(points.where("lat IS NOT NULL AND lon IS NOT NULL"), ["lat", "lon"], "id", "ids")).toDF(f"{s}lat", f"{s}lon", f"{s}block", f"{s}ids") for s in "ab")
+    a, b = (settle(blocks(points.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)"), ["lat", "lon"], "id", "ids")).toDF(f"{s}lat", f"{s}lon", f"{s}block", f"{s}ids") for s in "ab")
     near = near_points(a.select("alat", "alon").distinct(), b.select("blat", "blon").distinct(), radius_m, ("alat", "alon"), ("blat", "blon"))
     lists = a.join(near, ["alat", "alon"]).join(b, ["blat", "blon"])
     first, second = (F.struct(f"{s}lat", f"{s}lon", f"{s}block") for s in "ab")
