@@ -212,3 +212,39 @@ def test_references_without_a_semicolon_stay_where_closed_ones_are_asked_for():
     got, plain = html.read_page(page, "article", closed=True), html.read_page(page, "article")
     assert (got["title"], got["main"]) == ("a &amp", "b & c &amp d © e&copy")
     assert (plain["title"], plain["main"]) == ("a &", "b & c & d © e©")
+
+
+def test_lists_of_names_are_scored_as_pairs():
+    import random
+
+    import numpy as np
+
+    from tindra.functions import similarity
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcþ") for _ in range(rng.randint(1, 5)))
+    first = [*dict.fromkeys([" ".join(word() for _ in range(rng.randint(1, 12))) for _ in range(40)] + ["ab" * 45, "a" * 64, "b" * 65])]
+    second = [*dict.fromkeys([x[::-1] for x in first[:10]] + [x + " x" for x in first[10:20]] + first[20:25] + first[-3:] + ["a", "þ a b"])]
+    bound = similarity.common_sequence_bounds(first, second)
+    for i, a in enumerate(first):
+        for j, b in enumerate(second):
+            assert bound[i, j] == lcs(a, b) if len(a) <= similarity.BITS else lcs(a, b) <= bound[i, j] <= len(b)
+    assert np.array_equal(similarity.ratios(first, second, 0.65), [[similarity.gestalt_from(a, b, 0.65) for b in second] for a in first])
+    assert similarity.common_sequence_bounds(["a"], []).shape == (1, 0)
+
+    def match(a, b):
+        x, y = a.split(), b.split()
+        n = min(len(x), len(y))
+        return 1.0 if x[:n] == y[:n] else max(similarity.gestalt_from(a, b, 0.7), len(set(x) & set(y)) / len(set(x) | set(y)))
+
+    i, j, score = similarity.matched(first, second, [x.split() for x in first], [x.split() for x in second], 0.7)
+    assert {(p, q): s for p, q, s in zip(i.tolist(), j.tolist(), score.tolist())} == {(p, q): match(a, b) for p, a in enumerate(first) for q, b in enumerate(second) if match(a, b) >= 0.7}

@@ -5,10 +5,13 @@ The ratio is not symmetric: the incoming name comes first, the catalogue's secon
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -106,3 +109,141 @@ def name_match(a: Column, b: Column, least: Column | float = 0.0, a_words: Colum
     x, y = words(a) if a_words is None else a_words, words(b) if b_words is None else b_words
     some = (text.nonnull(a) != "") & (text.nonnull(b) != "")
     return F.when(some, F.when(_leads(x, y), 1.0).otherwise(F.greatest(_ratio(a, b, least), text.list_jaccard(x, y)))).otherwise(0.0)
+
+
+# Lists of names against lists of names -------------------------------------------------------------
+BITS = 64  # characters of a first text that one number holds
+
+
+def common_sequence_bounds(first: list[str], second: list[str]) -> np.ndarray:
+    """What the longest common subsequence of each first with each second text cannot exceed (exact for
+    first texts of up to ``BITS`` characters), for all pairs at once: a bit per character of the first
+    text, a step per character of the second."""
+    number: dict[str, int] = {}
+    codes = [[number.setdefault(c, len(number) + 1) for c in b] for b in second]
+    chars = np.zeros((max(map(len, codes), default=0), len(second)), np.int32)  # 0: after a text's end
+    for j, code in enumerate(codes):
+        chars[: len(code), j] = code
+    out = np.zeros((len(first), len(second)), np.int32)
+    for at in range(0, max(map(len, first), default=0), BITS):
+        masks = np.zeros((len(number) + 1, len(first)), np.uint64)
+        for i, a in enumerate(first):
+            for k, c in enumerate(a[at : at + BITS]):
+                if c in number:
+                    masks[number[c], i] |= np.uint64(1 << k)
+        free = np.full((len(second), len(first)), ~np.uint64(0))
+        for step in chars:
+            taken = masks[step]
+            taken &= free
+            kept = free - taken
+            free += taken
+            free |= kept
+        out += BITS - np.bitwise_count(free).T.astype(np.int32)
+    return out
+
+
+def _reach(first: list[str], second: list[str], least: float) -> np.ndarray:
+    """Whether the ratio of each pair may reach ``least``: no more letters match than a common subsequence has."""
+    sizes = np.add.outer(np.array([len(a) for a in first]), np.array([len(b) for b in second]))
+    return (2 * common_sequence_bounds(first, second) >= least * sizes - 1e-9) & (sizes > 0)
+
+
+def ratios(first: list[str], second: list[str], least: float) -> np.ndarray:
+    """The ratio of each pair of distinct texts, 0 where it is under ``least``."""
+    out, matcher, last = np.zeros((len(first), len(second))), SequenceMatcher(None), -1
+    for j, i in np.argwhere(_reach(first, second, least).T).tolist():
+        if j != last:  # a matcher is set up once per second name
+            matcher.set_seq2(second[j])
+            last = j
+        out[i, j] = gestalt_from(first[i], second[j], least, matcher)
+    return out
+
+
+def best_of_names(left: list[tuple[str, ...]], right: list[tuple[str, ...]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both lists of names whose best ratio over all their names reaches ``least``: two places and the ratio."""
+    a, b = ({x: k for k, x in enumerate(dict.fromkeys(x for names in side for x in names))} for side in (left, right))
+    by_text = ratios(list(a), list(b), least)
+    at = [np.array([[index[x] for x in names] for names in side]) for side, index in ((left, a), (right, b))]
+    best = np.zeros((len(left), len(right)))
+    for i in at[0].T:
+        for j in at[1].T:
+            best = np.maximum(best, by_text[i[:, None], j])
+    i, j = np.nonzero(best >= least)
+    return i, j, best[i, j]
+
+
+def matched(first: list[str], second: list[str], first_words: list[list[str]], second_words: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of normalised, not empty names whose ``name_match`` reaches ``least``: two places and the score."""
+    number: dict[str, int] = {}
+    for w in (*first_words, *second_words):
+        for x in w:
+            number.setdefault(x, len(number))
+    heads = [np.array([[number[w[k]] if len(w) > k else -1 for k in (0, 1)] for w in side]).reshape(-1, 2) for side in (first_words, second_words)]
+    same = [np.equal.outer(heads[0][:, k], heads[1][:, k]) for k in (0, 1)]
+    some = np.logical_and.outer(heads[0][:, 0] >= 0, heads[1][:, 0] >= 0)
+    lead = same[0] & some & (same[1] | np.logical_or.outer(heads[0][:, 1] < 0, heads[1][:, 1] < 0))
+    # words in common at most: bits in common, and words of the first name that share a bit with another
+    bits = [np.array([np.bitwise_or.reduce([np.uint64(1 << number[x] % BITS) for x in w] or [np.uint64(0)]) for w in side], np.uint64) for side in (first_words, second_words)]
+    n = [np.array([len(set(w)) for w in side]) for side in (first_words, second_words)]
+    common = np.bitwise_count(np.bitwise_and.outer(*bits)).astype(np.int32) + (n[0] - np.bitwise_count(bits[0]))[:, None]
+    shared = (common >= least * (np.add.outer(*n) - common) - 1e-9) & some
+    reach = _reach(first, second, least)
+    found, matcher, last = [], SequenceMatcher(None), -1
+    for j, i in np.argwhere((reach | lead | shared).T).tolist():
+        a, b = first_words[i], second_words[j]
+        k = min(len(a), len(b))
+        if k and a[:k] == b[:k]:
+            score = 1.0
+        else:
+            union = set(a) | set(b)
+            score = len(set(a) & set(b)) / len(union) if union else 0.0
+            if reach[i, j] and score < 1:
+                if j != last:
+                    matcher.set_seq2(second[j])
+                    last = j
+                score = max(score, gestalt_from(first[i], second[j], least, matcher))
+        if score >= least:
+            found.append((i, j, score))
+    i, j, score = zip(*found) if found else ((), (), ())
+    return np.array(i, np.int64), np.array(j, np.int64), np.array(score, np.float64)
+
+
+def _lists(batch: pa.RecordBatch, *columns: str) -> Iterator[list]:
+    """The lists of each row, one row at a time."""
+    for k in range(batch.num_rows):
+        yield [batch.column(c)[k].as_py() for c in columns]
+
+
+def score_lists(lists: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, distance_m, score) of lists of rows (``as`` and ``bs``, of id, name, name_eng) of which
+    one of both names reach ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, metres in _lists(batch, "as", "bs", "distance_m"):
+                names = [[(r["name"], r["name_eng"]) for r in side] for side in (left, right)]
+                i, j, score = best_of_names(*names, least)
+                a, b = (np.array([r["id"] for r in side]) for side in (left, right))
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(np.full(len(i), metres)), pa.array(score)], ["a", "b", "distance_m", "score"])
+
+    kind = lists.schema["as"].dataType.elementType["id"].dataType.simpleString()
+    return lists.select("as", "bs", "distance_m").mapInArrow(run, f"a {kind}, b {kind}, distance_m double, score double")
+
+
+def best_in_lists(lists: DataFrame, least: float) -> DataFrame:
+    """Per row a of each list ``as`` (id, name, words) the row b of the list ``bs`` beside it that it matches
+    best, if one reaches ``least``: (a, b, distance_m, score); of equal scores the smallest id.  ``words``
+    are a name's words, a line each."""
+    split = lambda rows: [r["words"].split("\n") if r["words"] else [] for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, metres in _lists(batch, "as", "bs", "distance_m"):
+                i, j, score = matched([r["name"] for r in left], [r["name"] for r in right], split(left), split(right), least)
+                a, b = (np.array([r["id"] for r in side]) for side in (left, right))
+                order = np.lexsort((b[j], -score, i))
+                order = order[np.unique(i[order], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(a[i[order]]), pa.array(b[j[order]]), pa.array(np.full(len(order), metres)), pa.array(score[order])], ["a", "b", "distance_m", "score"])
+
+    kind = lists.schema["as"].dataType.elementType["id"].dataType.simpleString()
+    return lists.select("as", "bs", "distance_m").mapInArrow(run, f"a {kind}, b {kind}, distance_m double, score double")

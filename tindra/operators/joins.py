@@ -58,6 +58,17 @@ def radius_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     return each.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance_m")
 
 
+def near_lists(left: DataFrame, right: DataFrame, radius_m: float, inclusive: bool = False) -> DataFrame:
+    """Lists ``as`` and ``bs`` of bounded length of the rows (lat, lon, row: a struct with an id) at each pair
+    of points within the radius, with ``distance_m``; each row of one side meets each of the other once.
+
+    A pair of points is measured once, and pairs of lists are what tasks share."""
+    a, b = (settle(blocks(df.where("NOT isnan(lat) AND NOT isnan(lon)"), ["lat", "lon"], "row", "rows")).toDF(f"{s}lat", f"{s}lon", f"{s}block", f"{s}s") for s, df in (("a", left), ("b", right)))
+    near = near_points(a.select("alat", "alon").distinct(), b.select("blat", "blon").distinct(), radius_m, ("alat", "alon"), ("blat", "blon"), inclusive)
+    lists = a.join(near, ["alat", "alon"]).join(b, ["blat", "blon"])
+    return lists.repartition(tasks(left), "alat", "alon", "ablock", "blat", "blon", "bblock").select("as", "bs", "distance_m")
+
+
 GRAM = 4
 
 
