@@ -248,3 +248,33 @@ def test_lists_of_names_are_scored_as_pairs():
 
     i, j, score = similarity.matched(first, second, [x.split() for x in first], [x.split() for x in second], 0.7)
     assert {(p, q): s for p, q, s in zip(i.tolist(), j.tolist(), score.tolist())} == {(p, q): match(a, b) for p, a in enumerate(first) for q, b in enumerate(second) if match(a, b) >= 0.7}
+
+
+def test_signatures_lose_no_pair(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tindra.functions import similarity
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdeþ ö") for _ in range(rng.randint(10, 50)))
+        b = "".join(x + rng.choice(["", "", "", "", "", "e"]) for x in a if rng.random() > 0.06)
+        rows += [(a, b), (a, rows[0][0] if rows else a)]
+    df = spark.createDataFrame(rows, "a string, b string").withColumns({"_sa": similarity.signature(F.col("a")), "_sb": similarity.signature(F.col("b"))})
+    may = {(r.a, r.b) for r in df.where(similarity.may_reach(F.col("a"), F.col("b"), "_sa", "_sb", 0.9)).collect()}
+    alike = {(a, b) for a, b in rows if similarity.gestalt(a, b) >= 0.9}
+    assert 50 < len(alike) and alike <= may and len(may) < len(rows) * 0.7
+
+
+def test_spoken_forms_are_what_each_engine_says(spark):
+    from pyspark.sql import functions as F
+
+    from tindra.functions import speech
+
+    texts = ["Árið 1941 voru 3 hestar.", "10.6.1941 kl. 15", "NATO og 18. öld", "", None, "frá 1908-1912"]
+    engines = ("local", "cloud", "numbers")
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string").select("id", speech.spoken_forms(F.col("t"), *engines).alias("s")).orderBy("id").collect()
+    assert [tuple(r.s[e] for e in engines) for r in got] == [tuple(None if t is None else speech.say(t, e) for e in engines) for t in texts]

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tindra.functions import text
 
@@ -111,6 +112,34 @@ def name_match(a: Column, b: Column, least: Column | float = 0.0, a_words: Colum
     return F.when(some, F.when(_leads(x, y), 1.0).otherwise(F.greatest(_ratio(a, b, least), text.list_jaccard(x, y)))).otherwise(0.0)
 
 
+SIGNATURE = ("l0", "l1", "l2", "t0", "t1")
+LETTERS, TIMES, TWOS = 32, 6, 128  # letters are told modulo 32 and counted up to 6, pairs of letters modulo 128
+
+
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in SIGNATURE]))
+def signature(texts: pd.Series) -> pd.DataFrame:
+    """Bits of a text's letters, as many ones per letter as it stands there, and of its pairs of letters."""
+    out = np.zeros((len(texts), (LETTERS * TIMES + TWOS) // 64), np.uint64)
+    for k, x in enumerate(texts.tolist()):
+        code = np.frombuffer((x or "").encode("utf-32-le"), "<u4").astype(np.int64)
+        count = np.minimum(np.bincount(code % LETTERS, minlength=LETTERS), TIMES)
+        bits = np.zeros(LETTERS * TIMES + TWOS, np.uint8)
+        bits[: LETTERS * TIMES] = (np.arange(TIMES) < count[:, None]).ravel()
+        bits[LETTERS * TIMES + (code[:-1] * 37 + code[1:]) % TWOS] = 1
+        out[k] = np.packbits(bits).view(np.uint64)
+    return pd.DataFrame(out.view(np.int64), columns=SIGNATURE)
+
+
+def may_reach(a: Column, b: Column, a_signature: str, b_signature: str, least: float) -> Column:
+    """Whether the ratio can reach ``least`` by both signatures; JVM-side.
+
+    Letters that are in one text only are at most (1 - least) of both, each puts one letter and at most
+    three pairs of letters more on one side."""
+    apart = lambda names: reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a_signature}.{n}").bitwiseXOR(F.col(f"{b_signature}.{n}"))) for n in names))
+    most = (F.length(a) + F.length(b)) * (1 - least) + 1e-9
+    return (apart(SIGNATURE[:3]) <= most) & (apart(SIGNATURE[3:]) <= most * 3)
+
+
 # Lists of names against lists of names -------------------------------------------------------------
 BITS = 64  # characters of a first text that one number holds
 
@@ -139,7 +168,7 @@ def common_sequence_bounds(first: list[str], second: list[str]) -> np.ndarray:
             free += taken
             free |= kept
         out += BITS - np.bitwise_count(free).T.astype(np.int32)
-    return out
+    return np.minimum(out, np.array([len(b) for b in second], np.int32))
 
 
 def _reach(first: list[str], second: list[str], least: float) -> np.ndarray:

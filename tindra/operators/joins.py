@@ -72,8 +72,9 @@ def near_lists(left: DataFrame, right: DataFrame, radius_m: float, inclusive: bo
 GRAM = 4
 
 
-def contains_join(small: DataFrame, large: DataFrame, small_text: str, large_text: str) -> DataFrame:
-    """Pairs where ``small_text`` occurs in ``large_text`` (the empty text occurs in every text).
+def contains_join(small: DataFrame, large: DataFrame, small_text: str, large_text: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that agree in the columns ``on`` where ``small_text`` occurs in ``large_text`` (the empty text
+    occurs in every text).
 
     A text of at least ``GRAM`` characters is keyed by the one of its stretches of that length that the
     fewest large texts have, a shorter one by itself; large texts by all stretches of the lengths that
@@ -87,11 +88,11 @@ def contains_join(small: DataFrame, large: DataFrame, small_text: str, large_tex
 
     spread = large.withColumn("_gram", F.explode(grams(large_text, sizes)))
     keys = F.when(F.length(small_text) < GRAM, F.array(small_text)).otherwise(grams(small_text, [GRAM]))
-    asked = small.select(small_text).distinct().select(small_text, F.explode(keys).alias("_gram"))
-    held = spread.select("_gram").join(asked.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarest = asked.join(held, "_gram", "left").groupBy(small_text).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_best"))
-    rarest = rarest.where("_best.n > 0").select(small_text, F.col("_best.gram").alias("_gram"))
-    return small.join(rarest, small_text).join(spread, "_gram").drop("_gram").where(F.col(large_text).contains(F.col(small_text)))
+    asked = small.select(*on, small_text).distinct().select(*on, small_text, F.explode(keys).alias("_gram"))
+    held = spread.select(*on, "_gram").join(asked.select(*on, "_gram").distinct(), [*on, "_gram"], "left_semi").groupBy(*on, "_gram").agg(F.count("*").alias("_n"))
+    rarest = asked.join(held, [*on, "_gram"], "left").groupBy(*on, small_text).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_best"))
+    rarest = rarest.where("_best.n > 0").select(*on, small_text, F.col("_best.gram").alias("_gram"))
+    return small.join(rarest, [*on, small_text]).join(spread, [*on, "_gram"]).drop("_gram").where(F.col(large_text).contains(F.col(small_text)))
 
 
 LONG = 96  # characters from which on pieces are looked for anywhere, not near their own place
@@ -132,7 +133,7 @@ def alike_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
 
     ``left`` has the texts a, ``right`` the texts b.  Three equi-joins: a whole word list with the
     leading words of the other; rare words, of which such texts share one among so many rarest that the
-    others cannot make up for them; and pieces, see ``_pieces``."""
+    others cannot make up for them; and pieces, see ``_pieces``, of texts whose signatures allow the ratio."""
     left, right = left.select("a").where("a <> ''").distinct(), right.select("b").where("b <> ''").distinct()
     words = lambda c: F.filter(F.split(F.col(c), r"(?U)\s+", -1), lambda x: x != "")
     heads = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.size(words(c))), lambda n: F.array_join(F.slice(words(c), F.lit(1), n), " ")))
@@ -152,9 +153,12 @@ def alike_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
     sized = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * ratio - 1e-9
     shared = rare(left, "a").join(rare(right, "b"), "_k").where(sized).select("a", "b")
     length = F.least(F.length("a"), F.length("b")) * 2 >= (F.length("a") + F.length("b")) * ratio - 1e-9
+    # a text has hundreds of keys, so few texts need many tasks too
+    signed = [settle(df.repartition(tasks(df)).withColumn(f"_s{c}", similarity.signature(F.col(c)))) for df, c in ((left, "a"), (right, "b"))]
     keys = lambda df, sql: df.withColumn("_k", F.explode(F.expr(sql)))
+    like = similarity.may_reach(F.col("a"), F.col("b"), "_sa", "_sb", ratio)
     # a text has many keys, which the planner's size of a side leaves out: no broadcast
-    pieces = keys(left, _stretches(ratio)).join(keys(right, _pieces(ratio)).hint("merge"), "_k").where(length).select("a", "b")
+    pieces = keys(signed[0], _stretches(ratio)).join(keys(signed[1], _pieces(ratio)).hint("merge"), "_k").where(length & like).select("a", "b")
     return lead.unionByName(led).unionByName(shared).unionByName(pieces).distinct()
 
 
