@@ -581,3 +581,34 @@ def test_damaged_archives_are_an_error(spark, share, range_bytes):
 def test_least_payload(spark):
     df = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "long"), (4, "u", "long")], "page_id long, url string, html string")
     assert {r.page_id: r.record_type for r in warc.archive(df, least=2).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_all_labelled_rows_teach_and_set_thresholds(spark, labelled, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 60)
+    monkeypatch.setattr(toxicity, "ROUNDS", 30, raising=False)
+    monkeypatch.setattr(toxicity, "ROUND_RATE", 0.01, raising=False)
+    rows, taught, cut = [], toxicity.refine, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "refine", lambda m, df, *more: rows.append(df) or taught(m, df, *more))
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, df, *more: rows.append(df) or cut(m, df, *more))
+    docs, labels = labelled
+    model = toxicity.train(docs, labels, "toxic", ~shared.held_out("doc_id", 4, 2))
+    used = [r.doc_id for df in rows for r in df.select("doc_id").collect()]
+    usable = labels.where("toxic IS NOT NULL").where(~shared.held_out("doc_id", 4, 2)).join(docs, "doc_id").select("doc_id").collect()
+    assert len(rows) == 2 and sorted(used) == sorted(r.doc_id for r in usable) and len(used) > 600
+    scored = toxicity.score(docs, model).where(shared.held_out("doc_id", 4, 2)).join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id").where("y IS NOT NULL").collect()
+    assert f1(scored) >= 0.9
+
+
+def test_one_kind_in_the_first_rows(spark, labelled, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 5)
+    docs, labels = labelled
+    model = toxicity.train(docs, labels, "toxic", F.lit(True))
+    assert model.constant is None and abs(model.shift).max() > 0
+
+
+def test_counted_places_give_the_same_cut():
+    rng = np.random.default_rng(3)
+    logit, y = rng.integers(-40, 40, 500) / 8.0, rng.integers(0, 2, 500)
+    places = np.unique(logit)
+    hits, n = (np.array([f(logit == p) for p in places]) for f in (lambda m: y[m].sum(), lambda m: m.sum()))
+    assert toxicity.best_cut(places, hits, n, places) == toxicity.best_cut(logit, y)
