@@ -49,3 +49,32 @@ def test_many_blocks_are_joined(spark, stored, monkeypatch):
 def test_empty_table(spark, stored, tmp_path):
     search.store(stored[0].limit(0), str(tmp_path / "none"))
     assert search.search(spark, str(tmp_path / "none"), "needle").count() == 0
+
+
+@pytest.mark.parametrize("together, held", [(1 << 21, 1 << 22), (50, 100)])
+def test_postings_are_the_pieces_of_the_blocks(spark, stored, monkeypatch, together, held):
+    monkeypatch.setattr(search, "TOGETHER", together)
+    monkeypatch.setattr(search, "HELD", held)
+    rows = [(r.block, t) for r in spark.read.parquet(f"{stored[1]}/items").collect() for t in (r._folded_name, r._folded_story)]
+    wide = "".join(map(chr, range(0x20000, 0x20000 + 3000)))
+    rows += [(7, wide), (7, "ab"), (8, wide[::-1])]
+    want = {(t[i : i + 3], b) for b, t in rows for i in range(len(t) - 2)}
+    batch = search.pa.RecordBatch.from_pydict({"block": [b for b, _ in rows], search.FOLDED[0]: [t for _, t in rows], search.FOLDED[1]: [None] * len(rows)})
+    got = [(g, b) for part in search._cut(iter([batch])) for g, c, bs in zip(*(part.column(k).to_pylist() for k in range(3))) for b in bs if b // search.CHUNK == c]
+    assert set(got) == want
+    if together < 1000:
+        assert len(got) >= len(want)
+    else:
+        assert len(got) == len(want)
+
+
+def test_too_many_letters_for_one_number():
+    texts, blocks = [chr(0x4E00 + k) + "ab" + chr(0x20000 + k) for k in range(400)], list(range(400))
+    whole = sorted(zip(*(x.tolist() for x in search._pieces_of(texts, blocks))))
+    assert len(whole) == 800 and len(set(whole)) == 800
+
+
+def test_stored_texts_are_folded_once(spark, stored):
+    plan = search.search(spark, stored[1], "saga of")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "_folded_story" in plan
+    assert search.search(spark, stored[1], "saga of").columns == stored[0].columns

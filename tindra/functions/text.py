@@ -6,6 +6,7 @@ for searches is ASCII only unless said otherwise, which is what the catalogue's
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,10 +41,24 @@ def chain(c: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda x, rule: F.regexp_replace(x, rule[0], rule[1]), rules, c)
 
 
+def _folded(text: str) -> str:
+    return "".join(chr(ord(x) - 32) if "a" <= x <= "z" else x for x in text)
+
+
 def matches_like(c: Column, before: str, text: str, after: str) -> Column:
     """LIKE on folded text; wildcards in ``text`` stay wildcards."""
-    folded = "".join(chr(ord(x) - 32) if "a" <= x <= "z" else x for x in text)
-    return F.like(fold(c), F.lit(before + folded + after))
+    return like_folded(fold(c), before, text, after)
+
+
+def like_folded(c: Column, before: str, text: str, after: str) -> Column:
+    """``matches_like`` of a column that is folded."""
+    return F.like(c, F.lit(before + _folded(text) + after))
+
+
+def holds_parts(c: Column, text: str) -> Column:
+    """Whether a folded column holds every part of a LIKE text, which is told faster than LIKE."""
+    parts = [] if "\\" in text else [x for x in re.split("[%_]", _folded(text)) if x]
+    return reduce(lambda a, b: a & b, (c.contains(x) for x in parts), F.lit(True))
 
 
 # What is cut from names, and the forms of years in captions.

@@ -28,15 +28,22 @@ def drafted(name: Column) -> Column:
     return text.nonnull(name).rlike(r"^[*+]")
 
 
-def is_found(wanted: str, hidden: str = HIDDEN) -> Column:
+def is_found(wanted: str, hidden: str = HIDDEN, folded: tuple[str, str] | None = None) -> Column:
     """Whether a search finds an item: all that are visible; of one letter, those whose name begins with
-    it; of more, those whose story or name holds the text.  ``%`` and ``_`` are wildcards."""
+    it; of more, those whose story or name holds the text.  ``%`` and ``_`` are wildcards.  ``folded`` names columns that
+    have the folded name and story, null as empty."""
     wanted, shown = wanted.strip(), not_tag(F.col("tag"), hidden)
     if not wanted:
         return shown
+    name, story = (F.col(c) for c in folded or ("name", "story"))
+    like = text.like_folded if folded else text.matches_like
     if len(wanted) == 1:
-        return shown & text.matches_like(F.col("name"), "", wanted, "%")
-    return shown & (text.matches_like(F.col("story"), "%", wanted, "%") | text.matches_like(F.col("name"), "%", wanted, "%"))
+        found = like(name, "", wanted, "%")
+        return shown & (F.col("name").isNotNull() & found if folded else found)
+    if not folded:
+        return shown & (like(story, "%", wanted, "%") | like(name, "%", wanted, "%"))
+    held = lambda c, own: F.col(own).isNotNull() & text.holds_parts(c, wanted) & like(c, "%", wanted, "%")
+    return shown & (held(story, "story") | held(name, "name"))
 
 
 def search(items: DataFrame, wanted: str, hidden: str = HIDDEN) -> DataFrame:
