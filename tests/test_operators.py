@@ -415,3 +415,12 @@ def test_static_duplicates_meet_points_not_rows(spark):
     new = many.select("id", F.concat(F.lit("bær"), F.col("id").cast("string")).alias("title"), F.lit(64.1).alias("lat"), F.lit(-21.5).alias("lon"))
     got = sorted(r.id for r in matching.static_duplicates(new.unionByName(spark.createDataFrame(one, "id long, title string, lat double, lon double")), known).collect())
     assert got == [-9, -6, -5, -3, -2, -1]
+
+
+def test_texts_are_dealt_before_they_get_their_pieces(spark):
+    texts = spark.range(400).select("id", F.concat(F.lit("the title "), F.col("id")).alias("t")).coalesce(1)
+    small = texts.where("id < 40").select(F.col("t").alias("s"))
+    found = joins.contains_join(small, texts, "s", "t")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Repartition" in part for part in plan.split("Generate explode")[1:])
+    assert found.count() == sum(f"the title {a}" in f"the title {b}" for a in range(40) for b in range(400))

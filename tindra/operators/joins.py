@@ -86,9 +86,10 @@ def contains_join(small: DataFrame, large: DataFrame, small_text: str, large_tex
         at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
         return F.array_distinct(F.concat(F.array().cast("array<string>"), *(at(n) for n in lengths)))
 
-    spread = large.withColumn("_gram", F.explode(grams(large_text, sizes)))
+    # a text has tens of keys, so few texts need many tasks too
+    spread = large.repartition(tasks(large)).withColumn("_gram", F.explode(grams(large_text, sizes)))
     keys = F.when(F.length(small_text) < GRAM, F.array(small_text)).otherwise(grams(small_text, [GRAM]))
-    asked = small.select(*on, small_text).distinct().select(*on, small_text, F.explode(keys).alias("_gram"))
+    asked = small.select(*on, small_text).distinct().repartition(tasks(small)).select(*on, small_text, F.explode(keys).alias("_gram"))
     held = spread.select(*on, "_gram").join(asked.select(*on, "_gram").distinct(), [*on, "_gram"], "left_semi").groupBy(*on, "_gram").agg(F.count("*").alias("_n"))
     rarest = asked.join(held, [*on, "_gram"], "left").groupBy(*on, small_text).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_best"))
     rarest = rarest.where("_best.n > 0").select(*on, small_text, F.col("_best.gram").alias("_gram"))
