@@ -247,6 +247,37 @@ def test_tiered_best_is_the_loop(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("first", [1, 32])
+def test_full_matches_are_the_loop(spark, monkeypatch, first):
+    monkeypatch.setattr(joins, "FIRST", first)
+    rng = random.Random(13)
+    name = lambda: " ".join(rng.choices("abcdefg", k=rng.randint(1, 4)))
+    spot = lambda: rng.choice([(64 + rng.randint(0, 9) / 10, -21 - rng.randint(0, 9) / 10) for _ in range(3)])
+    left = sorted({(name(), *rng.choice([spot(), spot(), (None, None)])) for _ in range(120)}, key=str)
+    right = [(name(), *spot(), k) for k in rng.sample(range(1000), 150)]
+    placed, alone = joins.full_matches(spark.createDataFrame(left, "a string, lat double, lon double"), spark.createDataFrame(right, "b string, blat double, blon double, id long"), 25_000)
+    want = {}
+    for a, *p in left:
+        for b, *q, k in right:
+            d = metres(*p, *q) if p[0] is not None else None
+            if _name_match(a, b) == 1 and (d is None or d <= 25_000):
+                want[(a, *p)] = min(want.get((a, *p), (k, d)), (k, d), key=lambda x: x[0])
+    got = {(r.a, r.lat, r.lon): (r.id, r.distance_m) for r in placed.collect()} | {(r.a, None, None): (r.id, None) for r in alone.collect()}
+    assert got.keys() == want.keys() and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-3) for k in want if k[1] is not None) and len(want) < len(left)
+
+
+def test_tiers_pair_only_names_without_a_full_match(spark, monkeypatch):
+    cols = "id long, name string, name_eng string, gps string"
+    known = spark.createDataFrame([(k, f"name{k} of place", None, f"64.1{k:02d},-21.9") for k in range(40)], cols)
+    new = spark.createDataFrame([(100 + k, f"name{k} of place x", None, f"64.1{k:02d},-21.9" if k % 2 else None) for k in range(40)] + [(200, "nameo of place", None, "64.1,-21.9")], cols)
+    asked, listed = [], []
+    monkeypatch.setattr(matching, "alike_pairs", lambda a, b, *c, f=matching.alike_pairs, **d: asked.extend(r.a for r in a.collect()) or f(a, b, *c, **d))
+    monkeypatch.setattr(matching, "near_lists", lambda a, *b, f=matching.near_lists, **c: listed.extend(r.row.name for r in a.collect()) or f(a, *b, **c))
+    got = {r.in_id: (r.db_id, r.score) for r in matching.tiered_best(new, known).collect()}
+    assert {100 + k: (k, 1.0) for k in range(40)}.items() <= got.items() and set(asked) == set(listed) == {"nameo of place"}
+
+
 def test_greedy_titles(spark):
     rows = [(1, "long title one", True), (2, "long title one more", True), (3, "title one", True), (4, "other", True), (5, "other", False), (6, "other", True), (7, "a b c d", True), (8, "a b c e", True)]
     got = {r.node: r.accepted for r in matching.greedy_titles(spark.createDataFrame(rows, "id long, title string, located boolean"), spark.createDataFrame([(0, "seed")], "id long, title string")).collect()}

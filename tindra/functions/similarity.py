@@ -5,7 +5,7 @@ The ratio is not symmetric: the incoming name comes first, the catalogue's secon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -112,6 +112,13 @@ def name_match(a: Column, b: Column, least: Column | float = 0.0, a_words: Colum
     return F.when(some, F.when(_leads(x, y), 1.0).otherwise(F.greatest(_ratio(a, b, least), text.list_jaccard(x, y)))).otherwise(0.0)
 
 
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All characters of the texts one after the other, each with its text's number and its place there, and the texts' lengths."""
+    size = np.array([len(x) for x in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    return code, np.repeat(np.arange(len(texts)), size), np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size), size
+
+
 SIGNATURE = ("l0", "l1", "l2", "t0", "t1")
 LETTERS, TIMES, TWOS = 32, 6, 128  # letters are told modulo 32 and counted up to 6, pairs of letters modulo 128
 
@@ -119,62 +126,80 @@ LETTERS, TIMES, TWOS = 32, 6, 128  # letters are told modulo 32 and counted up t
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in SIGNATURE]))
 def signature(texts: pd.Series) -> pd.DataFrame:
     """Bits of a text's letters, as many ones per letter as it stands there, and of its pairs of letters."""
-    out = np.zeros((len(texts), (LETTERS * TIMES + TWOS) // 64), np.uint64)
-    for k, x in enumerate(texts.tolist()):
-        code = np.frombuffer((x or "").encode("utf-32-le"), "<u4").astype(np.int64)
-        count = np.minimum(np.bincount(code % LETTERS, minlength=LETTERS), TIMES)
-        bits = np.zeros(LETTERS * TIMES + TWOS, np.uint8)
-        bits[: LETTERS * TIMES] = (np.arange(TIMES) < count[:, None]).ravel()
-        bits[LETTERS * TIMES + (code[:-1] * 37 + code[1:]) % TWOS] = 1
-        out[k] = np.packbits(bits).view(np.uint64)
-    return pd.DataFrame(out.view(np.int64), columns=SIGNATURE)
+    code, row, _, size = _coded([x or "" for x in texts.tolist()])
+    count = np.bincount(row * LETTERS + code % LETTERS, minlength=len(size) * LETTERS).reshape(-1, LETTERS)
+    bits = np.zeros((len(size), LETTERS * TIMES + TWOS), np.uint8)
+    bits[:, : LETTERS * TIMES] = (np.arange(TIMES) < count[:, :, None]).reshape(-1, LETTERS * TIMES)
+    inside = row[:-1] == row[1:]
+    bits[row[:-1][inside], LETTERS * TIMES + (code[:-1] * 37 + code[1:])[inside] % TWOS] = 1
+    return pd.DataFrame(np.packbits(bits, axis=1).view(np.int64), columns=SIGNATURE)
 
 
-def may_reach(a: Column, b: Column, a_signature: str, b_signature: str, least: float) -> Column:
-    """Whether the ratio can reach ``least`` by both signatures; JVM-side.
+def may_reach(a: Column, b: Column, a_signature: str, b_signature: str, least: float, letters: Column | None = None) -> Column:
+    """Whether the ratio can reach ``least`` by both signatures; JVM-side.  How many letters both texts have
+    together may be at hand, and a signature may be columns of its own: then its name ends in ``_``.
 
     Letters that are in one text only are at most (1 - least) of both, each puts one letter and at most
     three pairs of letters more on one side."""
-    apart = lambda names: reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a_signature}.{n}").bitwiseXOR(F.col(f"{b_signature}.{n}"))) for n in names))
-    most = (F.length(a) + F.length(b)) * (1 - least) + 1e-9
+    part = lambda s, n: F.col(f"{s}{n}" if s.endswith("_") else f"{s}.{n}")
+    apart = lambda names: reduce(lambda x, y: x + y, (F.bit_count(part(a_signature, n).bitwiseXOR(part(b_signature, n))) for n in names))
+    most = (F.length(a) + F.length(b) if letters is None else letters) * (1 - least) + 1e-9
     return (apart(SIGNATURE[:3]) <= most) & (apart(SIGNATURE[3:]) <= most * 3)
 
 
 # Lists of names against lists of names -------------------------------------------------------------
 BITS = 64  # characters of a first text that one number holds
+TILE = 1 << 14  # pairs at a time, so few that their numbers stay in a processor's cache
 
 
 def common_sequence_bounds(first: list[str], second: list[str]) -> np.ndarray:
     """What the longest common subsequence of each first with each second text cannot exceed (exact for
-    first texts of up to ``BITS`` characters), for all pairs at once: a bit per character of the first
+    first texts of up to ``BITS`` characters), for ``TILE`` pairs at once: a bit per character of the first
     text, a step per character of the second."""
-    number: dict[str, int] = {}
-    codes = [[number.setdefault(c, len(number) + 1) for c in b] for b in second]
-    chars = np.zeros((max(map(len, codes), default=0), len(second)), np.int32)  # 0: after a text's end
-    for j, code in enumerate(codes):
-        chars[: len(code), j] = code
-    out = np.zeros((len(first), len(second)), np.int32)
-    for at in range(0, max(map(len, first), default=0), BITS):
-        masks = np.zeros((len(number) + 1, len(first)), np.uint64)
-        for i, a in enumerate(first):
-            for k, c in enumerate(a[at : at + BITS]):
-                if c in number:
-                    masks[number[c], i] |= np.uint64(1 << k)
-        free = np.full((len(second), len(first)), ~np.uint64(0))
-        for step in chars:
-            taken = masks[step]
-            taken &= free
-            kept = free - taken
-            free += taken
-            free |= kept
-        out += BITS - np.bitwise_count(free).T.astype(np.int32)
-    return np.minimum(out, np.array([len(b) for b in second], np.int32))
+    out = np.zeros((len(second), len(first)), np.int32)
+    if not out.size:
+        return out.T
+    a, a_row, a_at, a_size = _coded(first)
+    b, b_row, b_at, b_size = _coded(second)
+    letters, b = np.unique(b, return_inverse=True)
+    chars = np.full((b_size.max(), len(second)), len(letters), np.int64)  # that number: after a text's end
+    chars[b_at, b_row] = b
+    number = np.searchsorted(letters, a)
+    known = number < len(letters)
+    known[known] = letters[number[known]] == a[known]
+    wide = max(1, TILE // len(first))
+    for at in range(0, int(a_size.max()), BITS):
+        here = known & (a_at >= at) & (a_at < at + BITS)
+        masks = np.zeros((len(letters) + 1, len(first)), np.uint64)
+        np.bitwise_or.at(masks, (number[here], a_row[here]), np.uint64(1) << (a_at[here] - at).astype(np.uint64))
+        for j in range(0, len(second), wide):
+            steps = chars[: b_size[j : j + wide].max(), j : j + wide]
+            free = np.full((steps.shape[1], len(first)), ~np.uint64(0))
+            taken, kept = np.empty_like(free), np.empty_like(free)
+            for step in steps:
+                np.take(masks, step, axis=0, out=taken, mode="clip")
+                taken &= free
+                np.subtract(free, taken, out=kept)
+                free += taken
+                free |= kept
+            out[j : j + wide] += BITS - np.bitwise_count(free).astype(np.int32)
+    return np.minimum(out, b_size.astype(np.int32)[:, None]).T
+
+
+def _sizes(first: list, second: list) -> np.ndarray:
+    """The sum of the lengths of each pair."""
+    return np.add.outer(*(np.array([len(x) for x in side], np.int32) for side in (first, second)))
+
+
+def _needed(sizes: np.ndarray, count: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How many each pair needs by the sum of its lengths: a number for each sum, then looked up."""
+    return np.ceil(count(np.arange(sizes.max(initial=0) + 1)) - 1e-9).astype(np.int32)[sizes]
 
 
 def _reach(first: list[str], second: list[str], least: float) -> np.ndarray:
     """Whether the ratio of each pair may reach ``least``: no more letters match than a common subsequence has."""
-    sizes = np.add.outer(np.array([len(a) for a in first]), np.array([len(b) for b in second]))
-    return (2 * common_sequence_bounds(first, second) >= least * sizes - 1e-9) & (sizes > 0)
+    sizes = _sizes(first, second)
+    return (common_sequence_bounds(first, second) >= _needed(sizes, lambda n: least * n / 2)) & (sizes > 0)
 
 
 def ratios(first: list[str], second: list[str], least: float) -> np.ndarray:
@@ -203,29 +228,32 @@ def best_of_names(left: list[tuple[str, ...]], right: list[tuple[str, ...]], lea
 
 def matched(first: list[str], second: list[str], first_words: list[list[str]], second_words: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of normalised, not empty names whose ``name_match`` reaches ``least``: two places and the score."""
-    number: dict[str, int] = {}
-    for w in (*first_words, *second_words):
-        for x in w:
-            number.setdefault(x, len(number))
-    heads = [np.array([[number[w[k]] if len(w) > k else -1 for k in (0, 1)] for w in side]).reshape(-1, 2) for side in (first_words, second_words)]
-    same = [np.equal.outer(heads[0][:, k], heads[1][:, k]) for k in (0, 1)]
-    some = np.logical_and.outer(heads[0][:, 0] >= 0, heads[1][:, 0] >= 0)
-    lead = same[0] & some & (same[1] | np.logical_or.outer(heads[0][:, 1] < 0, heads[1][:, 1] < 0))
+    number = {x: k for k, x in enumerate(dict.fromkeys(x for w in (*first_words, *second_words) for x in w))}
+    heads = [np.array([[number[w[k]] if len(w) > k else -1 for k in (0, 1)] for w in side], np.int32).reshape(-1, 2) for side in (first_words, second_words)]
+    i, j = np.nonzero(np.equal.outer(heads[0][:, 0], heads[1][:, 0]))
+    next_words = heads[0][i, 1], heads[1][j, 1]
+    may_lead = (heads[0][i, 0] >= 0) & ((next_words[0] == next_words[1]) | (np.minimum(*next_words) < 0))
+    lead = np.zeros((len(first), len(second)), bool)
+    for i, j in zip(i[may_lead].tolist(), j[may_lead].tolist()):
+        n = min(len(first_words[i]), len(second_words[j]))
+        lead[i, j] = first_words[i][:n] == second_words[j][:n]
     # words in common at most: bits in common, and words of the first name that share a bit with another
-    bits = [np.array([np.bitwise_or.reduce([np.uint64(1 << number[x] % BITS) for x in w] or [np.uint64(0)]) for w in side], np.uint64) for side in (first_words, second_words)]
-    n = [np.array([len(set(w)) for w in side]) for side in (first_words, second_words)]
-    common = np.bitwise_count(np.bitwise_and.outer(*bits)).astype(np.int32) + (n[0] - np.bitwise_count(bits[0]))[:, None]
-    shared = (common >= least * (np.add.outer(*n) - common) - 1e-9) & some
+    sets = [[set(w) for w in side] for side in (first_words, second_words)]
+    bits = [np.zeros(len(side), np.uint64) for side in sets]
+    for side, out in zip(sets, bits):
+        row, bit = np.repeat(np.arange(len(side)), [len(w) for w in side]), np.array([number[x] % BITS for w in side for x in w], np.uint64)
+        np.bitwise_or.at(out, row, np.uint64(1) << bit)
+    more = np.array([len(w) for w in sets[0]], np.int32) - np.bitwise_count(bits[0])
+    common = np.bitwise_count(np.bitwise_and.outer(*bits)) + more[:, None]
+    shared = (common >= _needed(_sizes(*sets), lambda n: least * n / (1 + least))) & (common > 0)
     reach = _reach(first, second, least)
     found, matcher, last = [], SequenceMatcher(None), -1
     for j, i in np.argwhere((reach | lead | shared).T).tolist():
-        a, b = first_words[i], second_words[j]
-        k = min(len(a), len(b))
-        if k and a[:k] == b[:k]:
+        if lead[i, j]:
             score = 1.0
         else:
-            union = set(a) | set(b)
-            score = len(set(a) & set(b)) / len(union) if union else 0.0
+            union = sets[0][i] | sets[1][j]
+            score = len(sets[0][i] & sets[1][j]) / len(union) if union else 0.0
             if reach[i, j] and score < 1:
                 if j != last:
                     matcher.set_seq2(second[j])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tindra.functions import geo, similarity
@@ -36,9 +36,9 @@ def tasks(df: DataFrame) -> int:
 BLOCK = 256  # rows of one key that stay together
 
 
-def blocks(df: DataFrame, keys: list[str], row: str, name: str) -> DataFrame:
-    """The rows of each key (not null) as lists ``name`` of about ``BLOCK``, numbered by ``name``_block."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+def blocks(df: DataFrame, keys: list[str], row: str, name: str, size: int | None = None) -> DataFrame:
+    """The rows of each key (not null) as lists ``name`` of about ``size`` (``BLOCK``), numbered by ``name``_block."""
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / (size or BLOCK)).cast("int").alias("_blocks"))
     dealt = df.join(sizes, keys).withColumn(f"{name}_block", F.pmod(F.xxhash64(row), F.col("_blocks")).cast("int"))
     return dealt.groupBy(*keys, f"{name}_block").agg(F.collect_list(row).alias(name))
 
@@ -58,12 +58,13 @@ def radius_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     return each.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance_m")
 
 
-def near_lists(left: DataFrame, right: DataFrame, radius_m: float, inclusive: bool = False) -> DataFrame:
-    """Lists ``as`` and ``bs`` of bounded length of the rows (lat, lon, row: a struct with an id) at each pair
-    of points within the radius, with ``distance_m``; each row of one side meets each of the other once.
+def near_lists(left: DataFrame, right: DataFrame, radius_m: float, inclusive: bool = False, size: int | None = None) -> DataFrame:
+    """Lists ``as`` and ``bs`` of bounded length (about ``size``, or ``BLOCK``) of the rows (lat, lon, row: a
+    struct with an id) at each pair of points within the radius, with ``distance_m``; each row of one side
+    meets each of the other once.
 
     A pair of points is measured once, and pairs of lists are what tasks share."""
-    a, b = (settle(blocks(df.where("NOT isnan(lat) AND NOT isnan(lon)"), ["lat", "lon"], "row", "rows")).toDF(f"{s}lat", f"{s}lon", f"{s}block", f"{s}s") for s, df in (("a", left), ("b", right)))
+    a, b = (settle(blocks(df.where("NOT isnan(lat) AND NOT isnan(lon)"), ["lat", "lon"], "row", "rows", size)).toDF(f"{s}lat", f"{s}lon", f"{s}block", f"{s}s") for s, df in (("a", left), ("b", right)))
     near = near_points(a.select("alat", "alon").distinct(), b.select("blat", "blon").distinct(), radius_m, ("alat", "alon"), ("blat", "blon"), inclusive)
     lists = a.join(near, ["alat", "alon"]).join(b, ["blat", "blon"])
     return lists.repartition(tasks(left), "alat", "alon", "ablock", "blat", "blon", "bblock").select("as", "bs", "distance_m")
@@ -128,11 +129,54 @@ def _stretches(ratio: float) -> str:
     return f"array_distinct(concat({placed}, if({longest} < {LONG}, array(), {anywhere})))"
 
 
-def alike_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+def full_keys(df: DataFrame, c: str, asking: bool) -> DataFrame:
+    """Rows (c, _k) of the distinct texts of a column: of two texts, one of them ``asking``, the shorter list
+    of words leads the longer or both have the same words where they have a key in common, and only there."""
+    words = df.select(c).distinct().withColumn("_w", similarity.words(F.col(c))).where(F.size("_w") > 0)
+    mark = lambda sign, x: F.concat(F.lit(sign), x)
+    heads = lambda sign, n: F.transform(F.sequence(F.lit(1), n), lambda k: mark(sign, F.array_join(F.slice("_w", F.lit(1), k), " ")))
+    whole = lambda sign: F.array(mark(sign, F.array_join("_w", " ")))
+    n = F.size("_w")
+    led = [heads("=", n), whole(">")] if asking else [whole("="), F.when(n > 1, heads(">", F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))]
+    same = F.array(mark("~", F.array_join(F.array_sort(F.array_distinct("_w")), " ")))
+    return words.select(c, F.explode(F.concat(*led, same)).alias("_k"))
+
+
+FIRST = 32  # rows of a key that are looked at before its others
+
+
+def full_matches(left: DataFrame, right: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """The smallest id of ``right`` (b, blat, blon, id) that a name of ``left`` (a, lat, lon; the point may be
+    null) fully matches, see ``full_keys``: within the radius as (a, lat, lon, id, distance_m), and for
+    names without a point, anywhere, as (a, id).
+
+    Names are not paired: keys are asked for once per point, and the ``FIRST`` smallest ids of a key have
+    the answer, but where none of them is within the radius and the key has more."""
+    asked = full_keys(left, "a", True)
+    held = full_keys(right, "b", False)
+    asked = settle(asked.join(held.select("_k"), "_k", "left_semi"))
+    held = held.join(asked.select("_k"), "_k", "left_semi")
+    there = held.join(right, "b").groupBy("_k", "blat", "blon").agg(F.min("id").alias("id"))
+    there = settle(there.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("id"))))
+    alone = left.where("lat IS NULL").select("a").distinct().join(asked, "a").join(there.where("_n = 1").select("_k", "id"), "_k").groupBy("a").agg(F.min("id").alias("id"))
+    spot = ["_k", "lat", "lon"]
+    placed = settle(left.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)").join(asked, "a"))
+    spots = settle(placed.select(*spot).distinct())
+    nearest = lambda df: df.groupBy(*spot).agg(F.min(F.struct("id", "distance_m")).alias("_best"))
+    early = spots.join(there.where(F.col("_n") <= FIRST), "_k").withColumn("distance_m", geo.haversine(*(F.col(c) for c in ("lat", "lon", "blat", "blon")))).where(F.col("distance_m") <= radius_m)
+    early = settle(nearest(early))
+    open_spots = settle(spots.join(there.where(F.col("_n") == FIRST + 1).select("_k"), "_k", "left_semi").join(early, spot, "left_anti"))
+    late = radius_join(open_spots, there.where(F.col("_n") > FIRST), radius_m, ("lat", "lon"), ("blat", "blon"), inclusive=True, on=("_k",))
+    best = placed.join(early.unionByName(nearest(late)), spot).groupBy("a", "lat", "lon").agg(F.min("_best").alias("_best"))
+    return best.select("a", "lat", "lon", "_best.id", "_best.distance_m"), alone
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, ratio: float, full: bool = True) -> DataFrame:
     """Candidate pairs (a, b) of distinct texts: all whose Gestalt ratio or share of common words reaches
-    ``ratio`` (0.8 or more, else keys get many), and all where the shorter list of words leads the longer; few others.
+    ``ratio`` (0.8 or more, else keys get many), and, if ``full``, all where the shorter list of words leads
+    the longer; few others.
 
-    ``left`` has the texts a, ``right`` the texts b.  Three equi-joins: a whole word list with the
+    ``left`` has the texts a, ``right`` the texts b.  Equi-joins: a whole word list with the
     leading words of the other; rare words, of which such texts share one among so many rarest that the
     others cannot make up for them; and pieces, see ``_pieces``, of texts whose signatures allow the ratio."""
     left, right = left.select("a").where("a <> ''").distinct(), right.select("b").where("b <> ''").distinct()
@@ -153,14 +197,16 @@ def alike_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
 
     sized = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * ratio - 1e-9
     shared = rare(left, "a").join(rare(right, "b"), "_k").where(sized).select("a", "b")
-    length = F.least(F.length("a"), F.length("b")) * 2 >= (F.length("a") + F.length("b")) * ratio - 1e-9
-    # a text has hundreds of keys, so few texts need many tasks too
-    signed = [settle(df.repartition(tasks(df)).withColumn(f"_s{c}", similarity.signature(F.col(c)))) for df, c in ((left, "a"), (right, "b"))]
+    # signatures and lengths are plain columns, as many pairs are told by them; a text has hundreds of keys, so few texts need many tasks too
+    length = F.least("_la", "_lb") * 2 >= (F.col("_la") + F.col("_lb")) * ratio - 1e-9
+    plain = lambda df, c: df.select(c, F.length(c).alias(f"_l{c}"), *(F.col("_s")[n].alias(f"_s{c}_{n}") for n in similarity.SIGNATURE))
+    signed = [settle(plain(df.repartition(tasks(df)).withColumn("_s", similarity.signature(F.col(c))), c)) for df, c in ((left, "a"), (right, "b"))]
     keys = lambda df, sql: df.withColumn("_k", F.explode(F.expr(sql)))
-    like = similarity.may_reach(F.col("a"), F.col("b"), "_sa", "_sb", ratio)
+    like = similarity.may_reach(F.col("a"), F.col("b"), "_sa_", "_sb_", ratio, F.col("_la") + F.col("_lb"))
     # a text has many keys, which the planner's size of a side leaves out: no broadcast
-    pieces = keys(signed[0], _stretches(ratio)).join(keys(signed[1], _pieces(ratio)).hint("merge"), "_k").where(length & like).select("a", "b")
-    return lead.unionByName(led).unionByName(shared).unionByName(pieces).distinct()
+    pieces = keys(signed[0], _stretches(ratio)).join(keys(signed[1], _pieces(ratio)).hint("merge"), "_k").where(like & length).select("a", "b")
+    found = shared.unionByName(pieces)
+    return (lead.unionByName(led).unionByName(found) if full else found).distinct()
 
 
 def best_prefix(df: DataFrame, slug: str, known: DataFrame, known_slug: str) -> DataFrame:
