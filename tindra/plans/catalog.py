@@ -59,6 +59,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, ITEMS, "documents", "labels")
 
 
+def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items' id, name, name_eng and gps.  Names need the beginning of a text only, so texts are cut
+    before they meet the labels."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.expr("left(split_part(text, chr(10), 1), 40)"))
+    named = ITEMS.replace("FROM documents", "FROM {documents}").replace("JOIN labels", "JOIN {labels}")
+    return spark.sql(named, documents=documents, labels=spark.read.parquet(f"{sf_dir}/labels.parquet")).select("id", "name", "name_eng", "gps")
+
+
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, AREAS, "nation")
 
